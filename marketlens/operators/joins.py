@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marketlens.operators.timeline import running, sliding
+from marketlens.session import cut_lineage
 
 
 def _one_line(left: DataFrame, right: DataFrame, keys: list[str], lts: str, rts: str,
@@ -123,67 +124,110 @@ def _cells(dims: int):
     return list(product((-1, 0, 1), repeat=dims))
 
 
-def caliper_join(left: DataFrame, right: DataFrame, block: list[str], coords: list[tuple[str, float]],
-                 radius: float = 1.0) -> DataFrame:
-    """Pairs of one block that differ in no coordinate by more than ``radius`` times its caliper.
+def caliper_join(left: DataFrame, right: DataFrame, block: list[str], coords: list[tuple],
+                 radius: float | None = None) -> DataFrame:
+    """Pairs of one block whose coordinates differ by no more than their limits.
 
-    ``coords`` lists columns present on both sides with their calipers. Both sides fall into grid
-    cells as wide as the calipers, so a row meets neighbouring cells only. Columns of the right side
-    come back prefixed with ``r_``; ``distance`` sums the differences in calipers.
+    ``coords`` lists ``(column, limit, scale)`` of columns present on both sides; ``distance`` sums
+    difference / scale over those with a scale. ``radius`` tightens the limits to that distance.
+    The first three coordinates form a grid of cells as wide as the limits, so a row meets
+    neighbouring cells only. Columns of the right side come back prefixed with ``r_``.
     """
-    def cell(c, cal):
-        return F.floor(F.col(c) / F.lit(cal * radius)).cast("long")
+    reach = [lim if radius is None or sc is None else min(lim, radius * sc) for _, lim, sc in coords]
+    grid = list(zip([f"_g{i}" for i in range(3)], coords, reach))
 
-    names = [f"_g{i}" for i in range(len(coords))]
-    r = right.select(*block, *[cell(c, cal).alias(n) for n, (c, cal) in zip(names, coords)],
+    def cell(c, size):
+        return F.floor(F.col(c) / F.lit(float(size))).cast("long")
+
+    r = right.select(*block, *[cell(c, size).alias(n) for n, (c, _, _), size in grid],
                      *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in block])
-    near = F.array(*[F.struct(*[(cell(c, cal) + o).alias(n) for n, (c, cal), o in zip(names, coords, off)])
-                     for off in _cells(len(coords))])
+    near = F.array(*[F.struct(*[(cell(c, size) + o).alias(n) for (n, (c, _, _), size), o in zip(grid, off)])
+                     for off in _cells(len(grid))])
     l = left.withColumn("_cell", F.explode(near)).select(*left.columns, "_cell.*")
-    gaps = [F.abs(F.col(c) - F.col(f"r_{c}")) for c, _ in coords]
-    keep = reduce(lambda a, z: a & z, [g <= F.lit(cal * radius) for g, (_, cal) in zip(gaps, coords)])
-    dist = reduce(lambda a, z: a + z, [g / F.lit(float(cal)) for g, (_, cal) in zip(gaps, coords)])
+    gaps = [F.abs(F.col(c) - F.col(f"r_{c}")) for c, _, _ in coords]
+    keep = reduce(lambda a, z: a & z, [g <= F.lit(float(size)) for g, size in zip(gaps, reach)])
+    dist = reduce(lambda a, z: a + z, [g / F.lit(float(sc)) for g, (_, _, sc) in zip(gaps, coords) if sc is not None])
+    names = [n for n, _, _ in grid]
     return l.join(r, [*block, *names]).filter(keep).withColumn("distance", dist).drop(*names)
 
 
-def nearest_controls(cases: DataFrame, controls: DataFrame, block: list[str], coords: list[tuple[str, float]],
+def nearest_controls(cases: DataFrame, controls: DataFrame, block: list[str], coords: list[tuple],
                      case_id: str, control_id: str, k: int = 1, residual: Column | None = None,
-                     copy_key: list[str] | None = None, rings: tuple = (1 / 64, 1 / 8, 1.0)) -> DataFrame:
-    """The ``k`` nearest controls of every case within the calipers, ties by ``control_id``.
+                     copy_key: list[str] | None = None, rings: tuple = (1 / 32, 1 / 4)) -> DataFrame:
+    """The ``k`` nearest controls of every case within the limits, ties by ``control_id``.
 
     Rings of growing radius keep dense cells cheap without dropping a candidate: a case is done in a
-    ring once ``k`` matches lie no farther than the ring's radius, since everything outside the ring
-    is farther; the others go on, and the last ring holds the whole caliper box.
-    ``residual`` further restricts pairs (left columns plain, right columns ``r_``).
-    ``copy_key`` names right columns used by ``residual``; controls equal in those and in every
-    coordinate are copies of each other, of which only the ``k + 1`` smallest ids can matter.
+    ring once ``k`` matches lie no farther than its radius, since everything outside the ring is
+    farther; the others go on, and the last round uses the full limits.
+    ``residual`` further restricts pairs (left columns plain, right columns ``r_``). Controls equal in
+    every coordinate and in ``copy_key`` (the right columns ``residual`` reads) are copies; of these
+    only the ``k + 1`` smallest ids can matter when a case may be barred from one of its own.
     """
-    same = [*block, *[c for c, _ in coords], *(copy_key or [])]
     if copy_key is not None:
-        others = [c for c in controls.columns if c not in same]
-        small = F.slice(F.sort_array(F.collect_set(F.struct(control_id, *[c for c in others if c != control_id]))), 1, k + 1)
-        # A copy group is first cut down inside random sub-groups, so that no group is collected whole.
-        salted = controls.withColumn("_s", F.pmod(F.xxhash64(control_id), F.lit(64)))
-        wk = Window.partitionBy(*same, "_s").orderBy(control_id)
-        cut = salted.withColumn("_rn", F.row_number().over(wk)).filter(F.col("_rn") <= k + 1).drop("_rn", "_s")
-        controls = cut.groupBy(*same).agg(small.alias("_c")).withColumn("_c", F.explode("_c")).select(*same, "_c.*")
+        same = list(dict.fromkeys([*block, *[c for c, _, _ in coords], *copy_key]))
+        rest = [c for c in controls.columns if c not in same and c != control_id]
+
+        def smallest(d, extra):
+            w = Window.partitionBy(*same, *extra).orderBy(control_id)
+            return d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k + 1).drop("_rn")
+
+        salted = smallest(controls.withColumn("_s", F.pmod(F.xxhash64(control_id), F.lit(64))), ["_s"])
+        controls = smallest(salted.drop("_s"), []).select(*same, control_id, *rest)
     best = Window.partitionBy(case_id).orderBy("distance", f"r_{control_id}")
     todo, found = cases, []
-    for i, radius in enumerate(rings):
+    for radius in [*rings, None]:
         pairs = caliper_join(todo, controls, block, coords, radius)
         if residual is not None:
             pairs = pairs.filter(residual)
         top = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        if i == len(rings) - 1:
+        if radius is None:
             found.append(top)
             break
-        inside = top.filter(F.col("distance") <= radius)
-        full = inside.groupBy(case_id).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == k).select(case_id)
+        top = cut_lineage(top)
+        full = (top.filter(F.col("distance") <= radius).groupBy(case_id).agg(F.count(F.lit(1)).alias("_n"))
+                .filter(F.col("_n") == k).select(case_id))
         found.append(top.join(full, case_id, "left_semi"))
         todo = todo.join(full, case_id, "left_anti")
     return reduce(lambda a, z: a.unionByName(z), found)
 
 
+def greedy_pairs(cases: DataFrame, controls: DataFrame, block: list[str], coords: list[tuple], case_order: list[str],
+                 control_id: str, residual: Column | None = None, k: int = 4) -> DataFrame:
+    """Cases in ``case_order`` each take their nearest unused control, ties by ``control_id``.
+
+    Taking turns in a common order is the only stable matching when every control prefers the
+    earlier case, so it is found by proposals in parallel: every case proposes to its nearest
+    control that has not turned it down, a control holds the earliest proposer and turns the later
+    ones down for good. Candidate lists start with the ``k`` nearest and grow for the cases that run
+    out of a list that may have been cut.
+    """
+    order = F.struct(*case_order)
+    cid = case_order[-1]
+    known, short, size = None, cases, k
+    while True:
+        more = cut_lineage(nearest_controls(short, controls, block, coords, cid, control_id, size, residual)
+                           .withColumn("_turn", order))
+        known = more if known is None else cut_lineage(
+            known.join(short.select(cid), cid, "left_anti").unionByName(more))
+        listed = known.groupBy(cid).agg(F.count(F.lit(1)).alias("_listed"))
+        live = known
+        while True:
+            want = Window.partitionBy(cid).orderBy("distance", f"r_{control_id}")
+            offers = live.withColumn("_rn", F.row_number().over(want)).filter("_rn = 1").drop("_rn")
+            held = offers.groupBy(f"r_{control_id}").agg(F.min("_turn").alias("_held"))
+            after = cut_lineage(live.join(held, f"r_{control_id}", "left")
+                                .filter(F.col("_held").isNull() | (F.col("_turn") <= F.col("_held"))).drop("_held"))
+            if after.count() == live.count():
+                break
+            live = after
+        lost = (listed.join(live.select(cid).distinct(), cid, "left_anti").filter(F.col("_listed") >= size).select(cid))
+        short = cut_lineage(cases.join(lost, cid, "left_semi"))
+        if short.isEmpty():
+            want = Window.partitionBy(cid).orderBy("distance", f"r_{control_id}")
+            return live.withColumn("_rn", F.row_number().over(want)).filter("_rn = 1").drop("_rn", "_turn", "rank")
+        size *= 4
+
+
 def resolve_identity(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """Match requests (venue, kind, pair) to catalog rows; ``resolution`` names why one failed."""
     grouped = catalog.groupBy("venue", "kind", "pair").agg(

@@ -61,14 +61,18 @@ _MERGE = {
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], width: int,
-            aggs: dict[str, tuple[str, Column | str]], exclusive: bool = False) -> DataFrame:
+            aggs: dict[str, tuple[str, Column | str]], exclusive: bool = False,
+            chunk: Column | None = None) -> DataFrame:
     """Running ``sum/max/min/last/first`` per key in ``order`` (first column is the time).
 
+    With no keys the scan is global. ``chunk`` replaces the default time chunk by any expression
+    that never decreases along ``order``.
+
     ``exclusive`` leaves the current row out, which turns ``last`` into a lag over non-null values.
     Every aggregate skips nulls.
     """
     ts = order[0]
-    rows = df.withColumn("_chunk", chunk_of(ts, width))
+    rows = df.withColumn("_chunk", chunk_of(ts, width) if chunk is None else chunk)
     for name, (_, expr) in aggs.items():
         rows = rows.withColumn(f"_v_{name}", F.col(expr) if isinstance(expr, str) else expr)
     o = F.struct(*order)
