@@ -14,15 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marketlens.functions.numeric import finite
-from marketlens.operators.timeline import (ladder_fires, previous, running, segments, sliding,
+from marketlens.operators.timeline import (ladder_fires, opens_series, previous, running, sliding,
                                            spaced_picks)
 from marketlens.session import cut_lineage
 
 
 def cooled(candidates: DataFrame, keys: list[str], ts: str, cooldown: int) -> DataFrame:
     """Candidates that fire when each firing silences its key for ``cooldown`` seconds."""
-    picks = spaced_picks(candidates, keys, ts, cooldown)
-    return candidates.join(picks, [*keys, ts], "left_semi")
+    return spaced_picks(candidates, keys, ts, cooldown, tie="id" if "id" in candidates.columns else None)
 
 
 def level_cross(df: DataFrame, levels: list[float], rearm_pct: float = 2.0, cooldown: int = 300, max_gap: int = 90,
@@ -34,18 +33,19 @@ def level_cross(df: DataFrame, levels: list[float], rearm_pct: float = 2.0, cool
     only arms.
     """
     ts = order[0]
-    seg = segments(df, list(keys), list(order), max_gap, width)
-    first = F.col("gap").isNull() | (F.col("gap") > max_gap)
+    opened = opens_series(df, list(keys), ts, max_gap)
     p = F.col(value)
-    memory = {}
+    # The opening row always sets the memory, so nothing from before a gap is ever read.
+    memory = {"_start": ("last", F.when(F.col("opens"), F.col(ts)))}
     for i, level in enumerate(levels):
-        moved = (F.when(first, (p < level).cast("int")).when(p <= level * (1 - rearm_pct / 100), 1).when(p >= level, 0))
+        moved = (F.when(F.col("opens"), (p < level).cast("int"))
+                 .when(p <= level * (1 - rearm_pct / 100), 1).when(p >= level, 0))
         memory[f"_a{i}"] = ("last", moved)
-    d = running(seg, [*keys, "segment"], list(order), width, memory, exclusive=True)
-    hits = F.array_compact(F.array(*[F.when(~first & (p >= level) & (F.col(f"_a{i}") == 1), F.lit(float(level)))
+    d = running(opened, list(keys), list(order), width, memory, exclusive=True)
+    hits = F.array_compact(F.array(*[F.when(~F.col("opens") & (p >= level) & (F.col(f"_a{i}") == 1), F.lit(float(level)))
                                      for i, level in enumerate(levels)]))
-    cand = d.select(*keys, "segment", *order, value, F.explode(hits).alias("level"))
-    return cooled(cand, [*keys, "segment", "level"], ts, cooldown)
+    cand = d.select(*keys, F.col("_start").alias("series_start"), *order, value, F.explode(hits).alias("level"))
+    return cooled(cand, [*keys, "series_start", "level"], ts, cooldown)
 
 
 def one_shot_targets(df: DataFrame, targets: list[float], strict: bool = False, keys: tuple = ("mint",),
@@ -58,14 +58,11 @@ def one_shot_targets(df: DataFrame, targets: list[float], strict: bool = False,
     return g.select(*keys, F.explode(each).alias("_e")).filter("_e.hit is not null").select(*keys, "_e.target", "_e.hit.*")
 
 
-def gap_baseline(df: DataFrame, levels: list[float], cooldown: int = 300, max_gap: int = 90, width: int = 86_400,
+def gap_baseline(df: DataFrame, levels: list[float], cooldown: int = 300, max_gap: int = 90,
                  keys: tuple = ("mint",), order: tuple = ("ts", "id"), value: str = "price") -> DataFrame:
     """Rows that open a series (start or gap) already at or above the lowest level, with a cooldown."""
-    ts = order[0]
-    d = previous(df, list(keys), list(order), width, {"_pt": ts})
-    opens = F.col("_pt").isNull() | (F.col(ts) - F.col("_pt") > max_gap)
-    cand = d.filter(opens & (F.col(value) >= min(levels))).select(*keys, *order, value)
-    return cooled(cand, list(keys), ts, cooldown)
+    cand = opens_series(df, list(keys), order[0], max_gap).filter(F.col("opens") & (F.col(value) >= min(levels)))
+    return cooled(cand.select(*keys, *order, value), list(keys), order[0], cooldown)
 
 
 def with_reference(df: DataFrame, cols: list[str], oldest: int, newest: int, max_gap: int, keys: tuple = ("mint",),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from marketlens.functions.numeric import between, finite, ratio
 from marketlens.operators.timeline import running, segments, sliding
@@ -15,7 +18,34 @@ SIGNALS = ["liq25k", "vol_mc25", "buy52", "h1_not_extended", "m5_not_extended",
            "net_constructive", "higher_low", "liq_stable", "volume_accel", "txns100"]
 
 
+class Frames(NamedTuple):
+    """Bounded frames of one operator: reach into past and future, the window columns to add, and the
+    columns derived from them afterwards. Several of them can share one shuffle (``apply_frames``)."""
+
+    before: int
+    after: int
+    build: Callable[[DataFrame, WindowSpec], DataFrame]
+    finish: Callable[[DataFrame], DataFrame]
+
+
+def apply_frames(df: DataFrame, keys: tuple | list, ts: str, *specs: Frames) -> DataFrame:
+    def build(d, w):
+        for s in specs:
+            d = s.build(d, w)
+        return d
+
+    out = sliding(df, list(keys), ts, max(s.before for s in specs), max(s.after for s in specs), build)
+    for s in specs:
+        out = s.finish(out)
+    return out
+
+
 def trailing_features(df: DataFrame, span: int = 2100, keys: tuple = ("mint",), ts: str = "ts") -> DataFrame:
+    """See ``trailing_frames``."""
+    return apply_frames(df, keys, ts, trailing_frames(span, ts))
+
+
+def trailing_frames(span: int = 2100, ts: str = "ts") -> Frames:
     """Features of the observations in ``[ts-span, ts]``; prices and liquidity count when positive.
 
     The frame holds one observation per bucket of the source, so the collected lists are bounded by
@@ -30,7 +60,11 @@ def trailing_features(df: DataFrame, span: int = 2100, keys: tuple = ("mint",),
                  .withColumn("_ps", F.collect_list(F.when(F.col("price") > 0, F.col("price"))).over(f))
                  .withColumn("_ls", F.collect_list(F.when(F.col("liq") > 0, F.col("liq"))).over(f)))
 
-    d = sliding(df, list(keys), ts, span, 0, frames)
+    return Frames(span, 0, frames, _trailing_columns)
+
+
+def _trailing_columns(d: DataFrame) -> DataFrame:
+    base = [c for c in d.columns if c not in ("_ps", "_ls")]
     d = d.select("*", F.size("_ps").alias("n_prices"), F.array_min("_ps").alias("_low"),
                  F.array_max("_ps").alias("_high"), F.try_element_at("_ps", F.lit(1)).alias("_p0"),
                  F.try_element_at("_ps", F.lit(-1)).alias("_p1"),
@@ -39,7 +73,7 @@ def trailing_features(df: DataFrame, span: int = 2100, keys: tuple = ("mint",),
                  F.expr("greatest(1, size(_ps) div 3)").alias("_third"))
     n = F.col("n_prices")
     return d.select(
-        *df.columns, "points", "history_s", "n_prices",
+        *base, "n_prices",
         ((F.col("_high") - F.col("_low")) / F.col("_low")).alias("band"),
         (F.col("_p1") / F.col("_p0") - 1).alias("net"),
         (F.col("price") / F.col("_p0") - 1).alias("net_now"),
@@ -147,27 +181,38 @@ def continuity(df: DataFrame, max_gap: int = 180, width: int = 86_400, keys: tup
 
 def prehistory_complete(df: DataFrame, span: int = 1800, max_gap: int = 180, keys: tuple = ("mint",),
                         ts: str = "ts") -> DataFrame:
+    """See ``prehistory_frames``."""
+    return apply_frames(df, keys, ts, prehistory_frames(span, max_gap, ts))
+
+
+def prehistory_frames(span: int = 1800, max_gap: int = 180, ts: str = "ts") -> Frames:
     """``prehistory_ok``: four valid rows reaching back to within ``max_gap`` of the span, no gap."""
 
     def frames(d, w):
         f = w.rangeBetween(-span, 0)
-        d = d.withColumn("_step", F.col(ts) - F.lag(ts).over(w))
+        d = d.withColumn("_pre_step", F.col(ts) - F.lag(ts).over(w))
         first = F.min(ts).over(f)
         # The step of the first row of the frame leads out of the frame and does not count.
-        bad = F.sum((F.coalesce(F.col("_step"), F.lit(0)) > max_gap).cast("int")).over(
+        gaps = F.sum((F.coalesce(F.col("_pre_step"), F.lit(0)) > max_gap).cast("int")).over(
             w.rowsBetween(Window.unboundedPreceding, 0))
-        d = d.withColumn("_bad", bad).withColumn("_first", first)
+        d = d.withColumn("_pre_gaps", gaps)
         valid = F.min((finite("price") & finite("mc") & (F.col("price") > 0) & (F.col("mc") > 0)).cast("int")).over(f)
         return d.withColumn("prehistory_ok", (F.count(F.lit(1)).over(f) >= 4)
                             & (first <= F.col(ts) - span + max_gap) & (valid == 1)
-                            & (F.first("_bad").over(f) == F.col("_bad"))).drop("_step", "_bad", "_first")
+                            & (F.first("_pre_gaps").over(f) == F.col("_pre_gaps"))).drop("_pre_step", "_pre_gaps")
 
-    return sliding(df, list(keys), ts, span, 0, frames)
+    return Frames(span, 0, frames, lambda d: d)
 
 
 def label_paths(df: DataFrame, horizon: int = 3600, late: int = 180, max_gap: int = 180,
                 keys: tuple = ("mint",), ts: str = "ts", value: str = "mc",
                 run: float = 2.0, non_run: float = 1.35) -> DataFrame:
+    """See ``path_frames``."""
+    return apply_frames(df, keys, ts, path_frames(horizon, late, max_gap, ts, value, run, non_run))
+
+
+def path_frames(horizon: int = 3600, late: int = 180, max_gap: int = 180, ts: str = "ts", value: str = "mc",
+                run: float = 2.0, non_run: float = 1.35) -> Frames:
     """Forward label of every row, or the reason why its path is not covered.
 
     A path has a gap exactly when the running count of gaps differs between its two ends, so no path
@@ -187,19 +232,21 @@ def label_paths(df: DataFrame, horizon: int = 3600, late: int = 180, max_gap: in
                  .withColumn("_top", F.max(F.when(~F.col("_bad"), F.col(value))).over(inside))
                  .withColumn("_n", F.count(F.lit(1)).over(inside)))
 
-    d = sliding(df, list(keys), ts, 0, horizon + late, frames)
-    reason = (F.when(F.col("_end").isNull(), "missing_endpoint")
-              .when(F.col("_bad") | (F.col("_end._bads") > F.col("_bads")), "invalid_mc")
-              .when(F.col("_end._gaps") > F.col("_gaps"), "gap")
-              .when(F.col("_n") == 0, "missing_within_window").otherwise("covered"))
-    d = d.withColumn("reason", reason)
-    ok = F.col("reason") == "covered"
-    d = (d.withColumn("max_multiple", F.when(ok, F.col("_top") / F.col(value)))
-          .withColumn("endpoint_multiple", F.when(ok, F.col("_end.v") / F.col(value)))
-          .withColumn("endpoint_late", F.when(ok, F.col("_end.ts") - F.col(ts) - horizon)))
-    top = F.col("max_multiple")
-    label = F.when(top >= run, "run").when(top < non_run, "non_run").when(top.isNotNull(), "intermediate")
-    return d.withColumn("label", label).drop("_bad", "_gaps", "_bads", "_end", "_top", "_n")
+    def finish(d):
+        reason = (F.when(F.col("_end").isNull(), "missing_endpoint")
+                  .when(F.col("_bad") | (F.col("_end._bads") > F.col("_bads")), "invalid_mc")
+                  .when(F.col("_end._gaps") > F.col("_gaps"), "gap")
+                  .when(F.col("_n") == 0, "missing_within_window").otherwise("covered"))
+        d = d.withColumn("reason", reason)
+        ok = F.col("reason") == "covered"
+        d = (d.withColumn("max_multiple", F.when(ok, F.col("_top") / F.col(value)))
+              .withColumn("endpoint_multiple", F.when(ok, F.col("_end.v") / F.col(value)))
+              .withColumn("endpoint_late", F.when(ok, F.col("_end.ts") - F.col(ts) - horizon)))
+        top = F.col("max_multiple")
+        label = F.when(top >= run, "run").when(top < non_run, "non_run").when(top.isNotNull(), "intermediate")
+        return d.withColumn("label", label).drop("_bad", "_gaps", "_bads", "_end", "_top", "_n")
+
+    return Frames(0, horizon + late, frames, finish)
 
 
 def anchor_gain(df: DataFrame, width: int, keys: tuple = ("mint", "pair"), order: tuple = ("ts", "id"),
@@ -212,13 +259,18 @@ def anchor_gain(df: DataFrame, width: int, keys: tuple = ("mint", "pair"), order
 
 
 def pair_switch(df: DataFrame, before: int, after: int, keys: tuple = ("mint",), ts: str = "ts") -> DataFrame:
+    """See ``pair_switch_frames``."""
+    return apply_frames(df, keys, ts, pair_switch_frames(before, after))
+
+
+def pair_switch_frames(before: int, after: int) -> Frames:
     """``pair_switch``: another pair of the same instrument was observed in ``[ts-before, ts+after]``."""
 
     def frames(d, w):
         f = w.rangeBetween(-before, after)
         return d.withColumn("pair_switch", (F.min("pair").over(f) != F.max("pair").over(f)))
 
-    return sliding(df, list(keys), ts, before, after, frames)
+    return Frames(before, after, frames, lambda d: d)
 
 
 def movement(df: DataFrame, window: int = 900, tolerance: int = 90, max_gap: int = 120,

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from marketlens.session import cut_lineage
+
 DAY = 86_400
 
 
@@ -99,13 +101,24 @@ def previous(df: DataFrame, keys: list[str], order: list[str], width: int,
     return packed.select("*", "_prev.*").drop("_prev")
 
 
+def opens_series(df: DataFrame, keys: list[str], ts: str, max_gap: int, name: str = "opens") -> DataFrame:
+    """``name``: no row of the key within ``max_gap`` seconds before this one (start or gap)."""
+
+    def frames(d, w):
+        return d.withColumn(name, F.count(F.lit(1)).over(w.rangeBetween(-max_gap, -1)) == 0)
+
+    return sliding(df, keys, ts, max_gap, 0, frames)
+
+
 def segments(df: DataFrame, keys: list[str], order: list[str], max_gap: int, width: int) -> DataFrame:
     """``gap`` to the preceding row and ``segment``, which grows whenever ``gap`` exceeds ``max_gap``."""
     ts = order[0]
-    gaps = previous(df, keys, order, width, {"_prev_ts": ts}).withColumn("gap", F.col(ts) - F.col("_prev_ts"))
-    return running(gaps, keys, order, width,
-                   {"segment": ("sum", (F.coalesce(F.col("gap"), F.lit(0)) > max_gap).cast("long"))}
-                   ).drop("_prev_ts")
+    d = running(opens_series(df, keys, ts, max_gap, "_opens"), keys, order, width,
+                {"_prev_ts": ("last", ts), "_before": ("sum", F.col("_opens").cast("long"))}, exclusive=True)
+    # The opening row of a key starts segment 0.
+    return (d.withColumn("gap", F.col(ts) - F.col("_prev_ts"))
+            .withColumn("segment", F.greatest(F.lit(0), F.col("_before") + F.col("_opens").cast("long") - 1))
+            .drop("_prev_ts", "_before", "_opens"))
 
 
 # --- sequential rules -------------------------------------------------------------------------
@@ -164,25 +177,24 @@ def _step_function(points: np.ndarray, advance, ascending: bool, horizon: float)
 
 
 def scan_states(df: DataFrame, keys: list[str], ts: str, point: str, kind: str, amount: float,
-                width: int) -> DataFrame:
-    """Rows that fire under a sequential rule, as ``(keys, ts, point)``.
+                width: int, tie: str | None = None) -> DataFrame:
+    """Rows that fire under a sequential rule.
 
     ``kind='spacing'``: ``point`` is the time itself; a point fires when it lies at least ``amount``
     after the last fired one. ``kind='ladder'``: ``point`` is a price; the first point only arms the
     reference and a point fires at ``amount`` times the reference, which moves to the fired price.
+    Of rows with equal time the smallest ``tie`` stands for all.
     """
     advance = _advance(kind, amount)
     spacing = kind == "spacing"
-    same = ts == point
+    cols = [c for c in df.columns if c not in keys]
     # One point per second and key bounds a chunk by its width, however hot the key is.
-    pts = (df.select(*keys, ts).distinct() if same
-           else df.groupBy(*keys, ts).agg(F.max(point).alias(point)))
-    chunks = (pts.withColumn("_chunk", chunk_of(ts, width))
-              .groupBy(*keys, "_chunk")
-              .agg(F.sort_array(F.collect_list(F.struct(F.col(ts).cast("double").alias("t"),
-                                                        F.col(point).cast("double").alias("p"))))
-                   .alias("_pts"))
-              .withColumn("_p", F.col("_pts.p")))
+    first = F.min_by(F.struct(*cols), F.struct(*([tie] if tie else cols)))
+    pts = df.groupBy(*keys, F.col(ts).alias("_t")).agg(first.alias("_row"))
+    chunks = cut_lineage(
+        pts.withColumn("_chunk", chunk_of("_t", width)).groupBy(*keys, "_chunk")
+        .agg(F.sort_array(F.collect_list(F.struct("_t", "_row"))).alias("_pts"))
+        .withColumn("_p", F.transform(F.col("_pts"), lambda r: r["_row"][point].cast("double"))))
 
     @F.pandas_udf("array<struct<bound:double,exit:double>>")
     def summarise(chunk: pd.Series, points: pd.Series) -> pd.Series:
@@ -231,17 +243,16 @@ def scan_states(df: DataFrame, keys: list[str], ts: str, point: str, kind: str,
             out.append(_walk(p, int(hit[0]), advance, spacing) if len(hit) else [])
         return pd.Series(out)
 
-    fired = (chunks.join(per_key, [*keys, "_chunk"])
-             .withColumn("_i", F.explode(replay("_p", "_state")))
-             .withColumn("_hit", F.element_at("_pts", F.col("_i") + 1)))
-    out = fired.select(*keys, F.col("_hit.t").cast("long").alias(ts),
-                       *([] if same else [F.col("_hit.p").alias(point)]))
-    return out
+    return (chunks.join(per_key, [*keys, "_chunk"])
+            .withColumn("_i", F.explode(replay("_p", "_state")))
+            .withColumn("_hit", F.element_at("_pts", F.col("_i") + 1))
+            .select(*keys, "_hit._row.*"))
 
 
-def spaced_picks(df: DataFrame, keys: list[str], ts: str, min_sep: int, width: int | None = None) -> DataFrame:
+def spaced_picks(df: DataFrame, keys: list[str], ts: str, min_sep: int, width: int | None = None,
+                 tie: str | None = None) -> DataFrame:
     """Greedy picks per key in time order, each at least ``min_sep`` seconds after the one before."""
-    return scan_states(df, keys, ts, ts, "spacing", float(min_sep), width or 16 * min_sep)
+    return scan_states(df, keys, ts, ts, "spacing", float(min_sep), width or 16 * min_sep, tie)
 
 
 def ladder_fires(df: DataFrame, keys: list[str], ts: str, price: str, factor: float, width: int) -> DataFrame:

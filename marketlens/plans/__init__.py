@@ -1,4 +1,4 @@
 """Queries over the test tables; importing this package registers all of them."""
 
-from marketlens.plans import alarms, market, outcomes  # noqa: F401
+from marketlens.plans import alarms, cohort, market, outcomes  # noqa: F401
 from marketlens.registry import ORACLES, QUERIES, SERVES  # noqa: F401

@@ -59,7 +59,7 @@ def one_shot_targets(spark, sf):
 @query("R5", GAPPED + ", cand AS (SELECT mint, ts, id, price FROM seg WHERE opens AND price >= 20)" + spaced("cand", "mint", 7 * b.DAY)
        + "SELECT id, mint, ts, price FROM picked")
 def gap_baseline(spark, sf):
-    return al.gap_baseline(b.snapshots(spark, sf), LEVELS, 7 * b.DAY, b.GAP, b.CHUNK).select("id", "mint", "ts", "price")
+    return al.gap_baseline(b.snapshots(spark, sf), LEVELS, 7 * b.DAY, b.GAP).select("id", "mint", "ts", "price")
 
 
 REF = GAPPED + f""", ref AS (SELECT *, last_value(liq) OVER w AS rliq, last_value(price) OVER w AS rprice, last_value(vol_m5) OVER w AS rvol,
