@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.numeric import finite, logistic
 from marketlens.operators.timeline import running
+from marketlens.session import cut_lineage
 
 GRID = 2 ** 52
 
@@ -20,15 +21,19 @@ def value_chunk(v: str | Column) -> Column:
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    """Interpolated quantiles per group with ``n`` and ``missing`` (null, NaN, infinite).
+    """Interpolated quantiles per group with ``n``, ``missing`` (null, NaN, infinite) and ``mean``.
 
     Equal values are counted before the shuffle and ranks come from a chunked running count, so a
     group of any size is never gathered in one task.
     """
     ok = finite(value)
-    size = df.groupBy(*by).agg(F.count_if(ok).alias("n"), F.count_if(~ok).alias("missing"))
-    counts = df.filter(ok).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running(counts, by, ["_v"], 1, {"_cum": ("sum", "_c")}, chunk=value_chunk("_v"))
+    # Small next to the rows, and read by three consumers: written once.
+    counts = cut_lineage(df.groupBy(*by, F.when(ok, F.col(value).cast("double")).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    known = F.col("_v").isNotNull()
+    n = F.coalesce(F.sum(F.when(known, F.col("_c"))), F.lit(0))
+    size = counts.groupBy(*by).agg(n.alias("n"), F.coalesce(F.sum(F.when(~known, F.col("_c"))), F.lit(0)).alias("missing"),
+                                   (F.sum(F.col("_v") * F.col("_c")) / F.nullif(n, F.lit(0))).alias("mean"))
+    ranked = running(counts.filter(known), by, ["_v"], 1, {"_cum": ("sum", "_c")}, chunk=value_chunk("_v"))
     d = ranked.join(size, by) if by else ranked.withColumn("n", size.select("n").scalar())
     picks = []
     for name, frac in fractions.items():
@@ -38,7 +43,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, fractions: dict[st
         picks += [at(lo).alias(f"_lo_{name}"), at(hi).alias(f"_hi_{name}")]
     g = d.groupBy(*by).agg(*picks)
     out = size.join(g, by, "left") if by else size.join(g, how="left", on=F.lit(True))
-    return out.select(*by, "n", "missing", *[
+    return out.select(*by, "n", "missing", "mean", *[
         (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
          * ((F.col("n") - 1) * F.lit(frac) - F.floor((F.col("n") - 1) * F.lit(frac)))).alias(name)
         for name, frac in fractions.items()])
@@ -49,8 +54,7 @@ QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
 def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, missing, quartiles and mean."""
-    mean = df.groupBy(*by).agg(F.avg(F.when(finite(value), F.col(value))).alias("mean"))
-    return exact_quantiles(df, by, value, QUARTILES).join(mean, by)
+    return exact_quantiles(df, by, value, QUARTILES)
 
 
 def feature_contrast(df: DataFrame, group: str, features: list[str]) -> DataFrame:

@@ -15,10 +15,12 @@ from marketlens.operators import stats as st
 from marketlens.plans.market import PATHS, PREHISTORY_SQL, SCORED, r6
 from marketlens.plans.outcomes import CASES, OUT, cases, joined
 from marketlens.registry import query
+from marketlens.session import cut_lineage
 
 LO = 1_704_067_200
 SWITCH = (b.DAY // 8, b.DAY // 8)
 AGE = (b.DAY, 25 * b.DAY)
+CONTRAST = ["band", "net_now", "buy_ratio", "vol_mc", "liq_change_now", "anchor_multiple"]
 
 
 def tail(sql: str) -> str:
@@ -50,7 +52,9 @@ def study(spark, sf):
 
 
 def eligible(spark, sf):
-    return study(spark, sf).filter("study_reason = 'eligible'")
+    """The rows that pass every gate: few next to the observations, read by several consumers, so written once."""
+    d = study(spark, sf).filter("study_reason = 'eligible'")
+    return cut_lineage(d.select("id", "mint", "pair", "ts", "score", "label", "max_multiple", "endpoint_multiple", "sig_h1_not_extended", *CONTRAST))
 
 
 @query("E23 A16", STUDY + "SELECT study_reason, coalesce(label, 'none') AS label, count(*) AS n FROM study GROUP BY ALL")
@@ -122,9 +126,6 @@ def hash_sample_by_stratum(spark, sf):
     return sampled(spark, sf).select("id")
 
 
-CONTRAST = ["band", "net_now", "buy_ratio", "vol_mc", "liq_change_now", "anchor_multiple"]
-
-
 @query("E14 A6", SAMPLED + """, both_ AS (SELECT 'run' AS grp, * EXCLUDE (rk) FROM (SELECT *, 0 AS rk FROM rows_ WHERE label = 'run') UNION ALL SELECT 'non_run', * EXCLUDE (rk) FROM sampled),
  longer AS (""" + " UNION ALL ".join(f"SELECT grp, '{c}' AS feature, {c} AS value FROM both_" for c in CONTRAST) + """)
  SELECT grp AS "group", feature, count(value) AS n, count(*) - count(value) AS missing, round(quantile_cont(value, 0.25), 6) AS p25,
@@ -136,7 +137,7 @@ def feature_contrast(spark, sf):
     return st.feature_contrast(d, "group", CONTRAST).select("group", "feature", "n", "missing", r6("p25"), r6("median"), r6("p75"))
 
 
-@query("E5", STUDY + f""", a AS (SELECT * FROM rows_ WHERE score >= 5), days AS (SELECT ts // 86400 AS day, count(*) FILTER (label = 'run') AS n, count(*) AS d FROM a GROUP BY 1),
+@query("E5", STUDY + f""", hi AS (SELECT * FROM rows_ WHERE score >= 5), days AS (SELECT ts // 86400 AS day, count(*) FILTER (label = 'run') AS n, count(*) AS d FROM hi GROUP BY 1),
  idx AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS k FROM days),
  draws AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', 'boot', rep, i)), 1, 8))::BIGINT % k AS pick FROM idx, range(500) r(rep)),
  rates AS (SELECT rep, sum(n) / sum(d) AS rate FROM draws JOIN idx ON idx.i = pick GROUP BY rep),
@@ -151,7 +152,9 @@ def cluster_bootstrap(spark, sf):
 
 # --- matching ---------------------------------------------------------------------------------
 
-LN2 = math.log(2)
+# The grid works on logarithms with a hair of slack; WITHIN_2X decides the border exactly.
+LN2 = math.log(2) + 1e-9
+WITHIN_2X = "r_entry_mc / entry_mc BETWEEN 0.5D AND 2 AND r_entry_liq / entry_liq BETWEEN 0.5D AND 2"
 OK = "points >= 4 AND history_s >= 600 AND entry_mc BETWEEN 30000 AND 750000 AND entry_liq >= 25000 AND vol_h1 >= 20000"
 MATCHED = CASES + f""", fa AS (SELECT mint, min(decision_ts) AS first_alert FROM cases WHERE source = 'ALERT' GROUP BY mint),
  al AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY decision_ts, id) AS rn FROM cases WHERE source = 'ALERT') WHERE rn = 1 AND {OK}),
@@ -159,7 +162,7 @@ MATCHED = CASES + f""", fa AS (SELECT mint, min(decision_ts) AS first_alert FROM
  cand AS (SELECT a.id AS case_id, s.id AS control_id, a.mint, s.mint AS control_mint, a.decision_ts,
    abs(a.decision_ts - s.decision_ts) / {2.0 * b.DAY}::DOUBLE + abs(ln(a.entry_mc) - ln(s.entry_mc)) + abs(ln(a.entry_liq) - ln(s.entry_liq)) AS distance
    FROM al a JOIN sh s ON s.regime = a.regime AND s.mint <> a.mint AND a.decision_ts - s.decision_ts BETWEEN 0 AND {2 * b.DAY}
-   AND NOT coalesce(s.first_alert <= a.decision_ts, false) AND abs(ln(a.entry_mc) - ln(s.entry_mc)) <= {LN2!r}::DOUBLE AND abs(ln(a.entry_liq) - ln(s.entry_liq)) <= {LN2!r}::DOUBLE),
+   AND NOT coalesce(s.first_alert <= a.decision_ts, false) AND s.entry_mc / a.entry_mc BETWEEN 0.5::DOUBLE AND 2 AND s.entry_liq / a.entry_liq BETWEEN 0.5::DOUBLE AND 2),
  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY distance, control_id) AS rn FROM cand) WHERE rn = 1)
 """
 
@@ -171,17 +174,17 @@ def _logs(d):
 
 def nearest(spark, sf):
     from marketlens.operators.tables import first_per_key
-    c = cases(spark, sf)
+    c = cut_lineage(cases(spark, sf))
     alerts = first_per_key(c.filter("source = 'ALERT'"), ["mint"], ["decision_ts", "id"]).filter(OK)
     first = c.filter("source = 'ALERT'").groupBy("mint").agg(F.min("decision_ts").alias("first_alert"))
     shadows = c.filter("source = 'SHADOW'").filter(OK).join(first, "mint", "left")
-    keep = ["id", "mint", "regime", "decision_ts", "lmc", "lliq"]
+    keep = ["id", "mint", "regime", "decision_ts", "entry_mc", "entry_liq", "lmc", "lliq"]
     # Matching never sees an outcome: the projections hold identity, time, regime and size only.
     left, right = _logs(alerts).select(*keep), _logs(shadows).select(*keep, "first_alert")
-    rule = ((F.col("r_mint") != F.col("mint")) & (F.col("r_decision_ts") <= F.col("decision_ts"))
+    rule = (F.expr(WITHIN_2X) & (F.col("r_mint") != F.col("mint")) & (F.col("r_decision_ts") <= F.col("decision_ts"))
             & F.coalesce(F.col("r_first_alert") > F.col("decision_ts"), F.lit(True)))
     return jn.nearest_controls(left, right, ["regime"], [("decision_ts", 2 * b.DAY, 2 * b.DAY), ("lmc", LN2, 1.0), ("lliq", LN2, 1.0)],
-                               "id", "id", 1, rule, ["first_alert"])
+                               "id", "id", 1, rule, ["first_alert", "entry_mc", "entry_liq"])
 
 
 @query("E7 J8", MATCHED + "SELECT case_id, control_id, round(distance, 6) AS distance FROM best")
@@ -203,6 +206,7 @@ PAIRED = OUT + MATCHED[len(CASES):] + """,
 
 def paired(spark, sf):
     j = joined(spark, sf).select("id", "horizon", "multiple", oc.valid_endpoint(b.LATE, b.GAP).alias("reason"))
+    j = cut_lineage(j)
     p = nearest(spark, sf).select(F.col("id").alias("case_id"), F.col("r_id").alias("control_id"))
     return co.paired_differences(p, j, j)
 
@@ -240,13 +244,13 @@ def cycle_rows(spark, sf):
 
 
 @query("E8 T2 J8", CYC + f""", c AS (SELECT e.id AS case_id, k.id AS control_id, k.mint, abs(e.age - k.age) / {5.0 * b.DAY}::DOUBLE + abs(ln(e.mc) - ln(k.mc)) + abs(ln(e.liq) - ln(k.liq)) AS distance
-   FROM ev_ e JOIN ctl k ON k.cycle = e.cycle AND k.mint <> e.mint AND abs(e.age - k.age) <= {5 * b.DAY} AND abs(ln(e.mc) - ln(k.mc)) <= {LN2!r}::DOUBLE AND abs(ln(e.liq) - ln(k.liq)) <= {LN2!r}::DOUBLE)
+   FROM ev_ e JOIN ctl k ON k.cycle = e.cycle AND k.mint <> e.mint AND abs(e.age - k.age) <= {5 * b.DAY} AND k.mc / e.mc BETWEEN 0.5::DOUBLE AND 2 AND k.liq / e.liq BETWEEN 0.5::DOUBLE AND 2)
  SELECT case_id, control_id, rank, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY distance, mint) AS rank FROM c) WHERE rank <= 3""")
 def match_same_cycle(spark, sf):
-    rows = _logs(cycle_rows(spark, sf).filter("ok")).select("id", "mint", "cycle", "age", "lmc", "lliq", "score")
+    rows = _logs(cycle_rows(spark, sf).filter("ok")).select("id", "mint", "cycle", "age", "entry_mc", "entry_liq", "lmc", "lliq", "score")
     events, controls = rows.filter("score >= 7").drop("score"), rows.filter("score < 7").drop("score")
     d = jn.nearest_controls(events, controls, ["cycle"], [("age", 5 * b.DAY, 5 * b.DAY), ("lmc", LN2, 1.0), ("lliq", LN2, 1.0)],
-                            "id", "mint", 3, F.col("r_mint") != F.col("mint"), [])
+                            "id", "mint", 3, F.expr(WITHIN_2X) & (F.col("r_mint") != F.col("mint")), ["entry_mc", "entry_liq"])
     return d.select(F.col("id").alias("case_id"), F.col("r_id").alias("control_id"), F.col("rank").cast("long").alias("rank"), r6("distance"))
 
 
@@ -260,12 +264,12 @@ def matching_funnel(spark, sf):
 
 
 @query("J8", CYC + f""", c AS (SELECT e.id, count(*) AS candidates, min(abs(e.age - k.age) / {5.0 * b.DAY}::DOUBLE + abs(ln(e.mc) - ln(k.mc)) + abs(ln(e.liq) - ln(k.liq))) AS d
-   FROM ev_ e JOIN ctl k ON k.cycle = e.cycle AND abs(e.age - k.age) <= {5 * b.DAY} AND abs(ln(e.mc) - ln(k.mc)) <= {LN2!r}::DOUBLE AND abs(ln(e.liq) - ln(k.liq)) <= {LN2!r}::DOUBLE GROUP BY e.id)
+   FROM ev_ e JOIN ctl k ON k.cycle = e.cycle AND abs(e.age - k.age) <= {5 * b.DAY} AND k.mc / e.mc BETWEEN 0.5::DOUBLE AND 2 AND k.liq / e.liq BETWEEN 0.5::DOUBLE AND 2 GROUP BY e.id)
  SELECT id, candidates, round(d, 6) AS nearest FROM c""")
 def caliper_candidates(spark, sf):
-    rows = _logs(cycle_rows(spark, sf).filter("ok")).select("id", "cycle", "age", "lmc", "lliq", "score")
+    rows = _logs(cycle_rows(spark, sf).filter("ok")).select("id", "cycle", "age", "entry_mc", "entry_liq", "lmc", "lliq", "score")
     d = jn.caliper_join(rows.filter("score >= 7"), rows.filter("score < 7"), ["cycle"],
-                        [("age", 5 * b.DAY, 5 * b.DAY), ("lmc", LN2, 1.0), ("lliq", LN2, 1.0)])
+                        [("age", 5 * b.DAY, 5 * b.DAY), ("lmc", LN2, 1.0), ("lliq", LN2, 1.0)]).filter(WITHIN_2X)
     return d.groupBy("id").agg(F.count(F.lit(1)).alias("candidates"), F.round(F.min("distance"), 6).alias("nearest"))
 
 
@@ -273,7 +277,7 @@ def caliper_candidates(spark, sf):
 def match_pairs_greedy(spark, sf):
     """Winners take the nearest unused failure in time order (checked against brute force in the tests)."""
     j = joined(spark, sf).filter(F.col("horizon") == b.HORIZON).withColumn("ok", oc.valid_endpoint(b.LATE, b.GAP) == "eligible")
-    j = j.filter("ok and entry_mc > 0 and entry_liq > 0").select(
+    j = cut_lineage(j).filter("ok and entry_mc > 0 and entry_liq > 0").select(
         "id", "regime", "decision_ts", "score", F.log10("entry_mc").alias("l10mc"), F.log10("entry_liq").alias("l10liq"), "multiple")
     win, fail = j.filter("multiple >= 2").drop("multiple"), j.filter("multiple <= 0.55").drop("multiple")
     d = jn.greedy_pairs(win, fail, ["regime"], [("l10mc", 0.3, 1.0), ("l10liq", 0.3, 1.0), ("decision_ts", 3 * b.DAY, None), ("score", 1, None)],

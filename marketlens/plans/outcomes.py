@@ -10,6 +10,7 @@ from marketlens.operators import joins as jn
 from marketlens.operators import outcomes as oc
 from marketlens.plans.market import REGIME_SQL, SCORED, r6, scored
 from marketlens.registry import query
+from marketlens.session import cut_lineage
 
 HOURS = [b.DAY, 3 * b.DAY, b.HORIZON]
 TOP = max(HOURS)
@@ -66,7 +67,7 @@ def outcomes(spark, sf, c=None):
 
 def joined(spark, sf):
     """Cases with outcomes and metrics; where the endpoint is a view event the metric was not stored."""
-    c = cases(spark, sf)
+    c = cut_lineage(cases(spark, sf))     # decisions only; read three times below
     o = outcomes(spark, sf, c)
     m = oc.horizon_metrics(c, b.snapshots(spark, sf), ["mint"], HOURS, b.GAP)
     m = m.join(o.filter("end_pair <> 'view'").select("id", "horizon", "observed_ts"), ["id", "horizon"])
