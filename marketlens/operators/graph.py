@@ -64,10 +64,10 @@ def components(edges: DataFrame, nodes: DataFrame, group: str, a: str = "a", b:
         near = seen.groupBy(group, F.col("_s").alias("_n")).agg(F.min("_low").alias("_low"))
         d = label.join(near, [group, "_n"], "left").withColumn("_m", F.least("_c", "_low"))
         # Hook: the root of a node learns the smallest label any of its members saw.
-        hook = d.groupBy(group, F.col("_c").alias("_r")).agg(F.min("_m").alias("_to"))
-        d = d.join(hook, (d[group] == hook[group]) & (d["_c"] == hook["_r"])).select(d[group], "_n", "_c", F.least("_m", "_to").alias("_x"))
+        hook = cut_lineage(d.groupBy(group, "_c").agg(F.min("_m").alias("_to")))
+        d = d.join(hook, [group, "_c"]).select(group, "_n", "_c", F.least("_m", "_to").alias("_x"))
         # Jump: take over the label of the label.
-        up = hook.select(F.col(group), F.col("_r").alias("_x"), F.col("_to").alias("_xx"))
+        up = hook.select(group, F.col("_c").alias("_x"), F.col("_to").alias("_xx"))
         new = cut_lineage(d.join(up, [group, "_x"], "left").select(group, "_n", "_c", F.least("_x", F.coalesce("_xx", "_x")).alias("_new")))
         if new.filter("_new <> _c").isEmpty():
             return new.select(group, F.col("_n").alias(node), F.col("_new").alias("component"))
