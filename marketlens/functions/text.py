@@ -32,7 +32,10 @@ def has_claim(c: Column, pattern: str) -> Column:
 
 def claim_quote(c: Column, pattern: str, before: int = 40, after: int = 160) -> Column:
     """The first match with up to ``before`` and ``after`` characters around it; empty without a match."""
-    return F.regexp_extract(c, rf"(?i)([\s\S]{{0,{before}}}?(?:{pattern})[\s\S]{{0,{after}}})", 1)
+    hit = F.regexp_extract(c, f"(?i)({pattern})", 1)
+    at = F.instr(c, hit)
+    start = F.greatest(F.lit(1), at - before)
+    return F.when(hit == "", "").otherwise(c.substr(start, at - start + F.length(hit) + after))
 
 
 def is_address(c: Column) -> Column:

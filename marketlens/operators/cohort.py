@@ -183,3 +183,61 @@ def control_reuse(pairs: DataFrame, case_id: str, control: str, day: Column) ->
                          F.max("_n").alias("max_control_reuse"))
     d = pairs.agg(F.count_distinct(case_id).alias("matched"), F.count_distinct(day).alias("days"))
     return use.join(d, how="inner", on=F.lit(True)).withColumn("reused_entries", F.col("control_entries") - F.col("unique_controls"))
+
+
+def classify_endpoint(decisions: DataFrame, obs: DataFrame, excluded: DataFrame, now: int, width: int, horizon: int = 3600,
+                      late: int = 180, max_gap: int = 180, baseline_age: int = 120, key: str = "mint") -> DataFrame:
+    """Paper decisions (id, key, decision_ts, action) to a status, reason and multiples.
+
+    Exclusion is settled before any market row is read. The baseline is the last observation before
+    the decision; the endpoint is the earliest one inside the lateness window, never a later one.
+    """
+    from marketlens.functions.numeric import finite
+    from marketlens.operators.joins import window_lookup
+    from marketlens.operators.timeline import opens_series
+
+    held = excluded.select(key).distinct().withColumn("_held", F.lit(True))
+    d = decisions.join(held, key, "left")
+    open_ = d.filter("_held is null").drop("_held")
+    bad = ~(finite("price") & finite("mc") & finite("liq") & (F.col("price") > 0) & (F.col("mc") > 0) & (F.col("liq") > 0))
+    line = opens_series(obs.select(key, "ts", "price", "mc", "liq"), [key], "ts", max_gap)
+    line = running(line.withColumn("_bad", bad), [key], ["ts"], width, {
+        "seg": ("sum", F.col("opens").cast("long")), "bads": ("sum", F.col("_bad").cast("long"))})
+    cols = ["price", "mc", "liq", "seg", "bads"]
+    e = window_lookup(open_, line, [key], "decision_ts", "ts", cols, -baseline_age, horizon + late, {
+        "_b": (-baseline_age, 0, lambda r: F.last(r, ignorenulls=True)),
+        "_e": (horizon, horizon + late, lambda r: F.first(r, ignorenulls=True))})
+    target = F.col("decision_ts") + horizon
+    base_bad = ~F.coalesce(finite("_b.mc") & (F.col("_b.mc") > 0), F.lit(False))
+    reason = (F.when(F.lit(now) < target, "not_due").when(F.col("_b").isNull(), "missing_saved_baseline").when(base_bad, "invalid_saved_baseline")
+              .when(F.col("_e").isNull() & (F.lit(now) <= target + late), "awaiting_endpoint").when(F.col("_e").isNull(), "deadline_missed_no_backfill")
+              .when(F.col("_e.bads") > F.col("_b.bads"), "invalid_market_observation").when(F.col("_e.seg") > F.col("_b.seg"), "incomplete_coverage")
+              .otherwise("timely_observed_market_endpoint"))
+    e = e.withColumn("reason", reason)
+    ok = F.col("reason") == "timely_observed_market_endpoint"
+    e = (e.withColumn("status", F.when(ok, "ELIGIBLE").when(F.col("reason").isin("not_due", "awaiting_endpoint"), "PENDING").otherwise("MISSING"))
+         .withColumn("multiple", F.when(ok, F.col("_e.mc") / F.col("_b.mc"))).withColumn("price_multiple", F.when(ok, F.col("_e.price") / F.nullif(F.col("_b.price"), F.lit(0.0))))
+         .withColumn("lateness", F.when(ok, F.col("_e._rts") - target)).drop("_b", "_e"))
+    out = d.filter("_held").drop("_held").withColumn("reason", F.lit("excluded_before_outcome")).withColumn("status", F.lit("EXCLUDED_HOLDOUT"))
+    return e.unionByName(out, allowMissingColumns=True)
+
+
+def build_journal(cases: DataFrame, reviews: DataFrame, excluded: DataFrame, width: int, review_age: int = 300, key: str = "mint", **policy) -> DataFrame:
+    """First alert per key with the latest review before it, decided by the paper policy.
+
+    ``cases``: id, key, decision_ts, pinned, points, score and the policy features; ``reviews``: key,
+    checked_at, review_pair, checks. A missing, stale or foreign review overrides the decision to WATCH.
+    """
+    from marketlens.operators.joins import asof_backward
+    from marketlens.operators.policy import normalise_checks, paper_decision
+    from marketlens.operators.tables import first_per_key
+
+    first = first_per_key(cases.join(excluded.select(key).distinct(), key, "left_anti"), [key], ["decision_ts", "id"])
+    d = asof_backward(first, reviews, [key], "decision_ts", "checked_at", ["review_pair", "checks"], width, review_age)
+    d = d.withColumn("checks", normalise_checks("checks", F.col("decision_ts"), review_age))
+    override = (F.when(F.col("points") < 4, "insufficient_snapshot_history").when(~F.coalesce(F.col("mc") > 0, F.lit(False)), "invalid_snapshot")
+                .when(F.col("right_ts").isNull(), "stale_or_missing_scanner_review")
+                .when(~F.coalesce(F.col("review_pair") == F.col("pinned"), F.lit(False)), "pair_mismatch_or_missing"))
+    action, why = paper_decision("checks", **policy)
+    return (d.withColumn("_o", override).withColumn("action", F.when(F.col("_o").isNotNull(), "WATCH").otherwise(action))
+            .withColumn("reason", F.coalesce("_o", why)).drop("_o"))
