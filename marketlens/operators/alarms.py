@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marketlens.functions.numeric import finite
-from marketlens.operators.timeline import (ladder_fires, opens_series, previous, running, sliding,
+from marketlens.operators.timeline import (ladder_fires, opens_series, previous, running, scan_rule, sliding,
                                            spaced_picks)
-from marketlens.session import cut_lineage
+from marketlens.streaming import rules
 
 
 def cooled(candidates: DataFrame, keys: list[str], ts: str, cooldown: int) -> DataFrame:
@@ -157,24 +157,10 @@ def incident_transitions(df: DataFrame, retry: int = 300, width: int = 86_400, k
                          incidents: tuple = ("paused", "stalled", "unhealthy", "unavailable")) -> DataFrame:
     """``delivery`` of every status row: sent once per change of incident, at most every ``retry`` seconds.
 
-    What has been sent decides what is sent next, so the sent rows are the fixed point of a few
-    rounds; every round settles at least one more row of each key.
+    What has been sent decides what is sent next, so the rule runs row by row inside time chunks.
     """
-    ts = order[0]
-    incident = F.when(F.col(status).isin(*incidents), F.col(status))
-    d = df.withColumn("_sent", incident.isNotNull())
-    while True:
-        r = running(d, list(keys), list(order), width, {
-            "_last": ("last", F.when(F.col("_sent"), F.struct(F.col(ts).alias("ts"), F.coalesce(incident, F.lit("")).alias("was"))))},
-            exclusive=True)
-        was = F.nullif(F.col("_last.was"), F.lit(""))
-        want = F.coalesce(incident, F.when((F.col(status) == "collecting") & was.isNotNull(), "recovered"))
-        idle = want.isNull() | F.coalesce(incident == was, F.lit(False))
-        wait = F.coalesce(F.col(ts) < F.col("_last.ts") + retry, F.lit(False))
-        r = cut_lineage(r.withColumn("delivery", F.when(idle, "idle").when(wait, "retry_wait").otherwise("sent")))
-        if r.filter((F.col("delivery") == "sent") != F.col("_sent")).isEmpty():
-            return r.drop("_sent", "_last")
-        d = r.withColumn("_sent", F.col("delivery") == "sent").drop("_last", "delivery")
+    d = df.select(*keys, *order, F.col(status).alias("status"))
+    return scan_rule(d, list(keys), list(order), rules.incident_transitions(retry, incidents), "id long, delivery string", width)
 
 
 def identity_epochs(df: DataFrame, fingerprint: str, width: int, keys: tuple = ("mint",), order: tuple = ("ts", "id")) -> DataFrame:

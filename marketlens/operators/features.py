@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from marketlens.functions.numeric import between, finite, ratio
-from marketlens.operators.timeline import running, segments, sliding
-from marketlens.session import cut_lineage
+from marketlens.operators.timeline import running, scan_rule, segments, sliding
+from marketlens.streaming import rules
 
 # The signal names, in report order.
 SIGNALS = ["liq25k", "vol_mc25", "buy52", "h1_not_extended", "m5_not_extended", "band_compact",
@@ -290,7 +290,7 @@ def movement(df: DataFrame, window: int = 900, tolerance: int = 90, max_gap: int
 
     d = sliding(df, list(keys), ts, reach, 0, frames)
     whole = F.col("_base").isNotNull() & (F.col("_base._gaps") == F.col("_gaps"))
-    return (d.withColumn("move_pct", F.when(whole, (F.col(value) / F.col("_base.v") - 1) * 100))
+    return (d.withColumn("move_pct", F.when(whole, (F.col(value) / F.nullif(F.col("_base.v"), F.lit(0.0)) - 1) * 100))
              .withColumn("elapsed", F.when(whole, F.col(ts) - F.col("_base.ts")))
              .drop("_gaps", "_base"))
 
@@ -310,19 +310,8 @@ def sequence_guard(df: DataFrame, width: int, keys: tuple = ("mint",), arrival:
                    source_ts: str = "source_ts") -> DataFrame:
     """Reject rows whose local time does not advance, or whose source time goes back, in arrival order.
 
-    Both limits come from accepted rows only, so the decisions depend on each other. Every round
-    recomputes them from the rows accepted in the round before; a round settles at least one more
-    row of every key from the front, and the only fixed point is the sequential answer.
+    Both limits come from accepted rows only, so the rule runs row by row inside chunks of arrivals.
     """
-    d = df.withColumn("_ok", F.lit(True))
-    while True:
-        r = running(d, list(keys), [arrival], width, {
-            "_t": ("max", F.when(F.col("_ok"), F.col(ts))),
-            "_s": ("max", F.when(F.col("_ok"), F.col(source_ts)))}, exclusive=True)
-        reason = (F.when(F.col(ts) <= F.col("_t"), "clock_or_duplicate")
-                  .when(F.col(source_ts) < F.col("_s"), "source_time_reversed").otherwise("accepted"))
-        r = cut_lineage(r.withColumn("sequence_reason", reason))
-        moved = r.filter((F.col("sequence_reason") == "accepted") != F.col("_ok"))
-        if moved.isEmpty():
-            return r.drop("_t", "_s", "_ok")
-        d = r.withColumn("_ok", F.col("sequence_reason") == "accepted").drop("_t", "_s", "sequence_reason")
+    d = df.select(*keys, arrival, F.col(ts).alias("_ts"), F.col(source_ts).alias("_source"))
+    out = scan_rule(d, list(keys), [arrival], rules.sequence_guard(arrival), f"{arrival} long, sequence_reason string", width)
+    return df.join(out, [*keys, arrival])

@@ -172,7 +172,8 @@ def nearest_controls(cases: DataFrame, controls: DataFrame, block: list[str], co
             return d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k + 1).drop("_rn")
 
         salted = smallest(controls.withColumn("_s", F.pmod(F.xxhash64(control_id), F.lit(64))), ["_s"])
-        controls = smallest(salted.drop("_s"), []).select(*same, control_id, *rest)
+        # Read once per ring: written once.
+        controls = cut_lineage(smallest(salted.drop("_s"), []).select(*same, control_id, *rest))
     best = Window.partitionBy(case_id).orderBy("distance", f"r_{control_id}")
     todo, found = cases, []
     for radius in [*rings, None]:

@@ -12,6 +12,7 @@ Times are whole seconds. A summary row per (key, chunk) is all that is ever grou
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -258,3 +259,41 @@ def spaced_picks(df: DataFrame, keys: list[str], ts: str, min_sep: int, width: i
 def ladder_fires(df: DataFrame, keys: list[str], ts: str, price: str, factor: float, width: int) -> DataFrame:
     """Points at or above ``factor`` times the armed reference, which re-arms at the fired price."""
     return scan_states(df, keys, ts, price, "ladder", float(factor), width)
+
+
+def scan_rule(df: DataFrame, keys: list[str], order: list[str], step, output: str, width: int) -> DataFrame:
+    """Run a row-by-row rule ``step(state, row) -> (state, outputs)`` along every key, in parallel chunks.
+
+    Every chunk first runs as if nothing came before it. A chunk whose true incoming state (the outgoing
+    state of the chunk before) differs from the one it ran with runs again, until none differs; only
+    then is the sequential answer reached. Alarm states forget quickly, so two or three rounds do, and
+    each round touches only the chunks that changed. One row per second and key bounds a chunk.
+    """
+    rows = (df.withColumn("_chunk", chunk_of(order[0], width)).groupBy(*keys, "_chunk")
+            .agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in df.columns if c not in (*order, *keys)]))).alias("_rows")))
+    rows = cut_lineage(rows)
+    fields = ", ".join(":".join(c.strip().split(" ")) for c in output.split(","))
+
+    @F.pandas_udf(f"out array<struct<{fields.replace(', ', ',')}>>, exit string")
+    def run(chunks: pd.Series, states: pd.Series) -> pd.DataFrame:
+        outs, exits = [], []
+        for chunk, state in zip(chunks, states):
+            s, out = (json.loads(state) if state else None), []
+            for r in chunk:
+                s, fired = step(s, r)
+                out.extend(fired)
+            outs.append(out)
+            exits.append(json.dumps(s, sort_keys=True))
+        return pd.DataFrame({"out": outs, "exit": exits})
+
+    todo, settled = rows.withColumn("_in", F.lit(None).cast("string")), None
+    while True:
+        ran = cut_lineage(todo.select(*keys, "_chunk", "_in", run("_rows", "_in").alias("_r")).select(*keys, "_chunk", "_in", "_r.*"))
+        done = ran if settled is None else cut_lineage(
+            settled.join(ran.select(*keys, "_chunk"), [*keys, "_chunk"], "left_anti").unionByName(ran))
+        over = Window.partitionBy(*keys).orderBy("_chunk")
+        want = done.select(*keys, "_chunk", "_in", F.lag("exit").over(over).alias("_want"))
+        changed = cut_lineage(want.filter(~F.col("_want").eqNullSafe(F.col("_in"))).select(*keys, "_chunk", F.col("_want").alias("_in")))
+        if changed.isEmpty():
+            return done.select(*keys, F.explode("out").alias("_o")).select(*keys, "_o.*")
+        todo, settled = rows.join(changed, [*keys, "_chunk"]), done

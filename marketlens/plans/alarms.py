@@ -145,7 +145,7 @@ def incident_transitions(spark, sf):
 @query("R16", b.SNAP + f""", f AS (SELECT *, k // 34 AS fp FROM snap), c AS (SELECT *, coalesce(fp <> lag(fp) OVER (PARTITION BY mint ORDER BY ts, id), false)::INT AS ch FROM f),
  e AS (SELECT *, sum(ch) OVER (PARTITION BY mint ORDER BY ts, id) AS epoch FROM c),
  m AS (SELECT *, last_value(price) OVER (PARTITION BY mint, epoch ORDER BY ts RANGE BETWEEN {b.DAY + b.DAY // 2} PRECEDING AND {b.DAY // 4} PRECEDING) AS base FROM e)
- SELECT id, mint, CAST(epoch AS BIGINT) AS epoch, round((price / base - 1) * 100, 6) AS move_pct FROM m""")
+ SELECT id, mint, CAST(epoch AS BIGINT) AS epoch, round((price / nullif(base, 0) - 1) * 100, 6) AS move_pct FROM m""")
 def identity_reset(spark, sf):
     d = al.identity_epochs(b.snapshots(spark, sf).withColumn("fp", F.expr("k div 34")), "fp", b.CHUNK)
     d = ft.movement(d, b.DAY // 4, b.DAY + b.DAY // 4, 30 * b.DAY, keys=("mint", "epoch"))

@@ -240,7 +240,9 @@ def cycle_rows(spark, sf):
     d = (scored(spark, sf).join(created, "mint").withColumn("cycle", F.expr(f"ts div {CYCLE}"))
          .withColumn("age", F.col("ts") - F.col("created_s")).withColumn("ok", match_eligible())
          .withColumn("entry_mc", F.col("mc")).withColumn("entry_liq", F.col("liq")))
-    return last_per_key(d, ["cycle", "mint"], ["ts", "id"])
+    d = d.select("id", "mint", "pair", "ts", "cycle", "age", "ok", "score", "entry_mc", "entry_liq")
+    # Events, controls and funnel all read the cycles: written once.
+    return cut_lineage(last_per_key(d, ["cycle", "mint"], ["ts", "id"]))
 
 
 @query("E8 T2 J8", CYC + f""", c AS (SELECT e.id AS case_id, k.id AS control_id, k.mint, abs(e.age - k.age) / {5.0 * b.DAY}::DOUBLE + abs(ln(e.mc) - ln(k.mc)) + abs(ln(e.liq) - ln(k.liq)) AS distance

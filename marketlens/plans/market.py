@@ -168,7 +168,7 @@ MOVES = b.SNAP + f""", a AS (SELECT *, ts - lag(ts) OVER (PARTITION BY mint ORDE
  c AS (SELECT *, sum(CASE WHEN step > {b.DAY} THEN 1 ELSE 0 END) OVER (PARTITION BY mint ORDER BY ts, id) AS bad FROM a),
  d AS (SELECT *, last_value(ts) OVER w AS bts, last_value(price) OVER w AS bprice, last_value(bad) OVER w AS bbad FROM c
    WINDOW w AS (PARTITION BY mint ORDER BY ts RANGE BETWEEN {b.DAY + b.DAY // 2} PRECEDING AND {b.DAY} PRECEDING)),
- moves AS (SELECT *, CASE WHEN bbad = bad THEN (price / bprice - 1) * 100 END AS move_pct,
+ moves AS (SELECT *, CASE WHEN bbad = bad THEN (price / nullif(bprice, 0) - 1) * 100 END AS move_pct,
    CASE WHEN bbad = bad THEN ts - bts END AS elapsed FROM d)
 """
 
@@ -210,4 +210,4 @@ def prior_peak_ratio(spark, sf):
 def sequence_guard(spark, sf):
     d = b.snapshots(spark, sf).select("id", "mint", F.expr("ts - (k % 7) * 20000").alias("source_ts"),
                                       F.expr("ts - CASE WHEN k % 5 = 0 THEN 90000 ELSE 0 END").alias("local_ts"))
-    return ft.sequence_guard(d, 50_000, ts="local_ts").select("id", "mint", "sequence_reason")
+    return ft.sequence_guard(d, 5_000, ts="local_ts").select("id", "mint", "sequence_reason")

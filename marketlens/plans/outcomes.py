@@ -118,12 +118,12 @@ def lookback_join(spark, sf):
   WHERE c.pair IN ('purchase', 'signup') GROUP BY ALL)
  SELECT id, mint, pair, CASE WHEN {b.NOW} <= ts + {b.HORIZON + b.LATE} THEN 'window_open' WHEN ets IS NULL THEN 'missing' ELSE 'observed' END AS endpoint_status,
   CASE WHEN {b.NOW} > ts + {b.HORIZON + b.LATE} THEN ets - ts - {b.HORIZON} END AS lateness,
-  CASE WHEN {b.NOW} > ts + {b.HORIZON + b.LATE} THEN round(emc / mc, 6) END AS multiple FROM e""")
+  CASE WHEN {b.NOW} > ts + {b.HORIZON + b.LATE} THEN round(emc / nullif(mc, 0), 6) END AS multiple FROM e""")
 def endpoint_join(spark, sf):
     s = b.snapshots(spark, sf)
     c = s.filter("pair in ('purchase', 'signup')").select("id", "mint", "pair", F.col("mc").alias("entry_mc"), F.col("ts").alias("cts"))
     d = jn.endpoint_join(c, s, ["mint", "pair"], "cts", "ts", ["mc"], b.HORIZON, b.LATE, b.NOW)
-    return d.select("id", "mint", "pair", "endpoint_status", "lateness", F.round(F.col("endpoint.mc") / F.col("entry_mc"), 6).alias("multiple"))
+    return d.select("id", "mint", "pair", "endpoint_status", "lateness", F.round(F.col("endpoint.mc") / F.nullif(F.col("entry_mc"), F.lit(0.0)), 6).alias("multiple"))
 
 
 @query("J5", OUT + """SELECT id, horizon, source, observed_ts, lateness, round(multiple, 6) AS multiple, metric_ts, coverage_ok,

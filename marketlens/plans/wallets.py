@@ -12,6 +12,7 @@ from marketlens.operators import policy as po
 from marketlens.operators import reports as rp
 from marketlens.plans.market import r6
 from marketlens.registry import query
+from marketlens.session import cut_lineage
 
 SINCE = 999_302_400      # 2001-09-01
 WALLET_NOW = 1_004_832_000   # 2001-11-04
@@ -46,6 +47,11 @@ def census(spark, sf):
     return ho.holder_census(ln, tokens(spark, sf, ln))
 
 
+def stored_census(spark, sf):
+    """The census as a written table, for checks that read it more than once."""
+    return cut_lineage(census(spark, sf))
+
+
 @query("A11", HOLD + "SELECT token, owner, CAST(amount AS BIGINT) AS amount, accounts, round(pct, 6) AS pct FROM own")
 def holder_census(spark, sf):
     return census(spark, sf).select("token", "owner", "amount", "accounts", r6("pct"))
@@ -73,7 +79,7 @@ def reconcile_supply(spark, sf):
 def concentration_profile(spark, sf):
     c = b.table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("owner"), "c_mktsegment")
     role = F.when(F.col("c_mktsegment") == "AUTOMOBILE", "CEX").when(F.col("c_mktsegment") == "MACHINERY", "DEX")
-    d = ho.concentration_profile(census(spark, sf).join(c, "owner"), role)
+    d = ho.concentration_profile(stored_census(spark, sf).join(c, "owner"), role)
     return d.select("token", r6("infrastructure_pct"), "infrastructure_owners", "owners", r6("largest_pct"), r6("top10_pct"))
 
 
@@ -136,16 +142,16 @@ TOKC = HOLD + """, tc AS (SELECT t.token, t.pool, t.creator, t.p_size, coalesce(
 """
 
 
-def _owners(spark, sf):
+def _owners(own):
     bad = (F.col("amount") == 7) & (F.col("accounts") == 1) & (F.col("token") % 50 == 0)
-    return census(spark, sf).select("token", "owner", F.when(bad, 101.0).otherwise(F.col("pct")).alias("pct"))
+    return own.select("token", "owner", F.when(bad, 101.0).otherwise(F.col("pct")).alias("pct"))
 
 
-def _tokens_with_creator(spark, sf):
+def _tokens_with_creator(spark, sf, own):
     t = tokens(spark, sf)
-    c = census(spark, sf).select("token", "owner", F.col("pct").alias("_p"))
+    c = own.select("token", "owner", F.col("pct").alias("_p"))
     mine = t.join(c, (t.token == c.token) & (t.creator == c.owner), "left").select(t.token, "pool", "creator", "p_size", F.coalesce("_p", F.lit(0.0)).alias("creator_pct"))
-    return mine.withColumn("unseen_pct", F.expr("CASE WHEN p_size = 13 THEN NULL ELSE cast(p_size % 20 as double) END"))
+    return cut_lineage(mine.withColumn("unseen_pct", F.expr("CASE WHEN p_size = 13 THEN NULL ELSE cast(p_size % 20 as double) END")))
 
 
 @query("P16 T3", TOKC + """, vo AS (SELECT token, max((NOT pct BETWEEN 0 AND 100)::INT) AS void FROM ow GROUP BY token),
@@ -155,7 +161,8 @@ def _tokens_with_creator(spark, sf):
    ELSE 'sample_concentration_with_bounded_unseen_supply' END AS reason FROM tc JOIN vo USING (token) LEFT JOIN t USING (token))
  SELECT token, CASE reason WHEN 'concentration_policy_exceeded' THEN 'REJECT' WHEN 'sample_concentration_with_bounded_unseen_supply' THEN 'PASS' ELSE 'UNKNOWN' END AS status, reason, round(lp, 6) AS largest_pct, round(tp, 6) AS top10_pct FROM r""")
 def check_concentration(spark, sf):
-    d = po.check_concentration(_owners(spark, sf), _tokens_with_creator(spark, sf), (10.0, 60.0, 6.0, 10.0))
+    own = stored_census(spark, sf)
+    d = po.check_concentration(_owners(own), _tokens_with_creator(spark, sf, own), (10.0, 60.0, 6.0, 10.0))
     return d.select("token", "status", "reason", r6("largest_pct"), r6("top10_pct"))
 
 
@@ -172,7 +179,8 @@ def check_wallet_age(spark, sf):
     h = lines(spark, sf).groupBy(F.col("owner").alias("wallet")).agg(
         F.expr(f"CASE WHEN max(amount) = 49 THEN NULL ELSE {WALLET_NOW} - min(block_time) END").alias("activity_age"),
         F.expr(f"{WALLET_NOW} - min(block_time) + CASE WHEN count(*) % 2 = 0 THEN 40000000 ELSE 0 END").alias("covered_span"))
-    d = po.check_wallet_age(census(spark, sf).select("token", "owner", "pct"), _tokens_with_creator(spark, sf), h, 212_000_000, 215_000_000, 30.0)
+    own = stored_census(spark, sf)
+    d = po.check_wallet_age(own.select("token", "owner", "pct"), _tokens_with_creator(spark, sf, own), h, 212_000_000, 215_000_000, 30.0)
     return d.select("token", r6("young_share"), "unknown_wallets", "wallets", "status")
 
 
@@ -244,7 +252,7 @@ LINKED = EDGES.replace("WITH", "WITH RECURSIVE", 1) + f""", nd AS (SELECT DISTIN
 
 @query("G3", LINKED + "SELECT token, component, wallets, round(share, 6) AS share_pct, hc AS has_creator, share > 10 OR (hc AND share > 2) AS excessive FROM gx")
 def linked_exposure(spark, sf):
-    d = gr.linked_exposure(census(spark, sf), tokens(spark, sf), transfers(spark, sf), SINCE)
+    d = gr.linked_exposure(stored_census(spark, sf), cut_lineage(tokens(spark, sf)), transfers(spark, sf), SINCE)
     return d.select("token", "component", "wallets", r6("share_pct"), "has_creator", "excessive")
 
 

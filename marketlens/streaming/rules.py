@@ -113,3 +113,16 @@ def spaced(min_sep):
         return s, []
 
     return step
+
+
+def sequence_guard(arrival="id"):
+    def step(s, r):
+        if s is not None and r["_ts"] <= s["ts"]:
+            why = "clock_or_duplicate"
+        elif s is not None and r["_source"] < s["source"]:
+            why = "source_time_reversed"
+        else:
+            why, s = "accepted", {"ts": r["_ts"], "source": r["_source"]}
+        return s, [{arrival: r[arrival], "sequence_reason": why}]
+
+    return step
