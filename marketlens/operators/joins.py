@@ -7,7 +7,6 @@ No pair of rows is ever materialised and a hot key is spread over its chunks.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,10 +119,6 @@ def window_coverage(entries: DataFrame, obs: DataFrame, keys: list[str], cts: st
 # --- calipers ---------------------------------------------------------------------------------
 
 
-def _cells(dims: int):
-    return list(product((-1, 0, 1), repeat=dims))
-
-
 def caliper_join(left: DataFrame, right: DataFrame, block: list[str], coords: list[tuple],
                  radius: float | None = None) -> DataFrame:
     """Pairs of one block whose coordinates differ by no more than their limits.
@@ -141,9 +136,10 @@ def caliper_join(left: DataFrame, right: DataFrame, block: list[str], coords: li
 
     r = right.select(*block, *[cell(c, size).alias(n) for n, (c, _, _), size in grid],
                      *[F.col(c).alias(f"r_{c}") for c in right.columns if c not in block])
-    near = F.array(*[F.struct(*[(cell(c, size) + o).alias(n) for (n, (c, _, _), size), o in zip(grid, off)])
-                     for off in _cells(len(grid))])
-    l = left.withColumn("_cell", F.explode(near)).select(*left.columns, "_cell.*")
+    l = left
+    for n, (c, _, _), size in grid:
+        at = cell(c, size)
+        l = l.withColumn(n, F.explode(F.sequence(at - 1, at + 1)))
     gaps = [F.abs(F.col(c) - F.col(f"r_{c}")) for c, _, _ in coords]
     keep = reduce(lambda a, z: a & z, [g <= F.lit(float(size)) for g, size in zip(gaps, reach)])
     dist = reduce(lambda a, z: a + z, [g / F.lit(float(sc)) for g, (_, _, sc) in zip(gaps, coords) if sc is not None])
@@ -207,10 +203,11 @@ def greedy_pairs(cases: DataFrame, controls: DataFrame, block: list[str], coords
     known, short, size = None, cases, k
     while True:
         more = cut_lineage(nearest_controls(short, controls, block, coords, cid, control_id, size, residual)
-                           .withColumn("_turn", order))
+                           .withColumn("_turn", order).withColumn("_asked", F.lit(size)))
         known = more if known is None else cut_lineage(
             known.join(short.select(cid), cid, "left_anti").unionByName(more))
-        listed = known.groupBy(cid).agg(F.count(F.lit(1)).alias("_listed"))
+        # A list as long as asked for may have been cut; lists differ in how far they were asked for.
+        cut = known.groupBy(cid).agg((F.count(F.lit(1)) >= F.max("_asked")).alias("_cut")).filter("_cut").select(cid)
         live = known
         while True:
             want = Window.partitionBy(cid).orderBy("distance", f"r_{control_id}")
@@ -221,11 +218,10 @@ def greedy_pairs(cases: DataFrame, controls: DataFrame, block: list[str], coords
             if after.count() == live.count():
                 break
             live = after
-        lost = (listed.join(live.select(cid).distinct(), cid, "left_anti").filter(F.col("_listed") >= size).select(cid))
-        short = cut_lineage(cases.join(lost, cid, "left_semi"))
+        short = cut_lineage(cases.join(cut.join(live.select(cid).distinct(), cid, "left_anti"), cid, "left_semi"))
         if short.isEmpty():
             want = Window.partitionBy(cid).orderBy("distance", f"r_{control_id}")
-            return live.withColumn("_rn", F.row_number().over(want)).filter("_rn = 1").drop("_rn", "_turn", "rank")
+            return live.withColumn("_rn", F.row_number().over(want)).filter("_rn = 1").drop("_rn", "_turn", "_asked", "rank")
         size *= 4
 
 
