@@ -182,7 +182,8 @@ def control_reuse(pairs: DataFrame, case_id: str, control: str, day: Column) ->
     use = by_control.agg(F.sum("_n").alias("control_entries"), F.count(F.lit(1)).alias("unique_controls"),
                          F.max("_n").alias("max_control_reuse"))
     d = pairs.agg(F.count_distinct(case_id).alias("matched"), F.count_distinct(day).alias("days"))
-    return use.join(d, how="inner", on=F.lit(True)).withColumn("reused_entries", F.col("control_entries") - F.col("unique_controls"))
+    return (use.withColumn("matched", d.select("matched").scalar()).withColumn("days", d.select("days").scalar())
+            .withColumn("reused_entries", F.col("control_entries") - F.col("unique_controls")))
 
 
 def classify_endpoint(decisions: DataFrame, obs: DataFrame, excluded: DataFrame, now: int, width: int, horizon: int = 3600,

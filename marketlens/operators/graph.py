@@ -63,11 +63,11 @@ def components(edges: DataFrame, nodes: DataFrame, group: str, a: str = "a", b:
         seen = both.join(label.select(group, F.col("_n").alias("_t"), F.col("_c").alias("_low")), [group, "_t"])
         near = seen.groupBy(group, F.col("_s").alias("_n")).agg(F.min("_low").alias("_low"))
         d = label.join(near, [group, "_n"], "left").withColumn("_m", F.least("_c", "_low"))
-        # Hook: the root of a node learns the smallest label any of its members saw.
-        hook = cut_lineage(d.groupBy(group, "_c").agg(F.min("_m").alias("_to")))
-        d = d.join(hook, [group, "_c"]).select(group, "_n", "_c", F.least("_m", "_to").alias("_x"))
-        # Jump: take over the label of the label.
-        up = hook.select(group, F.col("_c").alias("_x"), F.col("_to").alias("_xx"))
+        # Hook: all nodes of one label learn the smallest label any of them saw.
+        hook = d.groupBy(group, "_c").agg(F.min("_m").alias("_to"))
+        d = cut_lineage(d.join(hook, [group, "_c"]).select(group, "_n", "_c", F.least("_m", "_to").alias("_x")))
+        # Jump: a label is a node too; take over that node's label.
+        up = d.select(group, F.col("_n").alias("_x"), F.col("_x").alias("_xx"))
         new = cut_lineage(d.join(up, [group, "_x"], "left").select(group, "_n", "_c", F.least("_x", F.coalesce("_xx", "_x")).alias("_new")))
         if new.filter("_new <> _c").isEmpty():
             return new.select(group, F.col("_n").alias(node), F.col("_new").alias("component"))
@@ -82,13 +82,18 @@ def link_edges(holders: DataFrame, tokens: DataFrame, transfers: DataFrame, sinc
     """
     nodes = (holders.select("token", "owner").unionByName(tokens.select("token", F.col("creator").alias("owner"))).distinct()
              .join(tokens.select("token", "pool"), "token").filter("owner <> pool").select("token", "owner", "pool"))
+    # Repeated transfers between the same wallets add nothing: only distinct pairs meet the holders.
     ev = transfers.filter(F.col("block_time") >= since)
-    into = ev.join(nodes.withColumnRenamed("owner", "target"), "target")
-    direct = (into.filter("source <> target").filter((F.col("relation") == "native_transfer")
-              | ((F.col("relation") == "token_transfer") & (F.col("asset") == F.col("token").cast("string")) & F.coalesce("owner_resolution", F.lit(False))))
-              .join(nodes.select("token", F.col("owner").alias("source")), ["token", "source"], "left_semi")
-              .select("token", F.col("source").alias("a"), F.col("target").alias("b")))
-    funded = into.filter("relation = 'native_transfer' and source <> pool").select("token", "source", "target").distinct()
+    native = ev.filter("relation = 'native_transfer'").select("source", "target").distinct()
+    into = native.join(nodes.withColumnRenamed("owner", "target"), "target")
+    members = nodes.select("token", F.col("owner").alias("source"))
+    own = (ev.filter(F.col("relation") == "token_transfer").filter(F.coalesce("owner_resolution", F.lit(False)))
+           .select(F.col("asset").alias("_asset"), "source", "target").distinct())
+    own = (own.join(nodes.select("token", F.col("token").cast("string").alias("_asset"), F.col("owner").alias("target")), ["_asset", "target"])
+           .select("token", "source", "target"))
+    direct = (into.select("token", "source", "target").unionByName(own).filter("source <> target")
+              .join(members, ["token", "source"], "left_semi").select("token", F.col("source").alias("a"), F.col("target").alias("b")))
+    funded = into.filter("source <> pool").select("token", "source", "target")
     hub = funded.groupBy("token", "source").agg(F.min("target").alias("_hub"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     star = funded.join(hub, ["token", "source"]).filter("target <> _hub").select("token", F.col("_hub").alias("a"), F.col("target").alias("b"))
     return direct.unionByName(star).distinct()

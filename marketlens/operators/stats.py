@@ -42,7 +42,11 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, fractions: dict[st
         at = lambda i: F.max(F.when((F.col("_cum") > i) & (F.col("_cum") - F.col("_c") <= i), F.col("_v")))
         picks += [at(lo).alias(f"_lo_{name}"), at(hi).alias(f"_hi_{name}")]
     g = d.groupBy(*by).agg(*picks)
-    out = size.join(g, by, "left") if by else size.join(g, how="left", on=F.lit(True))
+    if by:
+        out = size.join(g, by, "left")
+    else:
+        g = cut_lineage(g)
+        out = size.withColumns({c: g.select(c).scalar() for c in g.columns})
     return out.select(*by, "n", "missing", "mean", *[
         (F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
          * ((F.col("n") - 1) * F.lit(frac) - F.floor((F.col("n") - 1) * F.lit(frac)))).alias(name)

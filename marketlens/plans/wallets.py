@@ -377,7 +377,15 @@ def reconcile_endpoints(spark, sf):
     return gr.reconcile_endpoints(bal, mv).select("tx", "accounts", "blockers", "residual", "status")
 
 
-@query("G9")
+BAL2 = BAL + """, legs0 AS (SELECT tx, account, seq, CASE WHEN known = 1 AND seq = -1 AND account LIKE 'c%' THEN delta + 5 ELSE delta END AS delta, known FROM legs),
+ run0 AS (SELECT *, sum(delta) OVER (PARTITION BY tx, account ORDER BY seq, delta ROWS UNBOUNDED PRECEDING) AS r FROM legs0),
+ ac0 AS (SELECT r.tx, r.account, sum(delta) AS fin, min(r) AS low, max(known) AS known, any_value(post) AS post FROM run0 r LEFT JOIN bal b ON b.tx = r.tx AND b.account = r.account GROUP BY ALL),
+ rec0 AS (SELECT tx, bool_and(known = 1 AND low >= 0 AND fin = post) AS good FROM ac0 GROUP BY tx),
+ both_ AS (SELECT CASE WHEN good THEN 'ENDPOINT_AMOUNTS_MATCH' ELSE 'UNKNOWN' END AS status_base, CASE WHEN len(blockers) = 0 THEN 'ENDPOINT_AMOUNTS_MATCH' ELSE 'UNKNOWN' END AS status_candidate FROM rec JOIN rec0 USING (tx))
+"""
+
+
+@query("G9", BAL2 + """SELECT status_base, status_candidate, CASE WHEN status_base = status_candidate THEN 'unchanged' WHEN status_candidate = 'ENDPOINT_AMOUNTS_MATCH' THEN 'improved' ELSE 'regressed' END AS change, count(*) AS n FROM both_ GROUP BY ALL""")
 def paired_replay(spark, sf):
     """A decoder that forgets fees against the one that knows them."""
     bal, mv = _balances(spark, sf)
