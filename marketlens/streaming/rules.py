@@ -63,7 +63,7 @@ def movement_alarm(threshold, window=900, tolerance=90, max_gap=120, cooldown=18
         if not base:
             return s, []
         path = s["rows"][base[-1]:]
-        if any(z[0] - a[0] > max_gap for a, z in zip(path, path[1:])):
+        if path[0][1] == 0 or any(z[0] - a[0] > max_gap for a, z in zip(path, path[1:])):
             return s, []
         pct = (r["price"] / path[0][1] - 1) * 100
         quiet = s["sent"] is not None and now - s["sent"] < cooldown
