@@ -179,7 +179,7 @@ def matching_funnel(events: DataFrame, rows: DataFrame, cycle: str, rules: list[
 def control_reuse(pairs: DataFrame, case_id: str, control: str, day: Column) -> DataFrame:
     """Matched cases, control entries, distinct controls, reuse and days."""
     by_control = pairs.groupBy(control).agg(F.count(F.lit(1)).alias("_n"))
-    use = by_control.agg(F.sum("_n").alias("control_entries"), F.count(F.lit(1)).alias("unique_controls"),
+    use = by_control.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("control_entries"), F.count(F.lit(1)).alias("unique_controls"),
                          F.max("_n").alias("max_control_reuse"))
     d = pairs.agg(F.count_distinct(case_id).alias("matched"), F.count_distinct(day).alias("days"))
     return (use.withColumn("matched", d.select("matched").scalar()).withColumn("days", d.select("days").scalar())
