@@ -3,19 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.llm import bpe, language, tokenfile
 from marketlens.llm.common import documents
 from marketlens.llm.exact_dedup import refine
 from marketlens.llm.mixing import mix
+from marketlens.llm.simhash import near_duplicates
 from marketlens.llm.sharding import shard
+from marketlens.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file; its text goes to the executors, which need not have it."""
+    return Path(public_tokenizers.path(name)).read_text("utf-8")
+
+
 def query(sql: str | None = None):
     def register(fn):
         QUERIES[fn.__name__] = fn
@@ -32,6 +42,36 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir), 8).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+@query()
+def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two of three folds."""
+    docs = documents(spark, sf_dir)
+    fold = language.remainder("doc_id")
+    model = language.train(docs.filter(fold != 1).select("text", "lang"))
+    d = language.identify(docs.select("doc_id", "text"), model)
+    return d.select("doc.doc_id", (language.remainder("doc.doc_id") == 1).alias("held_out"), F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"), F.col("guess.ambiguous").alias("ambiguous"))
+
+
+@query()
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as token ids in Parquet files, read back."""
+    path = work_path(spark, "token-files")
+    tokenfile.write(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2, path)
+    return tokenfile.check_sums(spark, path)
+
+
+@query()
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and near-duplicate component."""
+    return near_duplicates(documents(spark, sf_dir), carry=["doc_id"]).drop("kept")
+
+
+@query()
+def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's token ids and of what they decode to."""
+    return bpe.encode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), carry=["doc_id"], ids=False)
+
+
 MIX = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
   md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
