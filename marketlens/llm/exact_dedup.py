@@ -23,6 +23,7 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
 
     Null texts equal empty ones. A null id sorts after every id; ``keep_id`` is null if a group has no
     id. Of repeated rows with the smallest id exactly one is kept. An empty table gives an empty result.
+    The group tables are written, so each join meets plain shuffles and Spark can split a hot key's rows.
     All names inside carry an underscore and source columns travel in one struct, so extra or clashing
     columns do no harm.
     """
@@ -31,20 +32,21 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     src = src.withColumn("_len", F.octet_length("_t")).withColumn("_head", F.xxhash64(F.substring("_t", 1, prefix)))
 
     narrow = stored(src.select("_id", "_len", "_head"), "dedup-narrow")
-    lengths = narrow.groupBy("_len").count().filter("count > 1").select("_len")
+    lengths = stored(narrow.groupBy("_len").count().filter("count > 1").select("_len"), "dedup-lengths")
     same_length = stored(narrow.join(lengths, "_len", "left_semi"), "dedup-length")
-    heads = same_length.groupBy("_len", "_head").count().filter("count > 1").select("_len", "_head")
+    heads = stored(same_length.groupBy("_len", "_head").count().filter("count > 1").select("_len", "_head"), "dedup-heads")
     same_head = stored(same_length.join(heads, ["_len", "_head"], "left_semi"), "dedup-head")
     marks = same_head.select(F.col("_id").alias("_mid"), F.col("_len").alias("_mlen"), F.col("_head").alias("_mhead")).distinct().withColumn("_hit", F.lit(True))
 
     on = F.col("_id").eqNullSafe(F.col("_mid")) & (F.col("_len") == F.col("_mlen")) & (F.col("_head") == F.col("_mhead"))
-    whole = src.join(marks, on, "left").withColumn("_full", F.when(F.col("_hit"), F.sha2("_t", 256)))
+    # Always a shuffled join: the marks grow with the rows, so broadcasting them only works on small inputs.
+    whole = src.join(marks.hint("merge"), on, "left").withColumn("_full", F.when(F.col("_hit"), F.sha2("_t", 256)))
     extra = [F.coalesce("_full", F.sha2("_t", 256)).alias("_sha")] if digest else []
     whole = stored(whole.select("_d", "_id", "_len", "_head", "_full", F.monotonically_increasing_id().alias("_row"), *extra), "dedup-whole")
 
     key = ["_len", "_head", "_full"]
-    first = whole.filter("_full IS NOT NULL").groupBy(*key).agg(
-        F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = stored(whole.filter("_full IS NOT NULL").groupBy(*key).agg(
+        F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("_first"), F.count(F.lit(1)).alias("_n")), "dedup-first")
     out = whole.join(first, key, "left")
     return out.select("_d.*", F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_first.id")).alias("keep_id"), F.coalesce("_n", F.lit(1)).alias("group_size"),
                       (F.col("_n").isNull() | (F.col("_row") == F.col("_first.row"))).alias("kept"), *([F.col("_sha").alias("text_sha256")] if digest else []))
