@@ -205,7 +205,7 @@ def _tokenizer(text: str) -> Bpe:
     return memory[key]
 
 
-def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[list[str | None]]:
+def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[list]:
     """The texts of a batch in runs of about ``most`` characters, so that memory follows the run and not the batch."""
     run, size = [], 0
     for x in column:

@@ -14,6 +14,9 @@ from marketlens.llm.common import documents
 from marketlens.llm.exact_dedup import refine
 from marketlens.llm.mixing import mix
 from marketlens.llm.simhash import near_duplicates
+from marketlens.llm.substrings import repeats
+from marketlens.llm.topk import quantised, top_k
+from marketlens.llm.paragraphs import repeated
 from marketlens.llm.sharding import shard
 from marketlens.session import work_path
 
@@ -36,12 +39,33 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a paragraph that repeats exactly or nearly, with its class."""
+    return repeated(documents(spark, sf_dir))
+
+
 @query()
 def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near equal bytes; equal texts stay together."""
     return shard(documents(spark, sf_dir), 8).withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+TOP = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id AS query_id, v AS q FROM v WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id, CAST(list_dot_product(CAST(q AS DOUBLE[]), CAST(v AS DOUBLE[])) AS BIGINT) AS score FROM q JOIN v ON vec_id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+@query(TOP)
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer products of every twentieth vector with all others."""
+    return top_k(quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), F.col("_id") % 20 == 0, 20)
+
+
 @query()
 def op5_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from two of three folds."""
@@ -66,6 +90,14 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), carry=["doc_id"]).drop("kept")
 
 
+@query()
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the 50-byte strings that earlier documents hold."""
+    d = repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
+    return d.select(F.col("_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query()
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's token ids and of what they decode to."""
