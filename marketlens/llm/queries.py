@@ -52,8 +52,8 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOP = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 q AS (SELECT vec_id AS query_id, v AS q FROM v WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id, CAST(list_dot_product(CAST(q AS DOUBLE[]), CAST(v AS DOUBLE[])) AS BIGINT) AS score FROM q JOIN v ON vec_id <> query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
