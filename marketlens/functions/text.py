@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,50 +60,28 @@ def instrument(c: Column) -> Column:
     return F.when(ok, F.struct(venue.alias("venue"), base.alias("pair"), F.when(perp, "perpetual").otherwise("spot").alias("kind")))
 
 
-_HIDDEN = {"script", "style", "noscript"}
-
-
-class _PageText(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.depth, self.in_title = 0, False
-        self.out = {"title": [], "visible": [], "description": ""}
+# What of a page is not shown, and the character references that are resolved.
+HIDDEN = (r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is)<noscript\b.*?</noscript\s*>", r"(?is)<title\b.*?</title\s*>", r"(?s)<[^>]*>")
+TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
+META = r"""(?is)<meta\s[^>]*name\s*=\s*["']?description["']?[^>]*?content\s*=\s*["']([^"']*)"""
+REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
 
-    def handle_starttag(self, tag, attrs):
-        self.depth += tag in _HIDDEN
-        self.in_title = self.in_title or tag == "title"
-        named = dict(attrs)
-        if tag == "meta" and (named.get("name") or "").lower() == "description":
-            self.out["description"] = named.get("content") or ""
 
-    def handle_endtag(self, tag):
-        if tag in _HIDDEN and self.depth:
-            self.depth -= 1
-        if tag == "title":
-            self.in_title = False
-
-    def handle_data(self, data):
-        if self.depth == 0:
-            self.out["visible"].append(data)
-            if self.in_title:
-                self.out["title"].append(data)
+def plain_text(c: Column) -> Column:
+    """Character references resolved, runs of white space as one space, trimmed."""
+    for name, letter in REFERENCES:
+        c = F.replace(c, F.lit(name), F.lit(letter))
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
 def page_fields(c: Column) -> Column:
-    """struct(title, description, visible) of an HTML page; script, style and noscript text is not visible.
+    """struct(title, description, visible) of an HTML page, by patterns alone.
 
-    HTML nesting and character references are beyond regular expressions, so pages go through an
-    Arrow batch parser.
+    Comments, scripts, styles and noscript parts are taken out before the tags, so markup inside them is never
+    seen; the title is not part of the visible text. A page without a title or description has empty ones.
     """
-
-    @F.pandas_udf("title string, description string, visible string")
-    def parse(pages: pd.Series) -> pd.DataFrame:
-        rows = []
-        for page in pages:
-            p = _PageText()
-            p.feed(page or "")
-            p.close()
-            rows.append((" ".join(p.out["title"]), p.out["description"], " ".join(p.out["visible"])))
-        return pd.DataFrame(rows, columns=["title", "description", "visible"])
-
-    return parse(c)
+    shown = F.coalesce(c, F.lit(""))
+    for pattern in HIDDEN:
+        shown = F.regexp_replace(shown, pattern, " ")
+    one = lambda pattern: plain_text(F.regexp_extract(F.coalesce(c, F.lit("")), pattern, 1))
+    return F.struct(one(TITLE).alias("title"), one(META).alias("description"), plain_text(shown).alias("visible"))

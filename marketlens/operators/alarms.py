@@ -33,7 +33,7 @@ def level_cross(df: DataFrame, levels: list[float], rearm_pct: float = 2.0, cool
     only arms.
     """
     ts = order[0]
-    opened = opens_series(df, list(keys), ts, max_gap)
+    opened = opens_series(df, list(keys), ts, max_gap, order=list(order))
     p = F.col(value)
     # The opening row always sets the memory, so nothing from before a gap is ever read.
     memory = {"_start": ("last", F.when(F.col("opens"), F.col(ts)))}
@@ -61,7 +61,7 @@ def one_shot_targets(df: DataFrame, targets: list[float], strict: bool = False,
 def gap_baseline(df: DataFrame, levels: list[float], cooldown: int = 300, max_gap: int = 90,
                  keys: tuple = ("mint",), order: tuple = ("ts", "id"), value: str = "price") -> DataFrame:
     """Rows that open a series (start or gap) already at or above the lowest level, with a cooldown."""
-    cand = opens_series(df, list(keys), order[0], max_gap).filter(F.col("opens") & (F.col(value) >= min(levels)))
+    cand = opens_series(df, list(keys), order[0], max_gap, order=list(order)).filter(F.col("opens") & (F.col(value) >= min(levels)))
     return cooled(cand.select(*keys, *order, value), list(keys), order[0], cooldown)
 
 
@@ -109,9 +109,9 @@ def movement_alarm(moved: DataFrame, threshold: Column | float, cooldown: int =
 
 
 def trailing_reference(df: DataFrame, factor: float = 1.10, width: int = 86_400, keys: tuple = ("mint",), ts: str = "ts",
-                       price: str = "price") -> DataFrame:
+                       price: str = "price", tie: str | None = None) -> DataFrame:
     """Prices at ``factor`` times the armed reference; firing moves the reference to the fired price."""
-    return ladder_fires(df, list(keys), ts, price, factor, width)
+    return ladder_fires(df, list(keys), ts, price, factor, width, tie or ("id" if "id" in df.columns else None))
 
 
 def freshness(received: str = "ts", source: str = "source_ts", ahead: int = 5, behind: int = 120) -> Column:

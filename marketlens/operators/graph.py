@@ -9,6 +9,12 @@ from pyspark.sql.window import Window
 from marketlens.session import cut_lineage
 
 
+def over_share(amount: str, supply: str, limit_pct: float) -> Column:
+    """Whether a whole amount is more than ``limit_pct`` percent of a whole supply, without rounding."""
+    wide = lambda c: F.col(c).cast("decimal(28,0)")
+    return wide(amount) * 100 > wide(supply) * F.lit(limit_pct).cast("decimal(9,6)")
+
+
 def extract_transfers(tx: DataFrame) -> DataFrame:
     """Edges of successful transactions from top-level and inner instructions.
 
@@ -100,15 +106,36 @@ def link_edges(holders: DataFrame, tokens: DataFrame, transfers: DataFrame, sinc
 
 
 def linked_exposure(census: DataFrame, tokens: DataFrame, transfers: DataFrame, since: int, max_cluster: float = 10.0, max_creator: float = 2.0) -> DataFrame:
-    """Clusters of linked wallets per token with their share and whether it exceeds the policy."""
+    """Clusters of linked wallets per token with their share and whether it exceeds the policy.
+
+    ``census`` (token, owner, amount), ``tokens`` (token, creator, pool, supply): whole amounts are compared with the
+    limits, so the answer does not depend on the order of a sum.
+    """
     edges = cut_lineage(link_edges(census, tokens, transfers, since))
     linked = edges.select("token", F.col("a").alias("owner")).unionByName(edges.select("token", F.col("b").alias("owner"))).distinct()
     comp = components(edges, linked, "token", node="owner")
-    d = comp.join(census.select("token", "owner", "pct"), ["token", "owner"], "left").join(tokens.select("token", "creator"), "token")
-    g = d.groupBy("token", "component").agg(F.count(F.lit(1)).alias("wallets"), F.sum(F.coalesce("pct", F.lit(0.0))).alias("share_pct"),
-                                            F.max((F.col("owner") == F.col("creator")).cast("int")).alias("_c"))
-    bad = (F.col("share_pct") > max_cluster) | ((F.col("_c") == 1) & (F.col("share_pct") > max_creator))
-    return g.withColumn("has_creator", F.col("_c") == 1).withColumn("excessive", bad).drop("_c")
+    d = comp.join(census.select("token", "owner", "amount"), ["token", "owner"], "left").join(tokens.select("token", "creator", "supply"), "token")
+    g = d.groupBy("token", "component").agg(F.count(F.lit(1)).alias("wallets"), F.sum(F.coalesce("amount", F.lit(0))).alias("_sum"),
+                                            F.max((F.col("owner") == F.col("creator")).cast("int")).alias("_c"), F.max("supply").alias("_supply"))
+    bad = over_share("_sum", "_supply", max_cluster) | ((F.col("_c") == 1) & over_share("_sum", "_supply", max_creator))
+    share = F.col("_sum") / F.nullif(F.col("_supply"), F.lit(0)) * 100
+    return g.select("token", "component", "wallets", share.alias("share_pct"), (F.col("_c") == 1).alias("has_creator"), bad.alias("excessive"))
+
+
+def cluster_verdict(tokens: DataFrame, clusters: DataFrame, selected: DataFrame, covered: DataFrame) -> DataFrame:
+    """Status of the linked-wallet check per token.
+
+    ``clusters`` as ``linked_exposure`` returns them, ``selected`` (token, owner): the wallets whose history must be known,
+    ``covered`` (owner, complete): which histories cover the window. Links that were seen can prove a rejection;
+    a pass needs every selected history.
+    """
+    bad = clusters.groupBy("token").agg(F.max("excessive").alias("_bad"), F.count(F.lit(1)).alias("clusters"))
+    c = covered.groupBy("owner").agg(F.min(F.coalesce("complete", F.lit(False))).alias("_ok"))
+    need = selected.distinct().join(c, "owner", "left").groupBy("token").agg(
+        F.count(F.lit(1)).alias("owners_required"), F.count("_ok").alias("owners_observed"), F.count_if(~F.coalesce("_ok", F.lit(False))).alias("_open"))
+    d = tokens.select("token").join(bad, "token", "left").join(need, "token", "left").fillna(0, ["clusters", "owners_required", "owners_observed"])
+    status = (F.when(F.coalesce("_bad", F.lit(False)), "REJECT").when((F.col("owners_required") > 0) & (F.col("_open") == 0), "PASS").otherwise("UNKNOWN"))
+    return d.select("token", "clusters", "owners_required", "owners_observed", status.alias("status"))
 
 
 def creator_flows(tokens: DataFrame, holders: DataFrame, events: DataFrame) -> DataFrame:
@@ -137,24 +164,25 @@ def associated_entities(creators: DataFrame, events: DataFrame) -> DataFrame:
     return g.select("creator", F.col("target").alias("mint"), "authority_match", F.when(F.col("_lp"), "pool_lp").otherwise("associated").alias("role"))
 
 
-MAX_DEPTH = 5      # invocation depth of a transaction is bounded
-
-
-def parent_paths(trace: DataFrame, tx: str, pos: str, depth: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def parent_paths(trace: DataFrame, tx: str, pos: str, depth: str) -> DataFrame:
     """``parent`` position of every step, rebuilt from its depth, and ``trace_reason``.
 
-    A step may go at most one level deeper than the one before; a bad jump voids the rest of its
-    transaction. A transaction is small by construction, so it is one window group.
+    A step may go at most one level deeper than the one before; a bad jump voids its whole transaction. Depth
+    has no limit: the open ancestors are a stack that each step cuts to its own depth. A transaction is
+    small by construction, so it is one window group.
     """
     w = Window.partitionBy(tx).orderBy(pos)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     jump = F.col(depth) > F.coalesce(F.lag(depth).over(w), F.lit(0)) + 1
-    d = trace.withColumn("_bad", F.col(depth).isNull() | (F.col(depth) < 1) | (F.col(depth) > max_depth) | jump)
-    d = d.withColumn("_void", F.coalesce(F.max("_bad").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
-    last = F.array(*[F.last(F.when(F.col(depth) == k, F.col(pos)), ignorenulls=True).over(before) for k in range(1, max_depth)])
-    d = d.withColumn("ancestors", F.when(~F.col("_void"), F.slice(last, 1, F.greatest(F.lit(0), F.col(depth) - 1).cast("int"))))
+    d = trace.withColumn("_bad", F.coalesce((F.col(depth) < 1) | jump, F.lit(True)))
+    whole = Window.partitionBy(tx)
+    d = d.withColumn("_void", F.max("_bad").over(whole))
+    steps = F.sort_array(F.collect_list(F.when(~F.col("_void"), F.struct(F.col(pos).alias("p"), F.col(depth).cast("int").alias("d")))).over(whole))
+    d = d.withColumn("_steps", steps)
+    earlier = F.filter("_steps", lambda x: x["p"] < F.col(pos))
+    stack = F.aggregate(earlier, F.array().cast(f"array<{trace.schema[pos].dataType.simpleString()}>"), lambda a, x: F.concat(F.slice(a, F.lit(1), x["d"] - 1), F.array(x["p"])))
+    d = d.withColumn("ancestors", F.when(~F.col("_void"), F.slice(stack, F.lit(1), F.col(depth).cast("int") - 1)))
     return (d.withColumn("parent", F.try_element_at("ancestors", F.lit(-1)))
-            .withColumn("trace_reason", F.when(F.col("_void"), "invalid_stack_height")).drop("_bad", "_void"))
+            .withColumn("trace_reason", F.when(F.col("_void"), "invalid_stack_height")).drop("_bad", "_void", "_steps"))
 
 
 def two_leg_receipts(paths: DataFrame, tx: str, pos: str, invoked: Column, leg_a: Column, leg_b: Column, amount: str) -> DataFrame:

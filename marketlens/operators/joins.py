@@ -149,27 +149,30 @@ def caliper_join(left: DataFrame, right: DataFrame, block: list[str], coords: li
 
 def nearest_controls(cases: DataFrame, controls: DataFrame, block: list[str], coords: list[tuple],
                      case_id: str, control_id: str, k: int = 1, residual: Column | None = None,
-                     copy_key: list[str] | None = None, rings: tuple = (1 / 32, 1 / 4)) -> DataFrame:
+                     copy_key: list[str] | None = None, rings: tuple = (1 / 32, 1 / 4),
+                     barred: str | None = None) -> DataFrame:
     """The ``k`` nearest controls of every case within the limits, ties by ``control_id``.
 
     Rings of growing radius keep dense cells cheap without dropping a candidate: a case is done in a
     ring once ``k`` matches lie no farther than its radius, since everything outside the ring is
     farther; the others go on, and the last round uses the full limits.
     ``residual`` further restricts pairs (left columns plain, right columns ``r_``). Controls equal in
-    every coordinate and in ``copy_key`` (the right columns ``residual`` reads) are copies; of these
-    only the ``k + 1`` smallest ids can matter when a case may be barred from one of its own.
+    every coordinate and in ``copy_key`` (the right columns ``residual`` reads) are copies. A case may be barred
+    from the copies that share its own value of ``barred``: of each value the ``k`` smallest ids can matter, and of
+    all copies the 2 ``k`` smallest of those, since at most ``k`` of them can be a case's own.
     """
     if copy_key is not None:
         same = list(dict.fromkeys([*block, *[c for c, _, _ in coords], *copy_key]))
         rest = [c for c in controls.columns if c not in same and c != control_id]
 
-        def smallest(d, extra):
+        def smallest(d, extra, most):
+            # A limit on row_number is cut on every task before the shuffle, however many copies there are.
             w = Window.partitionBy(*same, *extra).orderBy(control_id)
-            return d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k + 1).drop("_rn")
+            return d.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most).drop("_rn")
 
-        salted = smallest(controls.withColumn("_s", F.pmod(F.xxhash64(control_id), F.lit(64))), ["_s"])
+        few = smallest(controls, [barred], k) if barred else controls
         # Read once per ring: written once.
-        controls = cut_lineage(smallest(salted.drop("_s"), []).select(*same, control_id, *rest))
+        controls = cut_lineage(smallest(few, [], 2 * k if barred else k).select(*same, control_id, *rest))
     best = Window.partitionBy(case_id).orderBy("distance", f"r_{control_id}")
     todo, found = cases, []
     for radius in [*rings, None]:

@@ -133,9 +133,9 @@ def paper_decision(checks: str, min_score: int = 8, max_band: float = 0.25, min_
 
 def choose_pair(df: DataFrame, key: str = "mint", quotes: tuple = ("SOL", "WSOL")) -> DataFrame:
     """Per key the pinned pair when one is set (nothing if it is absent), else the most liquid pair with an
-    allowed quote; ties by pair. ``df``: key, pair, quote, liq, pinned."""
+    allowed quote; ties by the smaller pair. ``df``: key, pair, quote, liq, pinned."""
     pick = F.max_by(F.struct("pair", "liq"), F.struct(
-        (F.col("pair") == F.col("pinned")).alias("p"), F.col("liq"), (-F.xxhash64("pair")).alias("t")))
+        (F.col("pair") == F.col("pinned")).alias("p"), F.col("liq"), F.concat(F.transform(F.split("pair", ""), lambda x: -F.ascii(x)), F.array(F.lit(0))).alias("t")))
     usable = F.when(F.col("pinned").isNotNull(), F.col("pair") == F.col("pinned")).otherwise(F.col("quote").isin(*quotes) & F.col("liq").isNotNull())
     return df.filter(usable).groupBy(key).agg(pick.alias("_p")).select(key, "_p.*")
 
@@ -147,7 +147,9 @@ def check_token_controls(doc: str = "account") -> Column:
     odd = F.exists(d["extensions"], lambda e: ~F.coalesce(e.isin("metadataPointer", "tokenMetadata"), F.lit(False)))
     reason = (F.when(~shape, "unverified_token_account")
               .when(d["mint_authority"].isNotNull() | d["freeze_authority"].isNotNull(), "active_mint_or_freeze_authority")
-              .when(~_sure(d["supply"] > 0), "unverified_token_account").when(_sure(odd), "unsupported_token_extensions")
+              .when(~_sure(d["supply"] > 0), "unverified_token_account")
+              # Extensions that are not known to be harmless, a missing list among them, settle nothing.
+              .when(~_sure(~odd), "unsupported_token_extensions")
               .otherwise("revoked_authorities"))
     status = F.when(reason == "active_mint_or_freeze_authority", "REJECT").when(reason == "revoked_authorities", "PASS").otherwise("UNKNOWN")
     return F.struct(status.alias("status"), reason.alias("reason"))
@@ -157,17 +159,17 @@ def check_liquidity(pools: DataFrame, vaults: DataFrame) -> DataFrame:
     """Pools (pool, lp_supply, lp_authority, freeze, flags_ok) against their two vaults (pool, side, owner, mint_ok, state, delegate, amount)."""
     bad = ~_sure((F.col("owner") == F.col("pool")) & F.col("mint_ok") & (F.col("state") == "initialized"))
     v = vaults.groupBy("pool").agg(F.count_distinct("side").alias("_sides"), F.max(bad).alias("_bad"),
-                                   F.max(F.col("delegate").isNotNull()).alias("_del"), F.min("amount").alias("_min"))
+                                   F.max(F.col("delegate").isNotNull()).alias("_del"), F.min("amount").alias("_min"), F.max(F.col("amount").isNull()).alias("_none"))
     d = pools.join(v, "pool", "left")
     reason = (F.when(F.coalesce(F.col("_sides"), F.lit(0)) < 2, "missing_lp_or_vault_accounts").when(F.col("_bad"), "vault_relationship_or_state_mismatch")
-              .when(F.col("_del"), "vault_delegate_or_close_authority").when(F.col("_min") <= 0, "empty_pool_reserve")
+              .when(F.col("_del"), "vault_delegate_or_close_authority").when(F.col("_min") <= 0, "empty_pool_reserve").when(F.col("_none"), "vault_amount_unverified")
               .when(~_sure(F.col("lp_authority") == F.col("pool")) | F.col("freeze").isNotNull(), "unexpected_lp_authorities")
               .when(_sure((F.col("lp_supply") == 0) & F.col("flags_ok")), "authenticated_vaults_zero_redeemable_lp")
               .otherwise("unresolved_lp_or_pool_controls"))
     d = d.withColumn("reason", reason)
     status = (F.when(F.col("reason") == "empty_pool_reserve", "REJECT")
               .when(F.col("reason") == "authenticated_vaults_zero_redeemable_lp", "PASS").otherwise("UNKNOWN"))
-    return d.withColumn("status", status).drop("_sides", "_bad", "_del", "_min")
+    return d.withColumn("status", status).drop("_sides", "_bad", "_del", "_min", "_none")
 
 
 def relay_eligible(now: Column | int, checks: str, cap: tuple, activation: int, max_age: int = 300) -> Column:
@@ -250,30 +252,40 @@ def check_wallet_age(owners: DataFrame, tokens: DataFrame, histories: DataFrame,
 
 
 def check_developer(tokens: DataFrame, events: DataFrame, reports: DataFrame, since: int) -> DataFrame:
-    """``tokens`` (token, creator, pool, provider_flag, attributed), ``events`` (source, relation, target,
-    block_time), ``reports`` (token, prior, retrieved, flagged); the first trigger in order decides."""
+    """``tokens`` (token, creator, pool, provider_flag, attributed, associated), ``events`` (source, relation, target,
+    block_time), ``reports`` (token, retrieved, flagged); the first trigger in order decides.
+
+    ``associated`` counts the other tokens tied to the creator; a pass needs a fresh report of each. With an
+    unknown count, or with fewer retrieved reports, the check stays open.
+    """
     ev = events.filter(F.col("block_time") >= since).groupBy(F.col("source").alias("creator")).agg(
         F.count_if(F.col("relation") == "withdraw").alias("_w"))
     sold = (events.filter((F.col("block_time") >= since) & (F.col("relation") == "sell"))
             .select(F.col("source").alias("creator"), F.col("target").alias("pool"), F.lit(True).alias("_sold")).distinct())
-    rep = reports.groupBy("token").agg(F.max("flagged").alias("_flag"), F.min("retrieved").alias("_all"))
+    rep = reports.groupBy("token").agg(F.max("flagged").alias("_flag"), F.count_if(F.coalesce("retrieved", F.lit(False))).alias("_got"), F.count(F.lit(1)).alias("_rows"))
     d = tokens.join(ev, "creator", "left").join(sold, ["creator", "pool"], "left").join(rep, "token", "left")
     reason = (F.when(~_sure(F.col("attributed")), "developer_history_or_attribution_incomplete")
               .when(~_sure(~F.col("provider_flag")), "current_token_provider_risk_unresolved")
               .when(F.col("_sold"), "developer_sold_current_pool_in_review_window")
               .when(_sure(F.col("_w") > 0), "developer_withdrawal_requires_review")
               .when(_sure(F.col("_flag")), "associated_token_provider_risk_requires_review")
-              .when(~F.coalesce(F.col("_all"), F.lit(True)), "associated_token_reports_incomplete").otherwise("no_trigger"))
+              .when(~_sure((F.coalesce("_got", F.lit(0)) == F.col("associated")) & (F.coalesce("_rows", F.lit(0)) == F.col("associated"))), "associated_token_reports_incomplete")
+              .otherwise("no_trigger"))
     d = d.withColumn("reason", reason)
     status = (F.when(F.col("reason").isin("developer_sold_current_pool_in_review_window", "developer_withdrawal_requires_review"), "REJECT")
               .when(F.col("reason") == "no_trigger", "PASS").otherwise("UNKNOWN"))
-    return d.withColumn("status", status).drop("_w", "_sold", "_flag", "_all")
+    return d.withColumn("status", status).drop("_w", "_sold", "_flag", "_got", "_rows")
 
 
 def check_trading(receipts: DataFrame, tokens: DataFrame, now: int, window: int = 300, min_sellers: int = 3) -> DataFrame:
-    """At least ``min_sellers`` distinct sellers other than the creator with both legs positive in the window."""
+    """At least ``min_sellers`` distinct sellers other than the creator with both legs positive in the window.
+
+    ``tokens`` (token, creator, sell_enabled, controls): without an open sell switch and passed token controls the
+    sales prove nothing, and the check stays UNKNOWN.
+    """
     d = tokens.join(receipts, "token", "left")
     good = _sure((F.col("seller") != F.col("creator")) & (F.lit(now) - F.col("time")).between(0, window)
                  & (F.col("quote_received") > 0) & (F.col("base_sent") > 0))
-    g = d.groupBy("token").agg(F.count_distinct(F.when(good, F.col("seller"))).alias("sellers"))
-    return g.withColumn("status", F.when(F.col("sellers") >= min_sellers, "PASS").otherwise("UNKNOWN"))
+    ready = F.min(_sure(F.col("sell_enabled") & (F.col("controls") == "PASS"))).alias("_ready")
+    g = d.groupBy("token").agg(F.count_distinct(F.when(good, F.col("seller"))).alias("sellers"), ready)
+    return g.withColumn("status", F.when(F.col("_ready") & (F.col("sellers") >= min_sellers), "PASS").otherwise("UNKNOWN")).drop("_ready")

@@ -102,11 +102,19 @@ def previous(df: DataFrame, keys: list[str], order: list[str], width: int,
     return packed.select("*", "_prev.*").drop("_prev")
 
 
-def opens_series(df: DataFrame, keys: list[str], ts: str, max_gap: int, name: str = "opens") -> DataFrame:
-    """``name``: no row of the key within ``max_gap`` seconds before this one (start or gap)."""
+def opens_series(df: DataFrame, keys: list[str], ts: str, max_gap: int, name: str = "opens", order: list[str] | None = None) -> DataFrame:
+    """``name``: the first row after a start or gap, the one with no other row of the key in the ``max_gap`` seconds before it.
+
+    ``order`` tells which of several rows of one second is the first; only that one opens.
+    """
+    rest = [c for c in (order or [ts]) if c != ts]
 
     def frames(d, w):
-        return d.withColumn(name, F.count(F.lit(1)).over(w.rangeBetween(-max_gap, -1)) == 0)
+        alone = F.count(F.lit(1)).over(w.rangeBetween(-max_gap, -1)) == 0
+        if not rest:
+            return d.withColumn(name, alone)
+        first = F.row_number().over(Window.partitionBy(*keys, "_chunk", ts).orderBy(*rest)) == 1
+        return d.withColumn(name, alone & first)
 
     return sliding(df, keys, ts, max_gap, 0, frames)
 
@@ -114,7 +122,7 @@ def opens_series(df: DataFrame, keys: list[str], ts: str, max_gap: int, name: st
 def segments(df: DataFrame, keys: list[str], order: list[str], max_gap: int, width: int) -> DataFrame:
     """``gap`` to the preceding row and ``segment``, which grows whenever ``gap`` exceeds ``max_gap``."""
     ts = order[0]
-    d = running(opens_series(df, keys, ts, max_gap, "_opens"), keys, order, width,
+    d = running(opens_series(df, keys, ts, max_gap, "_opens", order), keys, order, width,
                 {"_prev_ts": ("last", ts), "_before": ("sum", F.col("_opens").cast("long"))}, exclusive=True)
     # The opening row of a key starts segment 0.
     return (d.withColumn("gap", F.col(ts) - F.col("_prev_ts"))
@@ -184,17 +192,21 @@ def scan_states(df: DataFrame, keys: list[str], ts: str, point: str, kind: str,
     ``kind='spacing'``: ``point`` is the time itself; a point fires when it lies at least ``amount``
     after the last fired one. ``kind='ladder'``: ``point`` is a price; the first point only arms the
     reference and a point fires at ``amount`` times the reference, which moves to the fired price.
-    Of rows with equal time the smallest ``tie`` stands for all.
+    Of rows with equal time the smallest ``tie`` stands for all under the spacing rule, where no second could
+    ever fire twice; a ladder takes every row, in the order of time and ``tie``.
     """
     advance = _advance(kind, amount)
     spacing = kind == "spacing"
     cols = [c for c in df.columns if c not in keys]
-    # One point per second and key bounds a chunk by its width, however hot the key is.
-    first = F.min_by(F.struct(*cols), F.struct(*([tie] if tie else cols)))
-    pts = df.groupBy(*keys, F.col(ts).alias("_t")).agg(first.alias("_row"))
+    by = [tie] if tie else cols
+    if spacing:
+        # One point per second and key bounds a chunk by its width, however hot the key is.
+        pts = df.groupBy(*keys, F.col(ts).alias("_t")).agg(F.min_by(F.struct(*cols), F.struct(*by)).alias("_row")).withColumn("_by", F.lit(0))
+    else:
+        pts = df.select(*keys, F.col(ts).alias("_t"), F.struct(*by).alias("_by"), F.struct(*cols).alias("_row"))
     chunks = cut_lineage(
         pts.withColumn("_chunk", chunk_of("_t", width)).groupBy(*keys, "_chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("_t", "_row"))).alias("_pts"))
+        .agg(F.sort_array(F.collect_list(F.struct("_t", "_by", "_row"))).alias("_pts"))
         .withColumn("_p", F.transform(F.col("_pts"), lambda r: r["_row"][point].cast("double"))))
 
     @F.pandas_udf("array<struct<bound:double,exit:double>>")
@@ -256,9 +268,9 @@ def spaced_picks(df: DataFrame, keys: list[str], ts: str, min_sep: int, width: i
     return scan_states(df, keys, ts, ts, "spacing", float(min_sep), width or 16 * min_sep, tie)
 
 
-def ladder_fires(df: DataFrame, keys: list[str], ts: str, price: str, factor: float, width: int) -> DataFrame:
+def ladder_fires(df: DataFrame, keys: list[str], ts: str, price: str, factor: float, width: int, tie: str | None = None) -> DataFrame:
     """Points at or above ``factor`` times the armed reference, which re-arms at the fired price."""
-    return scan_states(df, keys, ts, price, "ladder", float(factor), width)
+    return scan_states(df, keys, ts, price, "ladder", float(factor), width, tie)
 
 
 def scan_rule(df: DataFrame, keys: list[str], order: list[str], step, output: str, width: int) -> DataFrame:

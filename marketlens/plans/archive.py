@@ -352,9 +352,25 @@ def claim_detectors(spark, sf):
     return d.select("doc_id", tx.has_claim(F.col("t"), tx.TOOLING_CLAIM).alias("tooling"), tx.has_claim(F.col("t"), tx.FEE_BUYBACK_CLAIM).alias("fee_buyback"), tx.claim_quote(F.col("t"), tx.TOOLING_CLAIM).alias("quote"))
 
 
-@query("F11 X3")
+def _page_sql() -> str:
+    """The patterns of ``page_fields`` as nested SQL calls."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+
+    def plain(sql):
+        for name, letter in tx.REFERENCES:
+            sql = f"replace({sql}, {quoted(name)}, {quoted(letter)})"
+        return rf"trim(regexp_replace({sql}, '\s+', ' ', 'g'))"
+
+    shown = "html"
+    for pattern in tx.HIDDEN:
+        shown = f"regexp_replace({shown}, {quoted(pattern)}, ' ', 'g')"
+    title, meta = (plain(f"regexp_extract(html, {quoted(p)}, 1)") for p in (tx.TITLE, tx.META))
+    return f"SELECT page_id, {title} AS title, {meta} AS description, {plain(shown)} AS visible FROM pages"
+
+
+@query("F11 X3", _page_sql())
 def page_fields(spark, sf):
-    return b.table(spark, sf, "pages").select("page_id", tx.page_fields(F.col("html")).alias("f")).select("page_id", "f.title", "f.description", F.length("f.visible").alias("visible_chars"))
+    return b.table(spark, sf, "pages").select("page_id", tx.page_fields(F.col("html")).alias("f")).select("page_id", "f.*")
 
 
 @query("F12", r"""SELECT page_id, regexp_full_match(u, 'https://[^/?#@:\s]+(:443)?([/?#][^\s]*)?') AND length(u) <= 2048 AS public FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN regexp_replace(url, '^(https?)://', 'https://user@') WHEN 1 THEN replace(url, '/fr', ':8443/fr') ELSE url END AS u FROM pages)""")

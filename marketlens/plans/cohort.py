@@ -139,14 +139,14 @@ def feature_contrast(spark, sf):
 
 @query("E5", STUDY + f""", hi AS (SELECT * FROM rows_ WHERE score >= 5), days AS (SELECT ts // 86400 AS day, count(*) FILTER (label = 'run') AS n, count(*) AS d FROM hi GROUP BY 1),
  idx AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS k FROM days),
- draws AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', 'boot', rep, i)), 1, 8))::BIGINT % k AS pick FROM idx, range(500) r(rep)),
+ draws AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', 'boot', rep, i)), 1, 8))::BIGINT % k AS pick FROM idx, range(2000) r(rep)),
  rates AS (SELECT rep, sum(n) / sum(d) AS rate FROM draws JOIN idx ON idx.i = pick GROUP BY rep),
  srt AS (SELECT list(rate ORDER BY rate) AS s, count(*) AS m FROM rates), tot AS (SELECT count(*) AS clusters, sum(n) / sum(d) AS estimate FROM days)
  SELECT clusters, round(estimate, 6) AS estimate, clusters >= 10 AS readable, CASE WHEN clusters >= 10 THEN round(s[CAST(floor(m * 0.025) AS INT) + 1], 6) END AS p025,
   CASE WHEN clusters >= 10 THEN round(s[CAST(least(m - 1, floor(m * 0.975)) AS INT) + 1], 6) END AS p975 FROM tot, srt""")
 def cluster_bootstrap(spark, sf):
     d = eligible(spark, sf).filter("score >= 5").withColumn("day", F.expr("ts div 86400"))
-    out = st.cluster_bootstrap(d, "day", (F.col("label") == "run").cast("int"), F.lit(1), 500, "boot")
+    out = st.cluster_bootstrap(d, "day", (F.col("label") == "run").cast("int"), F.lit(1), 2000, "boot")
     return out.select("clusters", r6("estimate"), "readable", r6("p025"), r6("p975"))
 
 
@@ -184,7 +184,7 @@ def nearest(spark, sf):
     rule = (F.expr(WITHIN_2X) & (F.col("r_mint") != F.col("mint")) & (F.col("r_decision_ts") <= F.col("decision_ts"))
             & F.coalesce(F.col("r_first_alert") > F.col("decision_ts"), F.lit(True)))
     return jn.nearest_controls(left, right, ["regime"], [("decision_ts", 2 * b.DAY, 2 * b.DAY), ("lmc", LN2, 1.0), ("lliq", LN2, 1.0)],
-                               "id", "id", 1, rule, ["first_alert", "entry_mc", "entry_liq"])
+                               "id", "id", 1, rule, ["first_alert", "entry_mc", "entry_liq"], barred="mint")
 
 
 @query("E7 J8", MATCHED + "SELECT case_id, control_id, round(distance, 6) AS distance FROM best")
@@ -361,14 +361,18 @@ DOCS = """WITH docs AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, len(string
 """
 
 
-def docs(spark, sf):
-    d = b.table(spark, sf, "documents").join(b.table(spark, sf, "labels"), "doc_id")
+def docs(spark, sf, how="inner"):
+    """Documents with their label; a model is fitted on labelled ones and scores all (``how='left'``)."""
+    d = b.table(spark, sf, "documents").join(b.table(spark, sf, "labels"), "doc_id", how)
     return d.select("doc_id", "lang", "source", "n_chars", F.size(F.split("text", " ")).alias("words"), F.col("quality").alias("y"))
 
 
-@query("E3 F6", DOCS + "SELECT doc_id, round(p, 6) AS probability FROM pr")
+ALL_DOCS = DOCS.replace("JOIN labels", "LEFT JOIN labels")
+
+
+@query("E3 F6", ALL_DOCS + "SELECT doc_id, round(p, 6) AS probability FROM pr")
 def predict(spark, sf):
-    return st.predict(docs(spark, sf), MODEL).select("doc_id", r6("probability"))
+    return st.predict(docs(spark, sf, "left"), MODEL).select("doc_id", r6("probability"))
 
 
 @query("E4", DOCS + """, base AS (SELECT avg(y) AS q FROM docs) SELECT lang, count(*) AS n, round(avg(y), 6) AS positive_rate, round(avg((p - y) * (p - y)), 6) AS brier,
@@ -392,7 +396,7 @@ def fit_logistic(spark, sf):
     return d.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.explode(each).alias("c")).select("c.term", "c.value", "rows")
 
 
-@query("A6", DOCS + """SELECT lang, count(n_chars) AS n, count(*) - count(n_chars) AS missing, round(quantile_cont(n_chars, 0.25), 6) AS p25, round(quantile_cont(n_chars, 0.5), 6) AS median,
+@query("A6", ALL_DOCS + """SELECT lang, count(n_chars) AS n, count(*) - count(n_chars) AS missing, round(quantile_cont(n_chars, 0.25), 6) AS p25, round(quantile_cont(n_chars, 0.5), 6) AS median,
  round(quantile_cont(n_chars, 0.75), 6) AS p75, round(avg(n_chars), 6) AS mean FROM docs GROUP BY lang""")
 def distribution(spark, sf):
-    return st.distribution(docs(spark, sf), ["lang"], "n_chars").select("lang", "n", "missing", *[r6(c) for c in ("p25", "median", "p75", "mean")])
+    return st.distribution(docs(spark, sf, "left"), ["lang"], "n_chars").select("lang", "n", "missing", *[r6(c) for c in ("p25", "median", "p75", "mean")])

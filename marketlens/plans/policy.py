@@ -162,13 +162,13 @@ def journal_funnel(spark, sf):
 
 @query("P14", b.SNAP + """, p AS (SELECT mint, pair, max(liq) AS liq FROM snap WHERE pair <> 'view' GROUP BY ALL), pin AS (SELECT mint, CASE WHEN max(k) >= 97 THEN 'purchase' WHEN max(k) >= 95 THEN 'nowhere' END AS pinned FROM snap GROUP BY mint),
  r AS (SELECT p.*, pinned, row_number() OVER (PARTITION BY mint ORDER BY liq DESC, pair) AS rn FROM p JOIN pin USING (mint) WHERE CASE WHEN pinned IS NOT NULL THEN pair = pinned ELSE pair <> 'error' END)
- SELECT mint, max(liq) AS liq, bool_or(pinned IS NOT NULL) AS was_pinned FROM r GROUP BY mint""")
+ SELECT mint, pair, liq, pinned IS NOT NULL AS was_pinned FROM r WHERE rn = 1""")
 def choose_pair(spark, sf):
     s = b.snapshots(spark, sf)
     p = s.filter("pair <> 'view'").groupBy("mint", "pair").agg(F.max("liq").alias("liq"))
     pin = s.groupBy("mint").agg(F.expr("CASE WHEN max(k) >= 97 THEN 'purchase' WHEN max(k) >= 95 THEN 'nowhere' END").alias("pinned"))
     d = p.join(pin, "mint").withColumn("quote", F.expr("CASE WHEN pair = 'error' THEN 'USDC' ELSE 'SOL' END"))
-    return po.choose_pair(d).join(pin, "mint").select("mint", "liq", F.col("pinned").isNotNull().alias("was_pinned"))
+    return po.choose_pair(d).join(pin, "mint").select("mint", "pair", "liq", F.col("pinned").isNotNull().alias("was_pinned"))
 
 
 @query("P15", b.SNAP + """, a AS (SELECT id, k, CASE WHEN k % 11 = 0 THEN 'unverified_token_account' WHEN k % 7 = 0 OR k % 13 = 0 THEN 'active_mint_or_freeze_authority' WHEN k = 0 THEN 'unverified_token_account'

@@ -50,13 +50,13 @@ def stream_movement_alarm(spark, sf):
 
 @query("R9 X2", ORACLES["trailing_reference"])
 def stream_trailing_reference(spark, sf):
-    d = st.keyed_rule(event_stream(spark, sf).select("mint", "ts", "price"), ["mint"], rules.trailing_reference(1.1), "mint long, ts long, price double")
+    d = st.keyed_rule(event_stream(spark, sf).select("id", "mint", "ts", "price"), ["mint"], rules.trailing_reference(1.1), "mint long, ts long, price double")
     return st.run_available(d, "reference")
 
 
 @query("R10 X2", ORACLES["feed_health"])
 def stream_feed_health(spark, sf):
-    d = event_stream(spark, sf).select("mint", "ts", (~F.col("pair").isin("error", "view", "signup")).alias("ok"))
+    d = event_stream(spark, sf).select("id", "mint", "ts", (~F.col("pair").isin("error", "view", "signup")).alias("ok"))
     d = st.keyed_rule(d, ["mint"], rules.feed_health(b.DAY), "mint long, ts long, since long, notice string")
     return st.run_available(d, "feeds")
 

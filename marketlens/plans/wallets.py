@@ -185,29 +185,30 @@ def check_wallet_age(spark, sf):
 
 
 DEV = HOLD + f""", evn AS (SELECT owner AS source, CASE WHEN rf = 'R' AND ls = 'F' THEN 'sell' WHEN rf = 'R' AND amount > 40 THEN 'withdraw' ELSE 'other' END AS relation, CASE WHEN token % 2 = 0 THEN owner ELSE 'c' || l_suppkey END AS target, block_time FROM ln WHERE block_time >= {SINCE}),
- rep AS (SELECT token, bool_or(amount = 50 AND ls = 'F') AS fl, bool_and(amount <> 3) AS ret FROM ln GROUP BY token)
+ rep AS (SELECT token, bool_or(amount = 50 AND ls = 'F') AS fl, count(*) FILTER (amount <> 3) AS got, count(*) AS n FROM ln WHERE l_suppkey % 4 <> 0 GROUP BY token)
 """
 
 
 @query("P18", DEV + """, w AS (SELECT source, count(*) FILTER (relation = 'withdraw') AS w FROM evn GROUP BY source), s AS (SELECT DISTINCT source, target FROM evn WHERE relation = 'sell'),
  r AS (SELECT t.token, CASE WHEN p_size % 9 = 0 THEN 'developer_history_or_attribution_incomplete' WHEN p_size % 7 = 0 THEN 'current_token_provider_risk_unresolved' WHEN s.source IS NOT NULL THEN 'developer_sold_current_pool_in_review_window'
-   WHEN w > 0 THEN 'developer_withdrawal_requires_review' WHEN fl THEN 'associated_token_provider_risk_requires_review' WHEN NOT ret THEN 'associated_token_reports_incomplete' ELSE 'no_trigger' END AS reason
+   WHEN w > 0 THEN 'developer_withdrawal_requires_review' WHEN fl THEN 'associated_token_provider_risk_requires_review' WHEN NOT (coalesce(got, 0) = p_size % 5 + 2 AND coalesce(n, 0) = p_size % 5 + 2) THEN 'associated_token_reports_incomplete' ELSE 'no_trigger' END AS reason
    FROM tok t LEFT JOIN w ON w.source = t.creator LEFT JOIN s ON s.source = t.creator AND s.target = t.pool LEFT JOIN rep USING (token))
  SELECT token, CASE WHEN reason IN ('developer_sold_current_pool_in_review_window', 'developer_withdrawal_requires_review') THEN 'REJECT' WHEN reason = 'no_trigger' THEN 'PASS' ELSE 'UNKNOWN' END AS status, reason FROM r""")
 def check_developer(spark, sf):
     ln = lines(spark, sf)
     ev = ln.select(F.col("owner").alias("source"), F.expr("CASE WHEN rf = 'R' AND ls = 'F' THEN 'sell' WHEN rf = 'R' AND amount > 40 THEN 'withdraw' ELSE 'other' END").alias("relation"),
                    F.expr("CASE WHEN token % 2 = 0 THEN owner ELSE concat('c', l_suppkey) END").alias("target"), "block_time")
-    rep = ln.groupBy("token").agg(F.max(F.expr("amount = 50 AND ls = 'F'")).alias("flagged"), F.min(F.expr("amount <> 3")).alias("retrieved"))
-    t = tokens(spark, sf, ln).withColumn("attributed", F.col("p_size") % 9 != 0).withColumn("provider_flag", F.col("p_size") % 7 == 0)
+    rep = ln.filter("l_suppkey % 4 <> 0").select("token", F.expr("amount = 50 AND ls = 'F'").alias("flagged"), F.expr("amount <> 3").alias("retrieved"))
+    t = tokens(spark, sf, ln).withColumn("associated", F.col("p_size") % 5 + 2).withColumn("attributed", F.col("p_size") % 9 != 0).withColumn("provider_flag", F.col("p_size") % 7 == 0)
     return po.check_developer(t, ev, rep, SINCE).select("token", "status", "reason")
 
 
-@query("P19", HOLD + f""", g AS (SELECT t.token, count(DISTINCT CASE WHEN owner <> creator AND {WALLET_NOW} - block_time BETWEEN 0 AND 20000000 AND amount > 10 THEN owner END) AS sellers FROM tok t LEFT JOIN ln USING (token) GROUP BY t.token)
- SELECT token, sellers, CASE WHEN sellers >= 3 THEN 'PASS' ELSE 'UNKNOWN' END AS status FROM g""")
+@query("P19", HOLD + f""", g AS (SELECT t.token, count(DISTINCT CASE WHEN owner <> creator AND {WALLET_NOW} - block_time BETWEEN 0 AND 20000000 AND amount > 10 THEN owner END) AS sellers, bool_and(p_size % 6 <> 0 AND p_size % 5 <> 0) AS ready FROM tok t LEFT JOIN ln USING (token) GROUP BY t.token)
+ SELECT token, sellers, CASE WHEN sellers >= 3 AND ready THEN 'PASS' ELSE 'UNKNOWN' END AS status FROM g""")
 def check_trading(spark, sf):
     rc = lines(spark, sf).select("token", F.col("owner").alias("seller"), F.col("block_time").alias("time"), (F.col("amount") - 10).alias("quote_received"), F.col("amount").alias("base_sent"))
-    return po.check_trading(rc, tokens(spark, sf).select("token", "creator"), WALLET_NOW, 20_000_000, 3)
+    t = tokens(spark, sf).select("token", "creator", F.when(F.col("p_size") % 6 != 0, True).alias("sell_enabled"), F.when(F.col("p_size") % 5 != 0, "PASS").otherwise("UNKNOWN").alias("controls"))
+    return po.check_trading(rc, t, WALLET_NOW, 20_000_000, 3)
 
 
 # --- graph ------------------------------------------------------------------------------------
@@ -246,16 +247,34 @@ LINKED = EDGES.replace("WITH", "WITH RECURSIVE", 1) + f""", nd AS (SELECT DISTIN
  un AS (SELECT token, a, b FROM eg UNION SELECT token, b, a FROM eg),
  reach AS (SELECT token, a AS node, a AS lab FROM un UNION SELECT u.token, u.b, r.lab FROM reach r JOIN un u ON u.token = r.token AND u.a = r.node),
  comp AS (SELECT token, node, min(lab) AS component FROM reach GROUP BY ALL),
- gx AS (SELECT c.token, component, count(*) AS wallets, sum(coalesce(pct, 0)) AS share, bool_or(node = creator) AS hc FROM comp c LEFT JOIN own o ON o.token = c.token AND o.owner = node JOIN tok t ON t.token = c.token GROUP BY ALL)
+ gx AS (SELECT c.token, component, count(*) AS wallets, sum(coalesce(amount, 0)) AS amt, any_value(supply) AS supply, sum(coalesce(amount, 0)) / any_value(supply) * 100 AS share, bool_or(node = creator) AS hc FROM comp c LEFT JOIN own o ON o.token = c.token AND o.owner = node JOIN tok t ON t.token = c.token GROUP BY ALL)
 """
 
 
-@query("G3", LINKED + "SELECT token, component, wallets, round(share, 6) AS share_pct, hc AS has_creator, share > 10 OR (hc AND share > 2) AS excessive FROM gx")
+def _clusters(spark, sf, own, t):
+    return gr.linked_exposure(own, t, transfers(spark, sf), SINCE)
+
+
+@query("G3", LINKED + "SELECT token, component, wallets, round(share, 6) AS share_pct, hc AS has_creator, amt * 100 > supply * 10 OR (hc AND amt * 100 > supply * 2) AS excessive FROM gx")
 def linked_exposure(spark, sf):
-    d = gr.linked_exposure(stored_census(spark, sf), cut_lineage(tokens(spark, sf)), transfers(spark, sf), SINCE)
+    d = _clusters(spark, sf, stored_census(spark, sf), cut_lineage(tokens(spark, sf)))
     return d.select("token", "component", "wallets", r6("share_pct"), "has_creator", "excessive")
 
 
+@query("G3 P11", LINKED + """, bad AS (SELECT token, bool_or(amt * 100 > supply * 10 OR (hc AND amt * 100 > supply * 2)) AS bad, count(*) AS clusters FROM gx GROUP BY token),
+ ok AS (SELECT owner, bool_and(ls = 'F' OR amount <= 49) AS complete FROM ln GROUP BY owner HAVING min(l_suppkey) % 7 <> 0),
+ need AS (SELECT nd.token, count(*) AS req, count(complete) AS obs, count(*) FILTER (complete IS NOT TRUE) AS open_ FROM nd LEFT JOIN ok USING (owner) GROUP BY nd.token)
+ SELECT t.token, coalesce(clusters, 0) AS clusters, coalesce(req, 0) AS owners_required, coalesce(obs, 0) AS owners_observed, CASE WHEN bad THEN 'REJECT' WHEN req > 0 AND open_ = 0 THEN 'PASS' ELSE 'UNKNOWN' END AS status
+ FROM tok t LEFT JOIN bad USING (token) LEFT JOIN need USING (token)""")
+def cluster_verdict(spark, sf):
+    """The linked-wallet check per token, with the coverage a pass needs."""
+    own, t = stored_census(spark, sf), cut_lineage(tokens(spark, sf))
+    both = own.select("token", "owner").unionByName(t.select("token", F.col("creator").alias("owner")))
+    sel = both.join(t.select("token", "pool"), "token").filter("owner <> pool").select("token", "owner")
+    hist = lines(spark, sf).groupBy("owner").agg(F.min((F.col("ls") == "F") | (F.col("amount") <= 49)).alias("complete"), F.min("l_suppkey").alias("_s")).filter("_s % 7 <> 0")
+    return gr.cluster_verdict(t, _clusters(spark, sf, own, t), sel, hist)
+
+
 @query("G4", EDGES + """, d AS (SELECT t.token, count(*) AS n FROM tr JOIN tok t ON t.creator = tr.source WHERE relation IN ('native_transfer', 'token_transfer') AND source <> target AND (relation = 'native_transfer' OR resolved)
    AND EXISTS (SELECT 1 FROM own o WHERE o.token = t.token AND o.owner = tr.target) GROUP BY 1),
  a AS (SELECT source, count(*) FILTER (relation = 'withdraw') AS w, count(*) FILTER (relation = 'sell') AS s FROM tr GROUP BY source)
@@ -278,7 +297,7 @@ def associated_entities(spark, sf):
     return gr.associated_entities(c, ev)
 
 
-TXS = LINES + """, o AS (SELECT *, l_linenumber > 4 AS is_inner, row_number() OVER (PARTITION BY l_orderkey, l_linenumber > 4 ORDER BY l_linenumber, token, l_suppkey) - 1 AS rn FROM ln WHERE o_orderstatus <> 'P'),
+TXS = LINES + """, o AS (SELECT *, l_linenumber > 4 AS is_inner, row_number() OVER (PARTITION BY l_orderkey, l_linenumber > 4 ORDER BY l_linenumber, token, l_suppkey, amount, rf, ls) - 1 AS rn FROM ln WHERE o_orderstatus <> 'P'),
  x AS (SELECT *, CASE WHEN is_inner THEN '1.' || rn ELSE rn::VARCHAR END AS path FROM o)
 """
 
@@ -291,7 +310,7 @@ def tx_documents(spark, sf):
     sup = F.col("l_suppkey").cast("string")
     ins = F.struct(prog.alias("program"), kind.alias("kind"), F.concat(F.lit("a"), sup).alias("source"), F.col("owner").alias("target"), F.col("amount").alias("amount"),
                    F.col("token").cast("string").alias("asset"))
-    row = F.struct("l_linenumber", "token", "l_suppkey", ins.alias("ins"))
+    row = F.struct("l_linenumber", "token", "l_suppkey", F.col("amount").alias("_amount"), "rf", "ls", ins.alias("ins"))
     pick = lambda cond: F.transform(F.sort_array(F.collect_list(F.when(cond, row))), lambda r: r["ins"])
     own = F.struct(F.concat(F.lit("a"), sup).alias("k"), F.concat(F.lit("o"), sup).alias("v"))
     d = ln.groupBy("l_orderkey").agg(F.max(F.col("o_orderstatus") == "P").alias("failed"), F.max("block_time").alias("block_time"), pick(F.col("l_linenumber") <= 4).alias("instructions"),
@@ -306,15 +325,15 @@ def extract_transfers(spark, sf):
     return gr.extract_transfers(tx_documents(spark, sf)).select("sig", "path", "relation", "source", "target", "asset", "amount", "owner_resolution")
 
 
-TRACE = LINES + """, p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, token, l_suppkey) AS pos FROM ln),
+TRACE = LINES + """, p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, token, l_suppkey, amount, rf, ls) AS pos FROM ln),
  t AS (SELECT l_orderkey AS tx, pos, least(pos, 1 + token % 3) AS depth, rf, amount FROM p),
- j AS (SELECT *, depth > coalesce(lag(depth) OVER (PARTITION BY tx ORDER BY pos), 0) + 1 AS jump FROM t), v AS (SELECT *, bool_or(jump) OVER (PARTITION BY tx ORDER BY pos) AS void FROM j)
+ j AS (SELECT *, depth > coalesce(lag(depth) OVER (PARTITION BY tx ORDER BY pos), 0) + 1 AS jump FROM t), v AS (SELECT *, bool_or(jump) OVER (PARTITION BY tx) AS void FROM j)
 """
 
 
 def trace(spark, sf):
     from pyspark.sql.window import Window
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "token", "l_suppkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "token", "l_suppkey", "amount", "rf", "ls")
     d = lines(spark, sf).withColumn("pos", F.row_number().over(w).cast("long"))
     return d.select(F.col("l_orderkey").alias("tx"), "pos", F.expr("least(pos, 1 + token % 3)").alias("depth"), "rf", "amount")
 
@@ -325,7 +344,7 @@ def parent_paths(spark, sf):
 
 
 @query("G7", """WITH t AS (SELECT conv_id AS tx, turn AS pos, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS depth FROM conversations),
- j AS (SELECT *, depth > coalesce(lag(depth) OVER (PARTITION BY tx ORDER BY pos), 1) + 1 AS jump FROM t), v AS (SELECT *, bool_or(jump) OVER (PARTITION BY tx ORDER BY pos) AS void FROM j)
+ j AS (SELECT *, depth > coalesce(lag(depth) OVER (PARTITION BY tx ORDER BY pos), 1) + 1 AS jump FROM t), v AS (SELECT *, bool_or(jump) OVER (PARTITION BY tx) AS void FROM j)
  SELECT tx, pos, CASE WHEN NOT void AND depth > 1 THEN (SELECT max(q.pos) FROM v q WHERE q.tx = v.tx AND q.pos < v.pos AND q.depth = v.depth - 1) END AS parent, CASE WHEN void THEN 'invalid_stack_height' END AS trace_reason
  FROM v""")
 def conversation_parents(spark, sf):
@@ -345,7 +364,7 @@ def two_leg_receipts(spark, sf):
     return gr.two_leg_receipts(p, "tx", "pos", F.col("rf") == "R", F.col("rf") == "A", F.col("rf") == "N", "amount")
 
 
-BAL = LINES + """, mv AS (SELECT l_orderkey AS tx, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, token, l_suppkey) AS seq, owner AS source, 's' || l_suppkey AS target, amount, l_suppkey, o_orderpriority FROM ln),
+BAL = LINES + """, mv AS (SELECT l_orderkey AS tx, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, token, l_suppkey, amount, rf, ls) AS seq, owner AS source, 's' || l_suppkey AS target, amount, l_suppkey, o_orderpriority FROM ln),
  tot AS (SELECT tx, source AS account, sum(amount) AS paid, any_value(o_orderpriority) AS pr FROM mv GROUP BY ALL),
  bal AS (SELECT tx, account, CAST(o_totalprice AS BIGINT) % 300 AS pre, CAST(o_totalprice AS BIGINT) % 300 - 5 - paid + CASE WHEN pr = '1-URGENT' THEN 1 ELSE 0 END AS post, 5 AS fee FROM tot JOIN orders ON o_orderkey = tx
    UNION ALL SELECT tx, target, 0, sum(amount), 0 FROM mv WHERE l_suppkey % 13 <> 0 GROUP BY tx, target),
@@ -359,7 +378,7 @@ BAL = LINES + """, mv AS (SELECT l_orderkey AS tx, row_number() OVER (PARTITION
 
 def _balances(spark, sf):
     from pyspark.sql.window import Window
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "token", "l_suppkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "token", "l_suppkey", "amount", "rf", "ls")
     mv = lines(spark, sf).select(F.col("l_orderkey").alias("tx"), F.row_number().over(w).cast("long").alias("seq"), F.col("owner").alias("source"),
                                  F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"), F.lit("SOL").alias("asset"), "amount", "l_suppkey", "o_orderpriority")
     tot = mv.groupBy("tx", F.col("source").alias("account")).agg(F.sum("amount").alias("paid"), F.max("o_orderpriority").alias("pr"))

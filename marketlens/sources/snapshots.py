@@ -94,11 +94,14 @@ def normalize_catalog(df: DataFrame, provider: str = "provider", body: str = "bo
 def incremental_copy(src: DataFrame, archived: DataFrame, now: int, checkpoint: tuple | None = None, holdback: int = 120, keys: tuple = ("ts", "mint")) -> DataFrame:
     """Rows after the composite checkpoint and before the mutable tail that the archive lacks.
 
-    Keyset resume: the comparison is on the whole key, so equal times are neither lost nor repeated.
+    Keyset resume: the comparison is on the whole key, so equal times are neither lost nor repeated. Of several
+    rows with one key in the batch the smallest is kept, as an insert that ignores known keys keeps one.
     """
     d = src.filter(F.col(keys[0]) <= now - holdback)
     if checkpoint is not None:
         d = d.filter(F.struct(*keys) > F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, checkpoint)]))
+    rest = [c for c in d.columns if c not in keys]
+    d = d.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*src.columns) if rest else d.distinct()
     return d.join(archived.select(*keys), list(keys), "left_anti")
 
 
@@ -121,7 +124,8 @@ def valid_identity(c: Column) -> Column:
 def write_daily(df: DataFrame, path: str, ts: str = "ts") -> None:
     """Parquet partitioned by UTC day; rows of a day are spread before the write so no task gets a whole day."""
     d = df.withColumn("day", utc_day(ts))
-    d.repartition("day", F.pmod(F.xxhash64(*df.columns), F.lit(16))).write.mode("append").partitionBy("day").parquet(path)
+    writers = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d.repartition("day", F.pmod(F.xxhash64(*df.columns), F.lit(writers))).write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_retained(spark, path: str, now: int, days: int, schema=None) -> DataFrame:

@@ -8,24 +8,24 @@ from __future__ import annotations
 
 
 def level_cross(levels, rearm_pct=2.0, cooldown=300, max_gap=90):
+    """Each level is a small memory: ``ready`` (below it since the last crossing) and ``quiet_until``.
+
+    A price is low (at or under the re-arm line), high (at or over the level) or in between. Low makes ready, high
+    uses it up, and a use outside the quiet time is an alarm.
+    """
+    lines = [(level, level * (1 - rearm_pct / 100)) for level in levels]
+
     def step(s, r):
-        if s is None or r["ts"] - s["ts"] > max_gap:
-            s = {"armed": {}, "fired": {}}
-        out = []
-        for level in levels:
-            k = str(level)
-            if k not in s["armed"]:
-                s["armed"][k] = r["price"] < level
-            elif r["price"] <= level * (1 - rearm_pct / 100):
-                s["armed"][k] = True
-            elif r["price"] >= level and s["armed"][k]:
-                last = s["fired"].get(k)
-                if last is None or r["ts"] - last >= cooldown:
-                    out.append({"id": r["id"], "ts": r["ts"], "level": level, "price": r["price"]})
-                    s["fired"][k] = r["ts"]
-                s["armed"][k] = False
-        s["ts"] = r["ts"]
-        return s, out
+        now, price = r["ts"], r["price"]
+        if s is None or now - s["ts"] > max_gap:
+            return {"ts": now, "ready": [price < level for level, _ in lines], "quiet_until": [None] * len(lines)}, []
+        high = [price >= level for level, _ in lines]
+        crossed = [h and was for h, was in zip(high, s["ready"])]
+        loud = [c and (q is None or now >= q) for c, q in zip(crossed, s["quiet_until"])]
+        ready = [price <= low or (was and not h) for (_, low), was, h in zip(lines, s["ready"], high)]
+        quiet = [now + cooldown if x else q for x, q in zip(loud, s["quiet_until"])]
+        fired = [{"id": r["id"], "ts": now, "level": level, "price": price} for (level, _), x in zip(lines, loud) if x]
+        return {"ts": now, "ready": ready, "quiet_until": quiet}, fired
 
     return step
 
@@ -76,17 +76,19 @@ def movement_alarm(threshold, window=900, tolerance=90, max_gap=120, cooldown=18
 
 
 def incident_transitions(retry=300, incidents=("paused", "stalled", "unhealthy", "unavailable")):
+    """What was told last is ``told``; a message is due when there is news, and waits for the retry time.
+
+    News is an incident other than the one told, or the first good status after one was told.
+    """
     def step(s, r):
-        s = s or {"was": None, "at": None}
-        now = r["status"] if r["status"] in incidents else None
-        want = now or ("recovered" if r["status"] == "collecting" and s["was"] else None)
-        if want is None or (now and s["was"] == now):
-            verdict = "idle"
-        elif s["at"] is not None and r["ts"] < s["at"] + retry:
-            verdict = "retry_wait"
-        else:
-            verdict, s = "sent", {"was": now, "at": r["ts"]}
-        return s, [{"id": r["id"], "delivery": verdict}]
+        told, free_at = s or (None, None)
+        bad = r["status"] in incidents
+        news = r["status"] != told if bad else told is not None and r["status"] == "collecting"
+        blocked = free_at is not None and r["ts"] < free_at
+        delivery = "idle" if not news else "retry_wait" if blocked else "sent"
+        if delivery == "sent":
+            told, free_at = r["status"] if bad else None, r["ts"] + retry
+        return [told, free_at], [{"id": r["id"], "delivery": delivery}]
 
     return step
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from marketlens.session import work_path
+from marketlens.session import cut_lineage, work_path
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -33,21 +33,29 @@ def stream_snapshots(stream: DataFrame, event_time: str, key: str, cols: list[st
     return g.select(key, F.unix_timestamp("window.start").alias("bucket"), "_r.*")
 
 
-def keyed_rule(stream: DataFrame, keys: list[str], step, output: str, order: str = "ts") -> DataFrame:
+def keyed_rule(stream: DataFrame, keys: list[str], step, output: str, order: tuple = ("ts", "id")) -> DataFrame:
     """Run a rule of ``marketlens.streaming.rules`` per key; its state survives between micro-batches.
 
-    A micro-batch holds only what arrived since the last one; rows of a key are put in time order in it.
+    A micro-batch holds only what arrived since the last one; rows of a key are put in the order of time and id
+    in it. A row that arrives after a later row of its key was handled in an earlier micro-batch is late: it
+    does not turn the rule back and gives no output. Sources should hand over files in time order, or buffer.
     """
     names = [c.strip().split(" ")[0] for c in output.split(",")]
+    by = [c for c in order if c in stream.columns]
 
     def apply(key, batches, state):
-        rows = pd.concat(list(batches)).sort_values(order)
-        s = json.loads(state.get[0]) if state.exists else None
+        last, s = json.loads(state.get[0]) if state.exists else (None, None)
+        rows = [r for frame in batches for r in frame.to_dict("records")]
+        rows.sort(key=lambda r: [r[c] for c in by])
         out = []
-        for r in rows.to_dict("records"):
+        for r in rows:
+            at = [int(r[c]) for c in by]
+            if last is not None and at < last:
+                continue
+            last = at
             s, fired = step(s, r)
             out.extend(fired)
-        state.update((json.dumps(s),))
+        state.update((json.dumps([last, s], default=float),))
         frame = pd.DataFrame(out, columns=[n for n in names if n not in keys])
         for k, v in zip(keys, key):
             frame[k] = v
@@ -87,19 +95,36 @@ def once_within(stream: DataFrame, event_id: str, event_time: str, ttl: int) ->
     return stream.withWatermark(event_time, f"{ttl} seconds").dropDuplicatesWithinWatermark([event_id])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def archive_stream(stream: DataFrame, path: str, checkpoint: str, ts: str, holdback: int = 120, now: int | None = None):
-    """Append new rows to a daily archive, without the mutable tail and without repeating a key."""
+    """Append new rows to a daily archive, without the mutable tail and without repeating a key.
+
+    Rows younger than ``holdback`` seconds before ``now`` (by default the newest time seen) wait in
+    ``{checkpoint}-tail/{batch}`` and join the next micro-batch, so none is lost when the source moves on. A batch
+    that is run again reads the same tail and writes the same next one. Only the archive's days that the rows
+    belong to are read.
+    """
+    from marketlens.functions.times import utc_day
     from marketlens.sources.snapshots import incremental_copy, write_daily
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark: SparkSession = batch.sparkSession
-        limit = now if now is not None else batch.agg(F.max(ts)).first()[0]
-        if limit is None:
-            return
-        try:
-            seen = spark.read.parquet(path)
-        except Exception:  # first batch: there is no archive yet
-            seen = batch.limit(0)
-        write_daily(incremental_copy(batch, seen, limit, holdback=holdback), path, ts)
+        tail = f"{checkpoint}-tail/{epoch - 1}"
+        rows = cut_lineage(batch.unionByName(spark.read.schema(batch.schema).parquet(tail)) if exists(spark, tail) else batch)
+        newest = rows.agg(F.max(ts)).first()[0]
+        limit = now if now is not None else newest
+        if limit is not None:
+            ripe = rows.filter(F.col(ts) <= limit - holdback)
+            days = ripe.agg(F.min(utc_day(ts)), F.max(utc_day(ts))).first()
+            seen = ripe.limit(0)
+            if days[0] is not None and exists(spark, path):
+                seen = spark.read.parquet(path).filter(F.col("day").between(*days))
+            write_daily(incremental_copy(ripe, seen, limit, holdback=holdback), path, ts)
+            rows = rows.filter(F.coalesce(F.col(ts) > limit - holdback, F.lit(True)))
+        rows.write.mode("overwrite").parquet(f"{checkpoint}-tail/{epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
