@@ -114,9 +114,17 @@ def trailing_reference(df: DataFrame, factor: float = 1.10, width: int = 86_400,
     return ladder_fires(df, list(keys), ts, price, factor, width, tie or ("id" if "id" in df.columns else None))
 
 
-def freshness(received: str = "ts", source: str = "source_ts", ahead: int = 5, behind: int = 120) -> Column:
+def freshness(received: str = "ts", source: str = "source_ts", ahead: int = 5, behind: int = 120, cached: str | None = None, served: str | None = None,
+              max_cached: int = 60, max_skew: int = 120) -> Column:
+    """Why a response is not fresh. ``cached`` is the age in seconds a cache reports, ``served`` the server's own time; either may
+    be null, which says nothing."""
     age = F.col(received) - F.col(source)
-    return (F.when(age.isNull(), "invalid_time").when(age < -ahead, "future").when(age > behind, "stale").otherwise("fresh"))
+    why = F.when(age.isNull(), "invalid_time").when(age < -ahead, "future").when(age > behind, "stale")
+    if cached is not None:
+        why = why.when(F.col(cached) > max_cached, "cached_too_long")
+    if served is not None:
+        why = why.when(F.abs(F.col(received) - F.col(served)) > max_skew, "server_clock")
+    return why.otherwise("fresh")
 
 
 def feed_health(df: DataFrame, ok: Column, outage_after: int = 60, width: int = 86_400, keys: tuple = ("mint",),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.operators import features as ft
+from marketlens.operators.ledger import set_digest
 from marketlens.operators.timeline import running
 
 HASH_WIDTH = 2 ** 52     # a 60-bit hash prefix falls into 256 chunks
@@ -90,7 +91,8 @@ def hash_sample_by_stratum(df: DataFrame, stratum: Column, want: Column, pool: C
 def seeded_control_draw(df: DataFrame, decision: Column, cycle: str, key: str, seed: str) -> DataFrame:
     """For every decision one other row of its cycle, uniform by a seeded hash.
 
-    The other rows are taken in key order; place ``hash mod (size - 1)`` of them is the draw.
+    The other rows are taken in key order; place ``hash mod (size - 1)`` of them is the draw, given as ``draw_index``.
+    ``universe_digest`` binds the members of the cycle and the key that is left out of them.
     """
     d = df.withColumn("_o", hash_order(F.col(key)))
     d = running(d, [cycle], ["_o", key], HASH_WIDTH, {"_rank": ("sum", F.lit(1))}).withColumn("_place", F.col("_rank") - 1)
@@ -100,7 +102,9 @@ def seeded_control_draw(df: DataFrame, decision: Column, cycle: str, key: str, s
                                   hash_order(F.lit(seed), key, cycle) % F.nullif(F.col("universe_size"), F.lit(0)))))
     a = a.withColumn("_want", F.when(F.col("_i") >= F.col("_place"), F.col("_i") + 1).otherwise(F.col("_i")))
     c = d.select(cycle, F.col("_place").alias("_want"), F.col(key).alias("control"))
-    return a.join(c, [cycle, "_want"], "left").select(key, cycle, "universe_size", "control")
+    sets = set_digest(df, [cycle], key).select(cycle, F.col("digest").alias("_set"))
+    bound = F.sha2(F.concat_ws("|", "_set", F.col(key).cast("string")), 256).alias("universe_digest")
+    return a.join(c, [cycle, "_want"], "left").join(sets, cycle).select(key, cycle, "universe_size", F.col("_i").alias("draw_index"), "control", bound)
 
 
 def first_eligible_split(df: DataFrame, reason: Column, width: int, key: str = "mint", order: tuple = ("decision_ts", "id")) -> DataFrame:
@@ -119,13 +123,17 @@ def cohort_enroll(df: DataFrame, qualifies: Column, invalid: Column, excluded: D
     return d.groupBy(key).agg(first.alias("_r"), F.count(F.lit(1)).alias("attempts")).select(key, "_r.*", "attempts")
 
 
-def sequential_stop(df: DataFrame, seq: str, eligible: str, target: int, width: int) -> DataFrame:
-    """One row: first unresolved place, eligible results before it and the place reaching ``target``."""
+def sequential_stop(df: DataFrame, seq: str, eligible: str, target: int, width: int, now: int | None = None, deadline: int | None = None) -> DataFrame:
+    """One row: first unresolved place, eligible results before it, the place reaching ``target`` and why to stop.
+
+    ``sample_limit`` once the target is reached, else ``time_limit`` from the deadline on, else null.
+    """
     wall = df.agg(F.min(F.when(F.col(eligible).isNull(), F.col(seq)))).scalar()
     open_ = df.filter(F.coalesce(F.col(seq) < wall, F.lit(True)))
     d = running(open_, [], [seq], width, {"_n": ("sum", F.col(eligible).cast("int"))})
     g = d.agg(F.max("_n").alias("eligible_before"), F.min(F.when(F.col("_n") == target, F.col(seq))).alias("cutoff"))
-    return g.withColumn("first_unresolved", wall)
+    late = F.lit(deadline is not None and now is not None and now >= deadline)
+    return g.withColumn("first_unresolved", F.lit(wall)).withColumn("stop_reason", F.when(F.col("cutoff").isNotNull(), "sample_limit").when(late, "time_limit"))
 
 
 def rate_shift(df: DataFrame, keys: list[str], order: list[str], hits: str, total: str, width: int,

@@ -124,15 +124,19 @@ def resolve_results(joined: DataFrame, now: int, late: int = 180, max_gap: int =
         "outcome", F.when(ok, (F.col("multiple") >= 2).cast("int")))
 
 
-def review_summary(cases: DataFrame, by: str = "source", key: str = "mint") -> DataFrame:
-    """Event counts, distinct keys, observed peaks by threshold, failures and their overlap."""
+def review_summary(cases: DataFrame, by: str = "source", key: str = "mint", order: tuple = ("decision_ts", "id")) -> DataFrame:
+    """Event counts, distinct keys, observed peaks by threshold, failures and their overlap; then the same
+    ends over the first case of each key, with those that have none."""
+    one = cases.groupBy(by, key).agg(F.min_by(F.struct("last_mult", "max_mult"), F.struct(*order)).alias("_f"))
+    first = one.groupBy(by).agg(F.count_if(F.col("_f.last_mult") >= 2).alias("first_ge_2"), F.count_if(F.col("_f.last_mult") <= 0.55).alias("first_le_055"),
+                                F.count_if(F.col("_f.last_mult").isNull()).alias("first_missing"))
     failed = F.coalesce((F.col("last_mult") <= 0.55) | (F.col("last_liq") <= 5000), F.lit(False))
     peak = F.col("max_mult")
     return cases.groupBy(by).agg(
         F.count(F.lit(1)).alias("cases"), F.count_distinct(key).alias("unique_keys"),
         *[F.count_if(peak >= x).alias(f"peak_{x}x") for x in (2, 3, 5)],
         F.count_if(F.col("last_mult") >= 2).alias("last_2x"), F.count_if(failed).alias("failures"),
-        F.count_if(failed & (peak >= 2)).alias("peak_and_failure"))
+        F.count_if(failed & (peak >= 2)).alias("peak_and_failure")).join(first, by)
 
 
 def group_report(decisions: DataFrame, by: str = "action") -> DataFrame:

@@ -217,7 +217,7 @@ def check_concentration(owners: DataFrame, tokens: DataFrame, limits: tuple = (5
     per = d.filter(valid & (F.col("owner") != F.col("pool"))).groupBy("token", "owner").agg(F.sum("pct").alias("pct"))
     w = Window.partitionBy("token").orderBy(F.desc("pct"), "owner")
     top = (per.withColumn("_rk", F.row_number().over(w)).filter("_rk <= 10")
-           .groupBy("token").agg(F.max("pct").alias("largest_pct"), F.sum("pct").alias("top10_pct")))
+           .groupBy("token").agg(F.round(F.max("pct"), 9).alias("largest_pct"), F.round(F.sum("pct"), 9).alias("top10_pct")))
     d = tokens.join(voided, "token", "left").join(top, "token", "left").fillna(0.0, ["largest_pct", "top10_pct"])
     known = lambda c: finite(c) & F.col(c).between(0, 100)
     reason = (F.when((F.coalesce(F.col("_void"), F.lit(1)) == 1) | ~known("unseen_pct"), "missing_evidence")
@@ -231,8 +231,9 @@ def check_concentration(owners: DataFrame, tokens: DataFrame, limits: tuple = (5
 
 
 def check_wallet_age(owners: DataFrame, tokens: DataFrame, histories: DataFrame, min_holder: int, min_creator: int, max_share: float = 5.0) -> DataFrame:
-    """Young exposure per token. ``histories`` (wallet, activity_age, covered_since): a short age counts as
-    young only where the history covers the required span, else it is unknown."""
+    """Young exposure per token. ``histories`` (wallet, activity_age, covered_span, complete): a short age counts as
+    young only where the history covers the required span and is complete (fresh head, all pages, nothing
+    pending, every timestamp, only known programs), else it is unknown. One invalid percentage voids the token."""
     nodes = (owners.join(tokens.select("token", "pool", "creator"), "token").filter(F.col("owner") != F.col("pool"))
              .select("token", "owner", "pct", (F.col("owner") == F.col("creator")).alias("is_creator")))
     absent = tokens.select("token", F.col("creator").alias("owner")).join(nodes.select("token", "owner"), ["token", "owner"], "left_anti")
@@ -241,14 +242,16 @@ def check_wallet_age(owners: DataFrame, tokens: DataFrame, histories: DataFrame,
     need = F.when(F.col("is_creator"), min_creator).otherwise(min_holder)
     aged = finite("activity_age", 0)
     short = aged & (F.col("activity_age") < need)
-    young = short & _sure(F.col("covered_span") >= need)
+    young = short & _sure((F.col("covered_span") >= need) & F.col("complete"))
     unknown = ~aged | (short & ~young)
     g = d.groupBy("token").agg(F.max((young & F.col("is_creator")).cast("int")).alias("creator_young"),
                                F.sum(F.when(young, F.col("pct")).otherwise(0.0)).alias("young_share"),
-                               F.count_if(unknown).alias("unknown_wallets"), F.count(F.lit(1)).alias("wallets"))
-    status = (F.when((F.col("creator_young") == 1) | (F.col("young_share") > max_share), "REJECT")
+                               F.count_if(unknown).alias("unknown_wallets"), F.count(F.lit(1)).alias("wallets"),
+                               F.max(~_sure(finite("pct") & F.col("pct").between(0, 100) & F.col("owner").isNotNull())).alias("_void"))
+    g = g.withColumn("young_share", F.round("young_share", 9))  # a sum of shares near the limit does not depend on its order
+    status = (F.when(F.col("_void"), "UNKNOWN").when((F.col("creator_young") == 1) | (F.col("young_share") > max_share), "REJECT")
               .when(F.col("unknown_wallets") > 0, "UNKNOWN").otherwise("PASS"))
-    return g.withColumn("status", status)
+    return g.withColumn("status", status).drop("_void")
 
 
 def check_developer(tokens: DataFrame, events: DataFrame, reports: DataFrame, since: int) -> DataFrame:

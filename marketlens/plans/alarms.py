@@ -98,10 +98,11 @@ def trailing_reference(spark, sf):
     return al.trailing_reference(b.snapshots(spark, sf), 1.1, b.CHUNK).select("mint", "ts", "price")
 
 
-@query("R2", b.SNAP + """SELECT id, mint, CASE WHEN k = 99 THEN 'invalid_time' WHEN k - 30 < -5 THEN 'future' WHEN k - 30 > 60 THEN 'stale' ELSE 'fresh' END AS freshness FROM snap""")
+@query("R2", b.SNAP + """SELECT id, mint, CASE WHEN k = 99 THEN 'invalid_time' WHEN k - 30 < -5 THEN 'future' WHEN k - 30 > 60 THEN 'stale' WHEN id % 90 > 60 THEN 'cached_too_long' WHEN abs(id % 300 - 150) > 120 THEN 'server_clock' ELSE 'fresh' END AS freshness FROM snap""")
 def freshness_filter(spark, sf):
     d = b.snapshots(spark, sf).withColumn("source_ts", F.expr("CASE WHEN k <> 99 THEN ts - k + 30 END"))
-    return d.select("id", "mint", al.freshness(behind=60).alias("freshness"))
+    d = d.withColumn("cached", F.expr("CASE WHEN id % 7 > 0 OR id % 90 > 60 THEN id % 90 END")).withColumn("served", F.expr("ts + id % 300 - 150"))
+    return d.select("id", "mint", al.freshness(behind=60, cached="cached", served="served").alias("freshness"))
 
 
 @query("R10", b.SNAP + f""", r AS (SELECT *, sum((pair NOT IN ('error', 'view', 'signup'))::INT) OVER (PARTITION BY mint ORDER BY ts, id) AS run, pair NOT IN ('error', 'view', 'signup') AS ok FROM snap),

@@ -185,6 +185,15 @@ def export_candidates(spark, sf):
     return _candidates(spark, sf)[0].select("mint", "urgent")
 
 
+@query("T5", b.LAUNCH + f""", rv AS (SELECT mint, max(k - 90) AS urgent FROM snap WHERE k >= 90 AND ts >= {b.NOW - 20 * b.DAY} GROUP BY mint)
+ SELECT mint, coalesce(urgent, 0) AS urgent FROM launch LEFT JOIN rv USING (mint) WHERE {b.NOW} - created_ts // 1000 BETWEEN {b.DAY} AND {40 * b.DAY} AND last_trade_ts // 1000 >= {b.NOW - 6 * b.DAY} AND current_mc BETWEEN 30000 AND 750000""")
+def due_candidates(spark, sf):
+    """Candidates of the right age, trade time and size, with the urgency that recent reviews gave them."""
+    d = b.launches(spark, sf).select("mint", F.expr("created_ts div 1000").alias("created_ts"), F.expr("last_trade_ts div 1000").alias("last_trade_ts"), F.col("current_mc").alias("mc"))
+    rv = b.snapshots(spark, sf).filter("k >= 90").select("mint", (F.col("k") - 90).alias("level"), F.col("ts").alias("checked_at"))
+    return logs.due(d, b.NOW, rv, born=(b.DAY, 40 * b.DAY), traded=6 * b.DAY, recent=20 * b.DAY).select("mint", "urgent")
+
+
 @query("S10", CAND + "SELECT mint, list_filter([CASE WHEN creator IS NULL THEN 'creator' END, CASE WHEN pin IS NULL THEN 'pin' END], lambda x: x IS NOT NULL) AS missing FROM c WHERE creator IS NULL OR pin IS NULL")
 def deferred_candidates(spark, sf):
     return _candidates(spark, sf)[1].select("mint", "missing")
@@ -204,14 +213,30 @@ def write_audit_report(spark, sf):
     return spark.read.option("header", True).schema("mint long, id long, score long, price double").csv(f"{path}/calls")
 
 
-@query("S11")
+FEATURES = ("points", "mc", "liq", "band", "net", "pc_h1")
+
+
+def _history_sql() -> str:
+    from marketlens.plans.outcomes import OUT
+    cutoff = b.NOW - b.DAY
+    named = [(f, {"mc": "entry_mc", "liq": "entry_liq"}.get(f, f)) for f in FEATURES]
+    one = ", ".join(f"CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN '{f}=' || CAST(CAST(round({c} * 100) AS BIGINT) AS VARCHAR) END" for f, c in named)
+    return OUT + f""", hx AS (SELECT id, list(horizon::VARCHAR || ':' || observed_ts || ':' || lateness || ':' || CAST(round(multiple * 10000) AS BIGINT) ORDER BY horizon::VARCHAR) AS outcomes FROM outcomes WHERE observed_ts < {cutoff} GROUP BY id)
+ SELECT c.id, source, list_sort(list_filter([{one}], lambda x: x IS NOT NULL)) AS features, coalesce(hx.outcomes, []) AS outcomes
+ FROM cases c LEFT JOIN hx ON hx.id = c.id WHERE decision_ts + {b.HORIZON + b.LATE} < {cutoff}"""
+
+
+@query("S11", _history_sql())
 def export_history(spark, sf):
-    """Whitelisted features and outcomes by horizon; maps are shown as their sizes."""
+    """Whitelisted features and outcomes by horizon, each map as its sorted entries."""
     from marketlens.plans.outcomes import cases, outcomes
     c = cut_lineage(cases(spark, sf))
     o = outcomes(spark, sf, c)
-    d = logs.export_history(c, o, ["points", "mc", "liq", "band", "net", "pc_h1"], b.NOW - b.DAY, b.HORIZON + b.LATE)
-    return d.select("id", "source", F.size("features").alias("n_features"), F.coalesce(F.size("outcomes"), F.lit(0)).alias("n_outcomes"))
+    d = logs.export_history(c, o, list(FEATURES), b.NOW - b.DAY, b.HORIZON + b.LATE)
+    whole = lambda c, by: F.round(c * by).cast("long").cast("string")
+    f = F.array_sort(F.transform(F.map_entries("features"), lambda e: F.concat(e["key"], F.lit("="), whole(e["value"], 100))))
+    e = F.array_sort(F.transform(F.map_entries("outcomes"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"]["observed_ts"].cast("string"), e["value"]["lateness"].cast("string"), whole(e["value"]["multiple"], 10000))))
+    return d.select("id", "source", f.alias("features"), F.coalesce(e, F.array().cast("array<string>")).alias("outcomes"))
 
 
 # --- ledger -----------------------------------------------------------------------------------

@@ -325,16 +325,18 @@ def cohort_enroll(spark, sf):
 
 @query("E18", b.SNAP + """, p AS (SELECT id AS seq, CASE WHEN ts >= 1706400000 AND pair = 'view' THEN NULL ELSE pair = 'purchase' END AS eligible FROM snap),
  wall AS (SELECT min(seq) AS w FROM p WHERE eligible IS NULL), o AS (SELECT seq, sum(eligible::INT) OVER (ORDER BY seq) AS n FROM p, wall WHERE seq < w)
- SELECT CAST(max(n) AS BIGINT) AS eligible_before, min(CASE WHEN n = 150 THEN seq END) AS cutoff, (SELECT w FROM wall) AS first_unresolved FROM o""")
+ SELECT CAST(max(n) AS BIGINT) AS eligible_before, min(CASE WHEN n = 150 THEN seq END) AS cutoff, (SELECT w FROM wall) AS first_unresolved, CASE WHEN min(CASE WHEN n = 150 THEN seq END) IS NOT NULL THEN 'sample_limit' ELSE 'time_limit' END AS stop_reason FROM o""")
 def sequential_stop(spark, sf):
     d = b.snapshots(spark, sf).select(F.col("id").alias("seq"), F.expr("CASE WHEN ts >= 1706400000 AND pair = 'view' THEN NULL ELSE pair = 'purchase' END").alias("eligible"))
-    return co.sequential_stop(d, "seq", "eligible", 150, 4096).select(F.col("eligible_before").cast("long").alias("eligible_before"), "cutoff", "first_unresolved")
+    return co.sequential_stop(d, "seq", "eligible", 150, 4096, b.NOW, b.NOW).select(F.col("eligible_before").cast("long").alias("eligible_before"), "cutoff", "first_unresolved", "stop_reason")
 
 
 @query("E11", b.SNAP + """, p AS (SELECT mint, pair, k, ts // 86400 AS day FROM snap), one AS (SELECT day, mint, max(k) AS k FROM p GROUP BY ALL),
  o AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ('0x' || substr(sha256(mint::VARCHAR), 1, 15))::BIGINT, mint) - 1 AS place, count(*) OVER (PARTITION BY day) - 1 AS universe_size FROM one),
  d AS (SELECT *, CASE WHEN universe_size > 0 THEN ('0x' || substr(sha256(concat_ws('|', 'draw', mint, day)), 1, 15))::BIGINT % nullif(universe_size, 0) END AS i FROM o WHERE k >= 97)
- SELECT d.mint, d.day, d.universe_size, c.mint AS control FROM d LEFT JOIN o c ON c.day = d.day AND c.place = CASE WHEN d.i >= d.place THEN d.i + 1 ELSE d.i END""")
+ ,hb AS (SELECT day, mint::VARCHAR AS m, ('0x' || substr(sha256(mint::VARCHAR), 1, 8))::BIGINT % 256 AS bk FROM one), pd AS (SELECT day, bk, sha256(CAST(to_json(list(m ORDER BY m)) AS VARCHAR)) AS dg FROM hb GROUP BY ALL),
+ sd AS (SELECT day, sha256(string_agg(dg, '|' ORDER BY bk)) AS st FROM pd GROUP BY day)
+ SELECT d.mint, d.day, d.universe_size, d.i AS draw_index, c.mint AS control, sha256(concat_ws('|', st, d.mint)) AS universe_digest FROM d JOIN sd ON sd.day = d.day LEFT JOIN o c ON c.day = d.day AND c.place = CASE WHEN d.i >= d.place THEN d.i + 1 ELSE d.i END""")
 def seeded_control_draw(spark, sf):
     d = b.snapshots(spark, sf).groupBy(F.expr("ts div 86400").alias("day"), "mint").agg(F.max("k").alias("k"))
     return co.seeded_control_draw(d, F.col("k") >= 97, "day", "mint", "draw")

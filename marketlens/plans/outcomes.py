@@ -243,7 +243,9 @@ def timing_audit(spark, sf):
 @query("A5", STATE + """SELECT source, count(*) AS cases, count(DISTINCT mint) AS unique_keys, count(*) FILTER (max_mult >= 2) AS peak_2x,
   count(*) FILTER (max_mult >= 3) AS peak_3x, count(*) FILTER (max_mult >= 5) AS peak_5x, count(*) FILTER (last_mult >= 2) AS last_2x,
   count(*) FILTER (coalesce(last_mult <= 0.55::DOUBLE OR last_liq <= 5000, false)) AS failures,
-  count(*) FILTER (coalesce(last_mult <= 0.55::DOUBLE OR last_liq <= 5000, false) AND max_mult >= 2) AS peak_and_failure FROM state GROUP BY source""")
+  count(*) FILTER (coalesce(last_mult <= 0.55::DOUBLE OR last_liq <= 5000, false) AND max_mult >= 2) AS peak_and_failure, any_value(first_ge_2) AS first_ge_2, any_value(first_le_055) AS first_le_055, any_value(first_missing) AS first_missing
+  FROM state JOIN (SELECT source, count(*) FILTER (last_mult >= 2) AS first_ge_2, count(*) FILTER (last_mult <= 0.55::DOUBLE) AS first_le_055, count(*) FILTER (last_mult IS NULL) AS first_missing
+    FROM (SELECT *, row_number() OVER (PARTITION BY source, mint ORDER BY decision_ts, id) AS rn FROM state) WHERE rn = 1 GROUP BY source) USING (source) GROUP BY source""")
 def review_summary(spark, sf):
     return oc.review_summary(states(spark, sf))
 

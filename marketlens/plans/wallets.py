@@ -156,7 +156,7 @@ def _tokens_with_creator(spark, sf, own):
 
 @query("P16 T3", TOKC + """, vo AS (SELECT token, max((NOT pct BETWEEN 0 AND 100)::INT) AS void FROM ow GROUP BY token),
  k AS (SELECT o.*, row_number() OVER (PARTITION BY token ORDER BY o.pct DESC, owner) AS rk FROM ow o JOIN tc USING (token) WHERE o.pct BETWEEN 0 AND 100 AND owner <> pool),
- t AS (SELECT token, max(pct) AS lp, sum(pct) AS tp FROM k WHERE rk <= 10 GROUP BY token),
+ t AS (SELECT token, round(max(pct), 9) AS lp, round(sum(pct), 9) AS tp FROM k WHERE rk <= 10 GROUP BY token),
  r AS (SELECT tc.token, lp, tp, CASE WHEN void = 1 OR unseen_pct IS NULL THEN 'missing_evidence' WHEN lp > 10 OR tp > 60 OR creator_pct > 6 THEN 'concentration_policy_exceeded' WHEN unseen_pct > 10 THEN 'top_account_sample_insufficient'
    ELSE 'sample_concentration_with_bounded_unseen_supply' END AS reason FROM tc JOIN vo USING (token) LEFT JOIN t USING (token))
  SELECT token, CASE reason WHEN 'concentration_policy_exceeded' THEN 'REJECT' WHEN 'sample_concentration_with_bounded_unseen_supply' THEN 'PASS' ELSE 'UNKNOWN' END AS status, reason, round(lp, 6) AS largest_pct, round(tp, 6) AS top10_pct FROM r""")
@@ -166,19 +166,20 @@ def check_concentration(spark, sf):
     return d.select("token", "status", "reason", r6("largest_pct"), r6("top10_pct"))
 
 
-HIST = f"""hist AS (SELECT owner AS wallet, CASE WHEN max(amount) = 49 THEN NULL ELSE {WALLET_NOW} - min(block_time) END AS activity_age, {WALLET_NOW} - min(block_time) + CASE WHEN count(*) % 2 = 0 THEN 40000000 ELSE 0 END AS covered_span FROM ln GROUP BY owner)"""
+HIST = f"""hist AS (SELECT owner AS wallet, CASE WHEN max(amount) = 49 THEN NULL ELSE {WALLET_NOW} - min(block_time) END AS activity_age, {WALLET_NOW} - min(block_time) + CASE WHEN count(*) % 2 = 0 THEN 40000000 ELSE 0 END AS covered_span, CASE WHEN count(*) % 11 > 0 THEN min(amount) < 3 END AS complete FROM ln GROUP BY owner)"""
 
 
 @query("P17", TOKC + f""", {HIST}, nd AS (SELECT o.token, o.owner, o.pct, o.owner = t.creator AS ic FROM own o JOIN tc t USING (token) WHERE o.owner <> t.pool
    UNION ALL SELECT token, creator, 0, true FROM tc t WHERE creator = pool),
- j AS (SELECT nd.*, activity_age, covered_span, CASE WHEN ic THEN 215000000 ELSE 212000000 END AS need FROM nd LEFT JOIN hist ON wallet = owner),
- y AS (SELECT *, activity_age IS NOT NULL AND activity_age < need AND covered_span >= need AS young, activity_age IS NULL OR (activity_age < need AND NOT covered_span >= need) AS unk FROM j),
- g AS (SELECT token, max((young AND ic)::INT) AS cy, sum(CASE WHEN young THEN pct ELSE 0 END) AS ys, count(*) FILTER (unk) AS unknown_wallets, count(*) AS wallets FROM y GROUP BY token)
+ j AS (SELECT nd.*, activity_age, covered_span, complete, CASE WHEN ic THEN 215000000 ELSE 212000000 END AS need FROM nd LEFT JOIN hist ON wallet = owner),
+ y AS (SELECT *, activity_age IS NOT NULL AND activity_age < need AND covered_span >= need AND coalesce(complete, false) AS young, activity_age IS NULL OR (activity_age < need AND NOT (covered_span >= need AND coalesce(complete, false))) AS unk FROM j),
+ g AS (SELECT token, max((young AND ic)::INT) AS cy, round(sum(CASE WHEN young THEN pct ELSE 0 END), 9) AS ys, count(*) FILTER (unk) AS unknown_wallets, count(*) AS wallets FROM y GROUP BY token)
  SELECT token, round(ys, 6) AS young_share, unknown_wallets, wallets, CASE WHEN cy = 1 OR ys > 30 THEN 'REJECT' WHEN unknown_wallets > 0 THEN 'UNKNOWN' ELSE 'PASS' END AS status FROM g""")
 def check_wallet_age(spark, sf):
     h = lines(spark, sf).groupBy(F.col("owner").alias("wallet")).agg(
         F.expr(f"CASE WHEN max(amount) = 49 THEN NULL ELSE {WALLET_NOW} - min(block_time) END").alias("activity_age"),
-        F.expr(f"{WALLET_NOW} - min(block_time) + CASE WHEN count(*) % 2 = 0 THEN 40000000 ELSE 0 END").alias("covered_span"))
+        F.expr(f"{WALLET_NOW} - min(block_time) + CASE WHEN count(*) % 2 = 0 THEN 40000000 ELSE 0 END").alias("covered_span"),
+        F.expr("CASE WHEN count(*) % 11 > 0 THEN min(amount) < 3 END").alias("complete"))
     own = stored_census(spark, sf)
     d = po.check_wallet_age(own.select("token", "owner", "pct"), _tokens_with_creator(spark, sf, own), h, 212_000_000, 215_000_000, 30.0)
     return d.select("token", r6("young_share"), "unknown_wallets", "wallets", "status")

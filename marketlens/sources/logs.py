@@ -35,6 +35,15 @@ def export_candidates(df: DataFrame, needed: list[str], priority: list[Column],
     return d.filter(F.size("missing") == 0).drop("missing").orderBy(*priority).limit(top), d.filter(F.size("missing") > 0)
 
 
+def due(df: DataFrame, now: int, reviews: DataFrame, key: str = "mint", born: tuple = (1800, 21_600), traded: int = 720, cap: tuple = (30_000, 750_000), recent: int = 900) -> DataFrame:
+    """Candidates that are due: of the right age, traded lately, inside the cap band; ``urgent`` is the highest level a recent
+    review gave them (0 without one). ``df``: key, created_ts, last_trade_ts, mc; ``reviews``: key, level, checked_at."""
+    age = F.lit(now) - F.col("created_ts")
+    d = df.filter(age.between(*born) & (F.col("last_trade_ts") >= now - traded) & F.col("mc").between(*cap))
+    level = reviews.filter(F.col("checked_at") >= now - recent).groupBy(key).agg(F.max("level").alias("urgent"))
+    return d.join(level, key, "left").fillna(0, ["urgent"])
+
+
 def export_history(cases: DataFrame, outcomes: DataFrame, features: list[str], cutoff: int, longest: int) -> DataFrame:
     """Cases whose longest follow-up ended before ``cutoff`` with whitelisted finite features and their
     outcomes by horizon, both as maps. A case has one outcome per horizon, so its list is short."""
