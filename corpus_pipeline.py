@@ -13,10 +13,6 @@ from marketlens.llm.queries import vocabulary
 from marketlens.llm.simhash import near_duplicates
 
 
-def columns(docs: DataFrame) -> list[str]:
-    return docs.columns
-
-
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the model knows; texts without a letter and ties between languages go.
 
@@ -29,23 +25,23 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first of every group of equal texts."""
-    return refine(docs).filter("kept").select(columns(docs))
+    return refine(docs).filter("kept").select("doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first of every near-duplicate component, by SimHash."""
-    return near_duplicates(docs).filter("kept").select(columns(docs))
+    return near_duplicates(docs).filter("kept").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: up to three times, or not at all."""
-    d = mix(docs)
-    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("times"), F.lit(1))))).filter("times > 0").select(columns(docs))
+    return mix(docs).select(F.explode(F.array_repeat("doc", F.col("times"))).alias("doc")).select("doc.*")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every row, with the ids themselves."""
-    return bpe.encode(docs, vocabulary("byte_bpe_50k.json"), carry=["doc_id", "lang", "source"])
+    d = bpe.encode(docs, vocabulary("byte_bpe_50k.json"), carry=["doc_id", "lang", "source"])
+    return d.select("doc.*", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
 STAGES = [("language ID", identify), ("exact dedup", drop_copies), ("SimHash near-dedup", drop_near_copies), ("source mix", mix_sources), ("BPE", tokenise)]

@@ -220,7 +220,7 @@ def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[list]:
 
 
 def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", carry: list[str] | None = None, ids: bool = True) -> DataFrame:
-    """``carry`` columns with ``n_tokens, ids_sha256, decoded_sha256`` and, if asked, the ``ids`` themselves.
+    """The ``carry`` columns in ``doc``, with ``n_tokens, ids_sha256, decoded_sha256`` and, if asked, the ``ids`` themselves.
 
     ``tokenizer`` is the JSON text of the vocabulary file (its size is that of the vocabulary); it goes to
     the executors as a broadcast. Texts are encoded whole, in runs of a few MB; the digest columns are taken
@@ -250,4 +250,4 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", carry: list[
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(columns, ["_d", *[f.name for f in fields]])
 
-    return src.mapInArrow(run, schema).select("_d.*", *[f.name for f in fields])
+    return src.mapInArrow(run, schema).select(F.col("_d").alias("doc"), *[f.name for f in fields])

@@ -15,7 +15,7 @@ def normal(text: str) -> Column:
 
 def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None,
            prefix: int = 256, digest: bool = False) -> DataFrame:
-    """Groups of equal normalised texts: ``carry`` columns with ``keep_id``, ``group_size`` and ``kept``.
+    """Groups of equal normalised texts: the ``carry`` columns in ``doc``, with ``keep_id``, ``group_size`` and ``kept``.
 
     Three rounds, each only over rows that the one before left in a group of several: byte length,
     hash of the first ``prefix`` characters, SHA-256 of the whole text. The first two rounds see narrow
@@ -48,5 +48,5 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     first = stored(whole.filter("_full IS NOT NULL").groupBy(*key).agg(
         F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("_first"), F.count(F.lit(1)).alias("_n")), "dedup-first")
     out = whole.join(first, key, "left")
-    return out.select("_d.*", F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_first.id")).alias("keep_id"), F.coalesce("_n", F.lit(1)).alias("group_size"),
+    return out.select(F.col("_d").alias("doc"), F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_first.id")).alias("keep_id"), F.coalesce("_n", F.lit(1)).alias("group_size"),
                       (F.col("_n").isNull() | (F.col("_row") == F.col("_first.row"))).alias("kept"), *([F.col("_sha").alias("text_sha256")] if digest else []))

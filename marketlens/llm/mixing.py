@@ -25,7 +25,7 @@ def water_level(sources: DataFrame, total: int) -> float:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", carry: list[str] | None = None) -> DataFrame:
-    """How often the mix takes each document: ``carry`` columns with ``size, source_size, target, times, taken``.
+    """How often the mix takes each document: the ``carry`` columns in ``doc``, with ``size, source_size, target, times, taken``.
 
     Sources in code-point order, null last, get ``weights`` in turn and share as many words as there are.
     A target stops at ``epochs`` times its source; the rest is shared again by weight. Every document is
@@ -61,4 +61,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     inside = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_h", "_size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
     d = d.join(cells, keys).withColumn("_run", F.col("_before") + inside)
     times = F.col("_whole") + ((F.col("_run") * 2 + F.col("_size")).cast("double") <= F.col("_need") * 2).cast("int")
-    return d.select("_d.*", F.col("_size").alias("size"), F.col("_sum").alias("source_size"), F.col("_target").alias("target"), times.cast("int").alias("times"), (F.col("_size") * times).cast("long").alias("taken"))
+    return d.select(F.col("_d").alias("doc"), F.col("_size").alias("size"), F.col("_sum").alias("source_size"), F.col("_target").alias("target"), times.cast("int").alias("times"), (F.col("_size") * times).cast("long").alias("taken"))

@@ -87,7 +87,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and near-duplicate component."""
-    return near_duplicates(documents(spark, sf_dir), carry=["doc_id"]).drop("kept")
+    return near_duplicates(documents(spark, sf_dir), carry=["doc_id"]).select("doc.*", "fingerprint", "component_id")
 
 
 @query()
@@ -101,7 +101,8 @@ def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's token ids and of what they decode to."""
-    return bpe.encode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), carry=["doc_id"], ids=False)
+    d = bpe.encode(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), carry=["doc_id"], ids=False)
+    return d.select("doc.*", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 MIX = r"""
@@ -125,7 +126,7 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, ss AS source_size, round(target, 6)
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document, with its source's size and target."""
     d = mix(documents(spark, sf_dir), carry=["doc_id"])
-    return d.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return d.select("doc.doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 @query(r"""
@@ -134,4 +135,4 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
   doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256 FROM d""")
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one of its equals that stays."""
-    return refine(documents(spark, sf_dir), carry=["doc_id"], digest=True)
+    return refine(documents(spark, sf_dir), carry=["doc_id"], digest=True).select("doc.*", "keep_id", "group_size", "kept", "text_sha256")

@@ -113,7 +113,7 @@ def stars(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: int = 3, seed: int = 42) -> DataFrame:
-    """``carry`` columns with ``fingerprint`` (16 hexadecimal digits), ``component_id`` and ``kept``.
+    """The ``carry`` columns in ``doc``, with ``fingerprint`` (16 hexadecimal digits), ``component_id`` and ``kept``.
 
     Documents link if their fingerprints differ in two bits or fewer; ``component_id`` is the smallest id that
     links reach. Equal fingerprints are one node, so groups of copies cost one row. Exactly one row of each
@@ -132,4 +132,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = stored(nodes.groupBy("_c").agg(F.min("_first").alias("_best")), "simhash-best")
     labels = stored(nodes.join(best, "_c").select("_f", "_best"), "simhash-labels")
     d = rows.join(labels, "_f")
-    return d.select("_d.*", F.lower(F.lpad(F.hex("_f"), 16, "0")).alias("fingerprint"), F.col("_best.id").alias("component_id"), (F.col("_row") == F.col("_best.row")).alias("kept"))
+    return d.select(F.col("_d").alias("doc"), F.lower(F.lpad(F.hex("_f"), 16, "0")).alias("fingerprint"), F.col("_best.id").alias("component_id"), (F.col("_row") == F.col("_best.row")).alias("kept"))

@@ -83,8 +83,8 @@ def test_mix_odd(odd, empty):
     assert len(rows) == len(ODD)
     per = defaultdict(lambda: [0, 0, 0.0])
     for r in rows:
-        assert r["size"] == len([w for w in SPACE.split(r["text"] or "") if w]) and 0 <= r["taken"] <= 3 * r["size"]
-        p = per[r["source"]]
+        assert r["size"] == len([w for w in SPACE.split(r["doc"]["text"] or "") if w]) and 0 <= r["taken"] <= 3 * r["size"]
+        p = per[r["doc"]["source"]]
         p[0], p[1], p[2] = p[0] + r["size"], p[1] + r["taken"], r["target"]
     total = sum(p[0] for p in per.values())
     assert abs(sum(p[2] for p in per.values()) - total) < 1e-6 * total
@@ -108,10 +108,10 @@ def test_exact(odd, empty):
     assert len(rows) == len(ODD)
     assert sum(r["kept"] for r in rows) == len(groups)
     for r in rows:
-        d = r.asDict()
-        ids = groups[SPACE.sub(" ", d["text"] or "")]
-        assert d["group_size"] == len(ids) and d["text_sha256"] == hashlib.sha256(SPACE.sub(" ", d["text"] or "").encode()).hexdigest()
-        assert r[-4] == min((i for i in ids if i is not None), default=None)
+        text = SPACE.sub(" ", r["doc"]["text"] or "")
+        ids = groups[text]
+        assert r["group_size"] == len(ids) and r["text_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert r["keep_id"] == min((i for i in ids if i is not None), default=None)
     assert refine(empty).count() == 0
 
 
@@ -220,7 +220,7 @@ def test_bpe(spark, table, odd, empty):
         assert g["n_tokens"] == len(ids) and g["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert g["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     rows = bpe.encode(odd, queries.vocabulary("byte_bpe_50k.json")).collect()
-    assert len(rows) == len(ODD) and all(r["ids"] == lib.encode(r["text"] or "", add_special_tokens=False).ids for r in rows)
+    assert len(rows) == len(ODD) and all(r["ids"] == lib.encode(r["doc"]["text"] or "", add_special_tokens=False).ids for r in rows)
     assert bpe.encode(empty, queries.vocabulary("byte_bpe_50k.json")).count() == 0
 
 
