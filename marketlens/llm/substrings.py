@@ -177,7 +177,7 @@ def repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
     def picks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for run in slices(batch.column("_t")):
+            for run in slices(batch.column("_t"), 1 << 20):
                 data, ends = joined(run)
                 place, h = anchors.pick(data, ends)
                 owner = np.searchsorted(ends, place, side="right")
