@@ -76,3 +76,54 @@ def stream_track_outcomes(spark, sf):
 def stream_events_once(spark, sf):
     d = event_stream(spark, sf).select(F.sha2(F.concat_ws("|", F.col("mint").cast("string"), "pair"), 256).alias("event_id"))
     return st.run_available(st.once(d, "event_id"), "once")
+
+
+def wide_stream(spark, sf):
+    return event_stream(spark, sf).select("id", "mint", "ts", "pair", "price", "k", F.expr("cast(k * 1000 as double)").alias("liq"), F.expr("cast((k * 13) % 50 * 200 as double)").alias("vol_m5"),
+                                          F.expr("k % 20").alias("buys_m5"), F.expr("(k * 3) % 20").alias("sells_m5"))
+
+
+REACH = {"oldest": 3 * b.DAY, "newest": b.DAY, "max_gap": b.GAP}
+
+
+@query("R5 X2", ORACLES["gap_baseline"])
+def stream_gap_baseline(spark, sf):
+    rule = rules.quiet(rules.gap_baseline(min(pa.LEVELS), b.GAP), 7 * b.DAY)
+    return st.run_available(st.keyed_rule(wide_stream(spark, sf), ["mint"], rule, "id long, mint long, ts long, price double"), "gap-baseline")
+
+
+@query("R6 X2", ORACLES["liquidity_drop"])
+def stream_liquidity_drop(spark, sf):
+    rule = rules.quiet(rules.liquidity_drop(0.85, **REACH), 2 * b.COOLDOWN)
+    d = st.run_available(st.keyed_rule(wide_stream(spark, sf), ["mint"], rule, "id long, mint long, ts long, liq_ratio double"), "liquidity")
+    return d.select("id", "mint", "ts", F.round("liq_ratio", 6).alias("liq_ratio"))
+
+
+@query("R7 X2", ORACLES["activity_watch"])
+def stream_activity_watch(spark, sf):
+    rule = rules.quiet(rules.activity_watch(20.0, **REACH), 2 * b.COOLDOWN)
+    return st.run_available(st.keyed_rule(wide_stream(spark, sf), ["mint"], rule, "id long, mint long, ts long, price double"), "activity")
+
+
+def check_stream(spark, sf):
+    return event_stream(spark, sf).select("id", "mint", "ts", F.col("pair").isin("purchase", "click").alias("ok"), (F.col("ts") >= b.NOW - 2 * b.DAY).alias("stopped"),
+                                          (F.col("k") >= 95).alias("paused"), (F.col("k") < 3).alias("unhealthy"))
+
+
+@query("R13 X2", ORACLES["stall_detection"])
+def stream_stall_detection(spark, sf):
+    d = st.keyed_rule(check_stream(spark, sf), ["mint"], rules.stall(b.DAY), "id long, mint long, last_success long, status string")
+    return st.run_available(d, "stalls")
+
+
+@query("R12 X2", ORACLES["incident_transitions"])
+def stream_incident_transitions(spark, sf):
+    d = st.keyed_rule(check_stream(spark, sf), ["mint"], rules.incidents_of_checks(b.DAY, b.DAY // 2), "id long, mint long, delivery string")
+    return st.run_available(d, "incidents")
+
+
+@query("R16 X2", ORACLES["identity_reset"])
+def stream_identity_reset(spark, sf):
+    d = wide_stream(spark, sf).withColumn("fp", F.expr("k div 34"))
+    rule = rules.identity_reset(b.DAY // 4, b.DAY + b.DAY // 4)
+    return st.run_available(st.keyed_rule(d, ["mint"], rule, "id long, mint long, epoch long, move_pct double"), "identity")

@@ -128,3 +128,94 @@ def sequence_guard(arrival="id"):
         return s, [{arrival: r[arrival], "sequence_reason": why}]
 
     return step
+
+
+def quiet(inner, cooldown):
+    """What ``inner`` gives, but after each output of a key nothing for ``cooldown`` seconds."""
+    def step(s, r):
+        inside, free_at = s or (None, None)
+        inside, out = inner(inside, r)
+        if not out or (free_at is not None and r["ts"] < free_at):
+            return [inside, free_at], []
+        return [inside, r["ts"] + cooldown], out
+
+    return step
+
+
+def gap_baseline(lowest, max_gap=90):
+    """Rows that open a series (start or gap) at or above ``lowest``."""
+    def step(s, r):
+        opens = s is None or r["ts"] - s > max_gap
+        return r["ts"], [{"id": r["id"], "ts": r["ts"], "price": r["price"]}] if opens and r["price"] >= lowest else []
+
+    return step
+
+
+def against_reference(judge, cols, oldest=360, newest=300, max_gap=90):
+    """``judge(row, reference)`` for every row with a reference: the latest row from ``oldest`` to ``newest`` seconds
+    before it on the same gap-free stretch. The memory holds the rows of ``oldest`` seconds and is emptied by a gap."""
+    def step(s, r):
+        rows = [] if s and r["ts"] - s[-1][0] > max_gap else s or []
+        rows = [x for x in rows if x[0] >= r["ts"] - oldest]
+        fit = [x for x in rows if x[0] <= r["ts"] - newest]
+        out = judge(r, dict(zip(cols, fit[-1][1:]))) if fit else None
+        return [*rows, [r["ts"], *(r[c] for c in cols)]], [] if out is None else [{"id": r["id"], "ts": r["ts"], **out}]
+
+    return step
+
+
+def liquidity_drop(floor=0.85, **reach):
+    def judge(r, ref):
+        ratio = r["liq"] / ref["liq"] if ref["liq"] else None
+        return {"liq_ratio": ratio} if ratio is not None and ratio <= floor else None
+
+    return against_reference(judge, ("liq",), **reach)
+
+
+def activity_watch(lowest_level, min_volume=100, **reach):
+    def judge(r, ref):
+        total = r["buys_m5"] + r["sells_m5"]
+        busy = ref["vol_m5"] >= min_volume and r["vol_m5"] >= 2 * ref["vol_m5"] and total >= 20 and r["buys_m5"] / total >= 0.6
+        firm = r["price"] > ref["price"] and r["price"] >= lowest_level * 0.95 and ref["liq"] > 0 and r["liq"] >= ref["liq"] * 0.95
+        return {"price": r["price"]} if busy and firm else None
+
+    return against_reference(judge, ("liq", "price", "vol_m5"), **reach)
+
+
+def stall(stale_after=180):
+    """Status of every check from the flags ``ok``, ``paused``, ``unhealthy`` and ``stopped`` of its row."""
+    def step(s, r):
+        last = r["ts"] if r["ok"] else s
+        silent = last is None or r["ts"] - last > stale_after
+        status = "paused" if r["paused"] else "unhealthy" if r["unhealthy"] else "stopped" if r["stopped"] else "stalled" if silent else "collecting"
+        return last, [{"id": r["id"], "ts": r["ts"], "last_success": last, "status": status}]
+
+    return step
+
+
+def incidents_of_checks(stale_after=180, retry=300):
+    """Deliveries straight from check rows: the status rule feeds the notice rule."""
+    checks, notices = stall(stale_after), incident_transitions(retry)
+
+    def step(s, r):
+        a, b = s or (None, None)
+        a, found = checks(a, r)
+        b, out = notices(b, {**r, "status": found[0]["status"]})
+        return [a, b], out
+
+    return step
+
+
+def identity_reset(window, tolerance):
+    """Movement in percent against the latest row ``window`` to ``window + tolerance`` seconds before, among rows since the
+    fingerprint ``fp`` last changed; ``epoch`` counts the changes."""
+    def step(s, r):
+        fp, epoch, rows = s or (r["fp"], 0, [])
+        if r["fp"] != fp:
+            fp, epoch, rows = r["fp"], epoch + 1, []
+        rows = [x for x in rows if x[0] >= r["ts"] - window - tolerance]
+        base = [x[1] for x in rows if x[0] <= r["ts"] - window]
+        pct = round((r["price"] / base[-1] - 1) * 100, 6) if base and base[-1] else None
+        return [fp, epoch, [*rows, [r["ts"], r["price"]]]], [{"id": r["id"], "epoch": epoch, "move_pct": pct}]
+
+    return step
