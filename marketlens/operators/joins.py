@@ -91,9 +91,9 @@ def outcomes_by_horizon(cases: DataFrame, outcomes: DataFrame, metrics: DataFram
     """Every case and horizon with its outcome, and the metric measured at the same instant."""
     grid = cases.withColumn("horizon", F.explode(F.array(*[F.lit(h).cast("long") for h in horizons])))
     d = grid.join(outcomes, ["id", "horizon"], "left")
-    m = metrics.withColumnRenamed("observed_ts", "metric_ts")
-    on = (d.id == m.id) & (d.horizon == m.horizon) & (d.observed_ts == m.metric_ts)
-    return d.join(m, on, "left").drop(m.id).drop(m.horizon)
+    m = metrics.withColumnsRenamed({"observed_ts": "metric_ts", "id": "_mid", "horizon": "_mh"})
+    on = (F.col("id") == F.col("_mid")) & (F.col("horizon") == F.col("_mh")) & (F.col("observed_ts") == F.col("metric_ts"))
+    return d.join(m, on, "left").drop("_mid", "_mh")
 
 
 def exclude_members(df: DataFrame, excluded: DataFrame, keys: list[str], limit_first: int | None = None,

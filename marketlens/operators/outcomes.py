@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.numeric import finite, wilson
 from marketlens.operators.features import label_outcome
 from marketlens.operators.joins import window_lookup
+from marketlens.operators.timeline import chunk_of, previous
 
 
 def horizon_outcomes(cases: DataFrame, obs: DataFrame, keys: list[str], horizons: list[int], late: int = 180) -> DataFrame:
@@ -26,26 +27,31 @@ def horizon_outcomes(cases: DataFrame, obs: DataFrame, keys: list[str], horizons
 def horizon_metrics(cases: DataFrame, obs: DataFrame, keys: list[str], horizons: list[int], max_gap: int = 180) -> DataFrame:
     """Samples, largest step (decision and due time included), extreme multiples and coverage.
 
-    The peak excludes a timely endpoint after the due time and includes the multiple 1 of the entry.
-    The list per case is bounded by one observation per bucket of the source.
+    The peak excludes a timely endpoint after the due time and includes the multiple 1 of the entry. Cases meet
+    the observations of their longest horizon in chunks of that length and are aggregated at once: no list is
+    built. The step into an observation is known beforehand; into the first one it starts at the decision.
     """
     top = max(horizons)
-    d = window_lookup(cases, obs, keys, "decision_ts", "ts", ["mc"], 0, top, {
-        "_o": (0, top, lambda r: F.collect_list(r))})
-    d = d.withColumn("horizon", F.explode(F.array(*[F.lit(h).cast("long") for h in horizons])))
-    d = d.withColumn("_in", F.filter("_o", lambda r: r["_rts"] <= F.col("decision_ts") + F.col("horizon")))
-    due = F.col("decision_ts") + F.col("horizon")
-    times = F.concat(F.array("decision_ts"), F.col("_in._rts"), F.array(due))
-    d = d.withColumn("_t", times)
-    steps = F.transform(F.sequence(F.lit(2), F.size("_t")),
-                        lambda i: F.element_at("_t", i) - F.element_at("_t", i - 1))
-    d = d.withColumn("samples", F.size("_in").cast("long")).withColumn("max_gap", F.array_max(steps))
-    mult = F.transform("_in", lambda r: r["mc"] / F.expr("nullif(entry_mc, 0)"))
+    order = ["ts", "id"] if "id" in obs.columns else ["ts"]
+    o = previous(obs.select(*keys, *order, "mc"), keys, order, 4 * top, {"_pts": "ts"}).withColumn("_chunk", chunk_of("ts", top)).select(*keys, "_chunk", "ts", "mc", "_pts")
+    c = cases.select("id", *keys, "decision_ts", "entry_mc")
+    at = F.explode(F.sequence(chunk_of("decision_ts", top), chunk_of(F.col("decision_ts") + top, top)))
+    met = c.withColumn("_chunk", at).join(o, [*keys, "_chunk"]).withColumn("_after", F.col("ts") - F.col("decision_ts")).filter(F.col("_after").between(0, top))
+    step = F.least(F.col("ts") - F.col("_pts"), F.col("_after"))
+    in_time = lambda h, x: F.when(F.col("_after") <= h, x)
+    g = met.groupBy("id").agg(*[f for h in horizons for f in (
+        F.count(in_time(h, F.lit(1))).alias(f"_n{h}"), F.max(in_time(h, step)).alias(f"_s{h}"), F.max(in_time(h, F.col("_after"))).alias(f"_l{h}"),
+        F.max(in_time(h, F.col("mc"))).alias(f"_hi{h}"), F.min(in_time(h, F.col("mc"))).alias(f"_lo{h}"))])
+    each = F.array(*[F.struct(F.lit(h).cast("long").alias("horizon"), F.coalesce(f"_n{h}", F.lit(0)).cast("long").alias("samples"),
+                              F.greatest(F.coalesce(f"_s{h}", F.lit(0)), F.lit(h) - F.coalesce(f"_l{h}", F.lit(0))).cast("long").alias("max_gap"),
+                              F.col(f"_hi{h}").alias("hi"), F.col(f"_lo{h}").alias("lo")) for h in horizons])
+    d = c.select("id", "entry_mc").join(g, "id", "left").select("id", "entry_mc", F.explode(each).alias("_e")).select("id", "entry_mc", "_e.*")
     ok = F.col("entry_mc") > 0
+    mult = lambda x: F.col(x) / F.expr("nullif(entry_mc, 0)")
     return d.select("id", "horizon", "samples", "max_gap",
                     ((F.col("samples") > 0) & (F.col("max_gap") <= max_gap) & ok).alias("coverage_ok"),
-                    F.when(ok, F.greatest(F.lit(1.0), F.array_max(mult))).alias("max_mult"),
-                    F.when(ok, F.least(F.lit(1.0), F.array_min(mult))).alias("min_mult"))
+                    F.when(ok, F.greatest(F.lit(1.0), mult("hi"))).alias("max_mult"),
+                    F.when(ok, F.least(F.lit(1.0), mult("lo"))).alias("min_mult"))
 
 
 def case_state(cases: DataFrame, obs: DataFrame, keys: list[str], horizon: int) -> DataFrame:

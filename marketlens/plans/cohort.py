@@ -116,8 +116,8 @@ SAMPLED = STUDY + """, need AS (SELECT ts // 86400 AS day, count(*) AS need FROM
 """
 
 
-def sampled(spark, sf):
-    return co.hash_sample_by_stratum(eligible(spark, sf), F.expr("ts div 86400"), F.col("label") == "run",
+def sampled(spark, sf, rows=None):
+    return co.hash_sample_by_stratum(eligible(spark, sf) if rows is None else rows, F.expr("ts div 86400"), F.col("label") == "run",
                                      F.col("label") == "non_run", "seed-1", ["mint", "pair", "ts"])
 
 
@@ -132,8 +132,9 @@ def hash_sample_by_stratum(spark, sf):
   round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS p75 FROM longer GROUP BY ALL""")
 def feature_contrast(spark, sf):
     cols = ["group", *CONTRAST]
-    d = eligible(spark, sf).filter("label = 'run'").withColumn("group", F.lit("run")).select(*cols)
-    d = d.unionByName(sampled(spark, sf).withColumn("group", F.lit("non_run")).select(*cols))
+    rows = eligible(spark, sf)
+    d = rows.filter("label = 'run'").withColumn("group", F.lit("run")).select(*cols)
+    d = d.unionByName(sampled(spark, sf, rows).withColumn("group", F.lit("non_run")).select(*cols))
     return st.feature_contrast(d, "group", CONTRAST).select("group", "feature", "n", "missing", r6("p25"), r6("median"), r6("p75"))
 
 

@@ -68,7 +68,7 @@ def outcomes(spark, sf, c=None):
 def joined(spark, sf):
     """Cases with outcomes and metrics; where the endpoint is a view event the metric was not stored."""
     c = cut_lineage(cases(spark, sf))     # decisions only; read three times below
-    o = outcomes(spark, sf, c)
+    o = cut_lineage(outcomes(spark, sf, c))
     m = oc.horizon_metrics(c, b.snapshots(spark, sf), ["mint"], HOURS, b.GAP)
     m = m.join(o.filter("end_pair <> 'view'").select("id", "horizon", "observed_ts"), ["id", "horizon"])
     slim = c.select("id", "mint", "source", "regime", "score", "decision_ts", "entry_mc", "entry_liq")
