@@ -157,3 +157,36 @@ def cluster_bootstrap(df: DataFrame, cluster: str, num: Column, den: Column, rep
     return total.select("clusters", (F.col("_n") / F.nullif(F.col("_d"), F.lit(0))).alias("estimate"), readable.alias("readable"),
                         F.when(readable, cut.select("p025").scalar()).alias("p025"),
                         F.when(readable, cut.select("p975").scalar()).alias("p975"))
+
+
+def arm_bootstrap(df: DataFrame, cluster: str, arm: str, rates: dict[str, Column], base: str, reps: int = 2000, seed: str = "1",
+                  min_clusters: int = 10) -> DataFrame:
+    """Per arm and rate: the estimate, its difference to the ``base`` arm and the percentile interval over clusters drawn with
+    replacement. ``rates`` are conditions; an arm without rows in a draw adds nothing to its interval.
+
+    ``df`` has a row for each observation and arm. Draws are those of ``cluster_bootstrap``; the clusters are all that
+    occur in any arm. Rows are first reduced to one per cluster and arm.
+    """
+    per = cut_lineage(df.groupBy(cluster, F.col(arm).alias("arm")).agg(F.count(F.lit(1)).alias("_d"), *[F.count_if(c).alias(n) for n, c in rates.items()]))
+    days = running(per.select(F.col(cluster).cast("long").alias("_o")).distinct(), [], ["_o"], 64, {"_i": ("sum", F.lit(1))}).select("_o", (F.col("_i") - 1).alias("_i"))
+    days = cut_lineage(days)
+    k = days.count()
+    draws = (days.select(F.col("_i").alias("_place")).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+             .withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col("_rep").cast("string"), F.col("_place").cast("string"))))
+             .select("_rep", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % max(k, 1)).alias("_i")))
+    # How often each draw takes each cluster, so a cluster drawn twice costs no more than one.
+    taken = draws.groupBy("_rep", "_i").agg(F.count(F.lit(1)).alias("_t"))
+    names = list(rates)
+    drawn = taken.join(days, "_i").join(per, F.col("_o") == F.col(cluster)).groupBy("_rep", "arm").agg(
+        F.sum(F.col("_d") * F.col("_t")).alias("_d"), *[F.sum(F.col(n) * F.col("_t")).alias(n) for n in names])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("rate"), (F.col(n) / F.col("_d")).alias("v")) for n in names]))
+    # One value per repetition: each list is as long as ``reps``.
+    cut = drawn.select("arm", each.alias("_e")).groupBy("arm", "_e.rate").agg(F.sort_array(F.collect_list("_e.v")).alias("_s"))
+    at = lambda q: F.try_element_at("_s", (F.least(F.size("_s") - 1, F.floor(F.size("_s") * q)) + 1).cast("int"))
+    cut = cut.select("arm", "rate", at(0.025).alias("p025"), at(0.975).alias("p975"))
+    whole = per.groupBy("arm").agg(F.sum("_d").alias("_d"), *[F.sum(n).alias(n) for n in names]).select("arm", each.alias("_e")).select("arm", "_e.rate", F.col("_e.v").alias("estimate"))
+    first = whole.filter(F.col("arm") == base).select("rate", F.col("estimate").alias("_b"))
+    readable = F.lit(k >= min_clusters)
+    d = whole.join(first, "rate", "left").join(cut, ["arm", "rate"], "left")
+    return d.select("arm", "rate", F.lit(k).cast("long").alias("clusters"), readable.alias("readable"), "estimate", (F.col("estimate") - F.col("_b")).alias("difference"),
+                    F.when(readable, F.col("p025")).alias("p025"), F.when(readable, F.col("p975")).alias("p975"))

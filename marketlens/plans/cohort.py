@@ -151,6 +151,23 @@ def cluster_bootstrap(spark, sf):
     return out.select("clusters", r6("estimate"), "readable", r6("p025"), r6("p975"))
 
 
+@query("E5", STUDY + """, dl AS (SELECT ts // 86400 AS day, arm, count(*) AS d, count(*) FILTER (label = 'run') AS r, count(*) FILTER (endpoint_multiple >= 2) AS e FROM arms GROUP BY ALL),
+ idx AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT day FROM dl)),
+ draws AS (SELECT rep, ('0x' || substr(md5(concat_ws('|', 'boot', rep, i)), 1, 8))::BIGINT % k AS pick FROM idx, range(2000) q(rep)),
+ rt AS (SELECT rep, arm, sum(r) / sum(d) AS r, sum(e) / sum(d) AS e FROM draws JOIN idx ON idx.i = pick JOIN dl USING (day) GROUP BY ALL),
+ lg AS (SELECT arm, 'run_rate' AS rate, list(r ORDER BY r) AS s, count(*) AS m FROM rt GROUP BY arm UNION ALL SELECT arm, 'endpoint_2x_rate', list(e ORDER BY e), count(*) FROM rt GROUP BY arm),
+ es AS (SELECT arm, 'run_rate' AS rate, sum(r) / sum(d) AS estimate FROM dl GROUP BY arm UNION ALL SELECT arm, 'endpoint_2x_rate', sum(e) / sum(d) FROM dl GROUP BY arm),
+ kk AS (SELECT count(*) AS clusters FROM idx)
+ SELECT es.arm, es.rate, clusters, clusters >= 10 AS readable, round(es.estimate, 6) AS estimate, round(es.estimate - b.estimate, 6) AS difference,
+  CASE WHEN clusters >= 10 THEN round(s[CAST(least(m - 1, floor(m * 0.025)) AS INT) + 1], 6) END AS p025, CASE WHEN clusters >= 10 THEN round(s[CAST(least(m - 1, floor(m * 0.975)) AS INT) + 1], 6) END AS p975
+ FROM es JOIN es b ON b.rate = es.rate AND b.arm = 'A0' JOIN lg ON lg.arm = es.arm AND lg.rate = es.rate, kk""")
+def arm_bootstrap(spark, sf):
+    """Run and endpoint rates of the nested arms with intervals over days, and their differences to the first arm."""
+    d = co.select_arms(eligible(spark, sf), 1.5, 5).withColumn("day", F.expr("ts div 86400"))
+    out = st.arm_bootstrap(d, "day", "arm", {"run_rate": F.col("label") == "run", "endpoint_2x_rate": F.col("endpoint_multiple") >= 2}, "A0", 2000, "boot")
+    return out.select("arm", "rate", "clusters", "readable", *[r6(c) for c in ("estimate", "difference", "p025", "p975")])
+
+
 # --- matching ---------------------------------------------------------------------------------
 
 # The grid works on logarithms with a hair of slack; WITHIN_2X decides the border exactly.
