@@ -15,33 +15,38 @@ def over_share(amount: str, supply: str, limit_pct: float) -> Column:
     return wide(amount) * 100 > wide(supply) * F.lit(limit_pct).cast("decimal(9,6)")
 
 
-def extract_transfers(tx: DataFrame) -> DataFrame:
+def extract_transfers(tx: DataFrame, valid=None) -> DataFrame:
     """Edges of successful transactions from top-level and inner instructions.
 
-    ``tx``: sig, failed, block_time, owners map<account, owner>, instructions array<struct<program, kind,
-    source, target, amount, asset>>, inner array<struct<index, instructions>>. ``path`` is ``i`` or
-    ``i.j``. Token accounts resolve to their owners; ``owner_resolution`` tells whether both did.
+    ``tx``: sig, slot, failed, block_time, signers array<string>, balances array<struct<account, owner, mint>> (rows before,
+    then after), instructions array<struct<program, kind, source, target, amount, asset>>, inner
+    array<struct<index, instructions>>. ``path`` is ``i`` or ``i.j``. Token accounts resolve to the owner of their last balance
+    row; ``owner_resolution`` tells whether both did. A transfer that names no mint takes that of its source account, then of its
+    target. ``valid`` is a column test on both ends (an address check, say); ends that are null never count.
     """
-    ok = tx.filter("NOT failed")
-    top = ok.select("sig", "block_time", "owners", F.posexplode("instructions").alias("_i", "ins")).select(
-        "sig", "block_time", "owners", F.col("_i").cast("string").alias("path"), "ins")
-    inner = (ok.select("sig", "block_time", "owners", F.explode("inner").alias("g"))
-             .select("sig", "block_time", "owners", F.col("g.index").alias("_x"), F.posexplode("g.instructions").alias("_j", "ins"))
-             .select("sig", "block_time", "owners", F.concat_ws(".", F.col("_x").cast("string"), F.col("_j").cast("string")).alias("path"), "ins"))
+    base = ["sig", "slot", "block_time", "signers", "balances"]
+    ok = tx.filter(~F.coalesce("failed", F.lit(True)))
+    top = ok.select(*base, F.posexplode("instructions").alias("_i", "ins")).select(*base, F.col("_i").cast("string").alias("path"), "ins")
+    inner = (ok.select(*base, F.explode("inner").alias("g"))
+             .select(*base, F.col("g.index").alias("_x"), F.posexplode("g.instructions").alias("_j", "ins"))
+             .select(*base, F.concat_ws(".", F.col("_x").cast("string"), F.col("_j").cast("string")).alias("path"), "ins"))
     d = top.unionByName(inner)
     kind, program = F.col("ins.kind"), F.col("ins.program")
     relation = (F.when((program == "system") & kind.isin("transfer", "transferWithSeed"), "native_transfer")
                 .when((program == "token") & kind.isin("transfer", "transferChecked"), "token_transfer")
                 .when((program == "token") & kind.isin("initializeMint", "initializeMint2"), "mint_authority_at_initialization"))
-    so, to = F.try_element_at("owners", F.col("ins.source")), F.try_element_at("owners", F.col("ins.target"))
-    token = relation == "token_transfer"
-    d = d.withColumn("relation", relation).filter("relation is not null")
-    return d.select("sig", "path", "block_time", "relation",
-                    F.when(token, F.coalesce(so, "ins.source")).otherwise(F.col("ins.source")).alias("source"),
-                    F.when(token, F.coalesce(to, "ins.target")).otherwise(F.col("ins.target")).alias("target"),
-                    F.when(relation == "native_transfer", "SOL").otherwise(F.col("ins.asset")).alias("asset"),
-                    F.col("ins.amount").alias("amount"), F.when(token, so.isNotNull() & to.isNotNull()).alias("owner_resolution")
-                    ).filter("source is not null and target is not null")
+    held = lambda end: F.try_element_at(F.filter("balances", lambda b: (b["account"] == F.col(end)) & b["owner"].isNotNull()), F.lit(-1))
+    d = d.withColumn("relation", relation).filter("relation is not null").withColumn("_s", held("ins.source")).withColumn("_t", held("ins.target"))
+    token = F.col("relation") == "token_transfer"
+    native = F.col("relation") == "native_transfer"
+    d = d.select("sig", "slot", "path", "block_time", "relation",
+                 F.when(token, F.coalesce("_s.owner", "ins.source")).otherwise(F.col("ins.source")).alias("source"),
+                 F.when(token, F.coalesce("_t.owner", "ins.target")).otherwise(F.col("ins.target")).alias("target"),
+                 F.when(native, "SOL").when(token, F.coalesce("ins.asset", "_s.mint", "_t.mint")).otherwise(F.col("ins.asset")).alias("asset"),
+                 F.col("ins.amount").alias("amount"), F.when(token, F.col("_s.owner").isNotNull() & F.col("_t.owner").isNotNull()).alias("owner_resolution"),
+                 F.when(~token & ~native, F.col("signers")).alias("signers"))
+    d = d.filter("source is not null and target is not null")
+    return d if valid is None else d.filter(valid(F.col("source")) & valid(F.col("target")))
 
 
 def shared_senders(edges: DataFrame, selected: DataFrame, infrastructure: DataFrame | None = None) -> DataFrame:

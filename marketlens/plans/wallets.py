@@ -310,20 +310,26 @@ def tx_documents(spark, sf):
     kind = F.when(F.col("rf") == "N", "transfer").when(F.col("rf") == "A", "transferChecked").otherwise("initializeMint")
     sup = F.col("l_suppkey").cast("string")
     ins = F.struct(prog.alias("program"), kind.alias("kind"), F.concat(F.lit("a"), sup).alias("source"), F.col("owner").alias("target"), F.col("amount").alias("amount"),
-                   F.col("token").cast("string").alias("asset"))
+                   F.when((F.col("rf") != "A") | (F.col("l_linenumber") % 2 == 0), F.col("token").cast("string")).alias("asset"))
     row = F.struct("l_linenumber", "token", "l_suppkey", F.col("amount").alias("_amount"), "rf", "ls", ins.alias("ins"))
     pick = lambda cond: F.transform(F.sort_array(F.collect_list(F.when(cond, row))), lambda r: r["ins"])
-    own = F.struct(F.concat(F.lit("a"), sup).alias("k"), F.concat(F.lit("o"), sup).alias("v"))
+    # Source accounts of most suppliers have a balance row; the order's target has one if an even token moved to it.
+    own = F.struct(F.concat(F.lit("a"), sup).alias("account"), F.concat(F.lit("o"), sup).alias("owner"), F.concat(F.lit("m"), sup).alias("mint"))
+    got = F.struct(F.col("owner").alias("account"), F.concat(F.lit("w"), F.col("owner")).alias("owner"), F.lit(None).cast("string").alias("mint"))
+    rows = F.concat(F.collect_set(F.when(F.col("l_suppkey") % 3 != 0, own)), F.collect_set(F.when((F.col("rf") == "A") & (F.col("token") % 2 == 0), got)))
     d = ln.groupBy("l_orderkey").agg(F.max(F.col("o_orderstatus") == "P").alias("failed"), F.max("block_time").alias("block_time"), pick(F.col("l_linenumber") <= 4).alias("instructions"),
-                                     pick(F.col("l_linenumber") > 4).alias("_in"), F.map_from_entries(F.collect_set(F.when(F.col("l_suppkey") % 3 != 0, own))).alias("owners"))
-    return d.select(F.col("l_orderkey").alias("sig"), "failed", "block_time", "instructions", F.array(F.struct(F.lit(1).alias("index"), F.col("_in").alias("instructions"))).alias("inner"), "owners")
+                                     pick(F.col("l_linenumber") > 4).alias("_in"), rows.alias("balances"), F.array(F.max("owner")).alias("signers"))
+    return d.select(F.col("l_orderkey").alias("sig"), (F.col("l_orderkey") * 2).alias("slot"), "signers", "failed", "block_time", "instructions", F.array(F.struct(F.lit(1).alias("index"), F.col("_in").alias("instructions"))).alias("inner"), "balances")
 
 
-@query("G1", TXS + """SELECT l_orderkey AS sig, path, CASE rf WHEN 'N' THEN 'native_transfer' WHEN 'A' THEN 'token_transfer' ELSE 'mint_authority_at_initialization' END AS relation,
- CASE WHEN rf = 'A' AND l_suppkey % 3 <> 0 THEN 'o' || l_suppkey ELSE 'a' || l_suppkey END AS source, owner AS target, CASE WHEN rf = 'N' THEN 'SOL' ELSE token::VARCHAR END AS asset, amount, CASE WHEN rf = 'A' THEN false END AS owner_resolution
- FROM x WHERE NOT (rf = 'R' AND ls = 'O')""")
+@query("G1", TXS + """, y AS (SELECT *, l_suppkey % 3 <> 0 AS so, bool_or(rf = 'A' AND token % 2 = 0) OVER (PARTITION BY l_orderkey) AS tgt FROM ln WHERE o_orderstatus <> 'P'),
+ z AS (SELECT x.*, x.l_suppkey % 3 <> 0 AS so, t.tgt FROM x JOIN (SELECT DISTINCT l_orderkey, tgt FROM y) t USING (l_orderkey))
+ SELECT l_orderkey AS sig, l_orderkey * 2 AS slot, path, CASE rf WHEN 'N' THEN 'native_transfer' WHEN 'A' THEN 'token_transfer' ELSE 'mint_authority_at_initialization' END AS relation,
+ CASE WHEN rf = 'A' AND so THEN 'o' || l_suppkey ELSE 'a' || l_suppkey END AS source, CASE WHEN rf = 'A' AND tgt THEN 'w' || owner ELSE owner END AS target,
+ CASE WHEN rf = 'N' THEN 'SOL' WHEN rf = 'A' AND l_linenumber % 2 = 1 THEN CASE WHEN so THEN 'm' || l_suppkey END ELSE token::VARCHAR END AS asset, amount, CASE WHEN rf = 'A' THEN so AND tgt END AS owner_resolution, CASE WHEN rf = 'R' THEN owner END AS signer
+ FROM z WHERE NOT (rf = 'R' AND ls = 'O')""")
 def extract_transfers(spark, sf):
-    return gr.extract_transfers(tx_documents(spark, sf)).select("sig", "path", "relation", "source", "target", "asset", "amount", "owner_resolution")
+    return gr.extract_transfers(tx_documents(spark, sf)).select("sig", "slot", "path", "relation", "source", "target", "asset", "amount", "owner_resolution", F.try_element_at("signers", F.lit(1)).alias("signer"))
 
 
 TRACE = LINES + """, p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, token, l_suppkey, amount, rf, ls) AS pos FROM ln),

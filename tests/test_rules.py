@@ -158,12 +158,16 @@ def test_stop_waits_for_unresolved(spark):
 
 def test_failed_transaction_has_no_edges(spark):
     ins = "array<struct<program:string,kind:string,source:string,target:string,amount:long,asset:string>>"
-    schema = f"sig string, failed boolean, block_time long, owners map<string,string>, instructions {ins}, inner array<struct<index:int,instructions:{ins}>>"
+    schema = (f"sig string, slot long, failed boolean, block_time long, signers array<string>, balances array<struct<account:string,owner:string,mint:string>>, instructions {ins}, "
+              f"inner array<struct<index:int,instructions:{ins}>>")
     one = ("system", "transfer", "a", "b", 5, None)
     tok = ("token", "transferChecked", "x", "y", 7, "T")
-    rows = [("s1", False, 1, {"x": "X"}, [one], [(0, [tok])]), ("s2", True, 1, {}, [one], [])]
+    plain = ("token", "transfer", "x", "y", 7, None)
+    rows = [("s1", 9, False, 1, ["a"], [("x", "X", "M")], [one], [(0, [tok, plain])]), ("s2", 9, True, 1, [], [], [one], []), ("s3", 9, False, 1, [], [("x", "W", "M"), ("x", "X", "M"), ("y", "Y", "N")], [plain], [])]
     got = {(r["sig"], r["path"], r["relation"], r["source"], r["target"], r["owner_resolution"]) for r in gr.extract_transfers(spark.createDataFrame(rows, schema)).collect()}
-    assert got == {("s1", "0", "native_transfer", "a", "b", None), ("s1", "0.0", "token_transfer", "X", "y", False)}
+    assert got == {("s1", "0", "native_transfer", "a", "b", None), ("s1", "0.0", "token_transfer", "X", "y", False), ("s1", "0.1", "token_transfer", "X", "y", False), ("s3", "0", "token_transfer", "X", "Y", True)}
+    assert {r["asset"] for r in gr.extract_transfers(spark.createDataFrame(rows, schema)).filter("path <> '0' OR sig = 's3'").collect()} == {"T", "M"}
+    assert gr.extract_transfers(spark.createDataFrame(rows, schema), lambda c: F.length(c) > 1).count() == 0
 
 
 def test_reconciliation(spark):
