@@ -65,6 +65,34 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
     return d.filter(jaccard("_ta", "_tb") >= similarity).select("a", "b")
 
 
+def prefix_pairs(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Every pair of ``members`` (``_p, _c``) of different components ``_c`` that can reach ``similarity``, and few others.
+
+    Sets of a and b shingles are that similar only if they share s / (1 + s) (a + b) of them. So, with the shingles of
+    both in one order, the first they share lies among the a (or b) less that many first ones. Rare shingles come
+    first: variants of one text that differ in several words are led by shingles of their own and never meet, however
+    many they are, and a shingle whose members are joined already is left out.
+    """
+    @F.arrow_udf("array<long>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([shingles(t.as_py(), words).view(np.int64) for t in batch], pa.list_(pa.int64()))
+
+    d = members.join(texts.select("_p", "_text"), "_p").select("_p", "_c", cut("_text").alias("_s"))
+    d = stored(d.select("_p", "_c", F.size("_s").alias("_n"), F.explode("_s").alias("_t")), "paragraph-shingles")
+    often = stored(d.groupBy("_t").agg(F.count(F.lit(1)).alias("_f")), "paragraph-often")
+    # A list per paragraph, as long as the paragraph; only its head is kept.
+    order = d.join(often, "_t").groupBy("_p", "_c", "_n").agg(F.sort_array(F.collect_list(F.struct("_f", "_t"))).alias("_s"))
+    head = F.slice("_s", F.lit(1), (F.col("_n") - F.ceil(F.col("_n") * similarity - 1e-9) + 1).cast("int"))
+    d = stored(order.select("_p", "_c", "_n", F.posexplode(head).alias("_at", "_x")).select("_p", "_c", "_n", "_at", F.col("_x._t").alias("_t")), "paragraph-heads")
+    open_ = stored(d.groupBy("_t").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).filter("_lo <> _hi").select("_t"), "paragraph-open")
+    d = stored(d.join(open_, "_t"), "paragraph-meet")
+    a, b = (d.select("_t", F.col("_p").alias(x), F.col("_c").alias(f"_c{x}"), F.col("_n").alias(f"_n{x}"), F.col("_at").alias(f"_at{x}")) for x in "ab")
+    need = F.ceil((F.col("_na") + F.col("_nb")) * (similarity / (1 + similarity)) - 1e-9)
+    reach = F.least(F.col("_na") - F.col("_ata"), F.col("_nb") - F.col("_atb"))
+    return a.join(b, (a["_t"] == b["_t"]) & (F.col("_ca") < F.col("_cb")) & (reach >= need)).select("a", "b").distinct()
+
+
 def connect(links: DataFrame) -> DataFrame:
     """``_p, component`` of every paragraph with a link."""
     e = links.withColumn("_g", F.lit(0))
@@ -79,9 +107,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     (smallest id, then place) is its name and stays, the others are removed.
 
     Equal paragraphs are one node. Band keys (16 of 4 minima find a pair of similarity 0.8 with a
-    probability of 0.9998) bring colliding paragraphs together in two rounds: each is verified against the first of its key,
-    then every pair under one key that those links have not joined yet. So a large group of near copies
-    costs links in proportion to its rows, and no collision goes unchecked.
+    probability of 0.9998) bring colliding paragraphs together in two rounds: each is verified against the first of its key;
+    then the paragraphs of keys that those links have not joined into one are paired with each other as
+    ``prefix_pairs`` says and verified. So a large group of near copies costs in proportion to its rows, and no
+    colliding pair that can be similar goes unchecked.
 
     Null texts, and lines of fewer than ``least_words`` words, have no paragraphs; null ids sort last; repeated rows are
     occurrences of their own (repeats of the first stay with it); an empty table gives no rows. Lines of any length are taken whole.
@@ -106,9 +135,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     label = F.coalesce("component", "_p").alias("_c")
     told = stored(met.join(connect(links), "_p", "left").select("_k", "_p", label), "paragraph-labels")
     mixed = stored(told.groupBy("_k").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).filter("_a <> _b").select("_k"), "paragraph-mixed")
-    open_ = stored(told.join(mixed, "_k"), "paragraph-open")
-    rest = open_.select("_k", F.col("_p").alias("a"), F.col("_c").alias("_ca")).join(open_.select("_k", F.col("_p").alias("b"), F.col("_c").alias("_cb")), "_k").filter("_ca < _cb")
-    more = stored(verify(rest.select("a", "b").distinct(), nodes, words, similarity), "paragraph-more")
+    members = stored(told.join(mixed, "_k", "left_semi").select("_p", "_c").distinct(), "paragraph-members")
+    more = stored(verify(prefix_pairs(members, nodes, words, similarity), nodes, words, similarity), "paragraph-more")
     joined = connect(links.unionByName(more))
 
     named = stored(nodes.select("_h", "_p").join(joined, "_p", "left").select("_h", label), "paragraph-classes")
