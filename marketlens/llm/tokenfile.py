@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marketlens.llm.bpe import slices
+from marketlens.llm.bpe import byte_letters, slices
 from marketlens.llm.common import parts, worker_memory
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
@@ -21,30 +23,81 @@ LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(1 << 20)
           "parquet.dictionary.page.size": str(2 << 20), "parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
 #: ASCII white space. A tokenizer whose words hold no white space encodes the chunks between it independently.
 GAPS = {ord(c): " " for c in "\t\n\x0b\x0c\r"}
+#: Anything else that splitting a text at white space would take for a gap.
+OTHER_GAP = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+#: Punctuation that ends a word for the tokenizer and takes no part in a contraction or special token.
+TAIL = ".,;:!?#$%&*+=/)(\"-_"
+LETTER_OF = {v: k for k, v in byte_letters().items()}
 
 
 class Chunks:
     """Encodes texts with the library through what it made of each white-space chunk before.
 
-    Only for tokenizers that drop white space between words and have no special token with a blank in it.
-    ``remember`` bounds the chunks kept.
+    Only for tokenizers that drop white space between words, fold case, split at the border of letters and punctuation, and
+    have no special token with a blank in it. A chunk that is a word of Latin letters, with or without punctuation
+    after it, is put together from its two parts, and the word goes straight to the library's model; any other chunk
+    goes through the whole library. ``remember`` bounds the chunks and the parts that are kept.
     """
 
-    def __init__(self, spec: str, remember: int = 500_000):
-        self.lib, self.remember, self.known = Tokenizer.from_str(spec), remember, {}
+    def __init__(self, spec: str, remember: int = 400_000):
+        self.lib, self.remember, self.known, self.words = Tokenizer.from_str(spec), remember, {}, {}
+        self.model = self.lib.model
         self.lib.no_truncation()
         self.lib.no_padding()
 
+    def word(self, low: str) -> bytes:
+        if low not in self.words:
+            shown = low if low.isascii() else "".join(map(LETTER_OF.__getitem__, low.encode("utf-8")))
+            self.words[low] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return self.words[low]
+
+    def learn(self, fresh: set[str]) -> None:
+        whole, pending = set(), []
+        for c in fresh:
+            low = c.lower()
+            core = low.rstrip(TAIL)
+            # Letters below U+0250 fold one by one; a chunk that is not composed is left to the library.
+            if core.isalpha() and (low.isascii() or max(c) < "\u0250" and "\u0130" not in c and is_normalized("NFC", core)):
+                tail = low[len(core):]
+                pending.append((c, core, tail))
+                if tail and tail not in self.words:
+                    whole.add(tail)
+            else:
+                pending.append((c, None, c))
+                whole.add(c)
+        ask, coded = list(whole), {}
+        for at in range(0, len(ask), 20_000):
+            some = ask[at : at + 20_000]
+            coded.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False), strict=True))
+        for c, core, tail in pending:
+            if core is None:
+                self.known[c] = coded[c]
+            else:
+                if tail in coded:
+                    self.words[tail] = coded[tail]
+                self.known[c] = self.word(core) + (self.words[tail] if tail else b"")
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > self.remember:
             self.known = {}
-        pieces = [[c for c in (t or "").translate(GAPS).split(" ") if c] for t in texts]
-        fresh = sorted({c for words in pieces for c in words if c not in self.known})
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            for c, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in pieces]
+        if len(self.words) > self.remember:
+            self.words = {}
+        out: list = []
+        pieces, missing = [], set()
+        for t in texts:
+            words = (t or "").split() if OTHER_GAP.search(t or "") is None else [c for c in t.translate(GAPS).split(" ") if c]
+            got = list(map(self.known.get, words))
+            if None in got:
+                missing.update(c for c, g in zip(words, got) if g is None)
+                pieces.append((len(out), words))
+            out.append(got)
+        if missing:
+            self.learn(missing)
+            for i, words in pieces:
+                out[i] = map(self.known.__getitem__, words)
+        return [np.frombuffer(b"".join(x), "<u4") for x in out]
 
 
 def write(docs: DataFrame, tokenizer: str, end: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
