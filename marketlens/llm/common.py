@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import sys
+import time
 import types
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,9 +30,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
+    target, fs = _target(spark, path)
+    fs.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _target(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def finished(spark: SparkSession, *tables: DataFrame) -> None:
+    """Give back disk in a job of many steps: delete ``tables`` that nothing reads any more, and let Spark's cleaner drop the
+    shuffle files of plans that are gone (it waits for the driver to collect its garbage)."""
+    for t in tables:
+        target, fs = _target(spark, t._stored_at)
+        fs.delete(target, True)
+    gc.collect()
+    time.sleep(0.5)  # the gateway lets go of collected frames in a thread of its own
+    spark._jvm.System.gc()
 
 
 def parts(spark: SparkSession) -> int:

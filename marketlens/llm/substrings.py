@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.bpe import slices
-from marketlens.llm.common import stored
+from marketlens.llm.common import finished, stored
 
 LATE = (1 << 63) - 1
 
@@ -172,7 +172,9 @@ def repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LATE)).alias("_o"), text.cast("binary").alias("_t")).withColumn("_h", F.unhex(F.sha2("_t", 256)))
     texts = rows.groupBy("_h").agg(F.min("_o").alias("_o"), F.first("_t").alias("_t"))
+    spark = docs.sparkSession
     texts = stored(texts.withColumn("_d", F.monotonically_increasing_id()), "substring-texts")
+    finished(spark)
 
     def picks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +191,9 @@ def repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
     found = texts.filter(F.length("_t") >= length).select("_d", "_t").mapInArrow(picks, "_a long, _d long, _p int")
     shared = found.groupBy("_a").agg(F.min("_d").alias("_x"), F.max("_d").alias("_y")).filter("_x < _y").select("_a")
     shared = stored(shared, "substring-anchors")
+    finished(spark)
     places = stored(found.join(shared.hint("merge"), "_a"), "substring-places")
+    finished(spark, shared)
 
     # Contexts, padded to one width; _lo and _hi bound the bytes that are the text's own.
     per = places.groupBy("_d").agg(F.collect_list(F.struct("_p", "_a")).alias("_x"))  # bounded by the text's length
@@ -212,9 +216,12 @@ def repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
 
     near = texts.select("_d", "_o", "_t").join(per.hint("merge"), "_d").select("_d", "_o", "_t", "_x")
     near = near.mapInArrow(contexts, "_a long, _d long, _o long, _s int, _lo short, _hi short, _c binary").withColumn("_k", F.xxhash64("_c", "_lo", "_hi"))
-    near = stored(near, "substring-contexts")
+    wide = stored(near, "substring-contexts")
+    finished(spark, places)
     key = ["_a", "_k"]
-    distinct = stored(near.groupBy(*key).agg(F.min("_o").alias("_o"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_c").alias("_c")), "substring-distinct")
+    distinct = stored(wide.groupBy(*key).agg(F.min("_o").alias("_o"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_c").alias("_c")), "substring-distinct")
+    near = stored(wide.select("_d", "_o", "_s", *key), "substring-places")
+    finished(spark, wide)
     sizes = stored(distinct.groupBy("_a").count().filter(F.col("count") > crowd).select("_a"), "substring-crowds")
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,6 +253,7 @@ def repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
     bit = F.when(F.col("_least") < F.col("_o"), F.expr("shiftleft(1L, _w)")).otherwise(F.lit(0))
     busy = busy.join(least, ["_a", "_w", "_s"]).groupBy(*key).agg(F.min("_o").alias("_first"), F.bit_or(bit).alias("_bits"))
     told = stored(calm.unionByName(busy), "substring-marks")
+    finished(spark, distinct)
 
     every = F.lit((1 << width) - 1)  # a later text with the same context: each string of it is repeated
     hits = near.select("_d", "_o", "_s", *key).join(told.hint("merge"), key).select("_d", "_s", F.when(F.col("_o") > F.col("_first"), every).otherwise(F.col("_bits")).alias("_bits"))
@@ -271,6 +279,7 @@ def repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col:
 
     done = texts.join(hits.hint("merge"), "_d", "left").select("_h", "_o", rest("_t", "_x").alias("_r"))
     done = stored(done.select("_h", F.col("_o").alias("_first"), "_r"), "substring-done")
+    finished(spark, texts, near, told)
     d = rows.select("_id", "_o", "_h", F.length("_t").cast("long").alias("n_bytes")).join(done.hint("merge"), "_h")
     copy = (F.col("_o") > F.col("_first")) & (F.col("n_bytes") >= length)
     return d.select("_id", "n_bytes", F.when(copy, F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))).otherwise(F.col("_r.spans")).alias("spans"),
