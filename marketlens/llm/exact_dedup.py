@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import BLANKS, stored
+from marketlens.llm.common import BLANKS, finished, stored
 
 
 def normal(text: str) -> Column:
@@ -43,10 +43,11 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     whole = src.join(marks.hint("merge"), on, "left").withColumn("_full", F.when(F.col("_hit"), F.sha2("_t", 256)))
     extra = [F.coalesce("_full", F.sha2("_t", 256)).alias("_sha")] if digest else []
     whole = stored(whole.select("_d", "_id", "_len", "_head", "_full", F.monotonically_increasing_id().alias("_row"), *extra), "dedup-whole")
+    finished(docs.sparkSession, narrow, lengths, same_length, heads, same_head)
 
     key = ["_len", "_head", "_full"]
     first = stored(whole.filter("_full IS NOT NULL").groupBy(*key).agg(
         F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("_first"), F.count(F.lit(1)).alias("_n")), "dedup-first")
-    out = whole.join(first, key, "left")
+    out = whole.join(first.hint("merge"), key, "left")
     return out.select(F.col("_d").alias("doc"), F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_first.id")).alias("keep_id"), F.coalesce("_n", F.lit(1)).alias("group_size"),
                       (F.col("_n").isNull() | (F.col("_row") == F.col("_first.row"))).alias("kept"), *([F.col("_sha").alias("text_sha256")] if digest else []))

@@ -59,6 +59,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     cells = cells.withColumn("_before", before).join(per.select("_none", "_s", "_sum", "_target", "_whole", "_need"), ["_none", "_s"])
     keys = ["_none", "_s", "_chunk"]
     inside = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_h", "_size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
-    d = d.join(cells, keys).withColumn("_run", F.col("_before") + inside)
+    d = d.join(cells.hint("merge"), keys).withColumn("_run", F.col("_before") + inside)
     times = F.col("_whole") + ((F.col("_run") * 2 + F.col("_size")).cast("double") <= F.col("_need") * 2).cast("int")
     return d.select(F.col("_d").alias("doc"), F.col("_size").alias("size"), F.col("_sum").alias("source_size"), F.col("_target").alias("target"), times.cast("int").alias("times"), (F.col("_size") * times).cast("long").alias("taken"))

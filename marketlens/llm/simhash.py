@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import stored
+from marketlens.llm.common import finished, stored
 from marketlens.operators.graph import components
 
 BITS = 64
@@ -74,7 +74,7 @@ def keys(prints: DataFrame) -> DataFrame:
 EXACT = "shiftright(_k, 32) % 33 = 0"
 
 
-def links(prints: DataFrame, crowd: int = 32) -> DataFrame:
+def links(prints: DataFrame, crowd: int = 32) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs ``(a, b)`` whose closure joins exactly the fingerprints that a path of links (2 differing bits or fewer) joins.
 
     ``prints`` holds distinct fingerprints ``_f``. Two that differ in at most two bits differ in at most one
@@ -82,7 +82,8 @@ def links(prints: DataFrame, crowd: int = 32) -> DataFrame:
     keys meet and whole fingerprints are compared. Under a variant only the two values of the missing bit
     meet, so no pair comes twice from one half.
 
-    A crowded key (more than ``crowd`` fingerprints) makes no pairs; ``stars`` serves it exactly.
+    A crowded key (more than ``crowd`` fingerprints) makes no pairs; ``stars`` serves it exactly. The written tables that the
+    pairs are read from come second, to be deleted once the pairs are written.
     """
     d = stored(keys(prints), "simhash-keys")
     sizes = d.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.sum("_b").alias("_ones"))
@@ -92,7 +93,7 @@ def links(prints: DataFrame, crowd: int = 32) -> DataFrame:
     few = met.filter(F.col("_n") <= crowd)
     pairs = few.withColumnsRenamed({"_f": "a", "_b": "_ba"}).join(few.select("_k", F.col("_f").alias("b"), F.col("_b").alias("_bb")), "_k")
     pairs = pairs.filter(f"CASE WHEN {EXACT} THEN a < b ELSE _ba < _bb END").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
-    return pairs.select("a", "b").unionByName(stars(met.filter(F.col("_n") > crowd)))
+    return pairs.select("a", "b").unionByName(stars(met.filter(F.col("_n") > crowd))), [d, sizes, met]
 
 
 def stars(rows: DataFrame) -> DataFrame:
@@ -125,11 +126,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(fingerprints(docs, id_col, text_col, carry, words, seed), "simhash-rows")
     first = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
     nodes = stored(rows.groupBy("_f").agg(F.min(first).alias("_first")), "simhash-nodes")
-    edges = stored(links(nodes.select("_f")).distinct().withColumn("_g", F.lit(0)), "simhash-links")
+    pairs, used = links(nodes.select("_f"))
+    edges = stored(pairs.distinct().withColumn("_g", F.lit(0)), "simhash-links")
+    finished(docs.sparkSession, *used)
     ends = edges.select("_g", F.col("a").alias("_f")).union(edges.select("_g", F.col("b").alias("_f"))).distinct()
     joined = components(edges, ends, "_g", node="_f").select("_f", "component")
-    nodes = stored(nodes.join(joined, "_f", "left").select("_f", "_first", F.coalesce("component", "_f").alias("_c")), "simhash-joined")
-    best = stored(nodes.groupBy("_c").agg(F.min("_first").alias("_best")), "simhash-best")
-    labels = stored(nodes.join(best, "_c").select("_f", "_best"), "simhash-labels")
-    d = rows.join(labels, "_f")
+    classes = stored(nodes.join(joined, "_f", "left").select("_f", "_first", F.coalesce("component", "_f").alias("_c")), "simhash-joined")
+    best = stored(classes.groupBy("_c").agg(F.min("_first").alias("_best")), "simhash-best")
+    labels = stored(classes.join(best, "_c").select("_f", "_best"), "simhash-labels")
+    finished(docs.sparkSession, nodes, edges, classes, best)
+    d = rows.join(labels.hint("merge"), "_f")
     return d.select(F.col("_d").alias("doc"), F.lower(F.lpad(F.hex("_f"), 16, "0")).alias("fingerprint"), F.col("_best.id").alias("component_id"), (F.col("_row") == F.col("_best.row")).alias("kept"))

@@ -173,7 +173,7 @@ def test_simhash_crowds(spark):
     want = {p: c for p, c in zip(signed, near(signed, sorted(prints)))}
     df = spark.createDataFrame([(x,) for x in signed], "_f long")
     for crowd in (4, 1000):
-        e = links(df, crowd).distinct().withColumn("_g", F.lit(0))
+        e = links(df, crowd)[0].distinct().withColumn("_g", F.lit(0))
         nodes = e.select("_g", F.col("a").alias("_f")).union(e.select("_g", F.col("b").alias("_f"))).distinct()
         got = {r["_f"]: r["component"] for r in components(e, nodes, "_g", node="_f").collect()}
         assert all(got.get(p, p) == c for p, c in want.items())
