@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -163,35 +164,39 @@ class Bpe:
             self.words, self.opening, self.following = {}, {}, {}
         if len(self.pairs) > self.remember:
             self.pairs = {}
-        plain: list[list[list[str]] | None] = []
-        odd: list[list] = []
+        feed = self._words([["\n"]])[0]
+        out: list = []
+        odd, again, first, rest = [], [], set(), set()
         for text in texts:
             lines = [line.split(" ") for line in (text or "").split("\n")]
-            if not text or any(s in text for s in self.special) or [c for line in lines for c in line] != text.split():
-                odd.append(self._any_text(text or ""))
-                lines = None
-            plain.append(lines)
-        first = {line[0] for lines in plain if lines for line in lines} - self.opening.keys()
-        rest = {c for lines in plain if lines for line in lines for c in line[1:] if c not in self.following}
-        asked = [*first, *(" " + c for c in rest)]
-        done = iter(self._words([*odd, *map(self.split.findall, asked)]))
-        other = [next(done) for _ in odd]
+            if not text or any(s in text for s in self.special) or list(chain.from_iterable(lines)) != text.split():
+                odd.append((len(out), self._any_text(text or "")))
+                out.append(None)
+                continue
+            coded = self._plain(lines, feed)
+            if None in coded:
+                first.update(line[0] for line in lines if line[0] not in self.opening)
+                rest.update(c for line in lines for c in line[1:] if c not in self.following)
+                again.append((len(out), lines))
+            out.append(coded)
+        done = iter(self._words([*(w for _, w in odd), *map(self.split.findall, [*first, *(" " + c for c in rest)])]))
+        for i, _ in odd:
+            out[i] = [next(done)]
         self.opening.update(zip(first, done))
         self.following.update(zip(rest, done))
-        feed = self._words([["\n"]])[0]
-        others, out = iter(other), []
-        for lines in plain:
-            if lines is None:
-                out.append(next(others))
-                continue
-            coded = []
-            for line in lines:
-                coded.append(self.opening[line[0]])
-                coded.extend(map(self.following.__getitem__, line[1:]))
-                coded.append(feed)
-            coded.pop()
-            out.append(b"".join(coded))
-        return out
+        for i, lines in again:
+            out[i] = self._plain(lines, feed)
+        return list(map(b"".join, out))
+
+    def _plain(self, lines: list[list[str]], feed: bytes) -> list[bytes | None]:
+        """What is remembered of each chunk of a text, line by line."""
+        coded: list = []
+        for line in lines:
+            coded.append(self.opening.get(line[0]))
+            coded.extend(map(self.following.get, line[1:]))
+            coded.append(feed)
+        coded.pop()
+        return coded
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
