@@ -1,0 +1,85 @@
+"""Passages that repeat anywhere in a text, found by runs of words whose places the words themselves choose."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from marketlens.llm.common import finished, stored
+from marketlens.llm.paragraphs import repeated
+
+
+def chosen(words: list[bytes], length: int, reach: int) -> np.ndarray:
+    """Starts of the runs of ``length`` words with the smallest hash of some ``reach`` neighbouring ones (the last of equals)."""
+    n = len(words) - length + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    x = np.zeros(n, np.uint64)
+    for i in range(length):
+        x = x * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
+    x ^= x >> np.uint64(29)
+    reach = min(reach, n)
+    last = np.lib.stride_tricks.sliding_window_view(x, reach)[:, ::-1].argmin(1)
+    return np.unique(np.arange(n - reach + 1) + reach - 1 - last)
+
+
+def runs(text: str | None, length: int, reach: int) -> list[tuple[int, int, bytes]]:
+    """Line, number of the first word and 128-bit digest of every chosen run; one that overlaps the same run before it is left out."""
+    lines = [x.encode("utf-8", "replace").split() for x in re.split(r"[\n\r]+", (text or "").lower())]
+    words = [w for x in lines for w in x]
+    at = chosen(words, length, reach)
+    line = np.searchsorted(np.cumsum([len(x) for x in lines]), at, side="right")
+    out, ends = [], {}
+    for no, p in zip(line.tolist(), at.tolist()):
+        digest = xxhash.xxh3_128_digest(b" ".join(words[p : p + length]))
+        if ends.get(digest, 0) <= p:
+            ends[digest] = p + length
+            out.append((no, p, digest))
+    return out
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 16, reach: int = 16) -> DataFrame:
+    """Runs of ``length`` words that occur again, wherever they stand: one row for each occurrence.
+
+    A text is one row of lower-cased words, whatever its line breaks. A run is chosen by its own words and those of at
+    most ``reach`` - 1 runs around it, so two places that share ``length + reach - 1`` words (31) share a chosen run, always; a
+    near copy shares one wherever that many words are left as they were. Equal runs are a class (128-bit digests);
+    shared passages shorter than that are found by chance.
+
+    Returns ``doc_id, paragraph, word, class_doc_id, class_paragraph, class_word, class_size, removed``: ``word`` counts the words of
+    the text from 0, ``paragraph`` is the line of the first. The first occurrence (smallest id, then place) stays. Runs
+    overlap: what goes is the union of the removed ones. Null texts and those of fewer words have none; null ids sort last;
+    repeated rows are occurrences of their own (repeats of the first stay with it); an empty table gives no rows.
+    """
+
+    kind = pa.list_(pa.struct([("no", pa.int32()), ("word", pa.int32()), ("h", pa.binary())]))
+
+    @F.arrow_udf("array<struct<no: int, word: int, h: binary>>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([[{"no": n, "word": p, "h": h} for n, p, h in runs(t.as_py(), length, reach)] for t in texts], kind)
+
+    d = docs.select(F.col(f"`{id_col}`").alias("_id"), F.explode(cut(F.col(f"`{text_col}`"))).alias("_r"))
+    d = stored(d.select("_id", F.col("_r.no").alias("_no"), F.col("_r.word").alias("_word"), F.col("_r.h").alias("_h")), "passage-runs")
+    often = stored(d.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "passage-often")
+    told = stored(d.join(often, "_h"), "passage-told")
+    finished(docs.sparkSession, d, often)
+    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_word").alias("word"), F.col("_no").alias("no"))
+    first = stored(told.groupBy("_h").agg(F.min(place).alias("_first")), "passage-first")
+    stays = F.col("_id").eqNullSafe(F.col("_first.id")) & (F.col("_word") == F.col("_first.word"))
+    return told.join(first, "_h").select(F.col("_id").alias("doc_id"), F.col("_no").alias("paragraph"), F.col("_word").alias("word"), F.col("_first.id").alias("class_doc_id"),
+                                         F.col("_first.no").alias("class_paragraph"), F.col("_first.word").alias("class_word"), F.col("_n").alias("class_size"), (~stays).alias("removed"))
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lines that repeat exactly or nearly (``paragraphs.repeated``) and runs of words that repeat within or across lines (``kind``)."""
+    lines = repeated(docs, id_col, text_col).withColumns({"kind": F.lit("line"), "word": F.lit(None).cast("int"), "class_word": F.lit(None).cast("int")})
+    found = repeated_runs(docs, id_col, text_col).withColumn("kind", F.lit("run"))
+    return found.select("kind", *[c for c in found.columns if c != "kind"]).unionByName(lines)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from marketlens.llm import queries
 from marketlens.llm.paragraphs import repeated
+from marketlens.llm.passages import passages, repeated_runs, runs
 from marketlens.llm.substrings import Anchors, covered, repeats
 from marketlens.llm.topk import Search, quantised, top_k
 from tests.llm.test_digests import ODD, SCHEMA, SF
@@ -141,6 +142,39 @@ def test_paragraphs_odd(spark):
     assert repeated(df.limit(0)).count() == 0
 
 
+def random_words(rng, n):
+    return [f"w{x}" for x in rng.integers(0, 5000, n)]
+
+
+def test_passage_inside_long_lines(spark):
+    """A passage in the middle of long lines is found at its place, also with a word changed; its lines are no near copies."""
+    rng = np.random.default_rng(11)
+    planted = random_words(rng, 70)
+    changed = [*planted[:30], "other", *planted[31:]]
+    texts = [[*random_words(rng, 700), *p, *random_words(rng, 900 + i)] for i, p in enumerate((planted, planted, changed))] + [random_words(rng, 500)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert repeated(df).count() == 0
+    rows = [r for r in passages(df).collect() if r["kind"] == "run"]
+    assert {r["doc_id"] for r in rows} == {0, 1, 2} and all(700 <= r["word"] == r["class_word"] <= 770 - 16 for r in rows)
+    assert all(r["class_doc_id"] == 0 and r["removed"] == (r["doc_id"] > 0) for r in rows)
+
+
+def test_runs_of_any_shared_passage():
+    """Any 31 words that two texts share have a run in common."""
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        shared = random_words(rng, 31)
+        a, b = ({h for _, _, h in runs(" ".join([*random_words(rng, rng.integers(0, 60)), *shared, *random_words(rng, rng.integers(0, 60))]), 16, 16)} for _ in "ab")
+        assert a & b
+
+
+def test_runs_odd(spark):
+    df = spark.createDataFrame(ODD, SCHEMA)
+    rows = repeated_runs(df).collect()
+    assert {r["doc_id"] for r in rows} == {4, 5} and {(r["doc_id"], r["word"]) for r in rows if not r["removed"]} == {(4, r["class_word"]) for r in rows}
+    assert repeated_runs(df.limit(0)).count() == 0
+
+
 def nearest(vectors, asked, k):
     out = []
     for q, v in vectors.items():
