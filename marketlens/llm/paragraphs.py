@@ -10,16 +10,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import BLANKS, stored
+from marketlens.llm.common import BLANKS, finished, stored
 from marketlens.operators.graph import components
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 20) -> DataFrame:
-    """``_id, _no, _text`` of every line of at least ``least_words`` words, lower-cased with single spaces."""
+    """``_id, _no, _text`` of every line of at least ``least_words`` words (of one at least), lower-cased with single spaces."""
     lines = docs.select(F.col(f"`{id_col}`").alias("_id"), F.posexplode(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), r"[\n\r]+")).alias("_no", "_line"))
     text = F.trim(F.regexp_replace(F.lower("_line"), BLANKS, " "))
     lines = lines.select("_id", "_no", text.alias("_text"))
-    return lines.filter(F.length("_text") - F.length(F.translate("_text", " ", "")) + 1 >= least_words)
+    return lines.filter((F.col("_text") != "") & (F.length("_text") - F.length(F.translate("_text", " ", "")) + 1 >= least_words))
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -133,15 +133,16 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     links = stored(verify(met.filter("_p <> _low").select(F.col("_low").alias("a"), F.col("_p").alias("b")).distinct(), nodes, words, similarity), "paragraph-links")
 
     label = F.coalesce("component", "_p").alias("_c")
-    told = stored(met.join(connect(links), "_p", "left").select("_k", "_p", label), "paragraph-labels")
-    mixed = stored(told.groupBy("_k").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).filter("_a <> _b").select("_k"), "paragraph-mixed")
-    members = stored(told.join(mixed, "_k", "left_semi").select("_p", "_c").distinct(), "paragraph-members")
+    labels = stored(met.join(connect(links), "_p", "left").select("_k", "_p", label), "paragraph-labels")
+    mixed = stored(labels.groupBy("_k").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).filter("_a <> _b").select("_k"), "paragraph-mixed")
+    members = stored(labels.join(mixed, "_k", "left_semi").select("_p", "_c").distinct(), "paragraph-members")
     more = stored(verify(prefix_pairs(members, nodes, words, similarity), nodes, words, similarity), "paragraph-more")
     joined = connect(links.unionByName(more))
 
     named = stored(nodes.select("_h", "_p").join(joined, "_p", "left").select("_h", label), "paragraph-classes")
     told = stored(occurrences.join(named, "_h"), "paragraph-told")
     best = stored(told.groupBy("_c").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "paragraph-first")
+    finished(docs.sparkSession, occurrences, nodes, d, crowd, met, links, labels, mixed, members, more, named)
     out = told.join(best, "_c")
     return out.select(F.col("_id").alias("doc_id"), F.col("_no").alias("paragraph"), F.col("_first.id").alias("class_doc_id"), F.col("_first.no").alias("class_paragraph"), F.col("_n").alias("class_size"),
                       (~(F.col("_id").eqNullSafe(F.col("_first.id")) & (F.col("_no") == F.col("_first.no")))).alias("removed"))

@@ -79,7 +79,11 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines that repeat exactly or nearly (``paragraphs.repeated``) and runs of words that repeat within or across lines (``kind``)."""
-    lines = repeated(docs, id_col, text_col).withColumns({"kind": F.lit("line"), "word": F.lit(None).cast("int"), "class_word": F.lit(None).cast("int")})
+    """Lines that repeat exactly or nearly (``paragraphs.repeated``) and runs of words that repeat within or across lines (``kind``).
+
+    Lines of any number of words count: those of fewer than six are one shingle and meet only their equals. A passage
+    wrapped into short lines is found by its runs.
+    """
+    lines = repeated(docs, id_col, text_col, least_words=1).withColumns({"kind": F.lit("line"), "word": F.lit(None).cast("int"), "class_word": F.lit(None).cast("int")})
     found = repeated_runs(docs, id_col, text_col).withColumn("kind", F.lit("run"))
     return found.select("kind", *[c for c in found.columns if c != "kind"]).unionByName(lines)

@@ -159,6 +159,21 @@ def test_passage_inside_long_lines(spark):
     assert all(r["class_doc_id"] == 0 and r["removed"] == (r["doc_id"] > 0) for r in rows)
 
 
+def test_short_and_wrapped_lines(spark):
+    """Short lines are classes of their own, and a passage wrapped into short lines is found whatever the wrapping."""
+    rng = np.random.default_rng(13)
+    planted, ten = random_words(rng, 60), " ".join(random_words(rng, 10))
+    wrap = lambda n: "\n".join(" ".join(planted[i : i + n]) for i in range(0, 60, n))
+    rows = [(0, f"{wrap(7)}\n \nYes"), (1, f"{wrap(11)}\n\n{ten}"), (2, f"alone\n{ten.upper()}\n\nyes"), (3, "\n \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert repeated(df).count() == 0
+    got = passages(df).collect()
+    lines = {(r["doc_id"], r["paragraph"], r["class_doc_id"], r["class_paragraph"], r["class_size"], r["removed"]) for r in got if r["kind"] == "line"}
+    assert lines == {(0, 10, 0, 10, 2, False), (2, 2, 0, 10, 2, True), (1, 6, 1, 6, 2, False), (2, 1, 1, 6, 2, True)}
+    found = [r for r in got if r["kind"] == "run"]
+    assert {(r["doc_id"], r["removed"]) for r in found} == {(0, False), (1, True)} and all(r["word"] == r["class_word"] for r in found)
+
+
 def test_runs_of_any_shared_passage():
     """Any 31 words that two texts share have a run in common."""
     rng = np.random.default_rng(12)
