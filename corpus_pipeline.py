@@ -10,6 +10,7 @@ from marketlens.llm.common import stored
 from marketlens.llm.exact_dedup import refine
 from marketlens.llm.mixing import mix
 from marketlens.llm.queries import vocabulary
+from marketlens.llm.paragraphs import near_texts
 from marketlens.llm.simhash import near_duplicates
 
 
@@ -29,10 +30,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first of every near-duplicate component, by SimHash."""
+    """The first of every near-duplicate component, by SimHash under op7's rule (two bits): nearly identical texts only.
+
+    ``drop_similar`` finds all that are similar.
+    """
     return near_duplicates(docs).filter("kept").select("doc.*")
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first of every component of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more; no stage of ``STAGES``."""
+    return near_texts(docs).filter("kept").select("doc.*")
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: up to three times, or not at all."""
     return mix(docs).select(F.explode(F.array_repeat("doc", F.col("times"))).alias("doc")).select("doc.*")

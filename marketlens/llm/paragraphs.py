@@ -100,6 +100,28 @@ def connect(links: DataFrame) -> DataFrame:
     return components(e, ends, "_g", node="_p").select("_p", "component")
 
 
+def similar(nodes: DataFrame, words: int, similarity: float, bands: int, rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``_p, component`` of the distinct texts (``_p, _text``) that pairs of that similarity join, and the tables written for it."""
+    maker = Bands(bands, rows)
+
+    @F.arrow_udf("array<long>")
+    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([maker.keys(shingles(t.as_py(), words)) for t in texts], pa.list_(pa.int64()))
+
+    d = stored(nodes.select("_p", F.explode(keys("_text")).alias("_k")), "paragraph-bands")
+    crowd = stored(d.groupBy("_k").agg(F.min("_p").alias("_low"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_k", "_low"), "paragraph-keys")
+    met = stored(d.join(crowd, "_k"), "paragraph-met")
+    links = stored(verify(met.filter("_p <> _low").select(F.col("_low").alias("a"), F.col("_p").alias("b")).distinct(), nodes, words, similarity), "paragraph-links")
+
+    label = F.coalesce("component", "_p").alias("_c")
+    labels = stored(met.join(connect(links), "_p", "left").select("_k", "_p", label), "paragraph-labels")
+    mixed = stored(labels.groupBy("_k").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).filter("_a <> _b").select("_k"), "paragraph-mixed")
+    members = stored(labels.join(mixed, "_k", "left_semi").select("_p", "_c").distinct(), "paragraph-members")
+    more = stored(verify(prefix_pairs(members, nodes, words, similarity), nodes, words, similarity), "paragraph-more")
+    return connect(links.unionByName(more)), [d, crowd, met, links, labels, mixed, members, more]
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 16, rows: int = 4, least_words: int = 20) -> DataFrame:
     """Paragraphs (lines) that occur again, exactly or nearly: one row for each occurrence.
 
@@ -120,29 +142,33 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     occurrences = stored(p.select("_id", "_no", "_h"), "paragraph-places")
     nodes = p.groupBy("_h").agg(F.first("_text").alias("_text")).withColumn("_p", F.monotonically_increasing_id())
     nodes = stored(nodes, "paragraph-texts")
-    maker = Bands(bands, rows)
+    joined, used = similar(nodes, words, similarity, bands, rows)
 
-    @F.arrow_udf("array<long>")
-    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([maker.keys(shingles(t.as_py(), words)) for t in texts], pa.list_(pa.int64()))
-
-    d = stored(nodes.select("_p", F.explode(keys("_text")).alias("_k")), "paragraph-bands")
-    crowd = stored(d.groupBy("_k").agg(F.min("_p").alias("_low"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_k", "_low"), "paragraph-keys")
-    met = stored(d.join(crowd, "_k"), "paragraph-met")
-    links = stored(verify(met.filter("_p <> _low").select(F.col("_low").alias("a"), F.col("_p").alias("b")).distinct(), nodes, words, similarity), "paragraph-links")
-
-    label = F.coalesce("component", "_p").alias("_c")
-    labels = stored(met.join(connect(links), "_p", "left").select("_k", "_p", label), "paragraph-labels")
-    mixed = stored(labels.groupBy("_k").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).filter("_a <> _b").select("_k"), "paragraph-mixed")
-    members = stored(labels.join(mixed, "_k", "left_semi").select("_p", "_c").distinct(), "paragraph-members")
-    more = stored(verify(prefix_pairs(members, nodes, words, similarity), nodes, words, similarity), "paragraph-more")
-    joined = connect(links.unionByName(more))
-
-    named = stored(nodes.select("_h", "_p").join(joined, "_p", "left").select("_h", label), "paragraph-classes")
+    named = stored(nodes.select("_h", "_p").join(joined, "_p", "left").select("_h", F.coalesce("component", "_p").alias("_c")), "paragraph-classes")
     told = stored(occurrences.join(named, "_h"), "paragraph-told")
     best = stored(told.groupBy("_c").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "paragraph-first")
-    finished(docs.sparkSession, occurrences, nodes, d, crowd, met, links, labels, mixed, members, more, named)
+    finished(docs.sparkSession, occurrences, nodes, named, *used)
     out = told.join(best, "_c")
     return out.select(F.col("_id").alias("doc_id"), F.col("_no").alias("paragraph"), F.col("_first.id").alias("class_doc_id"), F.col("_first.no").alias("class_paragraph"), F.col("_n").alias("class_size"),
                       (~(F.col("_id").eqNullSafe(F.col("_first.id")) & (F.col("_no") == F.col("_first.no")))).alias("removed"))
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: int = 5, similarity: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
+    """The ``carry`` columns in ``doc``, with ``component_id`` and ``kept``: whole texts joined by pairs of that exact Jaccard similarity.
+
+    Found as ``repeated`` finds paragraphs. One row of each component is kept: the smallest id (null ids last), or any one of its repeats.
+    Null and wordless texts are equal; an empty table gives no rows.
+    """
+    carry = docs.columns if carry is None else carry
+    text = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), BLANKS, " "))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_d"), F.col(f"`{id_col}`").alias("_id"), text.alias("_text"))
+    d = stored(d.withColumn("_h", F.unhex(F.sha2("_text", 256))).withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    nodes = stored(d.groupBy("_h").agg(F.first("_text").alias("_text")).withColumn("_p", F.monotonically_increasing_id()), "near-texts")
+    joined, used = similar(nodes, words, similarity, bands, rows)
+    named = stored(nodes.select("_h", "_p").join(joined, "_p", "left").select("_h", F.coalesce("component", "_p").alias("_c")), "near-classes")
+    first = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    told = d.select("_h", "_id", "_row").join(named, "_h")
+    best = stored(told.groupBy("_c").agg(F.min(first).alias("_best")), "near-best")
+    labels = stored(told.join(best, "_c").select("_row", "_best"), "near-labels")
+    finished(docs.sparkSession, nodes, named, best, *used)
+    return d.join(labels, "_row").select(F.col("_d").alias("doc"), F.col("_best.id").alias("component_id"), (F.col("_row") == F.col("_best.row")).alias("kept"))

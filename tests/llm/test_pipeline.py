@@ -51,6 +51,23 @@ def test_near(stages):
     assert sorted(set(near(ids, prints))) == sorted(r["doc_id"] for r in stages[3])
 
 
+def test_similar(spark, stages):
+    """All pairs of similarity 0.8 on five words, which SimHash leaves on this table."""
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in ((r["text"] or "").lower().split() for r in stages[2])]
+    ids, low = [r["doc_id"] for r in stages[2]], list(range(len(grams)))
+    pairs = [(i, j) for i in range(len(grams)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
+    for _ in ids:
+        for i, j in pairs:
+            low[i] = low[j] = min(low[i], low[j], key=lambda x: ids[x])
+    kept = sorted({ids[x] for x in low})
+    docs = spark.createDataFrame(stages[2], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    assert pairs and len(kept) < len(stages[3])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_similar(spark, docs, SF).collect()) == kept
+    odd = spark.createDataFrame(ODD, SCHEMA)
+    assert sum(r["doc_id"] in (4, 5) for r in corpus_pipeline.drop_similar(spark, odd, SF).collect()) == 1
+    assert corpus_pipeline.drop_similar(spark, odd.limit(0), SF).count() == 0
+
+
 def test_mix(stages):
     size = {r["doc_id"]: len([w for w in SPACE.split(r["text"] or "") if w]) for r in stages[3]}
     source, total = defaultdict(int), sum(size.values())
