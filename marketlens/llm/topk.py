@@ -15,13 +15,13 @@ from marketlens.llm.common import parts, stored
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
     """``_id, _v``: floor(scale * x) of every component; rows with a null or non-finite component, vector or id are left out.
 
-    An id that occurs with several vectors counts once, with the smallest of them.
+    An id that occurs with several vectors keeps each of them, as query and as candidate; equal rows count once.
     """
     x = F.col(f"`{vec_col}`")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) == float("inf")))
     d = vectors.filter(x.isNotNull() & F.col(f"`{id_col}`").isNotNull()).filter(~bad)
     d = d.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("_v"))
-    return d.groupBy("_id").agg(F.min("_v").alias("_v"))
+    return d.distinct()
 
 
 class Search:
@@ -56,8 +56,9 @@ class Search:
             if n:
                 scores = self.product(by_length, vectors[:n], data[:n])
                 least = self.floor[by_length]
-                if n > self.k:  # more than k of this bucket alone, the query itself aside
-                    least = np.maximum(least, np.partition(scores, n - self.k - 1, axis=1)[:, n - self.k - 1])
+                if n > self.k:  # more than k of this bucket alone, the query's own rows aside
+                    others = np.where(ids[:n] == self.ids[by_length][:, None], np.iinfo(np.int64).min, scores)
+                    least = np.maximum(least, np.partition(others, n - self.k, axis=1)[:, n - self.k])
                 q, c = np.nonzero(scores >= least[:, None])
                 found.append((by_length[q], ids[c], scores[q, c]))
         if len(by_coordinate):

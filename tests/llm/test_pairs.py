@@ -212,6 +212,21 @@ def test_search_odd(spark):
     assert top_k(quantised(df.limit(0)), F.col("_id") % 5 == 0).count() == 0
 
 
+def test_search_keeps_every_vector_of_an_id(spark):
+    """Rows that share an id but not the vector all count, as in the SQL: no row meets its own id, ranks are per id."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i), [float(x) for x in rng.integers(-9, 9, 4) * 5.0]) for i in np.repeat(np.arange(40), 3)]
+    rows += [(5, [50.0 + i, 40.0, 30.0, 20.0]) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = sorted({(i, tuple(math.floor(64 * x) for x in v)) for i, v in rows})
+    want = []
+    for q in range(0, 40, 5):
+        s = sorted((-sum(a * b for a, b in zip(v, w)), i) for j, v in vectors if j == q for i, w in vectors if i != q)[:6]
+        want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(s)]
+    got = top_k(quantised(df), F.col("_id") % 5 == 0, 6, block=16, bucket=16, spread=0.5).collect()
+    assert order(map(tuple, got)) == order(want)
+
+
 def test_search_prunes_exactly():
     """Both prunings, on clustered vectors where high cosines make coordinates select."""
     rng = np.random.default_rng(4)
