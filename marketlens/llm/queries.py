@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, language, tokenfile
+from marketlens.llm import bpe, decontamination, language, tokenfile
 from marketlens.llm.common import documents
 from marketlens.llm.exact_dedup import refine
 from marketlens.llm.mixing import mix
@@ -143,3 +143,28 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one of its equals that stays."""
     return refine(documents(spark, sf_dir), carry=["doc_id"], digest=True).select("doc.*", "keep_id", "group_size", "kept", "text_sha256")
+
+
+LEAKS = r"""
+WITH t AS (SELECT 0 AS kind, row_number() OVER () AS row, CAST(doc_id AS VARCHAR) AS name, doc_id, text FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), coalesce(CAST(item_id AS VARCHAR), ''), NULL, text FROM benchmark),
+w AS (SELECT kind, row, name, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
+p AS (SELECT DISTINCT name AS item, array_to_string(list_slice(w, i, i + 9), ' ') AS phrase, least(len(w), 10) AS size
+  FROM (SELECT *, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM w WHERE kind = 1 AND len(w) > 0)),
+s AS (SELECT DISTINCT size FROM p),
+o AS (SELECT row, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase
+  FROM (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, s WHERE kind = 0 AND len(w) >= size)),
+h AS (SELECT row, i, size, item FROM o JOIN p USING (phrase, size)),
+n AS (SELECT row, count(*) AS n_hit FROM (SELECT DISTINCT row, unnest(range(i, i + size)) AS at FROM h) GROUP BY row),
+m AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM h) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM w LEFT JOIN n USING (row) LEFT JOIN m USING (row) WHERE kind = 0"""
+
+
+@query(LEAKS)
+def op13_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of every document stand in passages of the benchmark, and of which items."""
+    d = decontamination.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=["doc_id"])
+    hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"])
+    return d.select("doc.doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                    F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"))
