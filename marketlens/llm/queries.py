@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, decontamination, language, tokenfile
+from marketlens.llm import bpe, decontamination, language, tokenfile, whitening
 from marketlens.llm.common import documents
 from marketlens.llm.exact_dedup import refine
 from marketlens.llm.mixing import mix
@@ -168,3 +168,10 @@ def op13_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["last"] - r["first"])
     return d.select("doc.doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                     F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated"))
+
+
+@query()
+def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight leading principal components, scaled to variance 1."""
+    d = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return d.select(F.col("_id").alias("vec_id"), "component", "n", "deviation", "whitened", "explained", "identity_error")
