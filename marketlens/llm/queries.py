@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, decontamination, language, tokenfile, whitening
+from marketlens.llm import bpe, decontamination, language, repair, tokenfile, whitening
 from marketlens.llm.common import documents
 from marketlens.llm.exact_dedup import refine
 from marketlens.llm.mixing import mix
@@ -175,3 +175,44 @@ def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the eight leading principal components, scaled to variance 1."""
     d = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return d.select(F.col("_id").alias("vec_id"), "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+REPAIR = r"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  crc FROM (SELECT *, list_reduce(list_prepend(4294967295::BIGINT, [CAST(x AS BIGINT) for x in [ord(c) for c in string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')]]),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(i AS BIGINT) for i in range(8)]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM conversations)),
+k AS (SELECT conv_id, turn, role, text, xor(crc, 4294967295) % 20 AS k FROM d),
+e AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy FROM k WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail FROM e),
+f AS (SELECT *, CASE WHEN tail = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN tail NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+  role[1] AS r, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM o),
+a AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (i > 1 AND p || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+c AS (SELECT DISTINCT conv_id FROM conversations),
+s AS (SELECT conv_id, 0::BIGINT AS i, {c: 0, a: '', t: ''} AS e, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS s, {c: 2, a: 'I', t: E'\nuser:'} AS u, {c: 4, a: 'II', t: E'\nuser:\nassistant:'} AS v FROM c
+  UNION ALL
+  SELECT conv_id, i, e, s, u, CASE WHEN u IS NULL THEN v WHEN v IS NULL THEN {c: u.c + 2, a: u.a || 'I', t: u.t || E'\nassistant:'} ELSE least(v, {c: u.c + 2, a: u.a || 'I', t: u.t || E'\nassistant:'}) END FROM (
+  SELECT conv_id, i, e, s, v, list_min([x for x in [u, {c: e.c + 2, a: e.a || 'I', t: e.t || E'\nuser:'}, CASE WHEN s IS NOT NULL THEN {c: s.c + 2, a: s.a || 'I', t: s.t || E'\nuser:'} END,
+    CASE WHEN v IS NOT NULL THEN {c: v.c + 2, a: v.a || 'I', t: v.t || E'\nuser:'} END] if x IS NOT NULL]) AS u FROM (
+  SELECT s.conv_id, f.i, {c: e.c + 3, a: e.a || 'D', t: e.t} AS e,
+    list_min([x for x in [CASE WHEN s.s IS NOT NULL THEN {c: s.s.c + 3, a: s.s.a || 'D', t: s.s.t} END, CASE WHEN r = 's' AND fault NOT IN ('b', 'd') THEN {c: e.c + m, a: e.a || 'K', t: e.t || w} END] if x IS NOT NULL]) AS s,
+    list_min([x for x in [CASE WHEN u IS NOT NULL THEN {c: u.c + 3, a: u.a || 'D', t: u.t} END, CASE WHEN fault NOT IN ('b', 'd') THEN {c: e.c + 2 + m, a: e.a || 'R', t: e.t || E'\nuser:' || text} END,
+      CASE WHEN s.s IS NOT NULL AND fault NOT IN ('b', 'd') THEN {c: s.s.c + 2 + m, a: s.s.a || 'R', t: s.s.t || E'\nuser:' || text} END, CASE WHEN v IS NOT NULL AND fault NOT IN ('b', 'd') THEN {c: v.c + 2 + m, a: v.a || 'R', t: v.t || E'\nuser:' || text} END,
+      CASE WHEN r = 'u' AND fault NOT IN ('b', 'd') THEN {c: e.c + m, a: e.a || 'K', t: e.t || w} END, CASE WHEN s.s IS NOT NULL AND r = 'u' AND fault NOT IN ('b', 'd') THEN {c: s.s.c + m, a: s.s.a || 'K', t: s.s.t || w} END,
+      CASE WHEN v IS NOT NULL AND r = 'u' AND fault NOT IN ('b', 'd') THEN {c: v.c + m, a: v.a || 'K', t: v.t || w} END] if x IS NOT NULL]) AS u,
+    list_min([x for x in [CASE WHEN v IS NOT NULL THEN {c: v.c + 3, a: v.a || 'D', t: v.t} END, CASE WHEN u IS NOT NULL AND fault NOT IN ('b', 'd') THEN {c: u.c + 2 + m, a: u.a || 'R', t: u.t || E'\nassistant:' || text} END,
+      CASE WHEN u IS NOT NULL AND r = 'a' AND fault NOT IN ('b', 'd') THEN {c: u.c + m, a: u.a || 'K', t: u.t || w} END] if x IS NOT NULL]) AS v
+  FROM s JOIN (SELECT *, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS m, E'\n' || role || ':' || text AS w FROM f) AS f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1))),
+l AS (SELECT conv_id, max_by(CASE WHEN v IS NULL THEN e ELSE least(e, v) END, i) AS x FROM s GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(x.c AS BIGINT) AS cost, x.a AS audit, sha256(x.t[2:]) AS repaired_sha256
+FROM c JOIN l ON l.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query(REPAIR)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation, the cheapest edits that repair it and a digest of the result."""
+    whole, cut = repair.repair(repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")), gone="gone")
+    d = repair.summary(whole, True).unionByName(repair.summary(cut, False))
+    return d.withColumnRenamed("_conv", "conv_id")
