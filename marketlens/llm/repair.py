@@ -62,7 +62,8 @@ class Audit:
         at = self.reaching(length)
         if at.length == length:
             return at.hash
-        return roll(at.up[0].hash, at.piece[: length - at.up[0].length])
+        start, h = (at.up[0].length, at.up[0].hash) if at.up else (0, 0)
+        return roll(h, at.piece[: length - start])
 
     def text(self) -> str:
         return "".join(n.piece for n in self.links())
