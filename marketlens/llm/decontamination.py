@@ -16,7 +16,7 @@ from marketlens.llm.common import stored
 from marketlens.llm.fmindex import FIELDS, Cutter, Index, Phrases, as_bytes, build, cut_text
 
 
-def index_shards(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, shard_bytes: int = 4 << 20, every: int = 8) -> DataFrame:
+def index_shards(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, shard_bytes: int = 1 << 20, every: int = 8) -> DataFrame:
     """One row for each shard of about ``shard_bytes`` of text, written to the shared folder: its FM-index and its documents' ``carry`` columns.
 
     A task cuts the documents it reads into shards, so nothing is shuffled; a longer document is a shard of its own. Every
@@ -121,7 +121,7 @@ def search(shards: DataFrame, pairs: list, all_docs: bool) -> DataFrame:
     return shards.mapInArrow(run, schema)
 
 
-def find(docs: DataFrame, items: DataFrame, text_col: str = "text", carry: list[str] | None = None, item_col: str = "item_id", words: int = 10, block: int = 1 << 16, shard_bytes: int = 4 << 20) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, text_col: str = "text", carry: list[str] | None = None, item_col: str = "item_id", words: int = 10, block: int = 1 << 16, shard_bytes: int = 1 << 20) -> DataFrame:
     """Benchmark passages in documents: ``doc`` (the ``carry`` columns), ``n_words``, ``runs`` and ``items`` of every document.
 
     Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A passage is ``words`` consecutive words of an item, or all of

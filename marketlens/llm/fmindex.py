@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -275,7 +277,9 @@ def cut_text(text: bytes, cutter: Cutter) -> list[bytes]:
     return [low[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist())]
 
 
-def as_bytes(column: pa.Array) -> list[bytes]:
-    """Texts as UTF-8 bytes; null is empty."""
+def as_bytes(column: pa.Array, step: int = 256) -> Iterator[bytes]:
+    """Texts as UTF-8 bytes, a few rows at a time; null is empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return [t or b"" for t in column.cast(kind).to_pylist()]
+    for at in range(0, len(column), step):
+        for t in column.slice(at, step).cast(kind).to_pylist():
+            yield t or b""
