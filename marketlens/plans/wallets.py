@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketlens import bindings as b
+from marketlens.operators import accounting as acc
 from marketlens.operators import graph as gr
 from marketlens.operators import holdings as ho
 from marketlens.operators import joins as jn
@@ -418,6 +419,81 @@ def paired_replay(spark, sf):
     return gr.paired_replay(gr.reconcile_endpoints(bal, mv, fee=False), gr.reconcile_endpoints(bal, mv))
 
 
+LIFE = LINES + """, p AS (SELECT l_orderkey AS tx, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, token, l_suppkey, amount, rf, ls) AS pos, l_suppkey % 6 AS script, amount % 30 AS n, o_orderpriority AS pr FROM ln),
+ u AS (SELECT tx, pos, unnest(CASE script WHEN 0 THEN [{k: 'create', t: 'x', n: 20}, {k: 'init', t: 'x', n: 0}, {k: 'in', t: 'x', n: n}, {k: 'out', t: 's', n: n}, {k: 'close', t: 'p', n: 0}]
+   WHEN 1 THEN [{k: 'pay', t: 's', n: 5}] WHEN 2 THEN [{k: 'mint', t: 't', n: n}, {k: 'burn', t: 't', n: n}] WHEN 3 THEN [{k: 'create', t: 'x', n: 20}, {k: 'init', t: 'x', n: 0}, {k: 'close', t: 's', n: 0}]
+   WHEN 4 THEN [{k: 'send', t: 's', n: n}] ELSE [{k: 'create', t: 'x', n: 20}, {k: 'init', t: 'x', n: 0}, {k: 'in', t: 'x', n: n}, {k: 'close', t: 'p', n: 0}] END, recursive := true),
+   generate_subscripts(CASE script WHEN 0 THEN [1, 2, 3, 4, 5] WHEN 1 THEN [1] WHEN 2 THEN [1, 2] WHEN 3 THEN [1, 2, 3] WHEN 4 THEN [1] ELSE [1, 2, 3, 4] END, 1) AS j FROM p),
+ f AS (SELECT *, pos * 10 + j - 1 AS seq, row_number() OVER (PARTITION BY tx ORDER BY pos, j) AS i FROM u),
+ ends AS (SELECT tx, CAST(floor(any_value(o_totalprice)) AS BIGINT) % 300 AS pre_p, CAST(floor(any_value(o_totalprice)) AS BIGINT) % 400 AS pre_t, count(*) FILTER (script = 1) * 5 + count(*) FILTER (script = 3) * 20 AS out_p,
+   coalesce(sum(n) FILTER (script IN (0, 4)), 0) AS out_t, CASE WHEN any_value(pr) = '1-URGENT' THEN 1 ELSE 0 END AS off_p, CASE WHEN any_value(pr) = '2-HIGH' THEN 1 ELSE 0 END AS off_s FROM p JOIN orders ON o_orderkey = tx GROUP BY tx),
+ st AS (SELECT tx, 0::BIGINT AS i, pre_p - 5 AS np, 10::BIGINT AS ns, 0::BIGINT AS nx, pre_t AS tt, 0::BIGINT AS tx_, 0::BIGINT AS ts, 'none' AS x, false AS made, false AS supply, 0 AS gen, CASE WHEN pre_p < 5 THEN 'fee_exceeds_balance' END AS err FROM ends
+   UNION ALL
+   SELECT tx, ni, CASE WHEN e IS NOT NULL THEN np WHEN k IN ('create', 'pay') THEN np - n WHEN k = 'close' AND t = 'p' THEN np + nx ELSE np END, CASE WHEN e IS NOT NULL THEN ns WHEN k = 'pay' THEN ns + n WHEN k = 'close' AND t = 's' THEN ns + nx ELSE ns END,
+    CASE WHEN e IS NOT NULL THEN nx WHEN k = 'create' THEN nx + n WHEN k = 'close' THEN 0 ELSE nx END, CASE WHEN e IS NOT NULL THEN tt WHEN k IN ('in', 'send', 'burn') THEN tt - n WHEN k = 'mint' THEN tt + n ELSE tt END,
+    CASE WHEN e IS NOT NULL THEN tx_ WHEN k = 'in' THEN tx_ + n WHEN k = 'out' THEN tx_ - n WHEN k = 'init' THEN 0 ELSE tx_ END, CASE WHEN e IS NOT NULL THEN ts WHEN k IN ('out', 'send') THEN ts + n ELSE ts END,
+    CASE WHEN e IS NOT NULL THEN x WHEN k = 'create' THEN 'none' WHEN k = 'init' THEN 'open' WHEN k = 'close' THEN 'closed' ELSE x END, CASE WHEN e IS NULL AND k = 'create' THEN true ELSE made END,
+    supply OR (e IS NULL AND k IN ('mint', 'burn')), gen + CASE WHEN e IS NULL AND k = 'init' THEN 1 ELSE 0 END, e
+   FROM (SELECT st.*, f.k, f.t, f.n, coalesce(err, CASE
+     WHEN k = 'create' AND x = 'closed' AND nx <> 0 THEN 'recreated_token_account_unverified' WHEN k IN ('create', 'pay') AND np < f.n THEN 'native_underflow' WHEN k = 'create' AND x <> 'closed' AND made THEN 'native_account_reinitialization'
+     WHEN k = 'init' AND x <> 'none' THEN 'account_reinitialization' WHEN k IN ('in', 'out') AND x <> 'open' THEN 'missing_transfer_account_state' WHEN k IN ('in', 'send') AND tt < f.n THEN 'token_underflow' WHEN k = 'out' AND tx_ < f.n THEN 'token_underflow'
+     WHEN k = 'burn' AND tt < f.n THEN 'mint_burn_amount_bounds' WHEN k = 'close' AND x <> 'open' THEN 'missing_close_state' WHEN k = 'close' AND tx_ <> 0 THEN 'nonempty_close' END) AS e, f.i AS ni FROM st JOIN f ON f.tx = st.tx AND f.i = st.i + 1)),
+ z AS (SELECT st.*, pre_p, pre_t, out_p, out_t, off_p, off_s FROM st JOIN ends USING (tx) QUALIFY row_number() OVER (PARTITION BY st.tx ORDER BY i DESC) = 1),
+ q AS (SELECT *, CASE WHEN err IS NOT NULL THEN [] ELSE [r for r in [{account: 'p', residual: CAST(pre_p - 5 - out_p + off_p - np AS HUGEINT)}, {account: 's', residual: 10 + out_p - ns}, {account: 'x', residual: -nx}] if r.residual <> 0] END AS nat,
+   CASE WHEN err IS NOT NULL THEN [] ELSE [r for r in [{account: 's', residual: CAST(out_t - off_s - ts AS HUGEINT)}, {account: 't', residual: pre_t - out_t - tt}] if r.residual <> 0] END AS tok FROM z),
+ rec AS (SELECT *, list_sort([b for b in [err, CASE WHEN supply THEN 'mint_burn_authority_and_supply_unverified' END, CASE WHEN err IS NULL THEN 'downstream_program_semantics_unverified' END, CASE WHEN err IS NULL AND x = 'open' THEN 'missing_endpoint_account_state' END,
+   CASE WHEN len(nat) > 0 THEN 'native_balance_residual' END, CASE WHEN len(tok) > 0 THEN 'token_balance_residual' END] if b IS NOT NULL]) AS blockers FROM q)
+"""
+
+
+def _lives(spark, sf):
+    """Accounts and steps of a transaction an order: each line is a short script on payer p, token account t, a passing account x and a receiver s."""
+    from pyspark.sql.window import Window
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "token", "l_suppkey", "amount", "rf", "ls")
+    p = cut_lineage(lines(spark, sf).select(F.col("l_orderkey").alias("tx"), F.row_number().over(w).cast("long").alias("pos"), (F.col("l_suppkey") % 6).alias("script"), (F.col("amount") % 30).alias("n"), F.col("o_orderpriority").alias("pr")))
+
+    def step(kind, source, target, amount="0", mint="NULL", owner="NULL", program=f"'{acc.TOKEN}'"):
+        source = f"'{source}'" if source else "NULL"
+        return f"named_struct('kind', '{kind}', 'source', {source}, 'target', '{target}', 'amount', CAST({amount} AS LONG), 'mint', {mint}, 'owner', {owner}, 'program', {program})"
+
+    new = [step("create", "p", "x", 20, owner=f"'{acc.TOKEN}'"), step("init", "", "x", mint="'M'", owner="'p'")]
+    move = lambda a, b: step("token_transfer", a, b, "n", "'M'")
+    scripts = [[*new, move("t", "x"), move("x", "s"), step("close", "x", "p")], [step("transfer", "p", "s", 5)], [step("mint", "", "t", "n", "'M'"), step("burn", "", "t", "n", "'M'")],
+               [*new, step("close", "x", "s")], [move("t", "s")], [*new, move("t", "x"), step("close", "x", "p")]]
+    pick = "CASE script " + " ".join(f"WHEN {i} THEN array({', '.join(s)})" for i, s in enumerate(scripts)) + " END"
+    e = p.select("tx", "pos", F.posexplode(F.expr(pick)).alias("_j", "_e"))
+    e = e.select("tx", (F.col("pos") * 10 + F.col("_j")).alias("seq"), "_e.*", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("int").alias("space"))
+    od = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("tx"), F.floor("o_totalprice").alias("_p"))
+    g = p.groupBy("tx").agg(F.sum(F.expr("CASE script WHEN 1 THEN 5 WHEN 3 THEN 20 ELSE 0 END")).alias("out_p"), F.sum(F.expr("CASE WHEN script IN (0, 4) THEN n ELSE 0 END")).alias("out_t"), F.max("pr").alias("pr")).join(od, "tx")
+    token = lambda owner, amount: f"named_struct('mint', 'M', 'owner', '{owner}', 'program', '{acc.TOKEN}', 'amount', CAST({amount} AS LONG))"
+    none = f"CAST(NULL AS {'struct<mint:string,owner:string,program:string,amount:long>'})"
+    row = lambda name, pre, post, fee, t0, t1: f"named_struct('account', '{name}', 'pre', CAST({pre} AS LONG), 'post', CAST({post} AS LONG), 'fee', CAST({fee} AS LONG), 'token_pre', {t0}, 'token_post', {t1}, 'signer', {str(name == 'p').lower()}, 'writable', true)"
+    rows = [row("p", "_p % 300", "_p % 300 - 5 - out_p + CASE WHEN pr = '1-URGENT' THEN 1 ELSE 0 END", 5, none, none), row("t", 10, 10, 0, token("p", "_p % 400"), token("p", "_p % 400 - out_t")),
+            row("x", 0, 0, 0, none, none), row("s", 10, "10 + out_p", 0, token("q", 0), token("q", "out_t - CASE WHEN pr = '2-HIGH' THEN 1 ELSE 0 END"))]
+    return g.select("tx", F.explode(F.expr(f"array({', '.join(rows)})")).alias("_a")).select("tx", "_a.*"), e
+
+
+def _plain(c):
+    return F.transform(c, lambda r: F.concat_ws(":", r["account"], r["residual"].cast("string")))
+
+
+@query("G8", LIFE.replace("WITH", "WITH RECURSIVE", 1) + """SELECT tx, CASE WHEN len([b for b in blockers if b NOT IN ('downstream_program_semantics_unverified', 'mint_burn_authority_and_supply_unverified')]) = 0 THEN 'ENDPOINT_AMOUNTS_MATCH' ELSE 'UNKNOWN' END AS status, blockers,
+ [r.account || ':' || r.residual for r in nat] AS native_residuals, [r.account || ':' || r.residual for r in tok] AS token_residuals FROM rec""")
+def reconcile_lifecycle(spark, sf):
+    """Transactions whose accounts are created, closed and created again, with refunds, supply changes and fees."""
+    return acc.reconcile_lifecycle(*_lives(spark, sf)).select("tx", "status", "blockers", _plain("native_residuals").alias("native_residuals"), _plain("token_residuals").alias("token_residuals"))
+
+
+@query("G8", LIFE + """, o AS (SELECT tx, seq, k, t, n, sum(CASE WHEN k = 'init' THEN 1 ELSE 0 END) OVER (PARTITION BY tx ORDER BY seq) - 1 AS g FROM f),
+ x AS (SELECT tx, 'x' AS account, g AS generation, min(seq) FILTER (k = 'init') AS opened, max(seq) FILTER (k = 'close') AS shut, CASE WHEN count(*) FILTER (k = 'close') > 0 THEN 20 END AS refund, coalesce(sum(n) FILTER (k IN ('in', 'out')), 0) AS moved
+   FROM o WHERE g >= 0 AND k <> 'create' GROUP BY ALL),
+ y AS (SELECT f.tx, a AS account, 0 AS generation, -1 AS opened, NULL AS shut, NULL AS refund, coalesce(sum(n) FILTER ((a = 't' AND k IN ('in', 'send')) OR (a = 's' AND k IN ('out', 'send'))), 0) AS moved FROM f, (VALUES ('t'), ('s')) v(a) GROUP BY ALL)
+ SELECT tx, account, generation, opened, shut, CAST(refund AS BIGINT) AS refund, CAST(moved AS BIGINT) AS moved FROM (FROM x UNION ALL FROM y)""")
+def account_generations(spark, sf):
+    d = acc.account_generations(*_lives(spark, sf))
+    return d.select("tx", "account", "generation", "opened", "shut", F.col("refund").cast("long"), F.col("moved").cast("long"))
+
+
 @query("J11 U2", LINES + """, e AS (SELECT DISTINCT 'c' || o_custkey AS owner, o_orderkey AS address FROM orders), a AS (SELECT DISTINCT owner, l_orderkey AS address FROM ln WHERE ls = 'F'),
  f AS (SELECT coalesce(e.owner, a.owner) AS owner, e.address AS e, a.address AS a FROM e FULL JOIN a ON a.owner = e.owner AND a.address = e.address)
  SELECT owner, count(e) AS expected, count(a) AS actual, count(*) FILTER (a IS NULL) AS missing, count(*) FILTER (e IS NULL) AS unexpected, count(*) FILTER (a IS NULL OR e IS NULL) = 0 AS complete FROM f GROUP BY owner""")
