@@ -108,6 +108,22 @@ def movement_alarm(moved: DataFrame, threshold: Column | float, cooldown: int =
     return cooled(cand, list(keys), ts, cooldown)
 
 
+def movement_alarm_with_delivery(moved: DataFrame, threshold: Column | float, delivered: str, cooldown: int = 1800, retry: int = 60, keys: tuple = ("mint",), ts: str = "ts", width: int = 86_400) -> DataFrame:
+    """Alarms as messages that may fail: ``delivered`` tells whether the message of a row, if sent, arrives.
+
+    A delivered message silences its key for ``cooldown``, an attempt that failed for ``retry`` seconds only. Delivery is known before the retry time is over.
+    """
+    limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    cand = moved.filter(F.abs(F.col("move_pct")) + 1e-9 >= limit).select(*keys, ts, "id", "move_pct", F.coalesce(F.col(delivered), F.lit(False)).alias("_ok"))
+
+    def step(s, r):
+        if s and any(t is not None and r[ts] - t < n for t, n in zip(s, (cooldown, retry))):
+            return s, []
+        return [r[ts] if r["_ok"] else (s or [None])[0], r[ts]], [{"id": r["id"], "ts": r[ts], "move_pct": r["move_pct"], "delivered": r["_ok"]}]
+
+    return scan_rule(cand, list(keys), [ts, "id"], step, "id long, ts long, move_pct double, delivered boolean", width)
+
+
 def trailing_reference(df: DataFrame, factor: float = 1.10, width: int = 86_400, keys: tuple = ("mint",), ts: str = "ts",
                        price: str = "price", tie: str | None = None) -> DataFrame:
     """Prices at ``factor`` times the armed reference; firing moves the reference to the fired price."""

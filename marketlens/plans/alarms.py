@@ -89,6 +89,18 @@ def movement_alarm(spark, sf):
     return al.movement_alarm(moves(spark, sf), limit, 3 * b.COOLDOWN).select("id", "mint", "ts", r6("move_pct"))
 
 
+@query("R8", recursive(MOVES) + f""", cand AS (SELECT id, mint, ts, move_pct, id % 3 <> 0 AS ok, row_number() OVER (PARTITION BY mint ORDER BY ts, id) AS n FROM moves WHERE abs(move_pct) + 1e-9 >= CASE WHEN mint % 2 = 0 THEN 50 ELSE 80 END),
+ walk AS (SELECT *, true AS fired, CASE WHEN ok THEN ts END AS sent, ts AS tried FROM cand WHERE n = 1
+  UNION ALL SELECT c.*, go, CASE WHEN go AND c.ok THEN c.ts ELSE sent END, CASE WHEN go THEN c.ts ELSE tried END
+  FROM (SELECT mint AS m, n AS k, sent, tried FROM walk) JOIN cand c ON c.mint = m AND c.n = k + 1, LATERAL (SELECT coalesce(c.ts - sent >= {3 * b.COOLDOWN}, true) AND c.ts - tried >= {b.COOLDOWN // 2} AS go))
+ SELECT id, mint, ts, round(move_pct, 6) AS move_pct FROM walk WHERE fired""")
+def movement_alarm_with_delivery(spark, sf):
+    """One message in three fails: its key may try again after the retry wait, long before the cooldown."""
+    limit = F.expr("CASE WHEN mint % 2 = 0 THEN 50D ELSE 80D END")
+    d = al.movement_alarm_with_delivery(moves(spark, sf).withColumn("ok", F.col("id") % 3 != 0), limit, "ok", 3 * b.COOLDOWN, b.COOLDOWN // 2, width=4 * b.DAY)
+    return d.select("id", "mint", "ts", r6("move_pct"))
+
+
 @query("R9", RECURSIVE + """, numbered AS (SELECT mint, ts, price, row_number() OVER (PARTITION BY mint ORDER BY ts, id) AS rn FROM snap),
  walk AS (SELECT mint, rn, ts, price, price AS ref, false AS hit FROM numbered WHERE rn = 1
   UNION ALL SELECT n.mint, n.rn, n.ts, n.price, CASE WHEN n.price >= w.ref * 1.1::DOUBLE THEN n.price ELSE w.ref END, n.price >= w.ref * 1.1::DOUBLE

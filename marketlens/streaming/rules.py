@@ -75,6 +75,34 @@ def movement_alarm(threshold, window=900, tolerance=90, max_gap=120, cooldown=18
     return step
 
 
+def movement_alarm_with_delivery(threshold, window=900, tolerance=90, max_gap=120, cooldown=1800, retry=60):
+    """``movement_alarm`` whose message may fail: rows with ``attempt`` tell how the message of that row's id went (``ok``).
+
+    A delivered message silences for ``cooldown`` from its own time; an attempt, whatever became of it, for ``retry``.
+    """
+
+    def step(s, r):
+        s = s or {"rows": [], "sent": None, "tried": None, "id": None}
+        now = r["ts"]
+        if r["attempt"] is not None:
+            if r["ok"] and r["attempt"] == s["id"]:
+                s["sent"] = s["tried"]
+            return s, []
+        s["rows"] = [x for x in s["rows"] if x[0] >= now - window - tolerance] + [[now, r["price"]]]
+        base = [i for i, x in enumerate(s["rows"]) if x[0] <= now - window]
+        path = s["rows"][base[-1]:] if base else []
+        if not path or path[0][1] == 0 or any(z[0] - a[0] > max_gap for a, z in zip(path, path[1:])):
+            return s, []
+        pct = (r["price"] / path[0][1] - 1) * 100
+        waits = any(s[k] is not None and now - s[k] < n for k, n in (("sent", cooldown), ("tried", retry)))
+        if abs(pct) + 1e-9 < threshold(r) or waits:
+            return s, []
+        s["tried"], s["id"] = now, r["id"]
+        return s, [{"id": r["id"], "ts": now, "move_pct": round(pct, 6)}]
+
+    return step
+
+
 def incident_transitions(retry=300, incidents=("paused", "stalled", "unhealthy", "unavailable")):
     """What was told last is ``told``; a message is due when there is news, and waits for the retry time.
 

@@ -12,19 +12,42 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from marketlens.session import cut_lineage, work_path
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, name: str, mode: str = "append", closing: str | None = None) -> DataFrame:
     """Process everything that is there and return what was written.
 
-    Output, offsets and state live in the shared folder, so a lost executor or driver resumes.
+    Output, offsets and state live in the shared folder, so a lost executor or driver resumes. ``closing`` is the folder of a
+    ``keyed_rule`` stream's clock: once all is read the source counts as complete, the clock strikes the end of time and what was held comes out.
     """
     spark = stream.sparkSession
     path = work_path(spark, name)
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out")
-         .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start())
-    q.awaitTermination()
+
+    def run():
+        q = (stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out")
+             .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run()
+    if closing is not None:
+        strike(spark, closing)
+        run()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+CLOCK = "_mark timestamp"
+
+
+def clock(spark: SparkSession) -> str:
+    """A folder of clock files for one stream, empty so far."""
+    path = work_path(spark, "clock")
+    spark.createDataFrame([], CLOCK).write.parquet(path)
+    return path
+
+
+def strike(spark: SparkSession, path: str, at: str = "9999-01-01") -> None:
+    """Tell a stream that all rows before ``at`` have been handed over."""
+    spark.range(1).select(F.lit(at).cast("timestamp").alias("_mark")).write.mode("append").parquet(path)
+
+
 def stream_snapshots(stream: DataFrame, event_time: str, key: str, cols: list[str], seconds: int = 60, late: int = 180) -> DataFrame:
     """Tumbling bars with the last value per key; rows later than ``late`` seconds are dropped."""
     bar = F.window(event_time, f"{seconds} seconds")
@@ -33,56 +56,99 @@ def stream_snapshots(stream: DataFrame, event_time: str, key: str, cols: list[st
     return g.select(key, F.unix_timestamp("window.start").alias("bucket"), "_r.*")
 
 
-def keyed_rule(stream: DataFrame, keys: list[str], step, output: str, order: tuple = ("ts", "id")) -> DataFrame:
-    """Run a rule of ``marketlens.streaming.rules`` per key; its state survives between micro-batches.
+class Rule:
+    """A rule of event time: ``step(state, row)`` for every row in order, ``expire(state, now)`` when time has passed, ``due(state)`` the next time at which it would do something."""
 
-    A micro-batch holds only what arrived since the last one; rows of a key are put in the order of time and id
-    in it. A row that arrives after a later row of its key was handled in an earlier micro-batch is late: it
-    does not turn the rule back and gives no output. Sources should hand over files in time order, or buffer.
+    def __init__(self, step, expire=None, due=None):
+        self.step, self.expire, self.due = step, expire or (lambda s, now: (s, [])), due or (lambda s: None)
+
+
+def keyed_rule(stream: DataFrame, keys: list[str], rule, output: str, order: tuple = ("ts", "id"), delay: int = 0, closing: str | None = None, unit: int = 1000, idle: int | None = None) -> DataFrame:
+    """Run a rule per key in event time, whatever order and cut the source hands rows over in.
+
+    Rows wait in the state of their key until the watermark (the greatest time seen anywhere, less ``delay`` seconds) has passed them; a
+    timer then releases them in the order of ``order``, whose first column is the time in 1 / ``unit`` milliseconds (1000: whole seconds). So rows that are out of
+    order by ``delay`` at most give the same output however they are cut into micro-batches. A row that arrives after a later row of its key
+    was released cannot turn the rule back: it comes out by itself, with ``reason`` late and the output columns it has. All other rows have
+    a null ``reason``. Rows of one key and the lateness are held in its state; ``idle`` seconds after its last row a key's state goes.
+
+    The watermark is taken from a copy of each row that only passes by the watermark node, as Spark would drop late rows at the state;
+    files in the ``closing`` folder (see ``clock``) move it without rows.
     """
+    rule = rule if isinstance(rule, Rule) else Rule(rule)
     names = [c.strip().split(" ")[0] for c in output.split(",")]
     by = [c for c in order if c in stream.columns]
+    at = F.timestamp_millis((F.col(by[0]) * unit if unit >= 1 else F.col(by[0]) / round(1 / unit)).cast("long"))
+    marked = stream.withColumn("_mark", F.explode(F.array(F.lit(None).cast("timestamp"), at)))
+    if closing is not None:
+        ticks = stream.sparkSession.readStream.schema(CLOCK).parquet(closing)
+        marked = marked.unionByName(ticks, allowMissingColumns=True)
+    rows = marked.withWatermark("_mark", f"{delay} seconds").filter("_mark IS NULL")
 
     def apply(key, batches, state):
-        last, s = json.loads(state.get[0]) if state.exists else (None, None)
-        rows = [r for frame in batches for r in frame.to_dict("records")]
-        rows.sort(key=lambda r: [r[c] for c in by])
+        last, s, held = json.loads(state.get[0]) if state.exists else (None, None, [])
+        now = state.getCurrentWatermarkMs() / unit
         out = []
-        for r in rows:
-            at = [int(r[c]) for c in by]
-            if last is not None and at < last:
-                continue
-            last = at
-            s, fired = step(s, r)
-            out.extend(fired)
-        state.update((json.dumps([last, s], default=float),))
-        frame = pd.DataFrame(out, columns=[n for n in names if n not in keys])
+        if not state.hasTimedOut:
+            for frame in batches:
+                for r in frame.drop(columns="_mark").astype(object).where(frame.drop(columns="_mark").notna(), None).to_dict("records"):
+                    r = {k: v.item() if hasattr(v, "item") else v for k, v in r.items()}
+                    if last is not None and [r[c] for c in by] < last:
+                        out.append({**{n: r.get(n) for n in names}, "reason": "late"})
+                    else:
+                        held.append(r)
+        held.sort(key=lambda r: [r[c] for c in by])
+        ready = [r for r in held if r[by[0]] < now]
+        held = held[len(ready):]
+        for r in ready:
+            last = [r[c] for c in by]
+            s, passed = rule.expire(s, last[0])
+            s, fired = rule.step(s, r)
+            out += passed + fired
+        s, passed = rule.expire(s, now)
+        out += passed
+        times = [t for t in (held[0][by[0]] if held else None, rule.due(s), last[0] + idle * 1000 / unit if idle is not None and last else None) if t is not None]
+        if not held and idle is not None and last and last[0] + idle * 1000 / unit < now and rule.due(s) is None:
+            state.remove()
+        else:
+            state.update((json.dumps([last, s, held], default=float),))
+            if times:
+                state.setTimeoutTimestamp(max(int(min(times) * unit), state.getCurrentWatermarkMs() + 1))
         for k, v in zip(keys, key):
-            frame[k] = v
-        yield frame[names]
+            out = [{**r, k: v} for r in out]
+        yield pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype=object) for n in (*names, "reason")})
 
-    return stream.groupBy(*keys).applyInPandasWithState(apply, output, "blob string", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(apply, output + ", reason string", "blob string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def track_outcomes(cases: DataFrame, obs: DataFrame, key: str, horizons: list[int], late: int, case_delay: str, obs_delay: str) -> DataFrame:
-    """First observation in each horizon's lateness window, by a stream-stream interval join.
+def run_rule(stream: DataFrame, keys: list[str], rule, output: str, name: str, order: tuple = ("ts", "id"), delay: int = 0, unit: int = 1000) -> DataFrame:
+    """What ``keyed_rule`` gives for a source that is complete once it has been read."""
+    closing = clock(stream.sparkSession)
+    return run_available(keyed_rule(stream, keys, rule, output, order, delay, closing, unit), name, closing=closing)
 
-    ``cases`` (id, key, at timestamp, entry_mc), ``obs`` (key, seen timestamp, mc). The watermarks let
-    Spark forget cases once their longest window has passed, and nothing is ever filled in later.
+
+def track_outcomes(horizons: list[int], late: int) -> Rule:
+    """The first observation of each case in each horizon's window ``[at + horizon, at + horizon + late]``, or its expiry; all in one unit of time.
+
+    Rows are cases (``entry`` set: id, ts) or observations (``mc`` set). Every case gives one row a horizon: OBSERVED with the time and multiple, as soon as one is seen,
+    or EXPIRED once time has passed the window; nothing is filled in later. State holds open windows only.
     """
-    c = (cases.withWatermark("at", case_delay).withColumn("horizon", F.explode(F.array(*[F.lit(h).cast("long") for h in horizons])))
-         .withColumnRenamed(key, "_k"))
-    o = obs.withWatermark("seen", obs_delay)
-    due = F.col("at") + F.make_dt_interval(secs=F.col("horizon"))
-    longest = max(horizons) + late
-    j = c.join(o, (F.col("_k") == F.col(key)) & (F.col("seen") >= due) & (F.col("seen") <= due + F.expr(f"interval {late} seconds"))
-               & (F.col("seen") >= F.col("at")) & (F.col("seen") <= F.col("at") + F.expr(f"interval {longest} seconds")))
-    return j.select("id", "horizon", "at", "seen", (F.col("mc") / F.greatest(F.lit(1.0), F.col("entry_mc"))).alias("multiple"))
-
-
-def first_outcomes(tracked: DataFrame) -> DataFrame:
-    """Earliest tracked observation per case and horizon."""
-    return tracked.groupBy("id", "horizon").agg(F.min_by("multiple", "seen").alias("multiple"), F.min("seen").alias("seen"))
+
+    def step(s, r):
+        s = s or []
+        if r["entry"] is not None:
+            return s + [[r["id"], h, r["ts"] + h, r["ts"] + h + late, r["entry"]] for h in horizons], []
+        if r["mc"] is None:
+            return s, []
+        hit = [w for w in s if w[2] <= r["ts"] <= w[3]]
+        out = [{"id": i, "horizon": h, "status": "OBSERVED", "seen": r["ts"], "multiple": r["mc"] / max(1.0, e)} for i, h, _, _, e in hit]
+        return [w for w in s if w not in hit], out
+
+    def expire(s, now):
+        gone = [w for w in s or [] if w[3] < now]
+        return [w for w in s or [] if w[3] >= now], [{"id": i, "horizon": h, "status": "EXPIRED", "seen": None, "multiple": None} for i, h, _, _, _ in gone]
+
+    return Rule(step, expire, lambda s: min((w[3] for w in s or []), default=None))
 
 
 def once(stream: DataFrame, event_id: str) -> DataFrame:

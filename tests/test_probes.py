@@ -83,7 +83,7 @@ def test_streams_over_many_batches(spark, tmp_path):
         time_apart()
     stream = spark.readStream.schema(SNAP).option("maxFilesPerTrigger", 1).parquet(src)
     step = rules.level_cross([5.0, 15.0], 10.0, 200, 90)
-    got = sorted((r["id"], r["level"]) for r in sm.run_available(sm.keyed_rule(stream, ["mint"], step, "id long, mint long, ts long, level double, price double"), "many").collect())
+    got = sorted((r["id"], r["level"]) for r in sm.run_rule(stream, ["mint"], step, "id long, mint long, ts long, level double, price double", "many").collect())
     want = []
     for k in range(3):
         s = None
