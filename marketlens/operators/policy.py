@@ -72,44 +72,67 @@ def normalise_checks(checks: str, now: Column | int, max_age: int = 300) -> Colu
     return F.transform(F.col(checks), lambda c: c.withField("status", F.when(evidence_valid(c, now, max_age), c["status"]).otherwise("UNKNOWN")))
 
 
+def _any(checks: str, test) -> Column:
+    """Does an entry of the list meet ``test``? A null list, entry or answer does not."""
+    return _sure(F.exists(F.col(checks), lambda c: _sure(test(c))))
+
+
+def rejected(checks: str, name: str) -> Column:
+    return _any(checks, lambda c: (c["name"] == name) & (c["status"] == "REJECT"))
+
+
+def passed(checks: str, name: str, valid=None) -> Column:
+    """The check of that name is there, and every entry under it is a PASS (and ``valid``): one of another status, or of none, undoes it."""
+    good = lambda c: _sure(c["status"] == "PASS") & (F.lit(True) if valid is None else _sure(valid(c)))
+    return _any(checks, lambda c: c["name"] == name) & ~_any(checks, lambda c: (c["name"] == name) & ~good(c))
+
+
+def all_passed(checks: str, names, valid=None) -> Column:
+    return reduce(lambda a, n: a & passed(checks, n, valid), names, F.lit(True))
+
+
 def prealert_verdict(df: DataFrame, checks: str, now: Column | int, identity_ok: Column, checked_at: Column,
                      authority: Column, max_age: int = 300) -> DataFrame:
     """``verdict`` and ``reasons``: identity, age and active authority first, then any REJECT, then the
-    three required checks; anything unresolved is a HOLD."""
-    cs = F.col(checks)
-    rejected = F.transform(F.filter(cs, lambda c: c["status"] == "REJECT"), lambda c: c["name"])
-    missing = F.array_compact(F.array(*[F.when(~F.array_contains(F.transform(cs, lambda c: c["name"]), n), F.lit(n + ":missing")) for n in REQUIRED]))
-    needed = F.filter(cs, lambda c: c["name"].isin(*REQUIRED) & (c["status"] != "REJECT"))
-    held = F.array_compact(F.transform(needed, lambda c: F.when(~evidence_valid(c, now, max_age), F.concat(c["name"], F.lit(":evidence_missing_or_stale")))
-                                       .when(c["status"] != "PASS", F.concat(c["name"], F.lit(":unresolved")))))
-    auth = F.when(authority == "REVOKED", F.array().cast("array<string>")).otherwise(F.array(F.lit("token_authority_unverified")))
-    open_ = F.concat(auth, missing, held)
-    early = (F.when(~_sure(identity_ok), F.struct(F.lit("HOLD").alias("v"), F.array(F.lit("identity_or_policy_mismatch")).alias("r")))
-             .when(~fresh(checked_at, now, max_age), F.struct(F.lit("HOLD").alias("v"), F.array(F.lit("stale_or_invalid_review")).alias("r")))
-             .when(_sure(authority == "ACTIVE"), F.struct(F.lit("REJECT").alias("v"), F.array(F.lit("active_token_authority")).alias("r")))
-             .when(F.size(rejected) > 0, F.struct(F.lit("REJECT").alias("v"), F.concat(rejected, open_).alias("r")))
-             .when(F.size(open_) > 0, F.struct(F.lit("HOLD").alias("v"), open_.alias("r")))
-             .otherwise(F.struct(F.lit("PASS").alias("v"), F.array().cast("array<string>").alias("r"))))
+    three required checks, each by its name; anything unresolved, doubtful or absent is a HOLD."""
+    turned = F.array_compact(F.array(*[F.when(rejected(checks, n), F.lit(n)) for n in CHECKS]))
+    of = lambda n, bad: _any(checks, lambda c: (c["name"] == n) & bad(c))
+    held = F.array_compact(F.array(*[
+        F.when(rejected(checks, n), F.lit(None)).when(~of(n, lambda c: F.lit(True)), n + ":missing")
+        .when(of(n, lambda c: ~_sure(evidence_valid(c, now, max_age))), n + ":evidence_missing_or_stale").when(of(n, lambda c: ~_sure(c["status"] == "PASS")), n + ":unresolved")
+        for n in CHECKS if n in REQUIRED]))
+    auth = F.when(_sure(authority == "REVOKED"), F.array().cast("array<string>")).otherwise(F.array(F.lit("token_authority_unverified")))
+    open_ = F.concat(auth, held)
+    say = lambda v, r: F.struct(F.lit(v).alias("v"), r.alias("r"))
+    early = (F.when(~_sure(identity_ok), say("HOLD", F.array(F.lit("identity_or_policy_mismatch"))))
+             .when(~fresh(checked_at, now, max_age), say("HOLD", F.array(F.lit("stale_or_invalid_review"))))
+             .when(_sure(authority == "ACTIVE"), say("REJECT", F.array(F.lit("active_token_authority"))))
+             .when(F.col(checks).isNull(), say("HOLD", F.array(F.lit("missing_checks"))))
+             .when(F.size(turned) > 0, say("REJECT", F.concat(turned, open_)))
+             .when(F.size(open_) > 0, say("HOLD", open_))
+             .otherwise(say("PASS", F.array().cast("array<string>"))))
     return df.withColumn("_e", early).withColumn("verdict", F.col("_e.v")).withColumn("reasons", F.col("_e.r")).drop("_e")
 
 
 def seven_check_verdict(checks: str) -> Column:
-    """REJECT if any rejects, PASS if all seven pass, else HOLD."""
-    cs = F.col(checks)
-    passed = F.size(F.filter(cs, lambda c: c["name"].isin(*CHECKS) & (c["status"] == "PASS")))
-    return (F.when(F.exists(cs, lambda c: c["status"] == "REJECT"), "REJECT").when(passed == len(CHECKS), "PASS").otherwise("HOLD"))
+    """REJECT if any rejects, PASS if all seven pass, each by its name, else HOLD."""
+    return F.when(_any(checks, lambda c: c["status"] == "REJECT"), "REJECT").when(all_passed(checks, CHECKS), "PASS").otherwise("HOLD")
 
 
 def policy_variants(df: DataFrame, checks: str, variants: dict[str, dict[str, str]]) -> DataFrame:
-    """One row per variant: ``variants`` names, per check, the REJECT reason that only warns there."""
+    """One row per variant: ``variants`` names, per check, the REJECT reason that only warns there.
+
+    A check that is absent, or has an entry that neither passes nor rejects, is a HOLD.
+    """
     rows = []
+    known = reduce(lambda a, n: a & _any(checks, lambda c: c["name"] == n), CHECKS, F.lit(True))
+    open_ = ~known | _any(checks, lambda c: ~_sure(c["status"].isin("PASS", "REJECT")))
     for name, soft in variants.items():
-        is_soft = lambda c: reduce(lambda a, z: a | z, [(c["name"] == k) & (c["reason"] == r) for k, r in soft.items()], F.lit(False))
-        hard = F.exists(F.col(checks), lambda c: (c["status"] == "REJECT") & ~is_soft(c))
-        unknown = F.exists(F.col(checks), lambda c: ~c["status"].isin("PASS", "REJECT"))
-        warned = F.size(F.filter(F.col(checks), lambda c: (c["status"] == "REJECT") & is_soft(c)))
-        verdict = F.when(hard, "REJECT").when(unknown, "HOLD").otherwise("SHADOW_ELIGIBLE")
-        rows.append(F.struct(F.lit(name).alias("variant"), verdict.alias("verdict"), warned.alias("warnings")))
+        is_soft = lambda c: _sure(reduce(lambda a, z: a | z, [(c["name"] == k) & (c["reason"] == r) for k, r in soft.items()], F.lit(False)))
+        hard = _any(checks, lambda c: (c["status"] == "REJECT") & ~is_soft(c))
+        warned = F.coalesce(F.size(F.filter(F.col(checks), lambda c: _sure((c["status"] == "REJECT") & is_soft(c)))), F.lit(0))
+        verdict = F.when(hard, "REJECT").when(open_, "HOLD").otherwise("SHADOW_ELIGIBLE")
+        rows.append(F.struct(F.lit(name).alias("variant"), verdict.alias("verdict"), F.when(F.col(checks).isNull(), 0).otherwise(warned).alias("warnings")))
     return df.withColumn("_v", F.explode(F.array(*rows))).select(*df.columns, "_v.*")
 
 
@@ -120,12 +143,10 @@ def reason_histogram(df: DataFrame, checks: str) -> DataFrame:
 
 def paper_decision(checks: str, min_score: int = 8, max_band: float = 0.25, min_accel: float = 1.2, min_liq_change: float = -0.1) -> tuple[Column, Column]:
     """(action, reason): SKIP on a reject, WATCH while evidence or the market filter is incomplete, else ENTER_REVIEW."""
-    cs = F.col(checks)
-    passed = F.size(F.filter(cs, lambda c: c["name"].isin(*CHECKS) & (c["status"] == "PASS")))
     known = finite("band") & finite("vol_accel") & finite("liq_change_now")
     market = ((F.col("score") >= min_score) & (F.col("band") <= max_band) & (F.col("vol_accel") >= min_accel) & (F.col("liq_change_now") >= min_liq_change))
-    why = (F.when(F.exists(cs, lambda c: c["status"] == "REJECT"), "explicit_screening_reject")
-           .when(passed < len(CHECKS), "incomplete_seven_check_evidence").when(~known, "missing_features")
+    why = (F.when(_any(checks, lambda c: c["status"] == "REJECT"), "explicit_screening_reject")
+           .when(~all_passed(checks, CHECKS), "incomplete_seven_check_evidence").when(~known, "missing_features")
            .when(_sure(market), "frozen_paper_filter_only").otherwise("paper_market_filter_not_met"))
     action = (F.when(why == "explicit_screening_reject", "SKIP").when(why == "frozen_paper_filter_only", "ENTER_REVIEW").otherwise("WATCH"))
     return action, why
@@ -173,23 +194,20 @@ def check_liquidity(pools: DataFrame, vaults: DataFrame) -> DataFrame:
 
 
 def relay_eligible(now: Column | int, checks: str, cap: tuple, activation: int, max_age: int = 300) -> Column:
-    """Fresh alert, snapshot and review of the same identity, inside the cap band, verdict PASS and the
-    required checks passed on valid evidence."""
+    """Fresh alert, snapshot and review of the same identity, inside the cap band, verdict PASS and each
+    required check passed, by its name, on valid evidence."""
     c = F.col
-    cs = c(checks)
     ok = (fresh(c("last_alert_ts"), now, max_age) & fresh(c("ts"), now, max_age) & fresh(c("checked_at"), now, max_age)
           & (c("last_alert_ts") >= activation) & (c("ts") <= c("last_alert_ts"))
           & finite("mc") & finite("liq") & finite("price") & (c("mc") > 0) & (c("liq") > 0) & (c("price") > 0)
           & c("mc").between(*cap) & (c("verdict") == "PASS") & (c("review_mint") == c("mint")) & (c("review_pair") == c("pair")))
-    none = ~F.exists(cs, lambda k: k["status"] == "REJECT")
-    need = F.size(F.filter(cs, lambda k: k["name"].isin(*REQUIRED) & (k["status"] == "PASS") & evidence_valid(k, now, max_age))) == len(REQUIRED)
-    return _sure(ok) & _sure(none) & _sure(need)
+    none = ~_any(checks, lambda k: k["status"] == "REJECT")
+    return _sure(ok) & none & all_passed(checks, [n for n in CHECKS if n in REQUIRED], lambda k: evidence_valid(k, now, max_age))
 
 
 def relay_class(now: Column | int, checks: str, max_age: int = 300) -> Column:
     rest = [n for n in CHECKS if n not in REQUIRED]
-    good = F.size(F.filter(F.col(checks), lambda k: k["name"].isin(*rest) & (k["status"] == "PASS") & evidence_valid(k, now, max_age)))
-    return F.when(good == len(rest), "SCREENING COMPLETE").otherwise("EARLY WATCH")
+    return F.when(all_passed(checks, rest, lambda k: evidence_valid(k, now, max_age)), "SCREENING COMPLETE").otherwise("EARLY WATCH")
 
 
 def assess_attention() -> tuple[Column, Column]:

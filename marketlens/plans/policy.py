@@ -114,6 +114,37 @@ def seven_check_verdict(spark, sf):
     return d.withColumn("checks", soft).select("id", po.seven_check_verdict("checks").alias("verdict"))
 
 
+GAPS = b.SNAP + f""", g AS (SELECT id, ts, k % 6 AS g FROM snap),
+ e AS (SELECT id, g, ({NAMES})[CASE WHEN g = 0 AND i = 6 THEN 6 WHEN i = 7 THEN CASE g WHEN 3 THEN 1 ELSE 6 END ELSE i + 1 END] AS name,
+   CASE WHEN g = 1 AND i = 4 THEN NULL WHEN g = 3 AND i = 7 THEN 'REJECT' ELSE 'PASS' END AS status, NOT (g = 4 AND i = 7) AS ok FROM g, range(8) r(i) WHERE g <> 2 AND (i < 7 OR g IN (3, 4))),
+ n AS (SELECT id, i, ({NAMES})[i + 1] AS name FROM g, range(7) r(i)),
+ w AS (SELECT n.id, n.i, n.name, count(e.name) AS there, coalesce(bool_or(status = 'REJECT'), false) AS rej, coalesce(bool_and(coalesce(status = 'PASS', false)), false) AS good, coalesce(bool_and(ok), false) AS ok FROM n LEFT JOIN e ON e.id = n.id AND e.name = n.name GROUP BY ALL),
+ v AS (SELECT id, list(name ORDER BY i) FILTER (rej) AS rej, list(name || CASE WHEN there = 0 THEN ':missing' WHEN NOT ok THEN ':evidence_missing_or_stale' ELSE ':unresolved' END ORDER BY i) FILTER (i >= 4 AND NOT rej AND NOT (there > 0 AND ok AND good)) AS held,
+   bool_and(there > 0 AND good) AS seven, bool_and(i < 4 OR (there > 0 AND good AND ok)) AS need, bool_and(i >= 4 OR (there > 0 AND good AND ok)) AS rest, bool_and(there > 0 AND (good OR rej)) AS known FROM w GROUP BY id)
+"""
+
+
+def gapped(spark, sf):
+    """Reviews that pass but for one flaw: a check doubled over another one, one without a status, no list, a second entry that rejects or is stale, or none."""
+    entry = lambda n, st="'PASS'", age=10: f"named_struct('name', '{n}', 'status', {st}, 'reason', 'r', 'observed_at', ts - {age}, 'refs', array('ref'))"
+    base = [entry(n) for n in po.CHECKS]
+    kinds = [[*base[:6], base[5]], [*base[:4], entry(po.CHECKS[4], "CAST(NULL AS STRING)"), *base[5:]], None, [*base, entry(po.CHECKS[0], "'REJECT'")], [*base, entry(po.CHECKS[5], age=301)], base]
+    cases = " ".join(f"WHEN {i} THEN array({', '.join(k)})" for i, k in enumerate(kinds) if k)
+    return b.snapshots(spark, sf).select("id", "ts", F.expr(f"CASE k % 6 {cases} END").alias("checks"))
+
+
+@query("P11 P12 P13 P21", GAPS + """SELECT g.id, CASE WHEN g = 2 THEN 'HOLD' WHEN rej IS NOT NULL THEN 'REJECT' WHEN held IS NOT NULL THEN 'HOLD' ELSE 'PASS' END AS verdict, CASE WHEN g = 2 THEN ['missing_checks'] ELSE coalesce(rej, []) || coalesce(held, []) END AS reasons,
+ CASE WHEN rej IS NOT NULL THEN 'REJECT' WHEN seven THEN 'PASS' ELSE 'HOLD' END AS seven, CASE WHEN rej IS NOT NULL THEN 'SKIP' WHEN seven THEN 'ENTER_REVIEW' ELSE 'WATCH' END AS action,
+ CASE WHEN rej IS NOT NULL THEN 'REJECT' WHEN known THEN 'SHADOW_ELIGIBLE' ELSE 'HOLD' END AS variant, rej IS NULL AND need AS relay, CASE WHEN rest THEN 'SCREENING COMPLETE' ELSE 'EARLY WATCH' END AS class FROM g JOIN v USING (id)""")
+def named_evidence(spark, sf):
+    d = po.prealert_verdict(gapped(spark, sf), "checks", F.col("ts"), F.lit(True), F.col("ts"), F.lit("REVOKED"))
+    d = d.withColumns({"score": F.lit(9), "band": F.lit(0.1), "vol_accel": F.lit(2.0), "liq_change_now": F.lit(0.0), "last_alert_ts": F.col("ts"), "checked_at": F.col("ts"), "mc": F.lit(9000.0), "liq": F.lit(1.0), "price": F.lit(1.0),
+                       "mint": F.lit("m"), "pair": F.lit("p"), "review_mint": F.lit("m"), "review_pair": F.lit("p"), "said": F.col("verdict")}).withColumn("verdict", F.lit("PASS"))
+    relay = po.relay_eligible(F.col("ts"), "checks", (5_000, 200_000), 0)
+    d = po.policy_variants(d.withColumns({"seven": po.seven_check_verdict("checks"), "action": po.paper_decision("checks")[0], "relay": relay, "class": po.relay_class(F.col("ts"), "checks")}).drop("verdict"), "checks", {"current": {}})
+    return d.select("id", F.col("said").alias("verdict"), "reasons", "seven", "action", F.col("verdict").alias("variant"), "relay", "class")
+
+
 VARIANTS = {"current": {}, "age_warning": {"wallet_age": "young_wallet_exposure"},
             "age_and_concentration_warning": {"wallet_age": "young_wallet_exposure", "top_holder_ownership": "concentration_policy_exceeded"}}
 
