@@ -77,40 +77,47 @@ def _any(checks: str, test) -> Column:
     return _sure(F.exists(F.col(checks), lambda c: _sure(test(c))))
 
 
-def rejected(checks: str, name: str) -> Column:
-    return _any(checks, lambda c: (c["name"] == name) & (c["status"] == "REJECT"))
+def tally(checks: str, names, valid=None, stale=None) -> Column:
+    """What is known of each name, in one reading of the list: 0 absent, 1 passed (and ``valid``), 2 doubtful, 3 ``stale``, 4 rejected; the worst entry counts.
 
+    Null without a list.
+    """
+    named = F.array(*[F.lit(n) for n in names])
+
+    def said(c: Column) -> Column:
+        good = _sure(c["status"] == "PASS") & (F.lit(True) if valid is None else _sure(valid(c)))
+        return F.when(_sure(c["status"] == "REJECT"), 4).when(F.lit(False) if stale is None else stale(c), 3).when(good, 1).otherwise(2)
 
-def passed(checks: str, name: str, valid=None) -> Column:
-    """The check of that name is there, and every entry under it is a PASS (and ``valid``): one of another status, or of none, undoes it."""
-    good = lambda c: _sure(c["status"] == "PASS") & (F.lit(True) if valid is None else _sure(valid(c)))
-    return _any(checks, lambda c: c["name"] == name) & ~_any(checks, lambda c: (c["name"] == name) & ~good(c))
+    return F.aggregate(F.col(checks), F.array_repeat(F.lit(0), len(names)), lambda held, c: F.transform(held, lambda x, j: F.when(_sure(F.get(named, j) == c["name"]), F.greatest(x, said(c))).otherwise(x)))
 
 
 def all_passed(checks: str, names, valid=None) -> Column:
-    return reduce(lambda a, n: a & passed(checks, n, valid), names, F.lit(True))
+    return _sure(F.forall(tally(checks, names, valid), lambda x: x == 1))
 
 
 def prealert_verdict(df: DataFrame, checks: str, now: Column | int, identity_ok: Column, checked_at: Column,
                      authority: Column, max_age: int = 300) -> DataFrame:
     """``verdict`` and ``reasons``: identity, age and active authority first, then any REJECT, then the
     three required checks, each by its name; anything unresolved, doubtful or absent is a HOLD."""
-    turned = F.array_compact(F.array(*[F.when(rejected(checks, n), F.lit(n)) for n in CHECKS]))
-    of = lambda n, bad: _any(checks, lambda c: (c["name"] == n) & bad(c))
-    held = F.array_compact(F.array(*[
-        F.when(rejected(checks, n), F.lit(None)).when(~of(n, lambda c: F.lit(True)), n + ":missing")
-        .when(of(n, lambda c: ~_sure(evidence_valid(c, now, max_age))), n + ":evidence_missing_or_stale").when(of(n, lambda c: ~_sure(c["status"] == "PASS")), n + ":unresolved")
-        for n in CHECKS if n in REQUIRED]))
+    stale = lambda c: ~_sure(evidence_valid(c, now, max_age))
+    names, last = F.array(*[F.lit(n) for n in CHECKS]), [":missing", "", ":unresolved", ":evidence_missing_or_stale"]
     auth = F.when(_sure(authority == "REVOKED"), F.array().cast("array<string>")).otherwise(F.array(F.lit("token_authority_unverified")))
-    open_ = F.concat(auth, held)
     say = lambda v, r: F.struct(F.lit(v).alias("v"), r.alias("r"))
-    early = (F.when(~_sure(identity_ok), say("HOLD", F.array(F.lit("identity_or_policy_mismatch"))))
-             .when(~fresh(checked_at, now, max_age), say("HOLD", F.array(F.lit("stale_or_invalid_review"))))
-             .when(_sure(authority == "ACTIVE"), say("REJECT", F.array(F.lit("active_token_authority"))))
-             .when(F.col(checks).isNull(), say("HOLD", F.array(F.lit("missing_checks"))))
-             .when(F.size(turned) > 0, say("REJECT", F.concat(turned, open_)))
-             .when(F.size(open_) > 0, say("HOLD", open_))
-             .otherwise(say("PASS", F.array().cast("array<string>"))))
+
+    def judge(told: Column) -> Column:
+        """``told``: every check's state by the order of CHECKS; bound once, as a plan may inline what is named."""
+        turned = F.transform(F.filter(told, lambda x: x["state"] == 4), lambda x: x["name"])
+        open_ = F.concat(auth, F.transform(F.filter(told, lambda x: x["name"].isin(*REQUIRED) & ~x["state"].isin(1, 4)), lambda x: F.concat(x["name"], F.get(F.array(*[F.lit(w) for w in last]), x["state"]))))
+        return (F.when(~_sure(identity_ok), say("HOLD", F.array(F.lit("identity_or_policy_mismatch"))))
+                .when(~fresh(checked_at, now, max_age), say("HOLD", F.array(F.lit("stale_or_invalid_review"))))
+                .when(_sure(authority == "ACTIVE"), say("REJECT", F.array(F.lit("active_token_authority"))))
+                .when(told.isNull(), say("HOLD", F.array(F.lit("missing_checks"))))
+                .when(F.size(turned) > 0, say("REJECT", F.concat(turned, open_)))
+                .when(F.size(open_) > 0, say("HOLD", open_))
+                .otherwise(say("PASS", F.array().cast("array<string>"))))
+
+    told = F.transform(tally(checks, CHECKS, stale=stale), lambda x, j: F.struct(F.get(names, j).alias("name"), x.alias("state")))
+    early = F.get(F.transform(F.array(told), judge), F.lit(0))
     return df.withColumn("_e", early).withColumn("verdict", F.col("_e.v")).withColumn("reasons", F.col("_e.r")).drop("_e")
 
 
@@ -125,7 +132,7 @@ def policy_variants(df: DataFrame, checks: str, variants: dict[str, dict[str, st
     A check that is absent, or has an entry that neither passes nor rejects, is a HOLD.
     """
     rows = []
-    known = reduce(lambda a, n: a & _any(checks, lambda c: c["name"] == n), CHECKS, F.lit(True))
+    known = _sure(F.forall(tally(checks, CHECKS), lambda x: x > 0))
     open_ = ~known | _any(checks, lambda c: ~_sure(c["status"].isin("PASS", "REJECT")))
     for name, soft in variants.items():
         is_soft = lambda c: _sure(reduce(lambda a, z: a | z, [(c["name"] == k) & (c["reason"] == r) for k, r in soft.items()], F.lit(False)))
