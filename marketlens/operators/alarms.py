@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marketlens.functions.numeric import finite
-from marketlens.operators.timeline import (ladder_fires, opens_series, previous, running, scan_rule, sliding,
+from marketlens.operators.timeline import (ladder_fires, opens_series, placed, previous, running, scan_rule, sliding,
                                            spaced_picks)
 from marketlens.streaming import rules
 
@@ -73,7 +73,7 @@ def with_reference(df: DataFrame, cols: list[str], oldest: int, newest: int, max
         step = F.col(ts) - F.lag(ts).over(w)
         d = d.withColumn("_gaps", F.sum((F.coalesce(step, F.lit(0)) > max_gap).cast("int")).over(
             w.rowsBetween(Window.unboundedPreceding, 0)))
-        return d.withColumn("ref", F.last(F.struct(ts, *cols, "_gaps")).over(w.rangeBetween(-oldest, -newest)))
+        return d.withColumn("ref", F.max(placed(d, ts, *cols, "_gaps")).over(w.rangeBetween(-oldest, -newest)))
 
     d = sliding(df, list(keys), ts, oldest, 0, frames)
     return d.withColumn("ref", F.when(F.col("ref._gaps") == F.col("_gaps"), F.col("ref"))).drop("_gaps")

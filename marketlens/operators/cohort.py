@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketlens.operators import features as ft
 from marketlens.operators.ledger import set_digest
-from marketlens.operators.timeline import running
+from marketlens.operators.timeline import prefix_sums, running
 
 HASH_WIDTH = 2 ** 52     # a 60-bit hash prefix falls into 256 chunks
 
@@ -123,14 +123,14 @@ def cohort_enroll(df: DataFrame, qualifies: Column, invalid: Column, excluded: D
     return d.groupBy(key).agg(first.alias("_r"), F.count(F.lit(1)).alias("attempts")).select(key, "_r.*", "attempts")
 
 
-def sequential_stop(df: DataFrame, seq: str, eligible: str, target: int, width: int, now: int | None = None, deadline: int | None = None) -> DataFrame:
+def sequential_stop(df: DataFrame, seq: str, eligible: str, target: int, now: int | None = None, deadline: int | None = None) -> DataFrame:
     """One row: first unresolved place, eligible results before it, the place reaching ``target`` and why to stop.
 
     ``sample_limit`` once the target is reached, else ``time_limit`` from the deadline on, else null.
     """
     wall = df.agg(F.min(F.when(F.col(eligible).isNull(), F.col(seq)))).scalar()
     open_ = df.filter(F.coalesce(F.col(seq) < wall, F.lit(True)))
-    d = running(open_, [], [seq], width, {"_n": ("sum", F.col(eligible).cast("int"))})
+    d = prefix_sums(open_, [seq], {"_n": F.col(eligible).cast("long")})
     g = d.agg(F.max("_n").alias("eligible_before"), F.min(F.when(F.col("_n") == target, F.col(seq))).alias("cutoff"))
     late = F.lit(deadline is not None and now is not None and now >= deadline)
     return g.withColumn("first_unresolved", F.lit(wall)).withColumn("stop_reason", F.when(F.col("cutoff").isNotNull(), "sample_limit").when(late, "time_limit"))
@@ -209,13 +209,15 @@ def classify_endpoint(decisions: DataFrame, obs: DataFrame, excluded: DataFrame,
     d = decisions.join(held, key, "left")
     open_ = d.filter("_held is null").drop("_held")
     bad = ~(finite("price") & finite("mc") & finite("liq") & (F.col("price") > 0) & (F.col("mc") > 0) & (F.col("liq") > 0))
-    line = opens_series(obs.select(key, "ts", "price", "mc", "liq"), [key], "ts", max_gap)
-    line = running(line.withColumn("_bad", bad), [key], ["ts"], width, {
+    # Rows of one second go by id, or else by their values.
+    order = ["ts", *(["id"] if "id" in obs.columns else []), "mc", "price", "liq"]
+    line = opens_series(obs.select(key, *order), [key], "ts", max_gap, order=order)
+    line = running(line.withColumn("_bad", bad), [key], order, width, {
         "seg": ("sum", F.col("opens").cast("long")), "bads": ("sum", F.col("_bad").cast("long"))})
     cols = ["price", "mc", "liq", "seg", "bads"]
     e = window_lookup(open_, line, [key], "decision_ts", "ts", cols, -baseline_age, horizon + late, {
-        "_b": (-baseline_age, 0, lambda r: F.last(r, ignorenulls=True)),
-        "_e": (horizon, horizon + late, lambda r: F.first(r, ignorenulls=True))})
+        "_b": (-baseline_age, 0, lambda r: F.max(r)),
+        "_e": (horizon, horizon + late, lambda r: F.min(r))})
     target = F.col("decision_ts") + horizon
     base_bad = ~F.coalesce(finite("_b.mc") & (F.col("_b.mc") > 0), F.lit(False))
     reason = (F.when(F.lit(now) < target, "not_due").when(F.col("_b").isNull(), "missing_saved_baseline").when(base_bad, "invalid_saved_baseline")

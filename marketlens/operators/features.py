@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from marketlens.functions.numeric import between, finite, ratio
-from marketlens.operators.timeline import running, scan_rule, segments, sliding
+from marketlens.operators.timeline import placed, running, scan_rule, segments, sliding
 from marketlens.streaming import rules
 
 # The signal names, in report order.
@@ -225,9 +225,9 @@ def path_frames(horizon: int = 3600, late: int = 180, max_gap: int = 180, ts: st
         step = F.col(ts) - F.lag(ts).over(w)
         d = (d.withColumn("_bad", bad_value)
               .withColumn("_gaps", F.sum((F.coalesce(step, F.lit(0)) > max_gap).cast("int")).over(sofar))
-              .withColumn("_bads", F.sum(bad_value.cast("int")).over(sofar)))
+              .withColumn("_bads", F.sum(bad_value.cast("int")).over(w.rangeBetween(Window.unboundedPreceding, 0))))
         inside = w.rangeBetween(1, horizon)
-        return (d.withColumn("_end", F.first(F.struct(F.col(ts).alias("ts"), F.col(value).alias("v"),
+        return (d.withColumn("_end", F.min(placed(d, ts, F.col(value).alias("v"),
                                                       "_gaps", "_bads")).over(w.rangeBetween(horizon, horizon + late)))
                  .withColumn("_top", F.max(F.when(~F.col("_bad"), F.col(value))).over(inside))
                  .withColumn("_n", F.count(F.lit(1)).over(inside)))
@@ -285,7 +285,7 @@ def movement(df: DataFrame, window: int = 900, tolerance: int = 90, max_gap: int
         step = F.col(ts) - F.lag(ts).over(w)
         d = d.withColumn("_gaps", F.sum((F.coalesce(step, F.lit(0)) > max_gap).cast("int")).over(
             w.rowsBetween(Window.unboundedPreceding, 0)))
-        return d.withColumn("_base", F.last(F.struct(F.col(ts).alias("ts"), F.col(value).alias("v"), "_gaps")).over(
+        return d.withColumn("_base", F.max(placed(d, ts, F.col(value).alias("v"), "_gaps")).over(
             w.rangeBetween(-reach, -window)))
 
     d = sliding(df, list(keys), ts, reach, 0, frames)

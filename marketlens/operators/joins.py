@@ -19,7 +19,8 @@ from marketlens.session import cut_lineage
 def _one_line(left: DataFrame, right: DataFrame, keys: list[str], lts: str, rts: str,
               cols: list[str], tie: str | None) -> DataFrame:
     """Union of both sides with ``_t``, ``_side`` (0 = right) and the structs ``_l`` and ``_r``."""
-    shape_l, shape_r = F.struct(*left.columns), F.struct(F.col(rts).alias("_rts"), *cols)
+    seq = [F.col("id").alias("_seq")] if "id" in right.columns else []
+    shape_l, shape_r = F.struct(*left.columns), F.struct(F.col(rts).alias("_rts"), *seq, *cols)
     a = right.select(*keys, F.col(rts).alias("_t"), F.lit(0).alias("_side"),
                      (F.col(tie) if tie else F.lit(0)).cast("long").alias("_tie"), shape_r.alias("_r"))
     z = left.select(*keys, F.col(lts).alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_tie"),
@@ -46,7 +47,8 @@ def window_lookup(cases: DataFrame, obs: DataFrame, keys: list[str], cts: str, o
     """Aggregate observations with ``ots`` in ``[cts+a, cts+b]`` for every case.
 
     ``aggs`` maps a name to ``(a, b, fn)`` where ``fn`` receives the observation struct column (null on
-    case rows) and returns an aggregate; every ``[a, b]`` lies within ``[low, high]``.
+    case rows) and returns an aggregate; every ``[a, b]`` lies within ``[low, high]``. The struct is led by time and, where
+    there is one, id, so its least and greatest are the first and last observation even within a second.
     """
     line = _one_line(cases, obs, keys, cts, ots, cols, None)
 
@@ -65,8 +67,8 @@ def lookback_join(cases: DataFrame, obs: DataFrame, keys: list[str], cts: str, o
 
     One observation per bucket of the source bounds the array by ``span / bucket``.
     """
-    return window_lookup(cases, obs, keys, cts, ots, cols, -span, 0, {
-        "history": (-span, 0, lambda r: F.collect_list(r))})
+    d = window_lookup(cases, obs, keys, cts, ots, cols, -span, 0, {"history": (-span, 0, lambda r: F.collect_list(r))})
+    return d.withColumn("history", F.sort_array("history"))
 
 
 def endpoint_join(cases: DataFrame, obs: DataFrame, keys: list[str], cts: str, ots: str, cols: list[str],
@@ -76,7 +78,7 @@ def endpoint_join(cases: DataFrame, obs: DataFrame, keys: list[str], cts: str, o
     ``endpoint_status``: observed, missing, or window_open where ``now`` has not passed the window.
     """
     d = window_lookup(cases, obs, keys, cts, ots, cols, 0, horizon + late, {
-        "endpoint": (horizon, horizon + late, lambda r: F.first(r, ignorenulls=True))})
+        "endpoint": (horizon, horizon + late, lambda r: F.min(r))})
     if now is not None:
         still = F.lit(now) <= F.col(cts) + horizon + late
         d = d.withColumn("endpoint", F.when(~still, F.col("endpoint")))

@@ -15,7 +15,7 @@ def horizon_outcomes(cases: DataFrame, obs: DataFrame, keys: list[str], horizons
     """First observation inside each horizon's lateness window; nothing is filled in later."""
     top = max(horizons) + late
     d = window_lookup(cases, obs, keys, "decision_ts", "ts", ["mc", "liq", "pair"], 0, top, {
-        f"_e{h}": (h, h + late, lambda r: F.first(r, ignorenulls=True)) for h in horizons})
+        f"_e{h}": (h, h + late, lambda r: F.min(r)) for h in horizons})
     each = F.array(*[F.struct(F.lit(h).cast("long").alias("horizon"), F.col(f"_e{h}").alias("e")) for h in horizons])
     d = d.withColumn("_h", F.explode(each)).filter("_h.e is not null")
     return d.select("id", F.col("_h.horizon").alias("horizon"), F.col("_h.e._rts").alias("observed_ts"),
@@ -60,7 +60,7 @@ def case_state(cases: DataFrame, obs: DataFrame, keys: list[str], horizon: int)
     low = lambda r: F.min(F.when(r.isNotNull() & (r["mc"] > 0), F.struct(r["mc"].alias("mc"), r["_rts"].alias("t"))))
     d = window_lookup(cases, obs, keys, "decision_ts", "ts", ["mc", "liq"], 0, horizon, {
         "_hi": (1, horizon, top), "_lo": (1, horizon, low),
-        "_end": (1, horizon, lambda r: F.last(r, ignorenulls=True))})
+        "_end": (1, horizon, lambda r: F.max(r))})
     up = F.coalesce(F.col("_hi.mc") > F.col("entry_mc"), F.lit(False))
     down = F.coalesce(F.col("_lo.mc") < F.col("entry_mc"), F.lit(False))
     d = (d.withColumn("peak_mc", F.when(up, F.col("_hi.mc")).otherwise(F.col("entry_mc")))

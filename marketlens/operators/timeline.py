@@ -47,6 +47,13 @@ def sliding(df: DataFrame, keys: list[str], ts: str, before: int, after: int,
     return build(spread, w).filter("_chunk = _home").drop("_chunk", "_home")
 
 
+def placed(df: DataFrame, ts: str, *cols: str | Column) -> Column:
+    """A row as a struct that is ordered as rows are: by time, then id where there is one, then by its own values. Its least and
+    greatest in a frame are the first and last row there, however rows of one second were handed over."""
+    tie = [F.col("id").alias("_tie")] if "id" in df.columns else []
+    return F.struct(F.col(ts).alias("ts"), *tie, *[F.col(c) if isinstance(c, str) else c for c in cols])
+
+
 _TOTAL = {
     "sum": lambda c, o: F.sum(c), "max": lambda c, o: F.max(c), "min": lambda c, o: F.min(c),
     "last": lambda c, o: F.max_by(c, F.when(c.isNotNull(), o)),
@@ -93,6 +100,26 @@ def running(df: DataFrame, keys: list[str], order: list[str], width: int,
     return out.drop("_chunk", *[f"_{p}_{n}" for n in aggs for p in "vp"])
 
 
+def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Running sums over all rows in ``order``, whose columns tell any two rows apart; no task sees more than a range of them.
+
+    Rows are dealt into ranges and written, so that a range stays what it is; each range is summed up, the totals of the
+    ranges (one row each) are added up on the driver, and every range runs on from its own start.
+    """
+    d = df.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()])
+    d = cut_lineage(d.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = d.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(n) for n in sums]).orderBy("_part").collect()
+    starts, held = [], {n: 0 for n in sums}
+    for t in totals:
+        starts.append((t["_part"], *[held[n] for n in sums]))
+        held = {n: held[n] + (t[n] or 0) for n in sums}
+    kinds = {n: d.schema[f"_v_{n}"].dataType.simpleString() for n in sums}
+    begin = d.sparkSession.createDataFrame(starts, "_part int, " + ", ".join(f"_s_{n} {'double' if kinds[n] in ('float', 'double') else 'long'}" for n in sums))
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = d.join(F.broadcast(begin), "_part")  # one row a range
+    return out.select(*df.columns, *[(F.col(f"_s_{n}") + F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0))).alias(n) for n in sums])
+
+
 def previous(df: DataFrame, keys: list[str], order: list[str], width: int,
              cols: dict[str, str]) -> DataFrame:
     """Values of the preceding row of the key, whatever its distance: ``{new_name: source_column}``."""

@@ -291,11 +291,27 @@ def append_idempotent(spark, sf):
     return lg.append_idempotent(d.filter("ts < 1705363200"), d.filter("ts >= 1705363200 OR body = 'v1'"), ["kind", "key"], "body", ["id"]).select("id", "outcome")
 
 
-@query("H5", b.SNAP + """, m AS (SELECT DISTINCT pair, mint::VARCHAR AS m FROM snap), h AS (SELECT *, ('0x' || substr(sha256(m), 1, 8))::BIGINT % 256 AS bk FROM m),
- p AS (SELECT pair, bk, sha256(CAST(to_json(list(m ORDER BY m)) AS VARCHAR)) AS d, count(*) AS n FROM h GROUP BY ALL)
- SELECT pair, CAST(sum(n) AS BIGINT) AS members, sha256(string_agg(d, '|' ORDER BY bk)) AS digest FROM p GROUP BY pair""")
+@query("H5", b.SNAP + """, m AS (SELECT DISTINCT pair, mint::VARCHAR AS m FROM snap), n AS (SELECT pair, count(*) AS n, CASE WHEN count(*) <= 64 THEN 0 WHEN count(*) <= 1024 THEN 1 WHEN count(*) <= 16384 THEN 2 ELSE 3 END AS k FROM m GROUP BY pair),
+ a3 AS (SELECT pair, substr(sha256(m), 1, k) AS p, sha256(CAST(to_json(list(m ORDER BY m)) AS VARCHAR)) AS d FROM m JOIN n USING (pair) GROUP BY ALL),
+ a2 AS (SELECT pair, substr(p, 1, 2) AS p, sha256(string_agg(d, '|' ORDER BY p)) AS d FROM a3 WHERE len(p) = 3 GROUP BY ALL UNION ALL SELECT * FROM a3 WHERE len(p) < 3),
+ a1 AS (SELECT pair, substr(p, 1, 1) AS p, sha256(string_agg(d, '|' ORDER BY p)) AS d FROM a2 WHERE len(p) = 2 GROUP BY ALL UNION ALL SELECT * FROM a2 WHERE len(p) < 2),
+ a0 AS (SELECT pair, sha256(string_agg(d, '|' ORDER BY p)) AS d FROM a1 WHERE len(p) = 1 GROUP BY pair UNION ALL SELECT pair, d FROM a1 WHERE p = '')
+ SELECT pair, n AS members, d AS digest FROM a0 JOIN n USING (pair)""")
 def set_digest(spark, sf):
-    return lg.set_digest(b.snapshots(spark, sf), ["pair"], "mint")
+    """Roots of hash trees with leaves of about 64 members."""
+    return lg.set_digest(b.snapshots(spark, sf), ["pair"], "mint", 64)
+
+
+@query("H5", b.SNAP + """, m AS (SELECT DISTINCT pair, mint::VARCHAR AS m FROM snap WHERE mint % 7 = 0), d AS (SELECT pair, count(*) AS n, sha256(CAST(to_json(list(m ORDER BY m)) AS VARCHAR)) AS d FROM m GROUP BY pair),
+ w AS (SELECT pair, CASE pair WHEN 'click' THEN 0 ELSE count(DISTINCT mint) END AS n, CASE pair WHEN 'view' THEN 'other' ELSE sha256(CAST(to_json(list(DISTINCT mint::VARCHAR ORDER BY mint::VARCHAR)) AS VARCHAR)) END AS d FROM snap WHERE mint % 7 = 0 GROUP BY pair UNION ALL SELECT 'absent', 1, 'x')
+ SELECT w.pair, CASE WHEN d.d IS NULL THEN 'missing' WHEN d.n <> w.n THEN 'count' WHEN d.d <> w.d THEN 'digest' ELSE 'ok' END AS binding FROM w LEFT JOIN d USING (pair)""")
+def bound_digests(spark, sf):
+    """Small sets held against bound counts and digests of their sorted lists."""
+    s = b.snapshots(spark, sf).filter("mint % 7 = 0").select("pair", "mint")
+    plain = s.select("pair", F.col("mint").cast("string").alias("m")).distinct().groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.to_json(F.sort_array(F.collect_list("m"))), 256).alias("d"))
+    bound = plain.select("pair", F.expr("CASE pair WHEN 'click' THEN 0 ELSE n END").alias("members"), F.expr("CASE pair WHEN 'view' THEN 'other' ELSE d END").alias("digest"))
+    bound = bound.unionByName(spark.range(1).select(F.lit("absent").alias("pair"), F.lit(1).cast("long").alias("members"), F.lit("x").alias("digest")))
+    return lg.compare_bound(lg.set_digest(s, ["pair"], "mint"), bound, ["pair"])
 
 
 # --- event log reports ------------------------------------------------------------------------

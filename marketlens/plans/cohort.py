@@ -329,7 +329,7 @@ def split_exclusions(spark, sf):
 @query("E1 U3", SPLIT + "SELECT id, split FROM parts")
 def first_alert_split(spark, sf):
     d = _first_eligible(spark, sf).filter("exclusion is null")
-    return st.chronological_split(d, ["decision_ts", "id"], b.CHUNK, 0.7, "observed_ts").select("id", "split")
+    return st.chronological_split(d, ["decision_ts", "id"], 0.7, "observed_ts").select("id", "split")
 
 
 @query("E16", SCORED + """, q AS (SELECT * FROM scored s WHERE gate = 'pass' AND score >= 6 AND NOT EXISTS (SELECT 1 FROM snap x WHERE x.mint = s.mint AND x.pair = 'error' AND x.k >= 95))
@@ -346,14 +346,13 @@ def cohort_enroll(spark, sf):
  SELECT CAST(max(n) AS BIGINT) AS eligible_before, min(CASE WHEN n = 150 THEN seq END) AS cutoff, (SELECT w FROM wall) AS first_unresolved, CASE WHEN min(CASE WHEN n = 150 THEN seq END) IS NOT NULL THEN 'sample_limit' ELSE 'time_limit' END AS stop_reason FROM o""")
 def sequential_stop(spark, sf):
     d = b.snapshots(spark, sf).select(F.col("id").alias("seq"), F.expr("CASE WHEN ts >= 1706400000 AND pair = 'view' THEN NULL ELSE pair = 'purchase' END").alias("eligible"))
-    return co.sequential_stop(d, "seq", "eligible", 150, 4096, b.NOW, b.NOW).select(F.col("eligible_before").cast("long").alias("eligible_before"), "cutoff", "first_unresolved", "stop_reason")
+    return co.sequential_stop(d, "seq", "eligible", 150, b.NOW, b.NOW).select(F.col("eligible_before").cast("long").alias("eligible_before"), "cutoff", "first_unresolved", "stop_reason")
 
 
 @query("E11", b.SNAP + """, p AS (SELECT mint, pair, k, ts // 86400 AS day FROM snap), one AS (SELECT day, mint, max(k) AS k FROM p GROUP BY ALL),
  o AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ('0x' || substr(sha256(mint::VARCHAR), 1, 15))::BIGINT, mint) - 1 AS place, count(*) OVER (PARTITION BY day) - 1 AS universe_size FROM one),
  d AS (SELECT *, CASE WHEN universe_size > 0 THEN ('0x' || substr(sha256(concat_ws('|', 'draw', mint, day)), 1, 15))::BIGINT % nullif(universe_size, 0) END AS i FROM o WHERE k >= 97)
- ,hb AS (SELECT day, mint::VARCHAR AS m, ('0x' || substr(sha256(mint::VARCHAR), 1, 8))::BIGINT % 256 AS bk FROM one), pd AS (SELECT day, bk, sha256(CAST(to_json(list(m ORDER BY m)) AS VARCHAR)) AS dg FROM hb GROUP BY ALL),
- sd AS (SELECT day, sha256(string_agg(dg, '|' ORDER BY bk)) AS st FROM pd GROUP BY day)
+ , sd AS (SELECT day, sha256(CAST(to_json(list(mint::VARCHAR ORDER BY mint::VARCHAR)) AS VARCHAR)) AS st FROM one GROUP BY day)
  SELECT d.mint, d.day, d.universe_size, d.i AS draw_index, c.mint AS control, sha256(concat_ws('|', st, d.mint)) AS universe_digest FROM d JOIN sd ON sd.day = d.day LEFT JOIN o c ON c.day = d.day AND c.place = CASE WHEN d.i >= d.place THEN d.i + 1 ELSE d.i END""")
 def seeded_control_draw(spark, sf):
     d = b.snapshots(spark, sf).groupBy(F.expr("ts div 86400").alias("day"), "mint").agg(F.max("k").alias("k"))
@@ -406,14 +405,28 @@ def score_probabilities(spark, sf):
     return s.select("lang", "n", *[r6(c) for c in ("positive_rate", "brier", "log_loss", "base_brier", "base_log_loss", "brier_delta")])
 
 
-@query("E2")
+STEP = "1 / (1 + exp(-(w0 + w1 * a + w2 * c)))"
+
+
+@query("E2", DOCS.replace("WITH", "WITH RECURSIVE", 1) + f""", m AS (SELECT avg(n_chars) AS ma, avg(words) AS mc, stddev_pop(n_chars) AS sa, stddev_pop(words) AS sc, count(*) AS n FROM docs),
+ z AS (SELECT y::DOUBLE AS y, (n_chars - ma) / sa AS a, (words - mc) / sc AS c, n FROM docs, m),
+ it AS (SELECT 0 AS i, 0::DOUBLE AS w0, 0::DOUBLE AS w1, 0::DOUBLE AS w2
+  UNION ALL SELECT i + 1, w0 - (g0 * (h11 * h22 - h12 * h12) - g1 * (h01 * h22 - h12 * h02) + g2 * (h01 * h12 - h11 * h02)) / det,
+   w1 - (-g0 * (h01 * h22 - h02 * h12) + g1 * (h00 * h22 - h02 * h02) - g2 * (h00 * h12 - h01 * h02)) / det, w2 - (g0 * (h01 * h12 - h02 * h11) - g1 * (h00 * h12 - h02 * h01) + g2 * (h00 * h11 - h01 * h01)) / det
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+   SELECT i, w0, w1, w2, avg(p - y) AS g0, avg((p - y) * a) + w1 / any_value(n) AS g1, avg((p - y) * c) + w2 / any_value(n) AS g2, avg(p * (1 - p)) AS h00, avg(p * (1 - p) * a) AS h01, avg(p * (1 - p) * c) AS h02,
+    avg(p * (1 - p) * a * a) + 1.0::DOUBLE / any_value(n) AS h11, avg(p * (1 - p) * a * c) AS h12, avg(p * (1 - p) * c * c) + 1.0::DOUBLE / any_value(n) AS h22
+   FROM (SELECT it.*, z.*, {STEP} AS p FROM it, z WHERE i < 25) GROUP BY i, w0, w1, w2))),
+ r AS (SELECT w0, w1, w2 FROM it WHERE i = 25),
+ v AS (SELECT unnest([{{term: 'intercept', value: w0}}, {{term: 'n_chars', value: w1}}, {{term: 'words', value: w2}}], recursive := true) FROM r)
+ SELECT term, round(value, 6) AS value, (SELECT n FROM m) AS rows FROM v""")
 def fit_logistic(spark, sf):
-    """Coefficients of the penalised logistic model (compared with a reference optimum in the tests)."""
+    """Coefficients of the penalised logistic model; the SQL takes 25 Newton steps of its own."""
     d = docs(spark, sf)
     m = st.fit_logistic(d, ["n_chars", "words"], "y")
     # One row per coefficient, next to the number of rows each was fitted on.
     each = F.array(*[F.struct(F.lit(n).alias("term"), F.lit(v).alias("value")) for n, v in zip(["intercept", *m["features"]], m["coefficients"])])
-    return d.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.explode(each).alias("c")).select("c.term", "c.value", "rows")
+    return d.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.explode(each).alias("c")).select("c.term", r6("c.value").alias("value"), "rows")
 
 
 @query("A6", ALL_DOCS + """SELECT lang, count(n_chars) AS n, count(*) - count(n_chars) AS missing, round(quantile_cont(n_chars, 0.25), 6) AS p25, round(quantile_cont(n_chars, 0.5), 6) AS median,

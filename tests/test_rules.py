@@ -151,9 +151,9 @@ def test_ledger_detects_tampering(spark):
 
 def test_stop_waits_for_unresolved(spark):
     df = spark.createDataFrame([(i, None if i == 7 else i % 2 == 1) for i in range(1, 12)], "seq long, eligible boolean")
-    r = co.sequential_stop(df, "seq", "eligible", 3, 4).first()
+    r = co.sequential_stop(df, "seq", "eligible", 3).first()
     assert (r["cutoff"], r["first_unresolved"], r["eligible_before"]) == (5, 7, 3)
-    assert co.sequential_stop(df, "seq", "eligible", 4, 4).first()["cutoff"] is None
+    assert co.sequential_stop(df, "seq", "eligible", 4).first()["cutoff"] is None
 
 
 def test_failed_transaction_has_no_edges(spark):
