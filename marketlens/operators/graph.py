@@ -172,31 +172,40 @@ def associated_entities(creators: DataFrame, events: DataFrame) -> DataFrame:
 def parent_paths(trace: DataFrame, tx: str, pos: str, depth: str) -> DataFrame:
     """``parent`` position of every step, rebuilt from its depth, and ``trace_reason``.
 
-    A step may go at most one level deeper than the one before; a bad jump voids its whole transaction. Depth
-    has no limit: the open ancestors are a stack that each step cuts to its own depth. A transaction is
-    small by construction, so it is one window group.
+    A step may go at most one level deeper than the one before; a bad jump voids its whole transaction. So a step's parent is the last
+    step one level up before it. Every step stands on two lines, that of its own level, which it opens, and that of the level above, where it asks for
+    the last one that opened; depth has no limit, and a step costs two rows whatever the length of its transaction.
     """
     w = Window.partitionBy(tx).orderBy(pos)
     jump = F.col(depth) > F.coalesce(F.lag(depth).over(w), F.lit(0)) + 1
     d = trace.withColumn("_bad", F.coalesce((F.col(depth) < 1) | jump, F.lit(True)))
-    whole = Window.partitionBy(tx)
-    d = d.withColumn("_void", F.max("_bad").over(whole))
-    steps = F.sort_array(F.collect_list(F.when(~F.col("_void"), F.struct(F.col(pos).alias("p"), F.col(depth).cast("int").alias("d")))).over(whole))
-    d = d.withColumn("_steps", steps)
-    earlier = F.filter("_steps", lambda x: x["p"] < F.col(pos))
-    stack = F.aggregate(earlier, F.array().cast(f"array<{trace.schema[pos].dataType.simpleString()}>"), lambda a, x: F.concat(F.slice(a, F.lit(1), x["d"] - 1), F.array(x["p"])))
-    d = d.withColumn("ancestors", F.when(~F.col("_void"), F.slice(stack, F.lit(1), F.col(depth).cast("int") - 1)))
-    return (d.withColumn("parent", F.try_element_at("ancestors", F.lit(-1)))
-            .withColumn("trace_reason", F.when(F.col("_void"), "invalid_stack_height")).drop("_bad", "_void", "_steps"))
-
-
-def two_leg_receipts(paths: DataFrame, tx: str, pos: str, invoked: Column, leg_a: Column, leg_b: Column, amount: str) -> DataFrame:
-    """Invocations whose own descendants move both legs: sums of leg A and leg B, both above zero."""
-    calls = paths.filter(invoked & F.col("trace_reason").isNull()).select(tx, F.col(pos).alias("_call"))
-    below = (paths.filter(F.col("trace_reason").isNull()).withColumn("_a", F.when(leg_a, F.col(amount)).otherwise(0))
-             .withColumn("_b", F.when(leg_b, F.col(amount)).otherwise(0)).select(tx, "_a", "_b", F.explode("ancestors").alias("_call")))
-    g = below.join(calls, [tx, "_call"], "left_semi").groupBy(tx, "_call").agg(F.sum("_a").alias("base_sent"), F.sum("_b").alias("quote_received"))
-    return g.filter("base_sent > 0 and quote_received > 0").withColumnRenamed("_call", "invocation")
+    d = d.withColumn("_void", F.max("_bad").over(Window.partitionBy(tx)))
+    asks = d.select(F.col(tx).alias("_tx"), F.when(~F.col("_void"), F.col(depth) - 1).cast("long").alias("_level"), F.col(pos).alias("_pos"), F.struct(*trace.columns, "_void").alias("_row"))
+    opens = d.filter(~F.col("_void")).select(F.col(tx).alias("_tx"), F.col(depth).cast("long").alias("_level"), F.col(pos).alias("_pos"), F.col(pos).alias("_open"))
+    line = Window.partitionBy("_tx", "_level").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    both = asks.unionByName(opens, allowMissingColumns=True).withColumn("parent", F.max("_open").over(line)).filter("_row IS NOT NULL")
+    return both.select("_row.*", F.when(F.col("_level") > 0, F.col("parent")).alias("parent"), F.when(F.col("_row._void"), "invalid_stack_height").alias("trace_reason")).drop("_void")
+
+
+def two_leg_receipts(paths: DataFrame, tx: str, pos: str, invoked: Column, leg_a: Column, leg_b: Column, amount: str, depth: str = "depth") -> DataFrame:
+    """Invocations whose own descendants move both legs: sums of leg A and leg B, both above zero.
+
+    A step's descendants are the steps up to the next one that is no deeper. That step closes all levels from its own to that of the
+    step before it, so each step is closed once, and carries the sums up to it: no step is listed under its ancestors.
+    """
+    w = Window.partitionBy(tx).orderBy(pos)
+    leg = lambda c: F.sum(F.when(c, F.col(amount)).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    d = paths.filter(F.col("trace_reason").isNull()).select(tx, F.col(pos).alias("_pos"), F.col(depth).cast("long").alias("_depth"), F.coalesce(invoked, F.lit(False)).alias("_call"), leg(leg_a).alias("_a"), leg(leg_b).alias("_b"),
+                                                           F.coalesce(F.lag(depth).over(w), F.lit(0)).cast("long").alias("_last"))
+    before = lambda c: F.coalesce(F.lag(c).over(Window.partitionBy(tx).orderBy("_pos")), F.lit(0))
+    shuts = d.withColumns({"_a": before("_a"), "_b": before("_b")}).filter("_depth <= _last").select(tx, "_pos", F.explode(F.sequence("_depth", "_last")).alias("_level"), "_a", "_b", F.lit(0).alias("_opens"))
+    opens = d.select(tx, "_pos", F.col("_depth").alias("_level"), "_a", "_b", F.lit(1).alias("_opens"), "_call")
+    ends = d.groupBy(tx).agg(F.max("_depth").alias("_deep"), (F.max("_pos") + 1).alias("_pos"), F.max_by("_a", "_pos").alias("_a"), F.max_by("_b", "_pos").alias("_b"))
+    ends = ends.select(tx, "_pos", F.explode(F.sequence(F.lit(1).cast("long"), "_deep")).alias("_level"), "_a", "_b", F.lit(0).alias("_opens"))
+    line = Window.partitionBy(tx, "_level").orderBy("_pos", "_opens")
+    g = opens.unionByName(shuts, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
+    g = g.withColumns({"base_sent": F.lead("_a").over(line) - F.col("_a"), "quote_received": F.lead("_b").over(line) - F.col("_b")})
+    return g.filter("_call AND base_sent > 0 AND quote_received > 0").select(tx, F.col("_pos").alias("invocation"), "base_sent", "quote_received")
 
 
 def reconcile_endpoints(balances: DataFrame, moves: DataFrame, tx: str = "tx", fee: bool = True) -> DataFrame:
