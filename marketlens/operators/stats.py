@@ -15,17 +15,11 @@ from marketlens.session import cut_lineage
 GRID = 2 ** 52
 
 
-def value_chunk(v: str | Column) -> Column:
-    """Coarse bucket that never decreases with the value, finer near zero than far out."""
-    c = F.col(v) if isinstance(v, str) else v
-    return (F.signum(c) * F.floor(F.ln(1 + F.abs(c)) * 64)).cast("long")
-
-
 def exact_quantiles(df: DataFrame, by: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """Interpolated quantiles per group with ``n``, ``missing`` (null, NaN, infinite) and ``mean``.
 
-    Equal values are counted before the shuffle and ranks come from a chunked running count, so a
-    group of any size is never gathered in one task.
+    Equal values are counted before the shuffle; ranks come from running counts over ranges of (group, value) whose borders Spark
+    takes from the data, so neither a large group nor a narrow one is gathered in one task.
     """
     ok = finite(value)
     # Small next to the rows, and read by three consumers: written once.
@@ -34,8 +28,12 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, fractions: dict[st
     n = F.coalesce(F.sum(F.when(known, F.col("_c"))), F.lit(0))
     size = counts.groupBy(*by).agg(n.alias("n"), F.coalesce(F.sum(F.when(~known, F.col("_c"))), F.lit(0)).alias("missing"),
                                    (F.sum(F.col("_v") * F.col("_c")) / F.nullif(n, F.lit(0))).alias("mean"))
-    ranked = running(counts.filter(known), by, ["_v"], 1, {"_cum": ("sum", "_c")}, chunk=value_chunk("_v"))
-    d = ranked.join(size, by) if by else ranked.withColumn("n", size.select("n").scalar())
+    ranked = prefix_sums(counts.filter(known), [*by, "_v"], {"_cum": F.col("_c")})
+    if by:
+        first = ranked.groupBy(*by).agg(F.min(F.col("_cum") - F.col("_c")).alias("_first"))
+        d = ranked.join(size.join(first, by), by).withColumn("_cum", F.col("_cum") - F.col("_first"))
+    else:
+        d = ranked.withColumn("n", size.select("n").scalar())
     picks = []
     for name, frac in fractions.items():
         pos = (F.col("n") - 1) * F.lit(frac)

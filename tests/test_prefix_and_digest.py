@@ -79,3 +79,16 @@ def test_fit_does_not_depend_on_partitions(spark):
     p = 1 / (1 + np.exp(-z @ np.array(one["coefficients"])))
     h = (z * (p * (1 - p))[:, None]).T @ z + np.diag([0, 1, 1])
     assert one["errors"] == pytest.approx(list(np.sqrt(np.diag(np.linalg.inv(h)))), rel=1e-6)
+
+
+def test_narrow_distribution(spark):
+    """200,000 distinct values between 1.00 and 1.01 and one far out: ranges follow the data."""
+    d = spark.range(200_000).select(F.lit("g").alias("g"), (1 + F.col("id") / 2e7).alias("v")).unionByName(spark.createDataFrame([("g", 1e9), ("h", None), ("h", 2.0), ("h", float("nan"))], "g string, v double"))
+    x = np.append(1 + np.arange(200_000) / 2e7, 1e9)
+    got = {r["g"]: r for r in st.distribution(d, ["g"], "v").collect()}
+    for name, q in st.QUARTILES.items():
+        assert got["g"][name] == pytest.approx(float(np.quantile(x, q)), abs=1e-12)
+        assert got["h"][name] == 2.0
+    assert got["h"]["missing"] == 2 and got["g"]["n"] == 200_001
+    sizes = [r["count"] for r in d.filter("v < 2").repartitionByRange(100, "g", "v").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 200_000 * 0.03
