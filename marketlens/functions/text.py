@@ -61,14 +61,26 @@ def instrument(c: Column) -> Column:
 
 
 # What of a page is not shown, and the character references that are resolved.
-HIDDEN = (r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is)<noscript\b.*?</noscript\s*>", r"(?is)<title\b.*?</title\s*>", r"(?s)<[^>]*>")
+HIDDEN = (r"(?is)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?is)<noscript\b.*?</noscript\s*>", r"(?s)<[^>]*>")
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title"
-META = r"""(?is)<meta\s[^>]*name\s*=\s*["']?description["']?[^>]*?content\s*=\s*["']([^"']*)"""
+META = r"""(?is)<meta\s(?:[^>"']|"[^"]*"|'[^']*')*>"""
+DESCRIBES = r"""(?is)[\s"']name\s*=\s*["']?description["'\s/>]"""
+CONTENT = r"""(?is)[\s"']content\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+NUMBERED = "&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"))
 
 
+def _letter(ref: Column) -> Column:
+    """The character of a numeric reference, decimal or hexadecimal; that of & stays a reference until the last, so that nothing is resolved twice."""
+    code = F.when(F.lower(F.substring(ref, 1, 1)) == "x", F.conv(F.substring(ref, 2, 7), 16, 10)).otherwise(ref).cast("long")
+    real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(code == 38, "&amp;").when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
 def plain_text(c: Column) -> Column:
-    """Character references resolved, runs of white space as one space, trimmed."""
+    """Character references resolved, numeric ones too, runs of white space as one space, trimmed."""
+    refs = F.array_distinct(F.regexp_extract_all(c, F.lit(NUMBERED), F.lit(1)))
+    c = F.aggregate(refs, c, lambda text, r: F.replace(text, F.concat(F.lit("&#"), r, F.lit(";")), _letter(r)))
     for name, letter in REFERENCES:
         c = F.replace(c, F.lit(name), F.lit(letter))
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -78,10 +90,12 @@ def page_fields(c: Column) -> Column:
     """struct(title, description, visible) of an HTML page, by patterns alone.
 
     Comments, scripts, styles and noscript parts are taken out before the tags, so markup inside them is never
-    seen; the title is not part of the visible text. A page without a title or description has empty ones.
+    seen; the title is part of the visible text. The description is the content of the last meta tag of that name, whatever the order of
+    its attributes. A page without a title or description has empty ones. For the visible text a tag ends at its first >, even within quotes.
     """
-    shown = F.coalesce(c, F.lit(""))
+    shown = page = F.coalesce(c, F.lit(""))
     for pattern in HIDDEN:
         shown = F.regexp_replace(shown, pattern, " ")
-    one = lambda pattern: plain_text(F.regexp_extract(F.coalesce(c, F.lit("")), pattern, 1))
-    return F.struct(one(TITLE).alias("title"), one(META).alias("description"), plain_text(shown).alias("visible"))
+    tag = F.coalesce(F.try_element_at(F.filter(F.regexp_extract_all(page, F.lit(META), F.lit(0)), lambda t: t.rlike(DESCRIBES)), F.lit(-1)), F.lit(""))
+    content = F.concat(F.regexp_extract(tag, CONTENT, 1), F.regexp_extract(tag, CONTENT, 2))
+    return F.struct(plain_text(F.regexp_extract(page, TITLE, 1)).alias("title"), plain_text(content).alias("description"), plain_text(shown).alias("visible"))

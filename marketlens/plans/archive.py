@@ -393,11 +393,18 @@ def claim_detectors(spark, sf):
     return d.select("doc_id", tx.has_claim(F.col("t"), tx.TOOLING_CLAIM).alias("tooling"), tx.has_claim(F.col("t"), tx.FEE_BUYBACK_CLAIM).alias("fee_buyback"), tx.claim_quote(F.col("t"), tx.TOOLING_CLAIM).alias("quote"))
 
 
+#: Every other page gets numeric references and a description whose content stands before its name.
+MORE = "CASE WHEN page_id % 2 = 0 THEN '<p>It&#8217;s &#x2019; &#38;lt; &lt;</p><meta content=\"D&#39; ' || page_id || '\" name=description>' ELSE '' END"
+
+
 def _page_sql() -> str:
     """The patterns of ``page_fields`` as nested SQL calls."""
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
 
     def plain(sql):
+        letter_ = "CASE n WHEN 38 THEN '&amp;' ELSE chr(n) END"
+        number = "CAST(CASE WHEN lower(r[1]) = 'x' THEN CAST('0x' || substr(r, 2) AS INTEGER) ELSE CAST(r AS INTEGER) END AS INTEGER)"
+        sql = f"list_reduce(list_prepend({sql}, list_distinct(regexp_extract_all({sql}, {quoted(tx.NUMBERED)}, 1))), lambda a, r: replace(a, '&#' || r || ';', {letter_.replace('n)', number + ')').replace('CASE n', 'CASE ' + number)}))"
         for name, letter in tx.REFERENCES:
             sql = f"replace({sql}, {quoted(name)}, {quoted(letter)})"
         return rf"trim(regexp_replace({sql}, '\s+', ' ', 'g'))"
@@ -405,13 +412,17 @@ def _page_sql() -> str:
     shown = "html"
     for pattern in tx.HIDDEN:
         shown = f"regexp_replace({shown}, {quoted(pattern)}, ' ', 'g')"
-    title, meta = (plain(f"regexp_extract(html, {quoted(p)}, 1)") for p in (tx.TITLE, tx.META))
-    return f"SELECT page_id, {title} AS title, {meta} AS description, {plain(shown)} AS visible FROM pages"
+    tag = f"coalesce([t for t in regexp_extract_all(html, {quoted(tx.META)}) if regexp_matches(t, {quoted(tx.DESCRIBES)})][-1], '')"
+    content = f"regexp_extract({tag}, {quoted(tx.CONTENT)}, 1) || regexp_extract({tag}, {quoted(tx.CONTENT)}, 2)"
+    title = f"regexp_extract(html, {quoted(tx.TITLE)}, 1)"
+    return (f"WITH h AS (SELECT page_id, html || {MORE} AS html FROM pages), p AS (SELECT page_id, {title} AS t, {content} AS m, {shown} AS s FROM h) "
+            f"SELECT page_id, {plain('t')} AS title, {plain('m')} AS description, {plain('s')} AS visible FROM p")
 
 
 @query("F11 X3", _page_sql())
 def page_fields(spark, sf):
-    return b.table(spark, sf, "pages").select("page_id", tx.page_fields(F.col("html")).alias("f")).select("page_id", "f.*")
+    html = F.concat("html", F.expr(MORE))
+    return b.table(spark, sf, "pages").select("page_id", tx.page_fields(html).alias("f")).select("page_id", "f.*")
 
 
 @query("F12", r"""SELECT page_id, regexp_full_match(u, 'https://[^/?#@:\s]+(:443)?([/?#][^\s]*)?') AND length(u) <= 2048 AS public FROM (SELECT page_id, CASE page_id % 6 WHEN 0 THEN regexp_replace(url, '^(https?)://', 'https://user@') WHEN 1 THEN replace(url, '/fr', ':8443/fr') ELSE url END AS u FROM pages)""")

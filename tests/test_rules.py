@@ -187,6 +187,13 @@ def test_page_fields(spark):
     assert "one" in r["visible"] and "two" in r["visible"] and "var x" not in r["visible"] and "no" not in r["visible"].replace("one", "")
 
 
+def test_page_fields_by_any_order(spark):
+    pages = [("<meta content=\"a b &#8217;\" name='description'><title>T</title>x", "T", "a b \u2019", "T x"), ("<META NAME=description CONTENT='one'><meta name=description content='two'>", "", "two", ""),
+             ("<meta name='description'>&#x2019;&#38;lt;&#x110000;&#0;&lt;", "", "", "\u2019&lt;\ufffd\ufffd<"), ("<meta name='twitter:description' content='no'>é", "", "", "é"), (None, "", "", "")]
+    got = spark.createDataFrame([(i, p[0]) for i, p in enumerate(pages)], "i int, h string").select("i", tx.page_fields(F.col("h")).alias("f")).orderBy("i").collect()
+    assert [tuple(r["f"]) for r in got] == [p[1:] for p in pages]
+
+
 def test_text_and_interval(spark):
     r = spark.range(1).select(tx.tidy(F.lit("a\u0000b   c\n d"), 2).alias("t"), tx.claim_quote(F.lit("x" * 50 + "we boost your volume now"), tx.TOOLING_CLAIM).alias("q")).first()
     assert r["t"] == "ab c" and r["q"].startswith("x" * 37 + "we boost your volume")
