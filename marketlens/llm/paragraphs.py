@@ -9,17 +9,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from marketlens.llm.bpe import slices
 from marketlens.llm.common import BLANKS, finished, stored
 from marketlens.operators.graph import components
 
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 20) -> DataFrame:
-    """``_id, _no, _text`` of every line of at least ``least_words`` words (of one at least), lower-cased with single spaces."""
-    lines = docs.select(F.col(f"`{id_col}`").alias("_id"), F.posexplode(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), r"[\n\r]+")).alias("_no", "_line"))
-    text = F.trim(F.regexp_replace(F.lower("_line"), BLANKS, " "))
-    lines = lines.select("_id", "_no", text.alias("_text"))
-    return lines.filter((F.col("_text") != "") & (F.length("_text") - F.length(F.translate("_text", " ", "")) + 1 >= least_words))
+#: Characters that end a sentence, when nothing but signs follows them in the word.
+STOPS = ".!?\u3002\uff01\uff1f"
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * MIX
+    return x ^ (x >> np.uint64(29))
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -45,6 +49,113 @@ class Bands:
             low = np.minimum(low, (x ^ (x >> np.uint64(29))).min(0))
         return [xxhash.xxh64_intdigest(low[i * self.rows : (i + 1) * self.rows].tobytes(), i) - (1 << 63) for i in range(self.bands)]
 
+    def together(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Keys of many sets that lie one behind the other, each from its place in ``first``."""
+        out = np.zeros((len(first), self.bands), np.uint64)
+        for i in range(self.bands * self.rows):
+            x = hashes * self.a[i] + self.b[i]
+            low = np.minimum.reduceat(x ^ (x >> np.uint64(29)), first)
+            band = i // self.rows
+            out[:, band] = stirred(out[:, band] * MIX + low + np.uint64(band))
+        return out.view(np.int64)
+
+
+class Words(dict):
+    """64-bit hash of a word, its lowest bit set if the word ends a sentence; ``remember`` bounds what is kept."""
+
+    def __init__(self, remember: int = 200_000):
+        super().__init__()
+        self.remember = remember
+
+    def __missing__(self, word: str) -> int:
+        tail = word.rstrip(STOPS)
+        ends = len(tail) < len(word)
+        if not ends and not word[-1].isalnum():
+            at = max(word.rfind(c) for c in STOPS)
+            ends = at >= 0 and not any(map(str.isalnum, word[at:]))
+        if len(self) >= self.remember:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word.encode("utf-8", "replace")) & ~1 | ends
+        return value
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def borders(hashes: np.ndarray, least: int, reach: int) -> list[int]:
+    """Where the units of a text of these words begin, and its end.
+
+    A unit ends with a sentence of ``least`` words or more; shorter ones join what follows (the last joins what is before it).
+    Within a unit, the gap whose two words hash lowest among the ``reach`` gaps on both sides is a border too, so text without
+    sentences is cut as well. Line breaks play no part. A border depends only on words near it: a passage is cut
+    alike wherever it stands.
+    """
+    n = len(hashes)
+    if not n:
+        return [0]
+    ends = np.flatnonzero(hashes & np.uint64(1)) + 1
+    edges = ends[np.diff(ends, prepend=0) >= least].tolist()
+    while edges and n - edges[-1] < least:
+        edges.pop()
+    out = [0]
+    for edge in [*edges, n]:
+        start = out[-1]
+        if edge - start > 2 * reach:
+            gap = stirred(hashes[start : edge - 1] * MIX + hashes[start + 1 : edge])
+            if len(gap) > 2 * reach:
+                low = np.lib.stride_tricks.sliding_window_view(gap, 2 * reach + 1).argmin(1) == reach
+                out.extend((np.flatnonzero(low) + (start + reach + 1)).tolist())
+        out.append(edge)
+    return out
+
+
+def unit_keys(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, words: int, maker: Bands) -> np.ndarray:
+    """The band keys of units that lie in one array of word hashes, a row each; all shingles by rolling sums at once."""
+    count = np.maximum(1, sizes - words + 1)
+    first = np.cumsum(count) - count
+    at = np.arange(int(count.sum())) + np.repeat(starts - first, count)
+    end = np.repeat(starts + sizes, count)
+    x = np.zeros(len(at), np.uint64)
+    for i in range(words):
+        x = x * MIX + np.where(at + i < end, hashes[np.minimum(at + i, len(hashes) - 1)], np.uint64(0))
+    return maker.together(stirred(x), first)
+
+
+def units(docs: DataFrame, id_col: str, text_col: str, words: int, maker: Bands, least: int = 8, reach: int = 8) -> DataFrame:
+    """``_id, _no, _word, _n, _h, _text, _keys`` of every unit: number, place and count of its words, digest, text and band keys.
+
+    One pass over the texts, a few MB at a time; words are lower-cased and stand between white space.
+    """
+    src = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t"))
+    schema = T.StructType([src.schema["_id"], T.StructField("_no", T.IntegerType()), T.StructField("_word", T.IntegerType()), T.StructField("_n", T.IntegerType()),
+                           T.StructField("_h", T.BinaryType()), T.StructField("_text", T.StringType()), T.StructField("_keys", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            ids, done = batch.column("_id"), 0
+            for texts in slices(batch.column("_t"), 2 << 20):
+                row, no, word, size, digests, shown, hashes, starts, before = [], [], [], [], [], [], [], [], 0
+                for i, text in enumerate(texts):
+                    w = (text or "").lower().split()
+                    h = known.of(w)
+                    edges = borders(h, least, reach)
+                    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                        t = " ".join(w[a:b])
+                        digests.append(xxhash.xxh3_128_digest(t.encode("utf-8", "replace")))
+                        shown.append(t)
+                        row.append(done + i), no.append(k), word.append(a), size.append(b - a), starts.append(before + a)
+                    hashes.append(h)
+                    before += len(w)
+                done += len(texts)
+                if row:
+                    keys = unit_keys(np.concatenate(hashes), np.array(starts), np.array(size), words, maker)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(no, pa.int32()), pa.array(word, pa.int32()), pa.array(size, pa.int32()), pa.array(digests, pa.binary()),
+                                                      pa.array(shown, pa.string()), lists], schema.names)
+
+    return src.mapInArrow(run, schema)
+
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs whose exact Jaccard similarity of word shingles reaches ``similarity``."""
@@ -112,6 +223,12 @@ def similar(nodes: DataFrame, words: int, similarity: float, bands: int, rows: i
     d = stored(nodes.select("_p", F.explode(keys("_text")).alias("_k")), "paragraph-bands")
     crowd = stored(d.groupBy("_k").agg(F.min("_p").alias("_low"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_k", "_low"), "paragraph-keys")
     met = stored(d.join(crowd, "_k"), "paragraph-met")
+    joined, used = settle(met, nodes, words, similarity)
+    return joined, [d, crowd, met, *used]
+
+
+def settle(met: DataFrame, nodes: DataFrame, words: int, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """``_p, component`` of the texts that meet under a key (``_p, _k`` and the first of the key, ``_low``), verified in two rounds."""
     links = stored(verify(met.filter("_p <> _low").select(F.col("_low").alias("a"), F.col("_p").alias("b")).distinct(), nodes, words, similarity), "paragraph-links")
 
     label = F.coalesce("component", "_p").alias("_c")
@@ -119,38 +236,49 @@ def similar(nodes: DataFrame, words: int, similarity: float, bands: int, rows: i
     mixed = stored(labels.groupBy("_k").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).filter("_a <> _b").select("_k"), "paragraph-mixed")
     members = stored(labels.join(mixed, "_k", "left_semi").select("_p", "_c").distinct(), "paragraph-members")
     more = stored(verify(prefix_pairs(members, nodes, words, similarity), nodes, words, similarity), "paragraph-more")
-    return connect(links.unionByName(more)), [d, crowd, met, links, labels, mixed, members, more]
+    return connect(links.unionByName(more)), [links, labels, mixed, members, more]
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 16, rows: int = 4, least_words: int = 20) -> DataFrame:
-    """Paragraphs (lines) that occur again, exactly or nearly: one row for each occurrence.
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 10, rows: int = 3) -> DataFrame:
+    """Paragraphs that occur again, exactly or nearly: one row for each occurrence.
 
-    Returns ``doc_id, paragraph, class_doc_id, class_paragraph, class_size, removed``; the first occurrence of a class
-    (smallest id, then place) is its name and stays, the others are removed.
+    Paragraphs are the units of ``borders``: they cover the whole text, whatever its lines, and a passage that stands
+    in two texts is cut alike in both. Returns ``doc_id, paragraph, word, n_words, class_doc_id, class_paragraph, class_size,
+    removed``: the number of the unit, the place of its first word (from 0) and how many it has. The first occurrence of a class (smallest id,
+    then place) is its name and stays, the others are removed.
 
-    Equal paragraphs are one node. Band keys (16 of 4 minima find a pair of similarity 0.8 with a
-    probability of 0.9998) bring colliding paragraphs together in two rounds: each is verified against the first of its key;
-    then the paragraphs of keys that those links have not joined into one are paired with each other as
+    Equal units are one node. Band keys (10 of 3 minima find a pair of similarity 0.8 with a
+    probability of 0.9992) bring colliding units together in two rounds: each is verified against the first of its key;
+    then the units of keys that those links have not joined into one are paired with each other as
     ``prefix_pairs`` says and verified. So a large group of near copies costs in proportion to its rows, and no
-    colliding pair that can be similar goes unchecked.
+    colliding pair that can be similar goes unchecked. Units of fewer than ``words`` words are one shingle: they meet their equals only.
 
-    Null texts, and lines of fewer than ``least_words`` words, have no paragraphs; null ids sort last; repeated rows are
-    occurrences of their own (repeats of the first stay with it); an empty table gives no rows. Lines of any length are taken whole.
+    Null, empty and blank texts have no units; null ids sort last; repeated rows are occurrences of their own (repeats of
+    the first stay with it); an empty table gives no rows; other columns are not read. Texts of any length are taken whole; a unit
+    without borders (one word over and over) is as long as that stretch.
     """
-    p = paragraphs(docs, id_col, text_col, least_words).withColumn("_h", F.unhex(F.sha2("_text", 256)))
+    spark = docs.sparkSession
+    cut = stored(units(docs, id_col, text_col, words, Bands(bands, rows)), "paragraph-units")
+    keys = cut.select("_h", F.explode("_keys").alias("_k"))
+    short = F.xxhash64("_h")  # tells the digests of one key apart
+    crowd = stored(keys.groupBy("_k").agg(F.min(short).alias("_a"), F.max(short).alias("_b")).filter("_a <> _b").select("_k"), "paragraph-keys")
+    meet = stored(keys.join(crowd, "_k").distinct(), "paragraph-meeting")
+    texts = cut.groupBy("_h").agg(F.first("_text").alias("_text"))
+    nodes = stored(texts.join(meet.select("_h").distinct(), "_h", "left_semi").withColumn("_p", F.monotonically_increasing_id()), "paragraph-texts")
+    met = stored(meet.join(nodes.select("_h", "_p"), "_h").select("_k", "_p"), "paragraph-nodes")
+    low = met.groupBy("_k").agg(F.min("_p").alias("_low"))
+    met = stored(met.join(low, "_k"), "paragraph-met")
+    joined, used = settle(met, nodes, words, similarity)
+
+    named = stored(nodes.select("_h", "_p").join(joined, "_p").select("_h", F.concat(F.lit("component "), F.col("component").cast("string")).cast("binary").alias("_c")), "paragraph-classes")
+    told = cut.select("_id", "_no", "_word", "_n", "_h").join(named, "_h", "left")
+    told = stored(told.select("_id", "_no", "_word", "_n", F.coalesce("_c", "_h").alias("_c")), "paragraph-told")
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_no").alias("no"))
-    occurrences = stored(p.select("_id", "_no", "_h"), "paragraph-places")
-    nodes = p.groupBy("_h").agg(F.first("_text").alias("_text")).withColumn("_p", F.monotonically_increasing_id())
-    nodes = stored(nodes, "paragraph-texts")
-    joined, used = similar(nodes, words, similarity, bands, rows)
-
-    named = stored(nodes.select("_h", "_p").join(joined, "_p", "left").select("_h", F.coalesce("component", "_p").alias("_c")), "paragraph-classes")
-    told = stored(occurrences.join(named, "_h"), "paragraph-told")
-    best = stored(told.groupBy("_c").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "paragraph-first")
-    finished(docs.sparkSession, occurrences, nodes, named, *used)
+    best = stored(told.groupBy("_c").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_size")).filter("_size > 1"), "paragraph-first")
+    finished(spark, cut, crowd, meet, nodes, met, named, *used)
     out = told.join(best, "_c")
-    return out.select(F.col("_id").alias("doc_id"), F.col("_no").alias("paragraph"), F.col("_first.id").alias("class_doc_id"), F.col("_first.no").alias("class_paragraph"), F.col("_n").alias("class_size"),
-                      (~(F.col("_id").eqNullSafe(F.col("_first.id")) & (F.col("_no") == F.col("_first.no")))).alias("removed"))
+    return out.select(F.col("_id").alias("doc_id"), F.col("_no").alias("paragraph"), F.col("_word").alias("word"), F.col("_n").alias("n_words"), F.col("_first.id").alias("class_doc_id"),
+                      F.col("_first.no").alias("class_paragraph"), F.col("_size").alias("class_size"), (~(F.col("_id").eqNullSafe(F.col("_first.id")) & (F.col("_no") == F.col("_first.no")))).alias("removed"))
 
 
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, words: int = 5, similarity: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:

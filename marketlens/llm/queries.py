@@ -17,7 +17,6 @@ from marketlens.llm.simhash import near_duplicates
 from marketlens.llm.substrings import repeats
 from marketlens.llm.topk import quantised, top_k
 from marketlens.llm.paragraphs import repeated
-from marketlens.llm.passages import passages
 from marketlens.llm.sharding import shard
 from marketlens.session import work_path
 
@@ -46,12 +45,6 @@ def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated(documents(spark, sf_dir))
 
 
-@query()
-def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every occurrence of a line that repeats exactly or nearly, and of a run of words that repeats inside lines or across them."""
-    return passages(documents(spark, sf_dir))
-
-
 @query()
 def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near equal bytes; equal texts stay together."""

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.llm import queries
-from marketlens.llm.paragraphs import repeated
-from marketlens.llm.passages import passages, repeated_runs, runs
+from marketlens.llm.paragraphs import MIX, Words, borders, repeated
 from marketlens.llm.substrings import Anchors, covered, repeats
 from marketlens.llm.topk import Search, quantised, top_k
 from tests.llm.test_digests import ODD, SCHEMA, SF
@@ -96,19 +95,39 @@ def test_covered():
     assert covered(200, 50, 31, np.array([-5, 45]), np.array([1 << 5, 1 << 5])).tolist() == [[0, 100]]
 
 
-def jaccard(a, b, n=5):
-    def grams(t):
-        w = t.split()
-        return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
-
-    a, b = grams(a), grams(b)
-    return len(a & b) / len(a | b)
-
-
-def test_paragraphs(spark, docs):
-    """Every pair of similarity 0.8 or more is found: same components as comparing all pairs."""
-    paras = [(r["doc_id"], n, " ".join(x.lower().split())) for r in docs for n, x in enumerate(re.split(r"[\n\r]+", r["text"] or ""))]
-    paras = [p for p in paras if p[2].count(" ") + 1 >= 20]
+def plain_units(text, least=8, reach=8):
+    """The units of a text, word by word: place and words."""
+    w = (text or "").lower().split()
+    if not w:
+        return []
+    known, mask = Words(), (1 << 64) - 1
+    gap = []
+    for a, b in zip(w, w[1:]):
+        x = (known[a] * int(MIX) + known[b]) & mask
+        x = ((x ^ x >> 31) * int(MIX)) & mask
+        gap.append(x ^ x >> 29)
+    edges, last = [], 0
+    for i, x in enumerate(w, 1):
+        if re.search(r"[.!?\u3002\uff01\uff1f][^\w]*$", x):
+            if i - last >= least:
+                edges.append(i)
+            last = i
+    while edges and len(w) - edges[-1] < least:
+        edges.pop()
+    cuts = [0]
+    for e in [*edges, len(w)]:
+        start = cuts[-1]
+        for i in range(start + reach + 1, e - reach):
+            around = gap[i - 1 - reach : i + reach]
+            if min(around) == gap[i - 1] and around.index(gap[i - 1]) == reach:
+                cuts.append(i)
+        cuts.append(e)
+    return [(i, w[i:j]) for i, j in zip(cuts, cuts[1:])]
+
+
+def plain_classes(rows):
+    """Class (first occurrence and size) of every unit, by comparing all pairs that share a shingle."""
+    paras = [(d, n, i, w) for d, t in rows for n, (i, w) in enumerate(plain_units(t))]
     root = list(range(len(paras)))
 
     def find(i):
@@ -116,8 +135,7 @@ def test_paragraphs(spark, docs):
             i = root[i]
         return i
 
-    sizes = [len(p[2].split()) for p in paras]
-    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (p[2].split() for p in paras)]
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for *_, w in paras]
     where = {}
     for i, g in enumerate(grams):
         for s in g:
@@ -127,18 +145,27 @@ def test_paragraphs(spark, docs):
             if len(g & grams[j]) >= 0.8 * len(g | grams[j]):
                 root[find(i)] = find(j)
     classes = {}
-    for i, p in enumerate(paras):
-        classes.setdefault(find(i), []).append(p[:2])
-    want = {(d, n): (min(c), len(c)) for c in classes.values() if len(c) > 1 for d, n in c}
-    got = {(r["doc_id"], r["paragraph"]): ((r["class_doc_id"], r["class_paragraph"]), r["class_size"]) for r in queries.QUERIES["op1_paragraph_dedup"](spark, SF).collect()}
-    assert sizes and want and len(set(want) ^ set(got)) <= 0.01 * len(want)
+    for i, (d, n, at, w) in enumerate(paras):
+        classes.setdefault(find(i), []).append((d, n, at, len(w)))
+    return {x: (min(c)[:2], len(c)) for c in classes.values() if len(c) > 1 for x in c}
+
+
+def found_classes(df):
+    return {(r["doc_id"], r["paragraph"], r["word"], r["n_words"]): ((r["class_doc_id"], r["class_paragraph"]), r["class_size"]) for r in df.collect()}
+
+
+def test_paragraphs(spark, docs):
+    """Every pair of units of similarity 0.8 or more is found: same classes as comparing all pairs, over whole texts."""
+    want = plain_classes([(r["doc_id"], r["text"]) for r in docs])
+    got = found_classes(queries.QUERIES["op1_paragraph_dedup"](spark, SF))
+    assert want and len(set(want) ^ set(got)) <= 0.01 * len(want)
     assert sum(got.get(k) == v for k, v in want.items()) >= 0.99 * len(want)
 
 
 def test_paragraphs_odd(spark):
     df = spark.createDataFrame(ODD, SCHEMA)
     rows = repeated(df).collect()
-    assert {(r["doc_id"], r["class_doc_id"], r["removed"]) for r in rows} == {(4, 4, False), (5, 4, True)}
+    assert {(r["doc_id"], r["class_doc_id"], r["class_size"], r["removed"]) for r in rows} == {(1, 1, 3, False), (3, 1, 3, True), (4, 4, 2, False), (5, 4, 2, True)}
     assert repeated(df.limit(0)).count() == 0
 
 
@@ -146,48 +173,49 @@ def random_words(rng, n):
     return [f"w{x}" for x in rng.integers(0, 5000, n)]
 
 
+def test_near_units(spark):
+    """Long sentences with a word changed are near copies; many variants of one sentence are one class."""
+    rng = np.random.default_rng(17)
+    end = lambda w: " ".join(w) + ". "
+    base = random_words(rng, 16)
+    rows = [(0, end(random_words(rng, 20)) + end(base) + end(random_words(rng, 20)))]
+    for i in range(1, 60):
+        rows.append((i, end(random_words(rng, 15)) + end([*base[:-1], f"x{i}"] if i % 2 else base) + end(random_words(rng, 18))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_classes(rows)
+    assert found_classes(df := repeated(df)) == want and max(n for _, n in want.values()) >= 30
+
+
 def test_passage_inside_long_lines(spark):
-    """A passage in the middle of long lines is found at its place, also with a word changed; its lines are no near copies."""
+    """A passage in the middle of long lines, or wrapped into short ones, is found at its place, also with a word changed."""
     rng = np.random.default_rng(11)
-    planted = random_words(rng, 70)
+    planted = random_words(rng, 90)
     changed = [*planted[:30], "other", *planted[31:]]
-    texts = [[*random_words(rng, 700), *p, *random_words(rng, 900 + i)] for i, p in enumerate((planted, planted, changed))] + [random_words(rng, 500)]
-    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert repeated(df).count() == 0
-    rows = [r for r in passages(df).collect() if r["kind"] == "run"]
-    assert {r["doc_id"] for r in rows} == {0, 1, 2} and all(700 <= r["word"] == r["class_word"] <= 770 - 16 for r in rows)
-    assert all(r["class_doc_id"] == 0 and r["removed"] == (r["doc_id"] > 0) for r in rows)
-
-
-def test_short_and_wrapped_lines(spark):
-    """Short lines are classes of their own, and a passage wrapped into short lines is found whatever the wrapping."""
-    rng = np.random.default_rng(13)
-    planted, ten = random_words(rng, 60), " ".join(random_words(rng, 10))
-    wrap = lambda n: "\n".join(" ".join(planted[i : i + n]) for i in range(0, 60, n))
-    rows = [(0, f"{wrap(7)}\n \nYes"), (1, f"{wrap(11)}\n\n{ten}"), (2, f"alone\n{ten.upper()}\n\nyes"), (3, "\n \n")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert repeated(df).count() == 0
-    got = passages(df).collect()
-    lines = {(r["doc_id"], r["paragraph"], r["class_doc_id"], r["class_paragraph"], r["class_size"], r["removed"]) for r in got if r["kind"] == "line"}
-    assert lines == {(0, 10, 0, 10, 2, False), (2, 2, 0, 10, 2, True), (1, 6, 1, 6, 2, False), (2, 1, 1, 6, 2, True)}
-    found = [r for r in got if r["kind"] == "run"]
-    assert {(r["doc_id"], r["removed"]) for r in found} == {(0, False), (1, True)} and all(r["word"] == r["class_word"] for r in found)
+    texts = [" ".join([*random_words(rng, 700), *p, *random_words(rng, 900 + i)]) for i, p in enumerate((planted, planted, changed))]
+    texts += ["\n".join(" ".join(planted[i : i + 7]) for i in range(0, 90, 7)), " ".join(random_words(rng, 500)), " ".join(random_words(rng, 20_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = repeated(df).collect()
+    assert {r["doc_id"] for r in rows} == {0, 1, 2, 3}
+    assert all(r["word"] < 790 and r["word"] + r["n_words"] > 700 for r in rows if r["doc_id"] < 3)
+    assert {r["doc_id"] for r in rows if r["removed"]} == {1, 2, 3}
+    assert found_classes(repeated(df)) == plain_classes(list(enumerate(texts)))
 
 
-def test_runs_of_any_shared_passage():
-    """Any 31 words that two texts share have a run in common."""
+def test_passages_of_over_fifty_words_share_a_unit():
+    """Of passages of 60 words between other words, nine in ten at least share a whole unit; those of 100 words nearly all."""
     rng = np.random.default_rng(12)
-    for _ in range(300):
-        shared = random_words(rng, 31)
-        a, b = ({h for _, _, h in runs(" ".join([*random_words(rng, rng.integers(0, 60)), *shared, *random_words(rng, rng.integers(0, 60))]), 16, 16)} for _ in "ab")
-        assert a & b
-
-
-def test_runs_odd(spark):
-    df = spark.createDataFrame(ODD, SCHEMA)
-    rows = repeated_runs(df).collect()
-    assert {r["doc_id"] for r in rows} == {4, 5} and {(r["doc_id"], r["word"]) for r in rows if not r["removed"]} == {(4, r["class_word"]) for r in rows}
-    assert repeated_runs(df.limit(0)).count() == 0
+    known = Words()
+    for length, least in ((60, 0.9), (100, 0.99)):
+        met = 0
+        for _ in range(400):
+            shared = random_words(rng, length)
+            seen = []
+            for _ in "ab":
+                w = [*random_words(rng, rng.integers(0, 90)), *shared, *random_words(rng, rng.integers(0, 90))]
+                e = borders(known.of(w), 8, 8)
+                seen.append({tuple(w[i:j]) for i, j in zip(e, e[1:])})
+            met += bool(seen[0] & seen[1])
+        assert met >= least * 400
 
 
 def nearest(vectors, asked, k):
