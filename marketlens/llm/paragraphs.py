@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -239,7 +240,7 @@ def settle(met: DataFrame, nodes: DataFrame, words: int, similarity: float) -> t
     return connect(links.unionByName(more)), [links, labels, mixed, members, more]
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 10, rows: int = 3) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 6, rows: int = 2) -> DataFrame:
     """Paragraphs that occur again, exactly or nearly: one row for each occurrence.
 
     Paragraphs are the units of ``borders``: they cover the whole text, whatever its lines, and a passage that stands
@@ -247,8 +248,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     removed``: the number of the unit, the place of its first word (from 0) and how many it has. The first occurrence of a class (smallest id,
     then place) is its name and stays, the others are removed.
 
-    Equal units are one node. Band keys (10 of 3 minima find a pair of similarity 0.8 with a
-    probability of 0.9992) bring colliding units together in two rounds: each is verified against the first of its key;
+    Equal units are one node. Band keys (6 of 2 minima find a pair of similarity 0.8 with a
+    probability of 0.998) bring colliding units together in two rounds: each is verified against the first of its key;
     then the units of keys that those links have not joined into one are paired with each other as
     ``prefix_pairs`` says and verified. So a large group of near copies costs in proportion to its rows, and no
     colliding pair that can be similar goes unchecked. Units of fewer than ``words`` words are one shingle: they meet their equals only.
@@ -258,16 +259,21 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     without borders (one word over and over) is as long as that stretch.
     """
     spark = docs.sparkSession
-    cut = stored(units(docs, id_col, text_col, words, Bands(bands, rows)), "paragraph-units")
-    keys = cut.select("_h", F.explode("_keys").alias("_k"))
+    cut = stored(units(docs, id_col, text_col, words, Bands(bands, rows)), "paragraph-units", "zstd")
     short = F.xxhash64("_h")  # tells the digests of one key apart
-    crowd = stored(keys.groupBy("_k").agg(F.min(short).alias("_a"), F.max(short).alias("_b")).filter("_a <> _b").select("_k"), "paragraph-keys")
-    meet = stored(keys.join(crowd, "_k").distinct(), "paragraph-meeting")
+    found = []
+    for band in range(bands):  # one at a time, so that disk follows the units and not units x bands
+        keys = cut.select("_h", F.col("_keys")[band].alias("_k"))
+        crowd = stored(keys.groupBy("_k").agg(F.min(short).alias("_a"), F.max(short).alias("_b")).filter("_a <> _b").select("_k"), "paragraph-keys")
+        found.append(stored(keys.join(crowd, "_k").distinct(), "paragraph-meeting"))
+        finished(spark, crowd)
+    meet = reduce(DataFrame.unionByName, found)
     texts = cut.groupBy("_h").agg(F.first("_text").alias("_text"))
     nodes = stored(texts.join(meet.select("_h").distinct(), "_h", "left_semi").withColumn("_p", F.monotonically_increasing_id()), "paragraph-texts")
-    met = stored(meet.join(nodes.select("_h", "_p"), "_h").select("_k", "_p"), "paragraph-nodes")
-    low = met.groupBy("_k").agg(F.min("_p").alias("_low"))
-    met = stored(met.join(low, "_k"), "paragraph-met")
+    del texts
+    finished(spark)
+    plain = stored(meet.join(nodes.select("_h", "_p"), "_h").select("_k", "_p"), "paragraph-nodes")
+    met = stored(plain.join(plain.groupBy("_k").agg(F.min("_p").alias("_low")), "_k"), "paragraph-met")
     joined, used = settle(met, nodes, words, similarity)
 
     named = stored(nodes.select("_h", "_p").join(joined, "_p").select("_h", F.concat(F.lit("component "), F.col("component").cast("string")).cast("binary").alias("_c")), "paragraph-classes")
@@ -275,7 +281,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     told = stored(told.select("_id", "_no", "_word", "_n", F.coalesce("_c", "_h").alias("_c")), "paragraph-told")
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_no").alias("no"))
     best = stored(told.groupBy("_c").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_size")).filter("_size > 1"), "paragraph-first")
-    finished(spark, cut, crowd, meet, nodes, met, named, *used)
+    finished(spark, cut, *found, nodes, plain, met, named, *used)
     out = told.join(best, "_c")
     return out.select(F.col("_id").alias("doc_id"), F.col("_no").alias("paragraph"), F.col("_word").alias("word"), F.col("_n").alias("n_words"), F.col("_first.id").alias("class_doc_id"),
                       F.col("_first.no").alias("class_paragraph"), F.col("_size").alias("class_size"), (~(F.col("_id").eqNullSafe(F.col("_first.id")) & (F.col("_no") == F.col("_first.no")))).alias("removed"))
