@@ -270,18 +270,19 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     meet = reduce(DataFrame.unionByName, found)
     texts = cut.groupBy("_h").agg(F.first("_text").alias("_text"))
     nodes = stored(texts.join(meet.select("_h").distinct(), "_h", "left_semi").withColumn("_p", F.monotonically_increasing_id()), "paragraph-texts")
-    del texts
-    finished(spark)
+    places = stored(cut.select("_id", "_no", "_word", "_n", "_h"), "paragraph-places", "zstd")
+    del texts, keys
+    finished(spark, cut)
     plain = stored(meet.join(nodes.select("_h", "_p"), "_h").select("_k", "_p"), "paragraph-nodes")
     met = stored(plain.join(plain.groupBy("_k").agg(F.min("_p").alias("_low")), "_k"), "paragraph-met")
     joined, used = settle(met, nodes, words, similarity)
 
     named = stored(nodes.select("_h", "_p").join(joined, "_p").select("_h", F.concat(F.lit("component "), F.col("component").cast("string")).cast("binary").alias("_c")), "paragraph-classes")
-    told = cut.select("_id", "_no", "_word", "_n", "_h").join(named, "_h", "left")
+    told = places.join(named, "_h", "left")
     told = stored(told.select("_id", "_no", "_word", "_n", F.coalesce("_c", "_h").alias("_c")), "paragraph-told")
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_no").alias("no"))
     best = stored(told.groupBy("_c").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_size")).filter("_size > 1"), "paragraph-first")
-    finished(spark, cut, *found, nodes, plain, met, named, *used)
+    finished(spark, places, *found, nodes, plain, met, named, *used)
     out = told.join(best, "_c")
     return out.select(F.col("_id").alias("doc_id"), F.col("_no").alias("paragraph"), F.col("_word").alias("word"), F.col("_n").alias("n_words"), F.col("_first.id").alias("class_doc_id"),
                       F.col("_first.no").alias("class_paragraph"), F.col("_size").alias("class_size"), (~(F.col("_id").eqNullSafe(F.col("_first.id")) & (F.col("_no") == F.col("_first.no")))).alias("removed"))
