@@ -63,7 +63,8 @@ class Rule:
         self.step, self.expire, self.due = step, expire or (lambda s, now: (s, [])), due or (lambda s: None)
 
 
-def keyed_rule(stream: DataFrame, keys: list[str], rule, output: str, order: tuple = ("ts", "id"), delay: int = 0, closing: str | None = None, unit: int = 1000, idle: int | None = None) -> DataFrame:
+def keyed_rule(stream: DataFrame, keys: list[str], rule, output: str, order: tuple = ("ts", "id"), delay: int = 0, closing: str | None = None, unit: int = 1000, idle: int | None = None,
+               slots: int | None = None) -> DataFrame:
     """Run a rule per key in event time, whatever order and cut the source hands rows over in.
 
     Rows wait in the state of their key until the watermark (the greatest time seen anywhere, less ``delay`` seconds) has passed them; a
@@ -71,6 +72,8 @@ def keyed_rule(stream: DataFrame, keys: list[str], rule, output: str, order: tup
     order by ``delay`` at most give the same output however they are cut into micro-batches. A row that arrives after a later row of its key
     was released cannot turn the rule back: it comes out by itself, with ``reason`` late and the output columns it has. All other rows have
     a null ``reason``. Rows of one key and the lateness are held in its state; ``idle`` seconds after its last row a key's state goes.
+    With ``slots`` the keys are hashed into so many records of state, which are read and written as a whole: fewer calls where many keys
+    come at once, more rewriting where a micro-batch brings few of them. The rows are the same.
 
     The watermark is taken from a copy of each row that only passes by the watermark node, as Spark would drop late rows at the state;
     files in the ``closing`` folder (see ``clock``) move it without rows.
@@ -83,48 +86,79 @@ def keyed_rule(stream: DataFrame, keys: list[str], rule, output: str, order: tup
     if closing is not None:
         ticks = stream.sparkSession.readStream.schema(CLOCK).parquet(closing)
         marked = marked.unionByName(ticks, allowMissingColumns=True)
-    rows = marked.withWatermark("_mark", f"{delay} seconds").filter("_mark IS NULL")
-
-    def apply(key, batches, state):
-        last, s, held = json.loads(state.get[0]) if state.exists else (None, None, [])
-        now = state.getCurrentWatermarkMs() / unit
-        out = []
-        if not state.hasTimedOut:
-            for frame in batches:
-                for r in frame.drop(columns="_mark").astype(object).where(frame.drop(columns="_mark").notna(), None).to_dict("records"):
-                    r = {k: v.item() if hasattr(v, "item") else v for k, v in r.items()}
-                    if last is not None and [r[c] for c in by] < last:
-                        out.append({**{n: r.get(n) for n in names}, "reason": "late"})
-                    else:
-                        held.append(r)
-        held.sort(key=lambda r: [r[c] for c in by])
-        ready = [r for r in held if r[by[0]] < now]
+    # A row goes over as one struct: what Spark does for a group grows with its columns, and most groups are small.
+    rows = marked.withWatermark("_mark", f"{delay} seconds").filter("_mark IS NULL").select(*([] if slots else keys), "_mark", F.struct(*stream.columns).alias("_row"))
+    if slots:
+        rows = rows.withColumn("_slot", F.pmod(F.xxhash64(*[F.col(f"_row.{k}") for k in keys]), F.lit(slots)))
+    cols = [*stream.columns]
+    spot = {c: i for i, c in enumerate(cols)}
+    turn, who = [spot[c] for c in by], [spot[k] for k in keys]
+
+    def plain(v):
+        """A value as Python has it, NaN as missing."""
+        v = v.item() if hasattr(v, "item") else v
+        return None if v != v else v
+
+    def advance(last, s, held, now, out):
+        """Release what time has passed; last, state, what is still held and the next time at which something is due."""
+        held.sort(key=lambda r: [r[i] for i in turn])
+        ready = [r for r in held if r[turn[0]] < now]
         held = held[len(ready):]
         for r in ready:
-            last = [r[c] for c in by]
+            last = [r[i] for i in turn]
             s, passed = rule.expire(s, last[0])
-            s, fired = rule.step(s, r)
+            s, fired = rule.step(s, dict(zip(cols, r)))
             out += passed + fired
         s, passed = rule.expire(s, now)
         out += passed
-        times = [t for t in (held[0][by[0]] if held else None, rule.due(s), last[0] + idle * 1000 / unit if idle is not None and last else None) if t is not None]
-        if not held and idle is not None and last and last[0] + idle * 1000 / unit < now and rule.due(s) is None:
+        due = rule.due(s)
+        if not held and idle is not None and last and last[0] + idle * 1000 / unit < now and due is None:
+            return None, None
+        times = [t for t in (held[0][turn[0]] if held else None, due, last[0] + idle * 1000 / unit if idle is not None and last else None) if t is not None]
+        return [last, s, held], min(times, default=None)
+
+    def apply(group, batches, state):
+        # Of every key: its values, the order of its last released row, the state of the rule and the rows held, as lists of values.
+        known = {tuple(k): rest for k, *rest in json.loads(state.get[0])} if state.exists else {}
+        now = state.getCurrentWatermarkMs() / unit
+        out, times, kept = [], [], []
+        if not state.hasTimedOut:
+            for frame in batches:
+                for row in frame["_row"].tolist():
+                    r = [plain(row[c]) for c in cols]
+                    last, _, held = known.setdefault(tuple(r[i] for i in who), [None, None, []])
+                    if last is not None and [r[i] for i in turn] < last:
+                        out.append({**{n: r[spot[n]] if n in spot else None for n in names}, "reason": "late"})
+                    else:
+                        held.append(r)
+        for key, (last, s, held) in known.items():
+            made = []
+            rest, due = advance(last, s, held, now, made)
+            out += [{**r, **dict(zip(keys, key))} for r in made]
+            if rest is not None:
+                kept.append([key, *rest])
+            if due is not None:
+                times.append(due)
+        if not kept:
             state.remove()
         else:
-            state.update((json.dumps([last, s, held], default=float),))
+            state.update((json.dumps(kept, default=float),))
             if times:
                 state.setTimeoutTimestamp(max(int(min(times) * unit), state.getCurrentWatermarkMs() + 1))
-        for k, v in zip(keys, key):
-            out = [{**r, k: v} for r in out]
-        yield pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype=object) for n in (*names, "reason")})
+        if out:
+            yield pd.DataFrame({n: pd.Series([r.get(n) for r in out], dtype=object) for n in (*names, "reason")})
+
+    return rows.groupBy(*(["_slot"] if slots else keys)).applyInPandasWithState(apply, output + ", reason string", "blob string", "append", GroupStateTimeout.EventTimeTimeout)
+
 
-    return rows.groupBy(*keys).applyInPandasWithState(apply, output + ", reason string", "blob string", "append", GroupStateTimeout.EventTimeTimeout)
+#: Records of state of a source that is read whole: one for each key would cost a call of Python a key.
+SLOTS = 2048
 
 
 def run_rule(stream: DataFrame, keys: list[str], rule, output: str, name: str, order: tuple = ("ts", "id"), delay: int = 0, unit: int = 1000) -> DataFrame:
     """What ``keyed_rule`` gives for a source that is complete once it has been read."""
     closing = clock(stream.sparkSession)
-    return run_available(keyed_rule(stream, keys, rule, output, order, delay, closing, unit), name, closing=closing)
+    return run_available(keyed_rule(stream, keys, rule, output, order, delay, closing, unit, slots=SLOTS), name, closing=closing)
 
 
 def track_outcomes(horizons: list[int], late: int) -> Rule:

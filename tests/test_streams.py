@@ -94,3 +94,23 @@ def test_idle_state_goes(spark, tmp_path):
     closing = sm.clock(spark)
     out = sm.run_available(sm.keyed_rule(d, ["mint"], count, "id long, mint long, n long", closing=closing, idle=1000), "idle", closing=closing)
     assert sorted((r["id"], r["n"]) for r in out.collect()) == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 1)]
+
+
+@pytest.mark.parametrize("slots", [1, 4])
+def test_keys_share_records_of_state(spark, tmp_path, monkeypatch, slots):
+    """Sixty keys in a few records: the rows of one record a key, whatever the cut, late rows and missing prices included; no call and no record for each key."""
+    rng = random.Random(3)
+    rows = [(i, i % 60, 1000 + i * 5, None if i % 50 == 0 else round(100 * rng.uniform(0.5, 3), 2)) for i in range(600)]
+    parts = cut(rows, 6, 4)
+    parts[5] = [(9999, 7, 1001, 5.0), *parts[5]]
+    rule = lambda s, r: ((r["price"] if r["price"] is not None else s), [{"id": r["id"], "ts": r["ts"], "was": s}] if r["id"] % 3 else [])
+    output, state, want = "id long, mint long, ts long, was double", {}, [(9999, 7, 1001, None, "late")]
+    for i, m, t, p in rows:
+        if i % 3:
+            want.append((i, m, t, state.get(m), None))
+        state[m] = p if p is not None else state.get(m)
+    monkeypatch.setattr(sm, "SLOTS", slots)
+    monkeypatch.setattr(sm, "work_path", lambda spark, name: str(tmp_path / "work" / name))
+    got = fired(sm.run_rule(files(spark, tmp_path / "in", SNAP, parts), ["mint"], rule, output, "slots", delay=40))
+    assert got == sorted(want, key=repr)
+    assert 0 < spark.read.format("statestore").load(str(tmp_path / "work" / "slots" / "state")).count() <= slots
