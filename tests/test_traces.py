@@ -60,3 +60,24 @@ def test_long_trace(spark):
     assert p.filter("trace_reason IS NULL AND (parent = pos - 1 OR depth = 1 AND parent IS NULL)").count() == n
     legs = gr.two_leg_receipts(p, "tx", "pos", F.col("call"), F.col("a"), ~F.col("a"), "amount").collect()
     assert len(legs) == 100 and {(r["base_sent"], r["quote_received"]) for r in legs} == {(499, 500)}
+
+
+def test_a_trace_is_read_once(spark):
+    """The transactions are planned once, not again for each kind of line, and shuffles are cut finer than the session's few partitions."""
+    from marketlens.plans import QUERIES
+    for name in ("parent_paths", "two_leg_receipts", "extract_transfers"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 2, name
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) > 8
+
+
+def test_nulls_in_transactions(spark):
+    tx = spark.createDataFrame([
+        ("a", 1, False, 5, ["s"], [], None, [None, (1, None), (2, [("system", "transfer", "x", "y", 7, None)]), (None, [("system", "transfer", "x", "z", 8, None)])]),
+        ("b", 2, False, 5, ["s"], [], [("system", "transfer", "p", "q", 9, None)], None),
+        ("c", 3, False, 5, ["s"], [], None, None)],
+        "sig string, slot long, failed boolean, block_time long, signers array<string>, balances array<struct<account: string, owner: string, mint: string>>, "
+        "instructions array<struct<program: string, kind: string, source: string, target: string, amount: bigint, asset: string>>, "
+        "inner array<struct<index: int, instructions: array<struct<program: string, kind: string, source: string, target: string, amount: bigint, asset: string>>>>")
+    got = sorted((r["sig"], r["path"], r["target"], r["amount"]) for r in gr.extract_transfers(tx).collect())
+    assert got == [("a", "0", "z", 8), ("a", "2.0", "y", 7), ("b", "0", "q", 9)]
