@@ -207,9 +207,10 @@ def relay_eligible(now: Column | int, checks: str, cap: tuple, activation: int,
     ok = (fresh(c("last_alert_ts"), now, max_age) & fresh(c("ts"), now, max_age) & fresh(c("checked_at"), now, max_age)
           & (c("last_alert_ts") >= activation) & (c("ts") <= c("last_alert_ts"))
           & finite("mc") & finite("liq") & finite("price") & (c("mc") > 0) & (c("liq") > 0) & (c("price") > 0)
-          & c("mc").between(*cap) & (c("verdict") == "PASS") & (c("review_mint") == c("mint")) & (c("review_pair") == c("pair")))
+          & c("mc").between(*cap) & (c("review_mint") == c("mint")) & (c("review_pair") == c("pair")))
     none = ~_any(checks, lambda k: k["status"] == "REJECT")
-    return _sure(ok) & none & all_passed(checks, [n for n in CHECKS if n in REQUIRED], lambda k: evidence_valid(k, now, max_age))
+    # From cheap to dear: a plan may work out the verdict here, so it is asked for last.
+    return _sure(ok) & none & all_passed(checks, [n for n in CHECKS if n in REQUIRED], lambda k: evidence_valid(k, now, max_age)) & _sure(c("verdict") == "PASS")
 
 
 def relay_class(now: Column | int, checks: str, max_age: int = 300) -> Column:

@@ -34,3 +34,10 @@ def test_named(spark, case):
     got = d.select(po.seven_check_verdict("checks").alias("s"), po.paper_decision("checks")[0].alias("a"), po.all_passed("checks", REQUIRED, lambda k: po.evidence_valid(k, 1000)).alias("r"), po.relay_class(1000, "checks").alias("c")).first()
     assert got["s"] == seven and got["a"] == action and (not relay or got["r"]) and (got["r"] is not None)
     assert po.policy_variants(df, "checks", {"current": {}}).first()["verdict"] == variant
+
+
+def test_evidence_is_made_once(spark):
+    """A plan that filters on the verdict does not write the list, and the parsing behind it, at every mention."""
+    from marketlens.plans import QUERIES
+    plan = QUERIES["relay_eligible"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trading_mechanics, status") == 1 and plan.count("get_json_object") < 20
