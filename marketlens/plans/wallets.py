@@ -50,7 +50,14 @@ def census(spark, sf):
 
 def stored_census(spark, sf):
     """The census as a written table, for checks that read it more than once."""
-    return cut_lineage(census(spark, sf))
+    return stored_holdings(spark, sf)[0]
+
+
+def stored_holdings(spark, sf):
+    """The census and the tokens it rests on, each made once and written compressed."""
+    ln = lines(spark, sf)
+    t = written(tokens(spark, sf, ln))
+    return written(ho.holder_census(ln, t)), t
 
 
 @query("A11", HOLD + "SELECT token, owner, CAST(amount AS BIGINT) AS amount, accounts, round(pct, 6) AS pct FROM own")
@@ -148,11 +155,10 @@ def _owners(own):
     return own.select("token", "owner", F.when(bad, 101.0).otherwise(F.col("pct")).alias("pct"))
 
 
-def _tokens_with_creator(spark, sf, own):
-    t = tokens(spark, sf)
+def _tokens_with_creator(own, t):
     c = own.select("token", "owner", F.col("pct").alias("_p"))
     mine = t.join(c, (t.token == c.token) & (t.creator == c.owner), "left").select(t.token, "pool", "creator", "p_size", F.coalesce("_p", F.lit(0.0)).alias("creator_pct"))
-    return cut_lineage(mine.withColumn("unseen_pct", F.expr("CASE WHEN p_size = 13 THEN NULL ELSE cast(p_size % 20 as double) END")))
+    return written(mine.withColumn("unseen_pct", F.expr("CASE WHEN p_size = 13 THEN NULL ELSE cast(p_size % 20 as double) END")))
 
 
 @query("P16 T3", TOKC + """, vo AS (SELECT token, max((NOT pct BETWEEN 0 AND 100)::INT) AS void FROM ow GROUP BY token),
@@ -162,8 +168,8 @@ def _tokens_with_creator(spark, sf, own):
    ELSE 'sample_concentration_with_bounded_unseen_supply' END AS reason FROM tc JOIN vo USING (token) LEFT JOIN t USING (token))
  SELECT token, CASE reason WHEN 'concentration_policy_exceeded' THEN 'REJECT' WHEN 'sample_concentration_with_bounded_unseen_supply' THEN 'PASS' ELSE 'UNKNOWN' END AS status, reason, round(lp, 6) AS largest_pct, round(tp, 6) AS top10_pct FROM r""")
 def check_concentration(spark, sf):
-    own = stored_census(spark, sf)
-    d = po.check_concentration(_owners(own), _tokens_with_creator(spark, sf, own), (10.0, 60.0, 6.0, 10.0))
+    own, t = stored_holdings(spark, sf)
+    d = po.check_concentration(_owners(own), _tokens_with_creator(own, t), (10.0, 60.0, 6.0, 10.0))
     return d.select("token", "status", "reason", r6("largest_pct"), r6("top10_pct"))
 
 
@@ -181,8 +187,8 @@ def check_wallet_age(spark, sf):
         F.expr(f"CASE WHEN max(amount) = 49 THEN NULL ELSE {WALLET_NOW} - min(block_time) END").alias("activity_age"),
         F.expr(f"{WALLET_NOW} - min(block_time) + CASE WHEN count(*) % 2 = 0 THEN 40000000 ELSE 0 END").alias("covered_span"),
         F.expr("CASE WHEN count(*) % 11 > 0 THEN min(amount) < 3 END").alias("complete"))
-    own = stored_census(spark, sf)
-    d = po.check_wallet_age(own.select("token", "owner", "pct"), _tokens_with_creator(spark, sf, own), h, 212_000_000, 215_000_000, 30.0)
+    own, t = stored_holdings(spark, sf)
+    d = po.check_wallet_age(own.select("token", "owner", "pct"), _tokens_with_creator(own, t), h, 212_000_000, 215_000_000, 30.0)
     return d.select("token", r6("young_share"), "unknown_wallets", "wallets", "status")
 
 
@@ -259,7 +265,7 @@ def _clusters(spark, sf, own, t):
 
 @query("G3", LINKED + "SELECT token, component, wallets, round(share, 6) AS share_pct, hc AS has_creator, amt * 100 > supply * 10 OR (hc AND amt * 100 > supply * 2) AS excessive FROM gx")
 def linked_exposure(spark, sf):
-    d = _clusters(spark, sf, stored_census(spark, sf), cut_lineage(tokens(spark, sf)))
+    d = _clusters(spark, sf, *stored_holdings(spark, sf))
     return d.select("token", "component", "wallets", r6("share_pct"), "has_creator", "excessive")
 
 
@@ -270,7 +276,7 @@ def linked_exposure(spark, sf):
  FROM tok t LEFT JOIN bad USING (token) LEFT JOIN need USING (token)""")
 def cluster_verdict(spark, sf):
     """The linked-wallet check per token, with the coverage a pass needs."""
-    own, t = stored_census(spark, sf), cut_lineage(tokens(spark, sf))
+    own, t = stored_holdings(spark, sf)
     both = own.select("token", "owner").unionByName(t.select("token", F.col("creator").alias("owner")))
     sel = both.join(t.select("token", "pool"), "token").filter("owner <> pool").select("token", "owner")
     hist = lines(spark, sf).groupBy("owner").agg(F.min((F.col("ls") == "F") | (F.col("amount") <= 49)).alias("complete"), F.min("l_suppkey").alias("_s")).filter("_s % 7 <> 0")
