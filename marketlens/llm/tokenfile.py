@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from unicodedata import is_normalized
@@ -32,72 +33,67 @@ TAIL = ".,;:!?#$%&*+=/)(\"-_"
 LETTER_OF = {v: k for k, v in byte_letters().items()}
 
 
-class Chunks:
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Chunks(dict):
     """Encodes texts with the library through what it made of each white-space chunk before.
 
     Only for tokenizers that drop white space between words, fold case, split at the border of letters and punctuation, and
     have no special token with a blank in it. A chunk that is a word of Latin letters, with or without punctuation
     after it, is put together from its two parts, and the word goes straight to the library's model; any other chunk
-    goes through the whole library. ``remember`` bounds the chunks and the parts that are kept.
+    goes through the whole library. ``remember`` bounds the chunks and the parts that are kept: half as many start a
+    new generation, and what is asked for again comes over from the one before.
     """
 
     def __init__(self, spec: str, remember: int = 400_000):
-        self.lib, self.remember, self.known, self.words = Tokenizer.from_str(spec), remember, {}, {}
-        self.model = self.lib.model
+        super().__init__()
+        self.lib, self.remember, self.old, self.words, self.old_words = Tokenizer.from_str(spec), remember, {}, {}, {}
+        self.tokenize = self.lib.model.tokenize
         self.lib.no_truncation()
         self.lib.no_padding()
 
-    def word(self, low: str) -> bytes:
-        if low not in self.words:
-            shown = low if low.isascii() else "".join(map(LETTER_OF.__getitem__, low.encode("utf-8")))
-            self.words[low] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-        return self.words[low]
-
-    def learn(self, fresh: set[str]) -> None:
-        whole, pending = set(), []
-        for c in fresh:
-            low = c.lower()
-            core = low.rstrip(TAIL)
-            # Letters below U+0250 fold one by one; a chunk that is not composed is left to the library.
-            if core.isalpha() and (low.isascii() or max(c) < "\u0250" and "\u0130" not in c and is_normalized("NFC", core)):
-                tail = low[len(core):]
-                pending.append((c, core, tail))
-                if tail and tail not in self.words:
-                    whole.add(tail)
-            else:
-                pending.append((c, None, c))
-                whole.add(c)
-        ask, coded = list(whole), {}
-        for at in range(0, len(ask), 20_000):
-            some = ask[at : at + 20_000]
-            coded.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False), strict=True))
-        for c, core, tail in pending:
-            if core is None:
-                self.known[c] = coded[c]
-            else:
-                if tail in coded:
-                    self.words[tail] = coded[tail]
-                self.known[c] = self.word(core) + (self.words[tail] if tail else b"")
+    def __missing__(self, c: str) -> bytes:
+        ids = self.old.get(c)
+        self[c] = ids = self.made(c) if ids is None else ids
+        return ids
+
+    def made(self, c: str) -> bytes:
+        low = c.lower()
+        core = low.rstrip(TAIL)
+        # Letters below U+0250 fold one by one; a chunk that is not composed is left to the library.
+        if not core.isalpha() or not low.isascii() and (max(c) >= "\u0250" or "\u0130" in c or not is_normalized("NFC", core)):
+            return self.whole(c)
+        ids = self.words.get(core)
+        if ids is None:
+            ids = self.old_words.get(core)
+            if ids is None:
+                shown = core if core.isascii() else "".join(map(LETTER_OF.__getitem__, core.encode("utf-8")))
+                ids = packed([t.id for t in self.tokenize(shown)])
+            self.words[core] = ids
+        if len(core) == len(low):
+            return ids
+        tail = low[len(core):]
+        after = self.words.get(tail)
+        if after is None:
+            self.words[tail] = after = self.whole(tail)
+        return ids + after
+
+    def whole(self, c: str) -> bytes:
+        return packed(self.lib.encode(c, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > self.remember:
-            self.known = {}
-        if len(self.words) > self.remember:
-            self.words = {}
-        out: list = []
-        pieces, missing = [], set()
+        out = []
         for t in texts:
+            if 2 * len(self) > self.remember:
+                self.old = dict(self)
+                self.clear()
+            if 2 * len(self.words) > self.remember:
+                self.words, self.old_words = {}, self.words
             words = (t or "").split() if OTHER_GAP.search(t or "") is None else [c for c in t.translate(GAPS).split(" ") if c]
-            got = list(map(self.known.get, words))
-            if None in got:
-                missing.update(c for c, g in zip(words, got) if g is None)
-                pieces.append((len(out), words))
-            out.append(got)
-        if missing:
-            self.learn(missing)
-            for i, words in pieces:
-                out[i] = map(self.known.__getitem__, words)
-        return [np.frombuffer(b"".join(x), "<u4") for x in out]
+            out.append(np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4"))
+        return out
 
 
 def write(docs: DataFrame, tokenizer: str, end: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:

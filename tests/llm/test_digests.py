@@ -267,3 +267,14 @@ def test_chunks():
         texts = ["".join(rng.choice(letters, rng.integers(0, 50))) for _ in range(100)]
         for t, c in zip(texts, own.encode(texts)):
             assert c.tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_chunks_in_use_are_made_once(monkeypatch):
+    """A full memory gives up what is not asked for; words of every text are not made anew, which was most of the time."""
+    made, of = [], tokenfile.Chunks.made
+    monkeypatch.setattr(tokenfile.Chunks, "made", lambda self, c: made.append(c) or of(self, c))
+    own = tokenfile.Chunks(queries.vocabulary("word_bpe_49k.json"), remember=200)
+    often = [f"w{c}," for c in "abcdefghij"]
+    for i in range(50):
+        own.encode([" ".join(often + [f"x{'abcdefghij'[i % 10]}{'klmnop'[i // 10]}{c}" for c in "qrstuvwxyz"])])
+    assert len(made) == 10 + 50 * 10 and len(own) + len(own.old) < 260
