@@ -305,3 +305,30 @@ def test_meetings_in_pieces(hold):
             assert got[i] == (x, False)
         else:  # a long anchor is compared in any case
             assert i not in got or (same.sum() > hold and got[i] == (x, False))
+
+
+def test_words_in_use_are_hashed_once():
+    """A full memory gives up what is not asked for, so words of every text are not hashed anew."""
+    known, often = Words(50), ["to", "be", "or", "not."]
+    for i in range(200):
+        known.of([*often, *(f"{i}x{k}" for k in range(10))])
+        assert all(w in known or w in known.old for w in often)
+    assert len(known) + len(known.old) <= 100
+
+
+def test_borders_are_those_of_windows():
+    """The gap that hashes lowest among ``reach`` on both sides, in stretches of any length, ties to the first."""
+    rng = np.random.default_rng(4)
+    for i in range(300):
+        h = rng.integers(0, 1 << int(rng.choice([2, 6, 60])), int(rng.integers(1, 90))).astype(np.uint64) & ~np.uint64(1) | (rng.random(1) < 0).astype(np.uint64)
+        h[rng.random(len(h)) < 0.05] |= np.uint64(1)
+        edges = [e + 1 for e in np.flatnonzero(h & np.uint64(1)).tolist()]
+        kept = [e for e, before in zip(edges, [0, *edges]) if e - before >= 4]
+        while kept and len(h) - kept[-1] < 4:
+            kept.pop()
+        want = {0, *kept, len(h)}
+        for a, b in zip([0, *kept], [*kept, len(h)]):
+            gap = [int((x ^ (x >> 31)) * int(MIX) % 2**64) for x in ((int(u) * int(MIX) + int(v)) % 2**64 for u, v in zip(h[a : b - 1], h[a + 1 : b]))]
+            gap = [x ^ (x >> 29) for x in gap]
+            want |= {a + c + 1 for c in range(3, len(gap) - 3) if min(range(c - 3, c + 4), key=gap.__getitem__) == c}
+        assert borders(h, 4, 3) == sorted(want)
