@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 
-from marketlens.operators.accounting import HOLDS, TOKEN, WRAPPED, account_generations, reconcile_lifecycle
+from marketlens.operators.accounting import HOLDS, TOKEN, WRAPPED, _states, account_generations, reconcile_lifecycle
 
 TOK = "struct<mint:string,owner:string,program:string,amount:long>"
 ACCOUNTS = f"tx long, account string, pre long, post long, fee long, token_pre {TOK}, token_post {TOK}, signer boolean, writable boolean"
@@ -200,3 +200,12 @@ def test_refunds_flow_on(spark, depth):
     assert reconcile_lifecycle(a, e).first()["status"] == "ENDPOINT_AMOUNTS_MATCH"
     lives = {r["account"]: r for r in account_generations(a, e).collect()}
     assert int(lives[names[-1]]["refund"]) == depth * (depth + 1) // 2 and lives[names[-1]]["shut"] == depth and lives[names[-1]]["opened"] == -1
+
+
+def test_legs_are_made_once(spark):
+    """Refunds and states come from one pass over the legs: before, they were made and sorted once for the closes and once for the rest, and joined."""
+    token = "struct<mint:string,owner:string,program:string,amount:long>"
+    a = spark.createDataFrame([("a", "p", 100, 95, 5, None, None, True, True)], f"tx string, account string, pre long, post long, fee long, token_pre {token}, token_post {token}, signer boolean, writable boolean")
+    e = spark.createDataFrame([("a", 0, "transfer", "p", "p", 1, None, None, None, None, None)], "tx string, seq long, kind string, source string, target string, amount long, mint string, owner string, program string, parent long, space int")
+    plan = _states(a, e, "tx")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
